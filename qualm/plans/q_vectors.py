@@ -1 +1,28 @@
-"""Registered queries (filled in below)."""
+"""Queries over embedding tables: F-rows (scoring), D-rows (reduction), E-rows (clustering)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.score import knn_uncertainty
+from ..sources import tables as T
+from . import flagship as FL
+from .catalog import register
+from .q_eval import eval_sql, split_sql, thr_sql
+
+EMB = "WITH emb AS (" + T.SQL["emb"] + "\n),"
+
+
+@register("f1_knn_uncertainty", EMB + FL.EMB_SCORES_SQL + "\nSELECT row_id, split, uq FROM knn",
+          doubles=["uq"])
+def f1_knn_uncertainty(spark, sf):
+    e = T.emb(spark, sf)
+    uq = knn_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), FL.K)
+    return e.filter(F.col("split") != "train").select("row_id", "split").join(uq, "row_id")
+
+
+@register("flagship_knn_selective", EMB + FL.FLAGSHIP_SCORES_SQL + "," + split_sql(None) + ",\n" + thr_sql("")
+          + "," + eval_sql("") + "\nSELECT * FROM res",
+          doubles=["p_bert", "p_rouge", "tau_bert", "tau_rouge", "acc_joint", "err_joint", "auroc", "aurc",
+                   "acc_at_80", "acc_at_90", "acc_at_95", "acc_at_100"])
+def flagship_knn_selective(spark, sf):
+    return FL.flagship(spark, sf)
