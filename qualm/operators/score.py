@@ -15,3 +15,102 @@ def knn_uncertainty(train: DataFrame, evals: DataFrame, k: int = 5, vec: str = "
                     id_col: str = "row_id") -> DataFrame:
     """mean Euclidean distance to the k nearest train rows."""
     return knn_mean_distance(evals, train, k, qid=id_col, pid=id_col, vec=vec, out_col="uq")
+
+
+# ---------------------------------------------------------------------------------- F3
+def kmeans_uq(train: DataFrame, evals: DataFrame, k_clusters: int, knn_k: int, seed: int = 0,
+              vec: str = "v", id_col: str = "row_id") -> DataFrame:
+    """0.4 x distance to the nearest centroid + 0.6 x mean distance to the
+    k nearest train rows of that cluster (k cut to the cluster size); the
+    centroid distance alone when the cluster or k is at most 1; non-finite -> 0."""
+    from .cluster import kmeans_fit_predict
+    from ..functions.stats import nan_to_num
+    tr, _, cents = kmeans_fit_predict(train, None, k_clusters, seed, vec)
+    c = cents.select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v"))
+    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    near = knn(q, c, 1).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("cluster"),
+                               F.col("dist").alias("cdist"))
+    qc = q.join(near, "row_id")
+    pts = tr.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"), "cluster")
+    sizes = pts.groupBy("cluster").agg(F.count("*").alias("csize"))
+    nn = knn(qc, pts, knn_k, by=["cluster"]).groupBy("cluster", F.col("q_id").alias("row_id")).agg(
+        F.avg("dist").alias("kdist"))
+    r = qc.join(sizes, "cluster", "left").join(nn, ["cluster", "row_id"], "left")
+    use_c = (F.coalesce(F.col("csize"), F.lit(0)) <= 1) | F.lit(knn_k <= 1)
+    uq = F.when(use_c, F.col("cdist")).otherwise(0.4 * F.col("cdist") + 0.6 * F.col("kdist"))
+    return r.select(F.col("row_id").alias(id_col), nan_to_num(uq).alias("uq"))
+
+
+# ---------------------------------------------------------------------------- F6 / F7 / F8
+import math  # noqa: E402
+
+import numpy as np  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+from .blocks import log_density_parts  # noqa: E402
+from .order import global_rank  # noqa: E402
+
+BANDWIDTHS = [float(x) for x in np.logspace(-1, 1.5, 30)]  # 30 values, 10^-1 .. 10^1.5
+N_FOLDS = 5
+
+
+def _dim(df: DataFrame, vec: str) -> int:
+    return len(df.select(vec).first()[0])
+
+
+def contiguous_folds(df: DataFrame, n_folds: int = N_FOLDS, by=(), id_col: str = "row_id") -> DataFrame:
+    """Unshuffled k-fold labels in row order: the first n % k folds get one extra row."""
+    by = list(by)
+    r = global_rank(df, [id_col], by, rank_col="_r")
+    n = df.groupBy(*by).agg(F.count("*").alias("_n")) if by else df.agg(F.count("*").alias("_n"))
+    r = r.join(F.broadcast(n), by) if by else r.crossJoin(F.broadcast(n))
+    base, extra = F.floor(F.col("_n") / n_folds), F.col("_n") % n_folds
+    i = F.col("_r") - 1
+    big = extra * (base + 1)
+    fold = F.when(i < big, F.floor(i / (base + 1))).otherwise(extra + F.floor((i - big) / F.greatest(base, F.lit(1))))
+    return r.withColumn("fold", fold.cast("bigint")).drop("_r", "_n")
+
+
+def choose_bandwidth(train: DataFrame, bandwidths=BANDWIDTHS, by=(), vec: str = "v", id_col: str = "row_id",
+                     n_folds: int = N_FOLDS) -> DataFrame:
+    """cross-validated Gaussian-KDE bandwidth per group: fold mean of the
+    held-out total log-likelihood; the first of equal scores wins.
+    Returns (by..., bw_idx, bandwidth, cv_score)."""
+    by = list(by)
+    d = _dim(train, vec)
+    tf = contiguous_folds(train, n_folds, by, id_col)
+    parts = log_density_parts(tf, tf, bandwidths, by=by, fold_col="fold", qid=id_col, pid=id_col, vec=vec)
+    qf = tf.select(*by, F.col(id_col).alias("q_id"), F.col("fold").alias("_qf"))
+    p = parts.join(qf, [*by, "q_id"]).filter(F.col("fold") != F.col("_qf"))
+    # merge the other folds' log-sum-exp terms
+    m = p.groupBy(*by, "q_id", "_qf", "bw_idx").agg(
+        F.max("lse").alias("_M"), F.collect_list("lse").alias("_l"), F.sum("cnt").alias("_nt"))
+    lse = F.col("_M") + F.log(F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_M"))))
+    bw = F.element_at(F.array(*[F.lit(b) for b in bandwidths]), (F.col("bw_idx") + 1).cast("int"))
+    logp = lse - F.log(F.col("_nt")) - (d / 2.0) * F.log(2 * math.pi * bw * bw)
+    per_fold = m.select(*by, "_qf", "bw_idx", logp.alias("lp")).groupBy(*by, "_qf", "bw_idx").agg(
+        F.sum("lp").alias("score"))
+    cv = per_fold.groupBy(*by, "bw_idx").agg(F.avg("score").alias("cv_score"))
+    best = cv.groupBy(*by).agg(F.min_by(F.struct("bw_idx", "cv_score"),
+                                        F.struct(-F.col("cv_score"), F.col("bw_idx"))).alias("b"))
+    return best.select(*by, F.col("b.bw_idx").alias("bw_idx"),
+                       F.element_at(F.array(*[F.lit(b) for b in bandwidths]),
+                                    (F.col("b.bw_idx") + 1).cast("int")).alias("bandwidth"),
+                       F.col("b.cv_score").alias("cv_score"))
+
+
+def kde_neg_log_density(train: DataFrame, evals: DataFrame, bandwidth: float, by=(), vec: str = "v",
+                        id_col: str = "row_id") -> DataFrame:
+    """-log p(x) under a Gaussian KDE of the train rows (per ``by`` group)."""
+    by = list(by)
+    d = _dim(train, vec)
+    parts = log_density_parts(evals, train, [bandwidth], by=by, qid=id_col, pid=id_col, vec=vec)
+    logp = F.col("lse") - F.log(F.col("cnt")) - (d / 2.0) * math.log(2 * math.pi * bandwidth * bandwidth)
+    return parts.select(*by, F.col("q_id").alias(id_col), (-logp).alias("uq"))
+
+
+def kde_uncertainty(train: DataFrame, evals: DataFrame, bandwidths=BANDWIDTHS, vec: str = "v",
+                    id_col: str = "row_id") -> DataFrame:
+    """global KDE with the cross-validated bandwidth; score = -log density."""
+    bw = choose_bandwidth(train, bandwidths, vec=vec, id_col=id_col).first()["bandwidth"]
+    return kde_neg_log_density(train, evals, bw, vec=vec, id_col=id_col)

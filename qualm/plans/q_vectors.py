@@ -26,3 +26,160 @@ def f1_knn_uncertainty(spark, sf):
                    "acc_at_80", "acc_at_90", "acc_at_95", "acc_at_100"])
 def flagship_knn_selective(spark, sf):
     return FL.flagship(spark, sf)
+
+
+# ------------------------------------------------------------------------------- D rows
+from ..operators import reduce as R  # noqa: E402
+from ..operators import cluster as C  # noqa: E402
+from ..operators import score as SC  # noqa: E402
+
+TOK = "WITH tokens AS (" + T.SQL["tokens"] + "\n),\nu AS (SELECT row_id, pos, mask, CAST(unnest(vec) AS DOUBLE) AS x, " \
+      "generate_subscripts(vec, 1) - 1 AS d FROM tokens)"
+
+
+@register("d2_mean_pooling", TOK + """
+SELECT row_id, CAST(d AS BIGINT) AS d, sum(x * mask) / greatest(sum(mask), 1e-9) AS value FROM u GROUP BY row_id, d""",
+          doubles=["value"])
+def d2_mean_pooling(spark, sf):
+    return R.explode_vector(R.mean_pooling(T.tokens(spark, sf)), "pooled", ["row_id"])
+
+
+@register("d3_cls_pooling", TOK + "\nSELECT row_id, CAST(d AS BIGINT) AS d, x AS value FROM u WHERE pos = 0",
+          doubles=["value"])
+def d3_cls_pooling(spark, sf):
+    return R.explode_vector(R.cls_pooling(T.tokens(spark, sf)), "pooled", ["row_id"]).withColumn(
+        "value", F.col("value").cast("double"))
+
+
+@register("d4_last_token", TOK + """,
+t AS (SELECT row_id, greatest(sum(mask) - 1, 0) AS tp FROM tokens GROUP BY row_id)
+SELECT u.row_id, CAST(d AS BIGINT) AS d, x AS value FROM u JOIN t ON u.row_id = t.row_id AND u.pos = t.tp""",
+          doubles=["value"])
+def d4_last_token(spark, sf):
+    return R.explode_vector(R.last_token_pooling(T.tokens(spark, sf)), "pooled", ["row_id"]).withColumn(
+        "value", F.col("value").cast("double"))
+
+
+EMB_LONG = EMB + """
+u AS (SELECT row_id, split, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS d FROM emb)"""
+
+
+@register("d5_standard_scaler", EMB_LONG + """,
+m AS (SELECT d, avg(x) AS mu, stddev_pop(x) AS sd FROM u GROUP BY d)
+SELECT row_id, CAST(u.d AS BIGINT) AS d, (x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS value
+FROM u JOIN m ON u.d = m.d""", doubles=["value"])
+def d5_standard_scaler(spark, sf):
+    e = T.emb(spark, sf)
+    tr, ev, _ = R.standard_scale(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"))
+    return R.explode_vector(tr.unionByName(ev), "v", ["row_id"])
+
+
+def _reduced(spark, sf, method, k=8):
+    e = T.emb(spark, sf)
+    tr, ev = R.reduce_dimensionality(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"),
+                                     k, method)
+    return R.explode_vector(tr.unionByName(ev), "r", ["row_id"])
+
+
+@register("d6_pca")  # axes are sign/rotation free: checked by projections in tests
+def d6_pca(spark, sf):
+    return _reduced(spark, sf, "PCA")
+
+
+@register("d7_svd")
+def d7_svd(spark, sf):
+    return _reduced(spark, sf, "SVD")
+
+
+@register("d8_tucker")
+def d8_tucker(spark, sf):
+    return _reduced(spark, sf, "TUCKER")
+
+
+@register("d10_mahalanobis_filter", """
+WITH s AS (SELECT avg(l_quantity) AS mq, avg(l_discount) AS md, var_samp(l_quantity) AS a,
+                  covar_samp(l_quantity, l_discount) AS b, var_samp(l_discount) AS c FROM lineitem),
+x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+             sqrt(greatest(0e0, ((l_quantity - mq) ^ 2 * c - 2 * (l_quantity - mq) * (l_discount - md) * b
+                   + (l_discount - md) ^ 2 * a) / (a * c - b * b))) AS mahalanobis FROM lineitem, s)
+SELECT * FROM x WHERE mahalanobis < (SELECT quantile_cont(mahalanobis, 0.95) FROM x)""",
+          doubles=["l_quantity", "l_discount", "mahalanobis"])
+def d10_mahalanobis_filter(spark, sf):
+    li = T.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return R.mahalanobis_filter(li, ["l_quantity", "l_discount"], 95.0)
+
+
+# ------------------------------------------------------------------------------- E rows
+@register("e1_kmeans")  # seeded k-means|| start: checked by properties in tests
+def e1_kmeans(spark, sf):
+    e = T.emb(spark, sf)
+    tr, ev, _ = C.kmeans_fit_predict(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 8)
+    return tr.unionByName(ev).select("row_id", "split", "cluster")
+
+
+def _given_labels(spark, sf):
+    """Train rows with their label; label 7 rows with row_id % 8 = 0 form a small cluster 17."""
+    e = T.emb(spark, sf).filter(F.col("split") == "train")
+    return e.withColumn("cl", F.when((F.col("label") == 7) & (F.col("row_id") % 8 == 0), F.lit(17))
+                        .otherwise(F.col("label")).cast("bigint"))
+
+
+GIVEN_SQL = EMB + """
+g AS (SELECT row_id, v, CAST(CASE WHEN label = 7 AND row_id % 8 = 0 THEN 17 ELSE label END AS BIGINT) AS cl
+      FROM emb WHERE split = 'train'),
+gu AS (SELECT cl, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM g),
+cen AS (SELECT cl, d, avg(x) AS c FROM gu GROUP BY cl, d),
+sz AS (SELECT cl, count(*) AS n FROM g GROUP BY cl),
+pr AS (SELECT s.cl AS small, l.cl AS large, sqrt(sum((a.c - b.c) ^ 2)) AS dist
+       FROM sz s JOIN sz l ON s.n < 10 AND l.n >= 10
+       JOIN cen a ON a.cl = s.cl JOIN cen b ON b.cl = l.cl AND b.d = a.d GROUP BY s.cl, l.cl),
+mp AS (SELECT small, first(large ORDER BY dist, large) AS large FROM pr GROUP BY small)
+SELECT row_id, cl, coalesce(mp.large, cl) AS merged FROM g LEFT JOIN mp ON g.cl = mp.small"""
+
+
+@register("e2_merge_small_clusters", GIVEN_SQL)
+def e2_merge_small_clusters(spark, sf):
+    g = _given_labels(spark, sf)
+    return C.merge_small_clusters(g, "cl", 10, out="merged").select("row_id", "cl", "merged")
+
+
+@register("e4_core_distance", EMB + f"""
+tr AS (SELECT row_id, v FROM emb WHERE split = 'train'),
+pr AS (SELECT a.row_id, list_distance(a.v, b.v) AS dist,
+              row_number() OVER (PARTITION BY a.row_id ORDER BY list_distance(a.v, b.v), b.row_id) AS rk
+       FROM tr a JOIN tr b ON a.row_id <> b.row_id)
+SELECT row_id, dist AS core_dist FROM pr WHERE rk = 5""", doubles=["core_dist"])
+def e4_core_distance(spark, sf):
+    e = T.emb(spark, sf).filter(F.col("split") == "train")
+    return C.core_distances(e, 5)
+
+
+# ------------------------------------------------------------------------------- F rows
+@register("f3_kmeans_uq")
+def f3_kmeans_uq(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.kmeans_uq(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 8, 5)
+
+
+@register("f6_kde_bandwidth")
+def f6_kde_bandwidth(spark, sf):
+    e = T.emb(spark, sf).filter(F.col("split") == "train")
+    return SC.choose_bandwidth(e)
+
+
+@register("f7_kde_fixed_bandwidth", EMB + """
+tr AS (SELECT row_id, v FROM emb WHERE split = 'train'),
+ev AS (SELECT row_id, split, v FROM emb WHERE split <> 'train'),
+a AS (SELECT e.row_id, -(list_distance(e.v, t.v) ^ 2) / 2e0 AS a FROM ev e, tr t),
+l AS (SELECT row_id, max(a) + ln(sum(exp(a - (SELECT max(a) FROM a a2 WHERE a2.row_id = a.row_id)))) AS lse,
+             count(*) AS n FROM a GROUP BY row_id)
+SELECT row_id, -(lse - ln(n) - 32 * ln(2 * pi())) AS uq FROM l""", doubles=["uq"])
+def f7_kde_fixed_bandwidth(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.kde_neg_log_density(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 1.0)
+
+
+@register("f7_kde_global")
+def f7_kde_global(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.kde_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"))
