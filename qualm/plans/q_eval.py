@@ -165,3 +165,61 @@ FROM long GROUP BY scheme, metric"""
           .replace("\n, long AS", ",\nlong AS"), doubles=["mean", "var", "std"])
 def h10_summarize_repeats(spark, sf):
     return S.summarize_repeats(h9_repeated_calibration(spark, sf))
+
+
+# ------------------------------------------------------------------ H11 / H12 / H13, I2
+from ..operators import pareto as P  # noqa: E402
+from ..operators.sweep import knn_scores_for_configs, objectives  # noqa: E402
+from . import flagship as FL  # noqa: E402
+from .materialize import materialize  # noqa: E402
+
+SWEEP_REPEATS = 5
+
+
+def _solutions(spark, sf):
+    """Distinct decoded configurations of the integrated front (the solution table)."""
+    front = P.cumulative_front(T.fronts(spark, sf), per_seed=False)
+    dec = P.decode_x(front.select("seed", "gen", "idx", "f1", "f2", *P.X_COLS))
+    return dec.select("n_neighbors").distinct().withColumnRenamed("n_neighbors", "solution")
+
+
+def _solution_scores(spark, sf):
+    e = T.emb(spark, sf)
+    cfg = _solutions(spark, sf)
+    s = knn_scores_for_configs(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"),
+                               cfg, k_col="solution")
+    rid = F.col("row_id")
+    q = e.filter(F.col("split") != "train").select("row_id", "split")
+    return materialize(s.join(q, "row_id").select(
+        "solution", "row_id", "split", "uq",
+        (((rid * 7919) % 1000).cast("double") / 1000).alias("bertscore_f1"),
+        (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
+
+
+@register("h11_run_all_solutions")
+def h11_run_all_solutions(spark, sf):
+    """Per solution (k of the front's configurations): score once, repeat the split."""
+    return S.repeated_evaluation(_solution_scores(spark, sf), SWEEP_REPEATS, SEED, calib_frac=FRAC,
+                                 by=["solution"])
+
+
+@register("h12_summarize_solutions")
+def h12_summarize_solutions(spark, sf):
+    per = S.summarize_repeats(h11_run_all_solutions(spark, sf), by=["solution"])
+    return S.summarize_solutions(per)
+
+
+@register("h13_report_main")
+def h13_report_main(spark, sf):
+    return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[0]
+
+
+@register("h13_report_calibration")
+def h13_report_calibration(spark, sf):
+    return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[1]
+
+
+@register("i2_objectives_sweep")
+def i2_objectives_sweep(spark, sf):
+    """Objective table for every decoded configuration (kNN scoring shared at the largest k)."""
+    return objectives(_solution_scores(spark, sf), ["solution"])
