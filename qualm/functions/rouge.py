@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def rouge_tokens(c) -> Column:
@@ -36,7 +37,7 @@ def lcs_length(a, b) -> int:
     return int(prev[-1])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x if x is not None else [], y if y is not None else [])
                       for x, y in zip(a, b)], dtype="int64")

@@ -10,6 +10,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed patterns (same meaning as the cleaning rules they mirror).
 LIST_LIKE = r"^\s*\[[\s\S]*\]\s*$"
@@ -36,7 +37,7 @@ def clean_whitespace(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _literal_list_join(s: pd.Series) -> pd.Series:
     """Python-literal list parse for the few rows JSON cannot read."""
     def one(t):
