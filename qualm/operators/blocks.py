@@ -33,9 +33,13 @@ def _block_pairs(q: DataFrame, p: DataFrame, by: Sequence[str], block_rows: int,
     blocks and points over the group's query blocks. Block counts per group
     are computed lazily from group sizes (a table with one row per group)."""
     by = list(by)
-    qs = _sizes(q, by).select(*by, _nblocks("_cnt", block_rows).alias("_nq"))
-    ps = _sizes(p, by).select(*by, _nblocks("_cnt", block_rows).alias("_np"))
-    nb = qs.join(ps, by) if by else qs.crossJoin(ps)
+    # block counts per group from one aggregate over both sides (no self-join
+    # when queries and points come from the same frame)
+    both = (q.select(*by, F.lit(1).alias("_side")).unionByName(p.select(*by, F.lit(2).alias("_side"))))
+    nb = (both.groupBy(*by) if by else both.groupBy()).agg(
+        F.count_if(F.col("_side") == 1).alias("_cq"), F.count_if(F.col("_side") == 2).alias("_cp"))
+    nb = nb.filter((F.col("_cq") > 0) & (F.col("_cp") > 0)).select(
+        *by, _nblocks("_cq", block_rows).alias("_nq"), _nblocks("_cp", block_rows).alias("_np"))
     # nb has one row per group: broadcast it.
     qx = q.join(F.broadcast(nb), by) if by else q.crossJoin(F.broadcast(nb))
     px = p.join(F.broadcast(nb), by) if by else p.crossJoin(F.broadcast(nb))
@@ -93,8 +97,10 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), q
     (self-join use).
     """
     by = list(by)
-    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
-    p = points.select(*by, F.col(pid).alias("_pid"), F.col(vec).alias("_v"))
+    # re-alias group columns on each side: fresh attributes, so a self-join
+    # (queries and points from one frame) is never ambiguous
+    q = queries.select(*[F.col(b).alias(b) for b in by], F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
+    p = points.select(*[F.col(b).alias(b) for b in by], F.col(pid).alias("_pid"), F.col(vec).alias("_v"))
     qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
     schema = ", ".join([f"`{b}` {queries.schema[b].dataType.simpleString()}" for b in by] +
                        ["q_id bigint", "p_id bigint", "dist double"])
@@ -151,8 +157,8 @@ def log_density_parts(queries: DataFrame, points: DataFrame, bandwidths: Sequenc
     -|q-p|^2 / (2 h^2): (by..., q_id, fold, bw_idx, lse, cnt). Partial (max,
     scaled sum) pairs from block pairs merge associatively."""
     by = list(by)
-    q = queries.select(*by, F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
-    pc = [*by, F.col(pid).alias("_pid"), F.col(vec).alias("_v")]
+    q = queries.select(*[F.col(b).alias(b) for b in by], F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
+    pc = [*[F.col(b).alias(b) for b in by], F.col(pid).alias("_pid"), F.col(vec).alias("_v")]
     if fold_col:
         pc.append(F.col(fold_col).alias("_fold"))
     p = points.select(*pc)

@@ -29,9 +29,10 @@ def _cols(xs) -> list[str]:
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                 sum_cols: Sequence[str] = (), rank_col: str = "pos",
-                num_buckets: int = DEFAULT_BUCKETS, **_ignored) -> DataFrame:
+                num_buckets: int = DEFAULT_BUCKETS, max_cols: Sequence[str] = (), **_ignored) -> DataFrame:
     """Add ``rank_col`` (1-based, per group, ascending ``order_cols``) and, for
-    each ``c`` in ``sum_cols``, ``cum_<c>`` = running sum up to and including the row.
+    each ``c`` in ``sum_cols``, ``cum_<c>`` = running sum up to and including the row;
+    for each ``c`` in ``max_cols``, ``prevmax_<c>`` = maximum over the earlier rows (NULL if none).
 
     ``order_cols`` is (primary,) with unique values per group, or
     (primary, tiebreak) with a unique tiebreak. Everything is lazy:
@@ -43,6 +44,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     groups x buckets table that is broadcast back.
     """
     g, order_cols, sum_cols = _cols(group_cols), _cols(order_cols), _cols(sum_cols)
+    max_cols = _cols(max_cols)
     prim = order_cols[0]
     tie = order_cols[1] if len(order_cols) > 1 else None
     B = max(1, int(num_buckets))
@@ -66,19 +68,27 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     wr = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sum_cols:
         local = local.withColumn(f"_cs_{c}", F.sum(c).over(wr))
+    wp = wb.rowsBetween(Window.unboundedPreceding, -1)
+    for c in max_cols:
+        local = local.withColumn(f"_cm_{c}", F.max(c).over(wp))
     tot = local.groupBy(*g, "_bucket").agg(
-        F.count("*").alias("_bn"), *[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])
+        F.count("*").alias("_bn"), *[F.sum(c).alias(f"_bs_{c}") for c in sum_cols],
+        *[F.max(c).alias(f"_bm_{c}") for c in max_cols])
     wt = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offs = tot.select(*g, "_bucket",
                       F.coalesce(F.sum("_bn").over(wt), F.lit(0)).alias("_off"),
-                      *[F.coalesce(F.sum(f"_bs_{c}").over(wt), F.lit(0)).alias(f"_bo_{c}") for c in sum_cols])
+                      *[F.coalesce(F.sum(f"_bs_{c}").over(wt), F.lit(0)).alias(f"_bo_{c}") for c in sum_cols],
+                      *[F.max(f"_bm_{c}").over(wt).alias(f"_bx_{c}") for c in max_cols])
     out = local.join(F.broadcast(offs), [*g, "_bucket"])
+    for c in max_cols:
+        out = out.withColumn(f"prevmax_{c}", F.greatest(F.col(f"_bx_{c}"), F.col(f"_cm_{c}")))
     out = out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_bo_{c}") + F.col(f"_cs_{c}"))
     return out.drop("_bucket", "_rn", "_off", *[f"_cs_{c}" for c in sum_cols],
-                    *[f"_bo_{c}" for c in sum_cols])
+                    *[f"_bo_{c}" for c in sum_cols], *[f"_cm_{c}" for c in max_cols],
+                    *[f"_bx_{c}" for c in max_cols])
 
 
 def hash_key(seed, id_col: str) -> Column:

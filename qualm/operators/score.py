@@ -114,3 +114,63 @@ def kde_uncertainty(train: DataFrame, evals: DataFrame, bandwidths=BANDWIDTHS, v
     """global KDE with the cross-validated bandwidth; score = -log density."""
     bw = choose_bandwidth(train, bandwidths, vec=vec, id_col=id_col).first()["bandwidth"]
     return kde_neg_log_density(train, evals, bw, vec=vec, id_col=id_col)
+
+
+# ---------------------------------------------------------------------------------- F2
+def kmeans_knn_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int, k: int, seed: int = 0,
+                           vec: str = "v", id_col: str = "row_id") -> DataFrame:
+    """k-means, merge clusters below k rows, nearest merged centroid, mean
+    distance to the k nearest train rows of that cluster. A row whose cluster
+    has fewer than k rows takes the largest score of the earlier rows (row-id
+    order), 0 for the first."""
+    from .cluster import centroids, kmeans_fit_predict, merge_small_clusters
+    from ..plans.materialize import materialize
+    tr, _, _ = kmeans_fit_predict(train, None, k_clusters, seed, vec)
+    tr = materialize(merge_small_clusters(tr, "cluster", k, vec))
+    cents = centroids(tr, "cluster", vec)
+    c = cents.select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v"), F.col("size"))
+    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    near = knn(q, c.drop("size"), 1).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("cluster"))
+    qc = q.join(near, "row_id").join(c.select(F.col("row_id").alias("cluster"), "size"), "cluster")
+    pts = tr.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"), "cluster")
+    ok = qc.filter(F.col("size") >= k)
+    nn = knn(ok, pts, k, by=["cluster"]).groupBy(F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("_uq"))
+    allq = qc.select("row_id").join(nn, "row_id", "left")
+    ranked = global_rank(allq, ["row_id"], [], rank_col="_r", max_cols=["_uq"])
+    uq = F.coalesce(F.col("_uq"), F.col("prevmax__uq"), F.lit(0.0))
+    return ranked.select(F.col("row_id").alias(id_col), uq.alias("uq"))
+
+
+# ---------------------------------------------------------------------------------- F8
+def kmeans_kde_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int, min_cluster_size: int,
+                           seed: int = 0, bandwidths=BANDWIDTHS, vec: str = "v", id_col: str = "row_id") -> DataFrame:
+    """F8: k-means, merge small clusters, one cross-validated KDE per cluster
+    (keyed by label); each eval row is scored by the nearest k-means centre
+    whose merged cluster has at least ``min_cluster_size`` rows; +inf if none.
+
+    A per-cluster bandwidth h is applied by scaling the cluster's vectors by
+    1/h and using bandwidth 1: log p_h(x) = log p_1(x/h) - d ln h."""
+    from .cluster import kmeans_fit_predict, merge_small_clusters
+    d = _dim(train, vec)
+    from ..plans.materialize import materialize
+    tr, _, cents = kmeans_fit_predict(train, None, k_clusters, seed, vec)
+    tr = materialize(merge_small_clusters(tr, "cluster", min_cluster_size, vec))
+    sizes = tr.groupBy("cluster").agg(F.count("*").alias("size"))
+    elig = (cents.join(sizes, "cluster").filter(F.col("size") >= min_cluster_size)
+                 .select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v")))
+    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    near = knn(q, elig, 1).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("cluster"))
+    pts = tr.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"), "cluster")
+    elig = materialize(elig)
+    bw = materialize(choose_bandwidth(pts.join(elig.select(F.col("row_id").alias("cluster")), "cluster", "left_semi"),
+                                      bandwidths, by=["cluster"], vec="v").select("cluster", "bandwidth"))
+    scale = lambda df: df.join(bw, "cluster").withColumn(
+        "v", F.transform("v", lambda x: x / F.col("bandwidth")))
+    qs = scale(q.join(near, "row_id"))
+    ps = scale(pts)
+    parts = log_density_parts(qs, ps, [1.0], by=["cluster", "bandwidth"])
+    logp = F.col("lse") - F.log(F.col("cnt")) - (d / 2.0) * math.log(2 * math.pi) \
+        - d * F.log(F.col("bandwidth"))
+    scored = parts.select(F.col("q_id").alias("row_id"), (-logp).alias("uq"))
+    return (q.select("row_id").join(scored, "row_id", "left")
+             .select(F.col("row_id").alias(id_col), F.coalesce(F.col("uq"), F.lit(float("inf"))).alias("uq")))

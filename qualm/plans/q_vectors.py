@@ -183,3 +183,22 @@ def f7_kde_fixed_bandwidth(spark, sf):
 def f7_kde_global(spark, sf):
     e = T.emb(spark, sf)
     return SC.kde_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"))
+
+
+@register("f2_kmeans_knn")
+def f2_kmeans_knn(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.kmeans_knn_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 8, 5)
+
+
+@register("f8_kmeans_kde")
+def f8_kmeans_kde(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.kmeans_kde_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"),
+                                     8, 10)
+
+
+@register("d1_embed_default")
+def d1_embed_default(spark, sf):
+    from ..operators.embed import embed_column
+    return R.explode_vector(embed_column(T.qa(spark, sf), "model_answer"), "v", ["row_id"])
