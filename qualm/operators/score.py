@@ -174,3 +174,68 @@ def kmeans_kde_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int,
     scored = parts.select(F.col("q_id").alias("row_id"), (-logp).alias("uq"))
     return (q.select("row_id").join(scored, "row_id", "left")
              .select(F.col("row_id").alias(id_col), F.coalesce(F.col("uq"), F.lit(float("inf"))).alias("uq")))
+
+
+# ---------------------------------------------------------------------------- F4 / F5
+def _global_knn_mean(train_pts: DataFrame, q: DataFrame, n_neighbors: int) -> DataFrame:
+    return knn(q, train_pts, n_neighbors).groupBy(F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("uq"))
+
+
+def hdbscan_knn_uncertainty(train: DataFrame, evals: DataFrame, min_cluster_size: int, min_samples: int,
+                            epsilon: float, n_neighbors: int, vec: str = "v", id_col: str = "row_id",
+                            labels: DataFrame | None = None) -> DataFrame:
+    """F4 (flagship): HDBSCAN on train, small clusters (noise included) merged
+    into the nearest large one, each eval row assigned to the nearest non-noise
+    centroid and scored by its mean distance to the n nearest rows of that
+    cluster; a cluster smaller than n -> global kNN; no cluster -> global kNN
+    for every row; an empty train set -> 0."""
+    from ..plans.materialize import materialize
+    from .cluster import centroids, merge_small_clusters
+    from .hdbscan import hdbscan_labels
+    pts = train.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    if pts.limit(1).count() == 0:
+        return q.select(F.col("row_id").alias(id_col), F.lit(0.0).alias("uq"))
+    lab = labels if labels is not None else hdbscan_labels(pts, min_cluster_size, min_samples, epsilon)
+    lab = materialize(merge_small_clusters(pts.join(lab, "row_id"), "label", min_cluster_size))
+    lab = merge_small_clusters(lab, "label", min_cluster_size, include_noise=True)
+    lab = materialize(lab)
+    cl = lab.filter(F.col("label") != -1)
+    if cl.limit(1).count() == 0:
+        g = _global_knn_mean(pts, q, n_neighbors)
+        return g.select(F.col("row_id").alias(id_col), "uq")
+    cents = centroids(cl, "label", "v")
+    c = cents.select(F.col("label").alias("row_id"), F.col("centroid").alias("v"))
+    near = knn(q, c, 1).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("label"))
+    qc = q.join(near, "row_id").join(cents.select("label", "size"), "label")
+    inside = qc.filter(F.col("size") >= n_neighbors)
+    fall = qc.filter(F.col("size") < n_neighbors).select("row_id", "v")
+    s1 = (knn(inside, cl.select("row_id", "v", "label"), n_neighbors, by=["label"])
+          .groupBy(F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("uq")))
+    s2 = _global_knn_mean(pts, fall, n_neighbors)
+    return s1.unionByName(s2).select(F.col("row_id").alias(id_col), "uq")
+
+
+def hdbscan_min_cluster_uncertainty(train: DataFrame, evals: DataFrame, min_cluster_size: int, min_samples: int,
+                                    epsilon: float, n_neighbors: int, vec: str = "v", id_col: str = "row_id",
+                                    labels: DataFrame | None = None) -> DataFrame:
+    """like F4, but the score is the smallest mean kNN distance over every
+    non-noise cluster with at least n rows; global kNN when none qualifies."""
+    from ..plans.materialize import materialize
+    from .cluster import merge_small_clusters
+    from .hdbscan import hdbscan_labels
+    pts = train.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    lab = labels if labels is not None else hdbscan_labels(pts, min_cluster_size, min_samples, epsilon)
+    lab = materialize(merge_small_clusters(pts.join(lab, "row_id"), "label", min_cluster_size,
+                                           include_noise=True))
+    sizes = lab.filter(F.col("label") != -1).groupBy("label").agg(F.count("*").alias("size"))
+    ok = sizes.filter(F.col("size") >= n_neighbors).select("label")
+    if ok.limit(1).count() == 0:
+        g = _global_knn_mean(pts, q, n_neighbors)
+        return g.select(F.col("row_id").alias(id_col), "uq")
+    # every eval row against every qualifying cluster (clusters are few)
+    qx = q.crossJoin(F.broadcast(ok))
+    per = (knn(qx, lab.join(ok, "label"), n_neighbors, by=["label"])
+           .groupBy("label", F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("m")))
+    return per.groupBy("row_id").agg(F.min("m").alias("uq")).select(F.col("row_id").alias(id_col), "uq")

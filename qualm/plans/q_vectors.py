@@ -202,3 +202,42 @@ def f8_kmeans_kde(spark, sf):
 def d1_embed_default(spark, sf):
     from ..operators.embed import embed_column
     return R.explode_vector(embed_column(T.qa(spark, sf), "model_answer"), "v", ["row_id"])
+
+
+# ------------------------------------------------------------------------------- HDBSCAN rows
+from ..operators import hdbscan as HD  # noqa: E402
+
+HDB = {"min_cluster_size": 10, "min_samples": 5, "epsilon": 0.0, "n_neighbors": 5}
+
+
+@register("e5_hdbscan_spanning_tree")  # exact tree: checked against a single-machine build in tests
+def e5_hdbscan_spanning_tree(spark, sf):
+    from .materialize import materialize
+    e = T.emb(spark, sf).filter(F.col("split") == "train").select("row_id", "v")
+    pts = materialize(e)
+    nodes = materialize(pts.join(HD.core_distance_table(pts, HDB["min_samples"]), "row_id"))
+    cand, nb = HD.candidate_edges(nodes)
+    tree = cand if nb == 1 else HD.minimum_spanning_tree(nodes.select("row_id"), cand)
+    return tree.select("lo", "hi", "w")
+
+
+@register("e6_hdbscan_labels")
+def e6_hdbscan_labels(spark, sf):
+    e = T.emb(spark, sf).filter(F.col("split") == "train")
+    return HD.hdbscan_labels(e, HDB["min_cluster_size"], HDB["min_samples"], HDB["epsilon"])
+
+
+@register("f4_hdbscan_knn")
+def f4_hdbscan_knn(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.hdbscan_knn_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"),
+                                      HDB["min_cluster_size"], HDB["min_samples"], HDB["epsilon"],
+                                      HDB["n_neighbors"])
+
+
+@register("f5_hdbscan_min_cluster_knn")
+def f5_hdbscan_min_cluster_knn(spark, sf):
+    e = T.emb(spark, sf)
+    return SC.hdbscan_min_cluster_uncertainty(e.filter(F.col("split") == "train"),
+                                              e.filter(F.col("split") != "train"), HDB["min_cluster_size"],
+                                              HDB["min_samples"], HDB["epsilon"], HDB["n_neighbors"])
