@@ -22,3 +22,41 @@ def test_labels_match_bruteforce(spark, seed, mcs, ms, eps, block_rows):
     got = hdbscan_labels(df, mcs, ms, eps, block_rows=block_rows).toPandas().sort_values("row_id")
     exp = hdbscan_bruteforce(X, mcs, ms, eps)
     assert (got["label"].to_numpy() == exp).all()
+
+
+def _f4_bruteforce(T_, E_, mcs, ms, eps, k):
+    lab = hdbscan_bruteforce(T_, mcs, ms, eps)
+    u, c = np.unique(lab, return_counts=True)
+    small, large = u[c < mcs], u[c >= mcs]
+    if len(small) and len(large):
+        cent = {l: T_[lab == l].mean(0) for l in large}
+        new = lab.copy()
+        for s in small:
+            m = T_[lab == s].mean(0)
+            new[lab == s] = min(cent, key=lambda l: (np.linalg.norm(m - cent[l]), l))
+        lab = new
+    labs = sorted(l for l in np.unique(lab) if l != -1)
+
+    def knn_mean(P, x, kk):
+        d = np.sort(np.sqrt(((P - x) ** 2).sum(1)))
+        return d[:min(kk, len(P))].mean()
+    if not labs:
+        return np.array([knn_mean(T_, x, k) for x in E_])
+    cents = np.stack([T_[lab == l].mean(0) for l in labs])
+    out = []
+    for x in E_:
+        l = labs[int(np.argmin(np.sqrt(((cents - x) ** 2).sum(1))))]
+        P = T_[lab == l]
+        out.append(knn_mean(P, x, k) if len(P) >= k else knn_mean(T_, x, k))
+    return np.array(out)
+
+
+def test_f4_matches_bruteforce(spark):
+    from qualm.operators.score import hdbscan_knn_uncertainty
+    X = _blobs(5, n_per=30, k=3, noise=15)
+    E_ = _blobs(6, n_per=5, k=3, noise=5)
+    tr = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(X)), "v": list(X)}))
+    ev = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(1000, 1000 + len(E_)), "v": list(E_)}))
+    got = hdbscan_knn_uncertainty(tr, ev, 8, 4, 0.0, 5).toPandas().sort_values("row_id")
+    exp = _f4_bruteforce(X, E_, 8, 4, 0.0, 5)
+    assert np.allclose(got["uq"].to_numpy(), exp)
