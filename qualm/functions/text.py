@@ -19,6 +19,10 @@ PROMPT_START = r"(?i)^prompt\s*:"
 COMPLETION_ANY = r"(?i)\bcompletion\s*:"
 PROMPT_BLOCK = r"(?is)^prompt\s*:.*?\bcompletion\s*:\s*"
 PROMPT_LINE = r"(?i)^prompt\s*:\s*[^\r\n]*\r?\n?"
+# One pass in one pattern: a leading "prompt:" block through the first
+# "completion:" if there is one, else the prompt line. The first alternative
+# matches exactly when "completion:" occurs, so the alternation is the branch.
+PROMPT_PASS = r"(?i)^prompt\s*:(?:(?s:.*?)\bcompletion\s*:\s*|\s*[^\r\n]*\r?\n?)"
 COMPLETION_LABEL = r"(?i)\bcompletion\s*:\s*"
 MEDICINE_PREFIX = "in medicine:"
 MAX_PROMPT_PASSES = 5
@@ -85,9 +89,8 @@ def strip_wrappers(c) -> Column:
 
 
 def _prompt_pass(out: Column) -> Column:
-    return (F.when(~out.rlike(PROMPT_START), out)
-             .when(out.rlike(COMPLETION_ANY), F.regexp_replace(out, PROMPT_BLOCK, ""))
-             .otherwise(F.regexp_replace(out, PROMPT_LINE, "")))
+    # references the text once, so unrolled passes stay linear in plan size
+    return F.regexp_replace(out, PROMPT_PASS, "")
 
 
 def strip_leading_prompt_blocks(df: DataFrame, col: str, out: str | None = None,
