@@ -81,23 +81,22 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: DataFrame, group_col
     cumulative counts.
     """
     g = list(group_cols)
-    d = df.filter(F.col(value_col).isNotNull()).groupBy(*g, F.col(value_col).alias("_v")).agg(
-        F.count("*").alias("_c"))
+    vals = df.filter(F.col(value_col).isNotNull())
+    d = vals.groupBy(*g, F.col(value_col).alias("_v")).agg(F.count("*").alias("_c"))
     d = global_rank(d, ["_v"], g, sum_cols=["_c"], rank_col="_r")
     d = d.select(*g, "_v", (F.col("cum__c") - F.col("_c")).alias("_lo"), F.col("cum__c").alias("_hi"))
-    n = d.groupBy(*g).agg(F.max("_hi").alias("_n"))
+    n = vals.groupBy(*g).agg(F.count("*").alias("_n")) if g else vals.agg(F.count("*").alias("_n"))
     pq = probs.join(F.broadcast(n), [c for c in g if c in probs.columns]) if g else probs.crossJoin(F.broadcast(n))
     pq = (pq.withColumn("_h", (F.col("_n") - 1) * F.col("q"))
             .withColumn("_k0", F.floor("_h")).withColumn("_k1", F.ceil("_h")))
     keys = [c for c in pq.columns if c not in ("_h", "_k0", "_k1", "_n")]  # unique per request
-
-    def at(kcol, alias):
-        j = pq.alias("p").join(d.alias("d"), [F.col(f"p.{c}") == F.col(f"d.{c}") for c in g] +
-                               [F.col(f"p.{kcol}") >= F.col("d._lo"), F.col(f"p.{kcol}") < F.col("d._hi")])
-        return j.select(*[F.col(f"p.{c}").alias(c) for c in keys], F.col("d._v").alias(alias))
-
-    lo, hi = at("_k0", "_v0"), at("_k1", "_v1")
-    out = pq.join(lo, keys).join(hi, keys)
+    # requests are few per group (broadcast); only the one or two distinct
+    # values whose count range covers a requested position survive the filter
+    j = d.join(F.broadcast(pq), g) if g else d.crossJoin(F.broadcast(pq))
+    j = j.filter((F.col("_hi") > F.col("_k0")) & (F.col("_lo") <= F.col("_k1")))
+    out = j.groupBy(*keys).agg(F.min(F.when(F.col("_hi") > F.col("_k0"), F.col("_v"))).alias("_v0"),
+                               F.min(F.when(F.col("_hi") > F.col("_k1"), F.col("_v"))).alias("_v1"),
+                               F.first("_h").alias("_h"), F.first("_k0").alias("_k0"))
     out = out.withColumn(out_col, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_k0")))
     return out.select(*keys, out_col)
 
