@@ -180,3 +180,78 @@ def mahalanobis_filter(df: DataFrame, cols: Sequence[str], percentile: float = 9
     spark = df.sparkSession
     thr = exact_percentiles(withd, out, spark.createDataFrame([(percentile / 100.0,)], "q double"), [], "_thr")
     return withd.crossJoin(F.broadcast(thr.select("_thr"))).filter(F.col(out) < F.col("_thr")).drop("_thr")
+
+
+# -- D9 ----------------------------------------------------------------------------
+def landmark_isomap(train: DataFrame, evals: DataFrame, k: int, n_neighbors: int = 5, n_landmarks: int = 64,
+                    seed: int = 0, vec: str = "v", out: str = "r", max_rounds: int = 10_000):
+    """Isomap by landmarks (de Silva and Tenenbaum, 2003).
+
+    The neighbour graph comes from the blocked kNN (symmetrised); geodesic
+    distances from the landmarks to every row are relaxed along graph edges,
+    one join per round, until nothing shortens; classical MDS runs on the
+    landmark x landmark matrix (small, on the driver); every row is placed by
+    distance-based triangulation against the landmarks. Evaluation rows reach
+    the landmarks through their train neighbours. A disconnected graph raises.
+    """
+    from ..plans.materialize import materialize
+    from .blocks import knn
+    from .order import pick_first_n
+    pts = materialize(train.select("row_id", F.col(vec).alias("v")))
+    nn = knn(pts, pts, n_neighbors, exclude_self=True)
+    e = nn.select(F.col("q_id").alias("u"), F.col("p_id").alias("w"), "dist")
+    edges = materialize(e.unionByName(e.select(F.col("w").alias("u"), F.col("u").alias("w"), "dist"))
+                        .groupBy("u", "w").agg(F.min("dist").alias("dist")))
+    lm = (pick_first_n(pts.withColumn("_n", F.lit(int(n_landmarks))), "_n", seed, out_col="_pk")
+          .filter("_pk").select("row_id"))
+    lm_ids = sorted(r["row_id"] for r in lm.collect())  # at most n_landmarks ids
+    L = len(lm_ids)
+    spark = train.sparkSession
+    lmi = spark.createDataFrame([(int(x), i) for i, x in enumerate(lm_ids)], "l bigint, li int")
+    dist = materialize(lmi.select("l", F.col("l").alias("node"), F.lit(0.0).alias("d")))
+    for _ in range(max_rounds):
+        step = (dist.join(edges, dist["node"] == edges["u"])
+                    .select("l", F.col("w").alias("node"), (F.col("d") + F.col("dist")).alias("d")))
+        new = materialize(dist.unionByName(step).groupBy("l", "node").agg(F.min("d").alias("d")))
+        changed = (new.join(dist.withColumnRenamed("d", "_old"), ["l", "node"], "left")
+                      .filter(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).limit(1).count())
+        dist = new
+        if changed == 0:
+            break
+    n = pts.count()
+    if dist.count() != L * n:
+        raise ValueError("the neighbour graph is disconnected; geodesic distances are undefined")
+    # classical MDS on the landmark block
+    sub = dist.join(lmi.withColumnRenamed("l", "node").withColumnRenamed("li", "nj"), "node") \
+              .join(lmi, "l").select("li", "nj", "d").collect()
+    D2 = np.zeros((L, L))
+    for r in sub:
+        D2[r["li"], r["nj"]] = r["d"] ** 2
+    D2 = (D2 + D2.T) / 2
+    J = np.eye(L) - 1.0 / L
+    B = -0.5 * J @ D2 @ J
+    vals, vecs = np.linalg.eigh(B)
+    order = np.argsort(vals)[::-1][:k]
+    lam, V = np.maximum(vals[order], 1e-12), _fix_signs(vecs[:, order])
+    Lsharp = V / np.sqrt(lam)          # L x k
+    mu = D2.mean(axis=1)                # mean squared distance column
+
+    @F.pandas_udf("array<double>")
+    def place(dv: pd.Series) -> pd.Series:
+        if len(dv) == 0:
+            return pd.Series([], dtype=object)
+        X = np.stack(dv.to_numpy()).astype(np.float64) ** 2
+        return pd.Series(list(-0.5 * (X - mu) @ Lsharp))
+
+    def to_vec(long_df):
+        g = long_df.join(F.broadcast(lmi), "l").groupBy("row_id").agg(
+            F.array_sort(F.collect_list(F.struct("li", "d"))).alias("_s"))
+        return g.select("row_id", place(F.transform("_s", lambda x: x["d"])).alias(out))
+
+    tr = to_vec(dist.select("l", F.col("node").alias("row_id"), "d"))
+    q = evals.select("row_id", F.col(vec).alias("v"))
+    qn = knn(q, pts, n_neighbors).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("node"),
+                                         F.col("dist").alias("_e"))
+    ev_long = (qn.join(dist, "node").groupBy("l", "row_id").agg(F.min(F.col("_e") + F.col("d")).alias("d")))
+    ev = to_vec(ev_long)
+    return train.join(tr, "row_id"), evals.join(ev, "row_id")

@@ -241,3 +241,10 @@ def f5_hdbscan_min_cluster_knn(spark, sf):
     return SC.hdbscan_min_cluster_uncertainty(e.filter(F.col("split") == "train"),
                                               e.filter(F.col("split") != "train"), HDB["min_cluster_size"],
                                               HDB["min_samples"], HDB["epsilon"], HDB["n_neighbors"])
+
+
+@register("d9_isomap")  # landmark Isomap on the raw (connected) embedding; checked by properties in tests
+def d9_isomap(spark, sf):
+    e = T.emb(spark, sf, raw=True)
+    tr, ev = R.landmark_isomap(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 8)
+    return R.explode_vector(tr.select("row_id", "r").unionByName(ev.select("row_id", "r")), "r", ["row_id"])
