@@ -21,6 +21,15 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64      # order buckets per group; each is one window task
 PCT_ACCURACY = 10000
+SMALL_GROUP_ROWS = 1 << 20   # a window over at most this many rows is one comfortable task
+
+
+def groups_are_small(df: DataFrame, group_cols: Sequence[str] = (), limit: int = SMALL_GROUP_ROWS) -> bool:
+    """One aggregate (cheap on a materialized frame): is every group within ``limit`` rows?"""
+    g = _cols(group_cols)
+    c = df.groupBy(*g).count() if g else df.groupBy().count()
+    largest = c.agg(F.max("count")).first()[0]
+    return largest is None or largest <= limit
 
 
 def _cols(xs) -> list[str]:
@@ -29,7 +38,8 @@ def _cols(xs) -> list[str]:
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                 sum_cols: Sequence[str] = (), rank_col: str = "pos",
-                num_buckets: int = DEFAULT_BUCKETS, max_cols: Sequence[str] = (), **_ignored) -> DataFrame:
+                num_buckets: int = DEFAULT_BUCKETS, max_cols: Sequence[str] = (), small: bool = False,
+                **_ignored) -> DataFrame:
     """Add ``rank_col`` (1-based, per group, ascending ``order_cols``) and, for
     each ``c`` in ``sum_cols``, ``cum_<c>`` = running sum up to and including the row;
     for each ``c`` in ``max_cols``, ``prevmax_<c>`` = maximum over the earlier rows (NULL if none).
@@ -42,9 +52,23 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     single task. Buckets are numbered in key order, windows run per
     (group, bucket), and bucket totals are prefix-summed on a
     groups x buckets table that is broadcast back.
+
+    ``small=True`` is for callers that have checked every group holds at most
+    ``SMALL_GROUP_ROWS`` rows (see ``groups_are_small``): one window per group
+    then, a single shuffle and no sampling pass.
     """
     g, order_cols, sum_cols = _cols(group_cols), _cols(order_cols), _cols(sum_cols)
     max_cols = _cols(max_cols)
+    if small:
+        w = Window.partitionBy(*g).orderBy(*order_cols) if g else Window.orderBy(*order_cols)
+        out = df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
+        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        wp = w.rowsBetween(Window.unboundedPreceding, -1)
+        for c in sum_cols:
+            out = out.withColumn(f"cum_{c}", F.sum(c).over(wr))
+        for c in max_cols:
+            out = out.withColumn(f"prevmax_{c}", F.max(c).over(wp))
+        return out
     prim = order_cols[0]
     tie = order_cols[1] if len(order_cols) > 1 else None
     B = max(1, int(num_buckets))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import stats_1d
 from ..plans.materialize import materialize
-from .order import global_rank, pick_first_n
+from .order import global_rank, groups_are_small, pick_first_n
 
 # Threshold schemes (name, BERTScore percentile, ROUGE-L percentile)
 # and rejection coverages, as the evaluation notebook defines them.
@@ -72,7 +72,7 @@ def repeat_rows(df: DataFrame, n_repeats: int, seed_base: int = 42) -> DataFrame
 
 # -- H2 -----------------------------------------------------------------------
 def exact_percentiles(df: DataFrame, value_col: str, probs: DataFrame, group_cols: Sequence[str] = (),
-                      out_col: str = "value") -> DataFrame:
+                      out_col: str = "value", small: bool = False) -> DataFrame:
     """Linear-interpolated percentiles (numpy default) per group, exact at any size.
 
     ``probs`` has a ``q`` column in [0, 1] (plus any id columns, and optionally
@@ -83,7 +83,7 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: DataFrame, group_col
     g = list(group_cols)
     vals = df.filter(F.col(value_col).isNotNull())
     d = vals.groupBy(*g, F.col(value_col).alias("_v")).agg(F.count("*").alias("_c"))
-    d = global_rank(d, ["_v"], g, sum_cols=["_c"], rank_col="_r")
+    d = global_rank(d, ["_v"], g, sum_cols=["_c"], rank_col="_r", small=small)
     d = d.select(*g, "_v", (F.col("cum__c") - F.col("_c")).alias("_lo"), F.col("cum__c").alias("_hi"))
     n = vals.groupBy(*g).agg(F.count("*").alias("_n")) if g else vals.agg(F.count("*").alias("_n"))
     pq = probs.join(F.broadcast(n), [c for c in g if c in probs.columns]) if g else probs.crossJoin(F.broadcast(n))
@@ -102,7 +102,7 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: DataFrame, group_col
 
 
 def thresholds(calib: DataFrame, schemes: DataFrame, group_cols: Sequence[str] = (),
-               bert_col: str = "bertscore_f1", rouge_col: str = "rougeL") -> DataFrame:
+               bert_col: str = "bertscore_f1", rouge_col: str = "rougeL", small: bool = False) -> DataFrame:
     """H2: (group..., scheme_id, scheme, p_bert, p_rouge, tau_bert, tau_rouge).
 
     Both quality columns are stacked so one ranking pass serves every scheme.
@@ -115,7 +115,7 @@ def thresholds(calib: DataFrame, schemes: DataFrame, group_cols: Sequence[str] =
     probs = (schemes.select("scheme_id", F.lit("b").alias("metric"), (F.col("p_bert") / 100).alias("q"))
              .unionByName(schemes.select("scheme_id", F.lit("r").alias("metric"),
                                          (F.col("p_rouge") / 100).alias("q"))))
-    pv = exact_percentiles(vals, "v", probs, [*g, "metric"], "tau")
+    pv = exact_percentiles(vals, "v", probs, [*g, "metric"], "tau", small=small)
     wide = pv.groupBy(*g, "scheme_id").agg(
         F.max(F.when(F.col("metric") == "b", F.col("tau"))).alias("tau_bert"),
         F.max(F.when(F.col("metric") == "r", F.col("tau"))).alias("tau_rouge"))
@@ -139,7 +139,7 @@ def joint_labels(eval_df: DataFrame, thr: DataFrame, group_cols: Sequence[str] =
 # -- H4-H8: all schemes at once ------------------------------------------------
 def evaluate_schemes(scored: DataFrame, schemes=SCHEMES, coverages=COVERAGES,
                      group_cols: Sequence[str] = (), split2_col: str = "split2",
-                     curve: bool = False, num_buckets: int | None = None):
+                     curve: bool = False, num_buckets: int | None = None, small: bool | None = None):
     """H8 for every scheme and group: thresholds on 'calib', metrics on 'eval'.
 
     Returns the per-(group, scheme) metric table; with ``curve`` also the H5
@@ -153,7 +153,11 @@ def evaluate_schemes(scored: DataFrame, schemes=SCHEMES, coverages=COVERAGES,
     scored = materialize(scored)
     calib = scored.filter(F.col(split2_col) == "calib")
     ev = scored.filter(F.col(split2_col) == "eval")
-    thr = materialize(thresholds(calib, sch, g))
+    # groups (solution, repeat) within SMALL_GROUP_ROWS rank with one window each;
+    # ``small=False`` forces the bucketed path (tests)
+    if small is None:
+        small = groups_are_small(scored, g)
+    thr = materialize(thresholds(calib, sch, g, small=small))
     # wide thresholds: one row per group, two columns per scheme (small)
     wide = thr.groupBy(*g).agg(*[F.max(F.when(F.col("scheme_id") == i, F.col(c))).alias(f"_{c}_{i}")
                                  for i in range(S) for c in ("tau_bert", "tau_rouge")]) if g else \
@@ -168,7 +172,7 @@ def evaluate_schemes(scored: DataFrame, schemes=SCHEMES, coverages=COVERAGES,
     ev = materialize(ev.select(*g, "row_id", "uq", *errs))
 
     # H5-H7: one ordering by (uq, row_id) per group carries every scheme's errors.
-    ranked = global_rank(ev, ["uq", "row_id"], g, sum_cols=errs, rank_col="m", **rk)
+    ranked = global_rank(ev, ["uq", "row_id"], g, sum_cols=errs, rank_col="m", small=small, **rk)
     n = ev.groupBy(*g).agg(F.count("*").alias("n")) if g else ev.agg(F.count("*").alias("n"))
     ranked = ranked.join(F.broadcast(n), g) if g else ranked.crossJoin(F.broadcast(n))
     aggs = [F.first("n").alias("n")]

@@ -72,3 +72,13 @@ def test_front_and_hypervolume_properties(spark):
     hv_half = hypervolume(df.filter("idx < 200").withColumnRenamed("f1", "fn1")
                           .withColumnRenamed("f2", "fn2")).first()["hv"]
     assert hv_all >= hv_half > 0
+
+
+def test_evaluation_paths_agree(spark):
+    """The checked single-window path and the bucketed path give the same metrics."""
+    from qualm.operators import selective as S
+    from qualm.sources import tables as T
+    sp = S.calib_split(T.scores(spark, "/root/testdata/sf0.001"))
+    a = S.evaluate_schemes(sp, small=True).toPandas().sort_values("scheme").reset_index(drop=True)
+    b = S.evaluate_schemes(sp, small=False, num_buckets=5).toPandas().sort_values("scheme").reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
