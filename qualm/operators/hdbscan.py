@@ -29,7 +29,7 @@ from ..plans.materialize import materialize
 from .blocks import knn
 from .order import global_rank
 
-MST_BLOCK_ROWS = 1024
+MST_BLOCK_ROWS = 2048
 EDGES_PER_TASK = 1 << 20
 MAX_ROUNDS = 64
 
@@ -105,15 +105,43 @@ def _pointer_jump(parent: DataFrame) -> DataFrame:
     raise RuntimeError("pointer jumping did not converge")
 
 
-def minimum_spanning_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distributed Boruvka: (lo, hi, w) of the minimum spanning forest."""
+def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Minimum spanning forest of a bounded edge set over component ids."""
+    parent = {}
+
+    def find(a):
+        root = a
+        while root in parent:
+            root = parent[root]
+        while a in parent and parent[a] != root:
+            parent[a], a = root, parent[a]
+        return root
+    pdf = pdf.sort_values(["w", "lo", "hi"])
+    keep = []
+    for i, (ca, cb) in enumerate(zip(pdf["ca"].to_numpy(), pdf["cb"].to_numpy())):
+        ra, rb = find(ca), find(cb)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            keep.append(i)
+    return pdf.iloc[keep][["lo", "hi", "w"]]
+
+
+def minimum_spanning_tree(nodes: DataFrame, edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """Distributed Boruvka: (lo, hi, w) of the minimum spanning forest. Once the
+    edges still crossing components fit ``edges_per_task`` (a checked count),
+    one Kruskal task finishes the tree."""
     comp = materialize(nodes.select(F.col("row_id").alias("node"), F.col("row_id").alias("c")))
     edges = materialize(edges)
     tree = None
     for _ in range(MAX_ROUNDS):
-        e = (edges.join(comp.withColumnRenamed("node", "lo").withColumnRenamed("c", "ca"), "lo")
-                  .join(comp.withColumnRenamed("node", "hi").withColumnRenamed("c", "cb"), "hi")
-                  .filter(F.col("ca") != F.col("cb")))
+        e = materialize(edges.join(comp.withColumnRenamed("node", "lo").withColumnRenamed("c", "ca"), "lo")
+                        .join(comp.withColumnRenamed("node", "hi").withColumnRenamed("c", "cb"), "hi")
+                        .filter(F.col("ca") != F.col("cb")))
+        if e.count() <= edges_per_task:
+            last = (e.withColumn("_g", F.lit(0)).groupBy("_g")
+                     .applyInPandas(lambda pdf: _kruskal(pdf), "lo bigint, hi bigint, w double"))
+            tree = last if tree is None else tree.unionByName(last)
+            return materialize(tree)
         key = F.struct("w", "lo", "hi")
         cand = (e.select(F.col("ca").alias("c"), F.struct(key.alias("k"), F.col("cb").alias("o")).alias("s"))
                  .unionByName(e.select(F.col("cb").alias("c"),
@@ -263,17 +291,67 @@ def _levels(clusters: DataFrame, root) -> DataFrame:
     return lvl
 
 
-def select_clusters(clusters: DataFrame, points: DataFrame, root, epsilon: float = 0.0) -> DataFrame:
+def _select_one_task(root: int, epsilon: float):
+    """Excess of mass, epsilon merge and targets over a bounded cluster tree."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        par = dict(zip(pdf["chain"], pdf["parent"]))
+        birth = dict(zip(pdf["chain"], pdf["birth"]))
+        stab = dict(zip(pdf["chain"], pdf["stab"]))
+        kids = {}
+        for c, p in par.items():
+            kids.setdefault(p, []).append(c)
+        order, st = [], [root]
+        while st:                      # top-down order from the root
+            x = st.pop()
+            order.append(x)
+            st += kids.get(x, [])
+        best, own = {}, {}
+        for c in reversed(order):      # children before parents
+            sub = sum(best[k] for k in kids.get(c, []))
+            own[c] = stab.get(c, 0.0) >= sub
+            best[c] = max(stab.get(c, 0.0), sub)
+        eps = {c: (1.0 / birth[c] if birth[c] > 0 else np.inf) for c in par}
+        blocked, anchor, eom = {root: False}, {}, set()
+        for c in order[1:]:
+            p = par[c]
+            if own[c] and not blocked[p]:
+                eom.add(c)
+            blocked[c] = blocked[p] or own[c]
+            anchor[c] = c if (p == root or eps[c] > epsilon) else anchor[p]
+        if epsilon > 0:
+            chosen = {anchor[c] if eps[c] < epsilon else c for c in eom}
+        else:
+            chosen = set(eom)
+        target = {}
+        for c in order[1:]:
+            p = par[c]
+            pt = target.get(p)
+            target[c] = pt if pt is not None else (c if c in chosen else None)
+        sel = [c in chosen and (target.get(par[c]) is None) for c in order[1:]]
+        return pd.DataFrame({"chain": order[1:], "selected": sel,
+                             "target": pd.array([target[c] for c in order[1:]], dtype="Int64")})
+    return run
+
+
+def select_clusters(clusters: DataFrame, points: DataFrame, root, epsilon: float = 0.0,
+                    rows_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """Excess-of-mass choice (root never chosen) and epsilon merge:
-    (chain, selected) for non-root chains."""
+    (chain, selected, target) for non-root chains. A cluster tree within
+    ``rows_per_task`` chains (checked) is settled in one task; a larger one
+    level by level with joins."""
     if root is None or clusters.limit(1).count() == 0:
-        return clusters.sparkSession.createDataFrame([], "chain bigint, selected boolean")
+        return clusters.sparkSession.createDataFrame([], "chain bigint, selected boolean, target bigint")
     birth = clusters.select(F.col("child").alias("chain"), F.col("lam").alias("birth"))
     rows = (clusters.select(F.col("parent").alias("chain"), "lam", "size")
             .unionByName(points.select("chain", "lam", F.lit(1).cast("bigint").alias("size"))))
     births_all = birth.unionByName(clusters.sparkSession.createDataFrame([(int(root), 0.0)], "chain bigint, birth double"))
     stab = (rows.join(births_all, "chain")
                 .groupBy("chain").agg(F.sum((F.col("lam") - F.col("birth")) * F.col("size")).alias("stab")))
+    if clusters.count() <= rows_per_task:
+        tbl = (clusters.select(F.col("child").alias("chain"), "parent", F.col("lam").alias("birth"))
+               .join(stab, "chain", "left").fillna(0.0, ["stab"]))
+        return materialize(tbl.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
+            _select_one_task(int(root), float(epsilon)), "chain bigint, selected boolean, target bigint"))
     lv = _levels(clusters, root).join(stab, "chain", "left").join(birth, "chain").fillna(0.0, ["stab"])
     lv = materialize(lv)
     maxd = lv.agg(F.max("depth")).first()[0]
@@ -352,9 +430,10 @@ def hdbscan_labels(train: DataFrame, min_cluster_size: int, min_samples: int, ep
     nodes = materialize(pts.join(core, "row_id"))
     cand, nblocks = candidate_edges(nodes, block_rows)
     # one block: its local tree is the global tree already
-    tree = materialize(cand) if nblocks == 1 else minimum_spanning_tree(nodes.select("row_id"), cand)
+    tree = (materialize(cand) if nblocks == 1
+            else minimum_spanning_tree(nodes.select("row_id"), cand, edges_per_task))
     clusters, points, root = condense(nodes.select("row_id"), tree, int(min_cluster_size), edges_per_task)
-    sel = select_clusters(clusters, points, root, float(epsilon))
+    sel = select_clusters(clusters, points, root, float(epsilon), edges_per_task)
     lab = (points.join(sel.select("chain", "target"), "chain", "left")
                  .select("row_id", F.col("target").alias("_t")))
     lab = pts.select("row_id").join(lab, "row_id", "left")

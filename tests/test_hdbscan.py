@@ -14,12 +14,15 @@ def _blobs(seed, n_per=40, k=4, noise=25, d=3):
     return np.vstack(pts)
 
 
-@pytest.mark.parametrize("seed,mcs,ms,eps,block_rows", [(0, 8, 5, 0.0, 1024), (1, 5, 3, 0.0, 50),
-                                                        (2, 10, 10, 0.0, 64), (3, 6, 4, 1.5, 1024)])
-def test_labels_match_bruteforce(spark, seed, mcs, ms, eps, block_rows):
+@pytest.mark.parametrize("seed,mcs,ms,eps,block_rows,ept", [
+    (0, 8, 5, 0.0, 1024, 1 << 20), (1, 5, 3, 0.0, 50, 40), (2, 10, 10, 0.0, 64, 1 << 20),
+    (3, 6, 4, 1.5, 1024, 1 << 20), (4, 6, 4, 1.5, 60, 30)])
+def test_labels_match_bruteforce(spark, seed, mcs, ms, eps, block_rows, ept):
+    """Small edges-per-task values force Boruvka rounds, several condensation
+    ranges and the level-wise selection; large ones the bounded single tasks."""
     X = _blobs(seed)
     df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(X)), "v": list(X)}))
-    got = hdbscan_labels(df, mcs, ms, eps, block_rows=block_rows).toPandas().sort_values("row_id")
+    got = hdbscan_labels(df, mcs, ms, eps, block_rows=block_rows, edges_per_task=ept).toPandas().sort_values("row_id")
     exp = hdbscan_bruteforce(X, mcs, ms, eps)
     assert (got["label"].to_numpy() == exp).all()
 
