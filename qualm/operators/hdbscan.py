@@ -256,16 +256,19 @@ def condense(nodes: DataFrame, tree: DataFrame, mcs: int, edges_per_task: int =
         res = materialize(er.groupBy("_g").cogroup(ci.groupBy("_g")).applyInPandas(_condense_range(mcs, r + 1),
                                                                                    schema))
         outs.append(res.filter(F.col("kind").isin("cluster", "point")))
+        newinfo = res.filter(F.col("kind") == "comp").select(F.col("a").alias("comp"), F.col("n").alias("size"),
+                                                            F.col("b").alias("chain"), "members")
+        if r == R - 1:          # last range: only the root summary is still needed
+            info = info.join(touched, "comp", "left_anti").unionByName(newinfo)
+            break
         remap = res.filter(F.col("kind") == "remap").select(F.col("a").alias("comp"), F.col("b").alias("_to"))
         comp = materialize(comp.join(remap, "comp", "left")
                            .select("node", F.coalesce(F.col("_to"), F.col("comp")).alias("comp")))
-        newinfo = res.filter(F.col("kind") == "comp").select(F.col("a").alias("comp"), F.col("n").alias("size"),
-                                                            F.col("b").alias("chain"), "members")
         info = materialize(info.join(touched, "comp", "left_anti").unionByName(newinfo))
     allrows = outs[0]
     for o in outs[1:]:
         allrows = allrows.unionByName(o)
-    allrows = materialize(allrows)
+    allrows = materialize(allrows) if R > 1 else allrows  # a single range result is already a cut
     clusters = allrows.filter(F.col("kind") == "cluster").select(
         F.col("a").alias("parent"), F.col("b").alias("child"), "lam", F.col("n").alias("size"))
     points = allrows.filter(F.col("kind") == "point").select(F.col("a").alias("chain"), F.col("b").alias("row_id"),
