@@ -50,37 +50,51 @@ def _block_pairs(q: DataFrame, p: DataFrame, by: Sequence[str], block_rows: int,
     return qx.drop("_nq", "_np"), px.drop("_nq", "_np")
 
 
-def _topk_kernel(k: int, qid: str, pid: str, vec: str, by: list[str], exclude_self: bool):
+def _select_topk(Q, P, qids, pids, k, exclude_self):
+    """Exact k smallest distances per query row of Q against P (ties by point id)."""
+    qn = (Q * Q).sum(1)
+    pn = (P * P).sum(1)
+    d2 = qn[:, None] + pn[None, :] - 2.0 * (Q @ P.T)
+    if exclude_self:
+        d2[qids[:, None] == pids[None, :]] = np.inf
+    kk = min(k, P.shape[0])
+    part = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    # exact selection: keep everything within a bound of the matrix-product error,
+    # then re-measure survivors by direct difference and sort by (dist, id).
+    tol = 1e-9 * (qn + pn.max() + 1.0)
+    qi, pj = np.nonzero(d2 <= (part + tol)[:, None])
+    diff = Q[qi] - P[pj]
+    dist = np.sqrt((diff * diff).sum(1))
+    if exclude_self:
+        keep = qids[qi] != pids[pj]
+        qi, pj, dist = qi[keep], pj[keep], dist[keep]
+    order = np.lexsort((pids[pj], dist, qi))
+    qi, pj, dist = qi[order], pj[order], dist[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
+    rank = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
+    sel = rank < kk
+    return qi[sel], pj[sel], dist[sel]
+
+
+def _topk_kernel(k: int, qid: str, pid: str, vec: str, by: list[str], exclude_self: bool,
+                 point_group: str | None = None):
     def run(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [*by, "q_id", "p_id", "dist"]
+        cols = [*by, "q_id", *(["pg"] if point_group else []), "p_id", "dist"]
         if len(qdf) == 0 or len(pdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
         Q = np.stack(qdf[vec].to_numpy()).astype(np.float64)
         P = np.stack(pdf[vec].to_numpy()).astype(np.float64)
         qids, pids = qdf[qid].to_numpy(), pdf[pid].to_numpy()
-        qn = (Q * Q).sum(1)
-        pn = (P * P).sum(1)
-        d2 = qn[:, None] + pn[None, :] - 2.0 * (Q @ P.T)
-        if exclude_self:
-            d2[qids[:, None] == pids[None, :]] = np.inf
-        kk = min(k, P.shape[0])
-        part = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        # exact selection: keep everything within a bound of the matrix-product error,
-        # then re-measure survivors by direct difference and sort by (dist, id).
-        tol = 1e-9 * (qn + pn.max() + 1.0)
-        qi, pj = np.nonzero(d2 <= (part + tol)[:, None])
-        diff = Q[qi] - P[pj]
-        dist = np.sqrt((diff * diff).sum(1))
-        if exclude_self:
-            keep = qids[qi] != pids[pj]
-            qi, pj, dist = qi[keep], pj[keep], dist[keep]
-        order = np.lexsort((pids[pj], dist, qi))
-        qi, pj, dist = qi[order], pj[order], dist[order]
-        # first kk per query row
-        starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-        rank = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
-        sel = rank < kk
-        out = pd.DataFrame({"q_id": qids[qi[sel]], "p_id": pids[pj[sel]], "dist": dist[sel]})
+        parts = []
+        groups = [(None, np.arange(len(pdf)))] if not point_group else \
+            [(g, np.flatnonzero(pdf[point_group].to_numpy() == g)) for g in np.unique(pdf[point_group].to_numpy())]
+        for g, idx in groups:
+            qi, pj, dist = _select_topk(Q, P[idx], qids, pids[idx], k, exclude_self)
+            part = pd.DataFrame({"q_id": qids[qi], "p_id": pids[idx][pj], "dist": dist})
+            if point_group:
+                part.insert(1, "pg", g)
+            parts.append(part)
+        out = pd.concat(parts, ignore_index=True)
         for b in by:
             out.insert(0, b, qdf[b].iloc[0])
         return out[cols]
@@ -122,6 +136,23 @@ def knn_mean_distance(queries: DataFrame, points: DataFrame, k: int, by: Sequenc
     return nn.groupBy(*by, F.col("q_id").alias(qid)).agg(F.avg("dist").alias(out_col))
 
 
+def knn_per_point_group(queries: DataFrame, points: DataFrame, k: int, group_col: str, qid: str = "row_id",
+                        pid: str = "row_id", vec: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest points of every point group (e.g. cluster) per query row,
+    in one pass over the block pairs: queries are not copied per group.
+    Returns (q_id, <group_col>, p_id, rank, dist)."""
+    q = queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
+    p = points.select(F.col(pid).alias("_pid"), F.col(vec).alias("_v"), F.col(group_col).alias("_pg"))
+    qx, px = _block_pairs(q, p, [], block_rows, "_qid", "_pid")
+    gtype = points.schema[group_col].dataType.simpleString()
+    kern = _topk_kernel(k, "_qid", "_pid", "_v", [], False, point_group="_pg")
+    cand = (qx.groupBy("_qb", "_pb").cogroup(px.groupBy("_qb", "_pb"))
+              .applyInPandas(kern, f"q_id bigint, pg {gtype}, p_id bigint, dist double"))
+    w = Window.partitionBy("q_id", "pg").orderBy("dist", "p_id")
+    return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+                .withColumnRenamed("pg", group_col))
+
+
 # ----------------------------------------------------------------------------- S3
 def _lse_kernel(bandwidths: np.ndarray, qid: str, pid: str, vec: str, fold_col: str | None, by: list[str]):
     def run(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:

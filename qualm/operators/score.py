@@ -233,8 +233,8 @@ def hdbscan_min_cluster_uncertainty(train: DataFrame, evals: DataFrame, min_clus
     if ok.limit(1).count() == 0:
         g = _global_knn_mean(pts, q, n_neighbors)
         return g.select(F.col("row_id").alias(id_col), "uq")
-    # every eval row against every qualifying cluster (clusters are few)
-    qx = q.crossJoin(F.broadcast(ok))
-    per = (knn(qx, lab.join(ok, "label"), n_neighbors, by=["label"])
+    # one pass: top-n per (eval row, qualifying cluster), no copies of the eval rows
+    from .blocks import knn_per_point_group
+    per = (knn_per_point_group(q, lab.join(ok, "label"), n_neighbors, "label")
            .groupBy("label", F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("m")))
     return per.groupBy("row_id").agg(F.min("m").alias("uq")).select(F.col("row_id").alias(id_col), "uq")

@@ -12,15 +12,24 @@ def hdbscan_bruteforce(X, mcs, ms, eps=0.0):
     ms = max(1, min(ms, n - 1))
     core = np.sort(D, axis=1)[:, ms]
     MR = np.maximum(D, np.maximum(core[:, None], core[None, :]))
-    # Prim
-    in_t = np.zeros(n, bool); in_t[0] = True
-    best = MR[0].copy(); src = np.zeros(n, int)
+    # Kruskal over all pairs in the canonical order (weight, low id, high id):
+    # mutual reachability has many equal weights, and the merge order under
+    # ties shapes the condensed tree, so the order is fixed here as in Spark
+    iu, ju = np.triu_indices(n, 1)
+    order = np.lexsort((ju, iu, MR[iu, ju]))
+    uf = list(range(n))
+
+    def root_of(a):
+        while uf[a] != a:
+            uf[a] = uf[uf[a]]; a = uf[a]
+        return a
     edges = []
-    for _ in range(n - 1):
-        best[in_t] = np.inf
-        j = int(np.argmin(best)); edges.append((best[j], src[j], j)); in_t[j] = True
-        upd = MR[j] < best; src[upd] = j; best[upd] = MR[j][upd]
-    edges.sort()
+    for t in order:
+        a, b = int(iu[t]), int(ju[t])
+        ra, rb = root_of(a), root_of(b)
+        if ra != rb:
+            uf[ra] = rb
+            edges.append((MR[a, b], a, b))
     # single linkage dendrogram: node ids n.. ; children, distance, size
     parent = list(range(2 * n)); size = [1] * n + [0] * n
     def find(a):

@@ -63,3 +63,25 @@ def test_f4_matches_bruteforce(spark):
     got = hdbscan_knn_uncertainty(tr, ev, 8, 4, 0.0, 5).toPandas().sort_values("row_id")
     exp = _f4_bruteforce(X, E_, 8, 4, 0.0, 5)
     assert np.allclose(got["uq"].to_numpy(), exp)
+
+
+def test_f5_matches_bruteforce(spark):
+    from qualm.operators.score import hdbscan_min_cluster_uncertainty
+    X = _blobs(7, n_per=30, k=3, noise=15)
+    E_ = _blobs(8, n_per=4, k=3, noise=4)
+    lab = hdbscan_bruteforce(X, 8, 4, 0.0)
+    u, c = np.unique(lab, return_counts=True)
+    small, large = u[c < 8], u[c >= 8]
+    if len(small) and len(large):
+        cent = {l: X[lab == l].mean(0) for l in large}
+        new = lab.copy()
+        for s in small:
+            m = X[lab == s].mean(0)
+            new[lab == s] = min(cent, key=lambda l: (np.linalg.norm(m - cent[l]), l))
+        lab = new
+    ok = [l for l in np.unique(lab) if l != -1 and (lab == l).sum() >= 5]
+    exp = np.array([min(np.sort(np.sqrt(((X[lab == l] - x) ** 2).sum(1)))[:5].mean() for l in ok) for x in E_])
+    tr = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(X)), "v": list(X)}))
+    ev = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(1000, 1000 + len(E_)), "v": list(E_)}))
+    got = hdbscan_min_cluster_uncertainty(tr, ev, 8, 4, 0.0, 5).toPandas().sort_values("row_id")
+    assert np.allclose(got["uq"].to_numpy(), exp)

@@ -82,3 +82,18 @@ def test_evaluation_paths_agree(spark):
     a = S.evaluate_schemes(sp, small=True).toPandas().sort_values("scheme").reset_index(drop=True)
     b = S.evaluate_schemes(sp, small=False, num_buckets=5).toPandas().sort_values("scheme").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
+
+
+def test_knn_per_point_group_matches_brute_force(spark):
+    from qualm.operators.blocks import knn_per_point_group
+    rng = np.random.default_rng(4)
+    P = rng.normal(size=(200, 5))
+    lab = rng.integers(0, 4, 200)
+    Q = rng.normal(size=(30, 5))
+    pdf = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(200), "v": list(P), "label": lab}))
+    qdf = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(500, 530), "v": list(Q)}))
+    got = knn_per_point_group(qdf, pdf, 3, "label", block_rows=32).toPandas()
+    for (qi, l), g in got.groupby(["q_id", "label"]):
+        d = np.sort(np.sqrt(((P[lab == l] - Q[qi - 500]) ** 2).sum(1)))[:3]
+        assert np.allclose(np.sort(g["dist"].to_numpy()), d)
+    assert len(got) == 30 * 4 * 3
