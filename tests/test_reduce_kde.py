@@ -58,3 +58,28 @@ def test_kde_bandwidth_and_scores(spark):
     m = a.max(1)
     ref = -(m + np.log(np.exp(a - m[:, None]).sum(1)) - math.log(60) - 1.5 * math.log(2 * math.pi * h * h))
     assert np.allclose(uq, ref)
+
+
+def test_svd_projection_matches_numpy(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(50, 5)) + 3.0
+    tr = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(50), "v": list(X)}))
+    a, _ = reduce_dimensionality(tr, tr.limit(0), 2, "SVD")
+    Y = np.stack(a.toPandas().sort_values("row_id")["r"].to_numpy())
+    _, _, Vt = np.linalg.svd(X, full_matrices=False)     # uncentred
+    assert np.allclose(np.abs(Y), np.abs(X @ Vt[:2].T), atol=1e-6)
+
+
+def test_hashed_bag_of_words(spark):
+    import hashlib
+    import re
+    from qualm.operators.embed import embed_column
+    texts = ["The cat sat on the mat", "", "Ünïcode words and 42 numbers, numbers!"]
+    df = spark.createDataFrame(pd.DataFrame({"row_id": [1, 2, 3], "t": texts}))
+    got = {r["row_id"]: np.array(r["v"]) for r in embed_column(df, "t", dim=16).collect()}
+    for rid, t in zip([1, 2, 3], texts):
+        v = np.zeros(16)
+        for tok in re.sub(r"[^a-z0-9]+", " ", t.lower()).split():
+            v[int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % 16] += 1
+        n = np.linalg.norm(v)
+        assert np.allclose(got[rid], v / n if n else v)

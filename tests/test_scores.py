@@ -66,3 +66,18 @@ def test_f8_matches_numpy(spark):
         m = a.max()
         exp.append(-(m + math.log(np.exp(a - m).sum()) - math.log(len(P)) - 1.5 * math.log(2 * math.pi * h * h)))
     assert np.allclose(got, exp)
+
+
+def test_sweep_objectives_match_numpy(spark):
+    """I2 objectives: per configuration k, correlations of the kNN score with both qualities."""
+    from qualm.operators.sweep import knn_scores_for_configs, objectives
+    X, _, E, tr, ev = _data(spark)
+    rng = np.random.default_rng(5)
+    qual = pd.DataFrame({"row_id": np.arange(1000, 1009), "bertscore_f1": rng.random(9), "rougeL": rng.random(9)})
+    cfg = spark.createDataFrame(pd.DataFrame({"k": [1, 3, 7]}))
+    s = knn_scores_for_configs(tr, ev, cfg, k_col="k").join(spark.createDataFrame(qual), "row_id")
+    got = objectives(s, ["k"]).toPandas().set_index("k")
+    for k in (1, 3, 7):
+        uq = np.array([_knn_mean(X, x, k) for x in E])
+        assert np.isclose(got.loc[k, "f1"], np.corrcoef(uq, qual["bertscore_f1"])[0, 1])
+        assert np.isclose(got.loc[k, "f2"], np.corrcoef(uq, qual["rougeL"])[0, 1])
