@@ -85,3 +85,26 @@ def test_f5_matches_bruteforce(spark):
     ev = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(1000, 1000 + len(E_)), "v": list(E_)}))
     got = hdbscan_min_cluster_uncertainty(tr, ev, 8, 4, 0.0, 5).toPandas().sort_values("row_id")
     assert np.allclose(got["uq"].to_numpy(), exp)
+
+
+def test_shared_sweep_matches_one_by_one(spark):
+    """The shared sweep gives each configuration the same labels and F4 score as
+    running that configuration alone."""
+    from qualm.operators.score import hdbscan_knn_uncertainty
+    from qualm.operators.sweep_hdbscan import hdbscan_knn_many, hdbscan_labels_many
+    X = _blobs(9, n_per=30, k=3, noise=15)
+    E_ = _blobs(10, n_per=4, k=3, noise=4)
+    cfgs = [(0, 8, 4, 0.0, 5), (1, 5, 2, 0.0, 3), (2, 10, 6, 1.0, 7), (3, 8, 6, 0.0, 40)]
+    pts = spark.createDataFrame(pd.DataFrame({"space": 1, "row_id": np.arange(len(X)), "v": list(X)}))
+    ev = spark.createDataFrame(pd.DataFrame({"space": 1, "row_id": np.arange(1000, 1000 + len(E_)), "v": list(E_)}))
+    cdf = spark.createDataFrame(pd.DataFrame(cfgs, columns=["cfg", "min_cluster_size", "min_samples", "epsilon",
+                                                            "n_neighbors"]).assign(space=1))
+    many = hdbscan_labels_many(pts, cdf).toPandas()
+    uq_many = hdbscan_knn_many(pts, ev, cdf).toPandas()
+    for cfg, mcs, ms, eps, k in cfgs:
+        exp = hdbscan_bruteforce(X, mcs, ms, eps)
+        got = many[many.cfg == cfg].sort_values("row_id")["label"].to_numpy()
+        assert (got == exp).all(), cfg
+        one = hdbscan_knn_uncertainty(pts.drop("space"), ev.drop("space"), mcs, ms, eps, k).toPandas()
+        a = uq_many[uq_many.cfg == cfg].sort_values("row_id")["uq"].to_numpy()
+        assert np.allclose(a, one.sort_values("row_id")["uq"].to_numpy()), cfg
