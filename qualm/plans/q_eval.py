@@ -257,3 +257,8 @@ def i2_objectives_hdbscan(spark, sf):
                        (((rid * 7919) % 1000).cast("double") / 1000).alias("bertscore_f1"),
                        (((rid * 104729) % 100).cast("double") / 100).alias("rougeL"))
     return hdbscan_objectives(scored).join(cfg.select("cfg", *keys), "cfg").drop("cfg")
+
+
+@register("h13_report_raw")
+def h13_report_raw(spark, sf):
+    return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[2]

@@ -106,3 +106,83 @@ FROM (SELECT 'scaling' AS block, x0 / 100 AS sec FROM fronts
           doubles=["mean_sec", "median_sec", "p90_sec", "max_sec"])
 def i19_eval_log_analysis(spark, sf):
     return IO.eval_log_analysis(_eval_log(spark, sf))
+
+
+# ------------------------------------------------------------------ remaining A, B, C, D rows
+from ..sources import answers as AN  # noqa: E402
+
+QA_SQL = "WITH qa AS (" + T.SQL["qa"] + ")"
+
+
+@register("a2_load_random", QA_SQL + """
+SELECT row_id, question, model_answer FROM qa
+ORDER BY md5('1:' || CAST(row_id AS VARCHAR)), row_id LIMIT 100""")
+def a2_load_random(spark, sf):
+    """Exactly 100 rows without replacement (the sampling operator: the limit is the feature)."""
+    return IO.load_random(T.qa(spark, sf), 100, seed=1)
+
+
+@register("a3_read_results", T.with_views("""
+SELECT method AS "Method", reduction AS "Dimensionality Reduction", dimensionality AS "Dimensionality",
+       layer AS "Layer", pearson_bertscore AS "p_BERTScore_mean", pearson_bertscore AS "pearson_p_BERTScore_mean",
+       pearson_meteor AS "p_METEOR_mean", pearson_meteor AS "pearson_p_METEOR_mean" FROM results""", "results"),
+          doubles=["p_BERTScore_mean", "pearson_p_BERTScore_mean", "p_METEOR_mean", "pearson_p_METEOR_mean"])
+def a3_read_results(spark, sf):
+    r = T.results(spark, sf)
+    out = r.select(F.col("method").alias("Method"), F.col("reduction").alias("Dimensionality Reduction"),
+                   F.col("dimensionality").alias("Dimensionality"), F.col("layer").alias("Layer"),
+                   F.col("pearson_bertscore").alias("p_BERTScore_mean"),
+                   F.col("pearson_bertscore").alias("pearson_p_BERTScore_mean"),
+                   F.col("pearson_meteor").alias("p_METEOR_mean"), F.col("pearson_meteor").alias("pearson_p_METEOR_mean"))
+    path = IO.scratch_dir(spark, "results")
+    out.write.option("header", True).csv(path)
+    return IO.read_results(spark, path)
+
+
+@register("a9_report_csv")
+def a9_report_csv(spark, sf):
+    """Main report table of the repeated evaluation, written as CSV and read back."""
+    from ..operators import selective as S
+    from .q_eval import h10_summarize_repeats
+    main = S.report_tables(h10_summarize_repeats(spark, sf), "events")[0]
+    out = IO.write_report(main, IO.scratch_dir(spark, "report"), "main_")
+    return spark.read.option("header", True).csv(out)
+
+
+@register("b10_carry_columns", QA_SQL + "\nSELECT row_id, model_answer FROM qa")
+def b10_carry_columns(spark, sf):
+    return AN.carry_columns(T.qa(spark, sf), "row_id", "model_answer", test=False)
+
+
+@register("b11_baseline_tables", T.with_views("""
+SELECT split, bertscore_f1, rougeL FROM scores""", "scores"), doubles=["bertscore_f1", "rougeL"])
+def b11_baseline_tables(spark, sf):
+    views = AN.baseline_tables(T.scores(spark, sf), cols=("bertscore_f1", "rougeL"))
+    return views["test"].unionByName(views["d01"]).unionByName(views["d02"])
+
+
+@register("b13_train_text", QA_SQL + """
+SELECT row_id, coalesce(question, '') || ' ' || coalesce(model_answer, '') AS train_text FROM qa""")
+def b13_train_text(spark, sf):
+    q = T.qa(spark, sf)
+    return AN.train_text(q, "best_with_question", question_col="question", best_col="model_answer") \
+        .select("row_id", "train_text")
+
+
+@register("c2_quality_columns", T.with_views("""
+SELECT row_id, CAST(bertscore_f1 AS DOUBLE) AS bertscore_f1, CAST(rougeL AS DOUBLE) AS rougeL FROM scores""",
+                                             "scores"), doubles=["bertscore_f1", "rougeL"])
+def c2_quality_columns(spark, sf):
+    s = T.scores(spark, sf)
+    out = s.select("row_id", F.col("bertscore_f1").cast("double"), F.col("rougeL").cast("double"))
+    assert dict(out.dtypes)["bertscore_f1"] == "double" and dict(out.dtypes)["rougeL"] == "double"
+    return out
+
+
+@register("d11_float32_cast", "WITH emb AS (" + T.SQL["emb"] + """)
+SELECT row_id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS d, CAST(CAST(unnest(v) AS FLOAT) AS DOUBLE) AS value
+FROM emb""", doubles=["value"])
+def d11_float32_cast(spark, sf):
+    from ..operators.reduce import explode_vector
+    e = T.emb(spark, sf).select("row_id", F.transform("v", lambda x: x.cast("float")).alias("v32"))
+    return explode_vector(e, "v32", ["row_id"]).withColumn("value", F.col("value").cast("double"))
