@@ -1,8 +1,8 @@
 """ROUGE-L F-measure per pair.
 
 Tokenizing is native (lower case, non [a-z0-9] -> space, split). The LCS
-length runs in an Arrow-batched pandas UDF: one row of the DP table at a time,
-vectorized over the reference tokens with a running maximum.
+length runs in an Arrow-batched pandas UDF, one token of the prediction at a time,
+bit-parallel over the reference tokens.
 """
 from __future__ import annotations
 
@@ -20,21 +20,21 @@ def rouge_tokens(c) -> Column:
 
 
 def lcs_length(a, b) -> int:
-    """Longest common subsequence length of two token sequences."""
-    if len(a) == 0 or len(b) == 0:
+    """Longest common subsequence length, bit-parallel (Crochemore et al. 2001):
+    one big-integer add/or per token of ``a``, each word of the bit vector
+    covering 64 tokens of ``b``."""
+    m = len(b)
+    if len(a) == 0 or m == 0:
         return 0
-    vocab = {}
-    ai = np.fromiter((vocab.setdefault(t, len(vocab)) for t in a), dtype=np.int64, count=len(a))
-    bi = np.fromiter((vocab.setdefault(t, len(vocab)) for t in b), dtype=np.int64, count=len(b))
-    prev = np.zeros(len(bi) + 1, dtype=np.int64)
-    for x in ai:
-        # cur[j] = max(cur[j-1], prev[j], prev[j-1] + [a_i == b_j]) as a running max
-        cand = np.maximum(prev[1:], np.where(bi == x, prev[:-1] + 1, 0))
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        np.maximum.accumulate(cand, out=cur[1:])
-        prev = cur
-    return int(prev[-1])
+    masks = {}
+    for j, t in enumerate(b):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    full = (1 << m) - 1
+    v = full
+    for t in a:
+        u = v & masks.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+    return m - bin(v).count("1")
 
 
 @F.pandas_udf(LongType())
