@@ -11,8 +11,9 @@ points table. Work is shared across the table:
 * one global kNN per space at the largest n_neighbors serves every fallback.
 
 Each per-key pass is a grouped Arrow task whose size is checked against
-``edges_per_task``; a larger space raises, and its configurations go through
-the distributed single-configuration path (``hdbscan.hdbscan_labels``).
+``edges_per_task``; for a larger space every configuration goes through the
+distributed single-configuration path instead (configurations are one row
+each, bounded by the search budget).
 """
 from __future__ import annotations
 
@@ -31,6 +32,10 @@ from .order import global_rank
 PENALTY = 1e3
 
 
+class SweepTooLarge(ValueError):
+    """A space is larger than the shared bounded path allows."""
+
+
 def _condense_any():
     def run(edf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         cols = ["space", "ms", "mcs", "kind", "a", "b", "lam", "n", "members"]
@@ -80,7 +85,7 @@ def hdbscan_labels_many(points: DataFrame, configs: DataFrame, block_rows: int =
     n_max = sizes.agg(F.max("_n")).first()[0]
     B = max(1, -(-n_max // block_rows))
     if n_max * max(B, 1) > edges_per_task:
-        raise ValueError("sweep too large for the shared bounded path; run configurations one by one")
+        raise SweepTooLarge("sweep too large for the shared bounded path")
     spaces_ms = cfg.select("space", "ms").distinct()
     kmax = cfg.agg(F.max("ms")).first()[0]
     # core distances for every (space, min_samples) from one kNN per space
@@ -143,7 +148,10 @@ def hdbscan_labels_many(points: DataFrame, configs: DataFrame, block_rows: int =
 def hdbscan_knn_many(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -> DataFrame:
     """F4 for every configuration: (cfg, row_id, uq). ``evals`` = (space, row_id, v);
     ``configs`` also carries n_neighbors."""
-    lab = materialize(hdbscan_labels_many(points, configs, **kw))
+    try:
+        lab = materialize(hdbscan_labels_many(points, configs, **kw))
+    except SweepTooLarge:
+        return _one_by_one(points, evals, configs, **kw)
     cfg = configs.select("cfg", "space", F.col("min_cluster_size").alias("mcs"), F.col("n_neighbors").alias("k"))
     pts = points.select("space", "row_id", "v")
     x = lab.join(pts, ["space", "row_id"]).join(cfg.select("cfg", "mcs"), "cfg")
@@ -181,6 +189,23 @@ def hdbscan_knn_many(points: DataFrame, evals: DataFrame, configs: DataFrame, **
     return s1.unionByName(s2)
 
 
+def _one_by_one(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -> DataFrame:
+    """Distributed single-configuration path for every configuration row."""
+    from .score import hdbscan_knn_uncertainty
+    from .hdbscan import hdbscan_labels
+    out = None
+    for r in configs.collect():  # the configuration table: one small row per candidate
+        tr = points.filter(F.col("space") == r["space"]).select("row_id", "v")
+        ev = evals.filter(F.col("space") == r["space"]).select("row_id", "v")
+        lab = hdbscan_labels(tr, r["min_cluster_size"], r["min_samples"], r["epsilon"],
+                             edges_per_task=kw.get("edges_per_task", H.EDGES_PER_TASK))
+        one = hdbscan_knn_uncertainty(tr, ev, r["min_cluster_size"], r["min_samples"], r["epsilon"],
+                                      r["n_neighbors"], labels=lab).withColumn("cfg", F.lit(r["cfg"]))
+        one = one.select("cfg", "row_id", "uq")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def hdbscan_objectives(scored: DataFrame) -> DataFrame:
     """I2 objectives per configuration from (cfg, uq, bertscore_f1, rougeL)."""
     g = scored.withColumn("_u", nan_to_num("uq")).groupBy("cfg").agg(

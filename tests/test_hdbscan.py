@@ -108,3 +108,18 @@ def test_shared_sweep_matches_one_by_one(spark):
         one = hdbscan_knn_uncertainty(pts.drop("space"), ev.drop("space"), mcs, ms, eps, k).toPandas()
         a = uq_many[uq_many.cfg == cfg].sort_values("row_id")["uq"].to_numpy()
         assert np.allclose(a, one.sort_values("row_id")["uq"].to_numpy()), cfg
+
+
+def test_sweep_falls_back_one_by_one(spark):
+    """Beyond the bounded size the sweep runs each configuration on the distributed path."""
+    from qualm.operators.sweep_hdbscan import hdbscan_knn_many
+    X = _blobs(11, n_per=20, k=2, noise=8)
+    E_ = _blobs(12, n_per=3, k=2, noise=2)
+    pts = spark.createDataFrame(pd.DataFrame({"space": 1, "row_id": np.arange(len(X)), "v": list(X)}))
+    ev = spark.createDataFrame(pd.DataFrame({"space": 1, "row_id": np.arange(1000, 1000 + len(E_)), "v": list(E_)}))
+    cdf = spark.createDataFrame(pd.DataFrame([(0, 6, 3, 0.0, 4), (1, 8, 5, 0.0, 6)],
+                                             columns=["cfg", "min_cluster_size", "min_samples", "epsilon",
+                                                      "n_neighbors"]).assign(space=1))
+    shared = hdbscan_knn_many(pts, ev, cdf).toPandas().sort_values(["cfg", "row_id"])
+    forced = hdbscan_knn_many(pts, ev, cdf, edges_per_task=10).toPandas().sort_values(["cfg", "row_id"])
+    assert np.allclose(shared["uq"].to_numpy(), forced["uq"].to_numpy())
