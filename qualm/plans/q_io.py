@@ -116,10 +116,11 @@ QA_SQL = "WITH qa AS (" + T.SQL["qa"] + ")"
 
 @register("a2_load_random", QA_SQL + """
 SELECT row_id, question, model_answer FROM qa
-ORDER BY md5('1:' || CAST(row_id AS VARCHAR)), row_id LIMIT 100""")
+ORDER BY md5('1:' || CAST(row_id AS VARCHAR)), row_id LIMIT 30""")
 def a2_load_random(spark, sf):
-    """Exactly 100 rows without replacement (the sampling operator: the limit is the feature)."""
-    return IO.load_random(T.qa(spark, sf), 100, seed=1)
+    """Exactly 30 rows without replacement (the sampling operator: the limit is the feature;
+    30 fits the smallest fixture, and more rows than exist is an error, as in the reference)."""
+    return IO.load_random(T.qa(spark, sf), 30, seed=1)
 
 
 @register("a3_read_results", T.with_views("""
