@@ -248,3 +248,19 @@ def d9_isomap(spark, sf):
     e = T.emb(spark, sf, raw=True)
     tr, ev = R.landmark_isomap(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 8)
     return R.explode_vector(tr.select("row_id", "r").unionByName(ev.select("row_id", "r")), "r", ["row_id"])
+
+
+E3_SQL = GIVEN_SQL.replace(
+    "CAST(CASE WHEN label = 7 AND row_id % 8 = 0 THEN 17 ELSE label END AS BIGINT) AS cl",
+    "CAST(CASE WHEN label = 7 AND row_id % 8 = 0 THEN -1 WHEN label = 6 AND row_id % 8 = 0 THEN 16 "
+    "ELSE label END AS BIGINT) AS cl")
+
+
+@register("e3_merge_small_with_noise", E3_SQL)
+def e3_merge_small_with_noise(spark, sf):
+    """Noise (-1) counts as a cluster: small noise is absorbed into the nearest large cluster."""
+    e = T.emb(spark, sf).filter(F.col("split") == "train")
+    g = e.withColumn("cl", F.when((F.col("label") == 7) & (F.col("row_id") % 8 == 0), F.lit(-1))
+                     .when((F.col("label") == 6) & (F.col("row_id") % 8 == 0), F.lit(16))
+                     .otherwise(F.col("label")).cast("bigint"))
+    return C.merge_small_clusters(g, "cl", 10, include_noise=True, out="merged").select("row_id", "cl", "merged")
