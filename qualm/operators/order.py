@@ -122,7 +122,7 @@ def hash_key(seed, id_col: str) -> Column:
 
 
 def pick_first_n(df: DataFrame, n_col: Column | str, seed, id_col: str = "row_id",
-                 group_cols: Sequence[str] = (), out_col: str = "picked") -> DataFrame:
+                 group_cols: Sequence[str] = (), out_col: str = "picked", small: bool = False) -> DataFrame:
     """Flag the ``n`` rows with the smallest (md5(seed:id), id) per group.
 
     ``n_col`` is a column (may differ per group) and ``seed`` a literal or a
@@ -133,6 +133,10 @@ def pick_first_n(df: DataFrame, n_col: Column | str, seed, id_col: str = "row_id
     """
     group_cols = _cols(group_cols)
     n_col = F.col(n_col) if isinstance(n_col, str) else n_col
+    if small:  # every group checked to fit one task: one window
+        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_h", id_col)
+        h = df.withColumn("_h", hash_key(seed, id_col))
+        return h.withColumn(out_col, F.row_number().over(w) <= n_col).drop("_h")
     h = df.withColumn("_h", hash_key(seed, id_col)).withColumn("_p", F.substring("_h", 1, 4))
     cnt = h.groupBy(*group_cols, "_p").agg(F.count("*").alias("_c"))
     wt = Window.partitionBy(*group_cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,7 +57,8 @@ def calib_split(df: DataFrame, group_col: str = "split", calib_from: Sequence[st
     n = n.withColumn("_nc", F.bround(F.lit(float(calib_frac)) * F.col("_ne"), 0).cast("bigint"))
     e = df.filter(elig)
     e = (e.join(F.broadcast(n.select(*by, "_nc")), by) if by else e.crossJoin(F.broadcast(n.select("_nc"))))
-    e = pick_first_n(e, "_nc", seed, id_col=id_col, group_cols=by, out_col="_pk").drop("_nc")
+    e = pick_first_n(e, "_nc", seed, id_col=id_col, group_cols=by, out_col="_pk",
+                     small=groups_are_small(df.filter(elig), by)).drop("_nc")
     e = e.withColumn(out_col, F.when(F.col("_pk"), "calib").otherwise("eval")).drop("_pk")
     rest = df.filter(~elig | F.col(group_col).isNull()).withColumn(out_col, F.lit("eval"))
     return e.unionByName(rest)

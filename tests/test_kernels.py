@@ -97,3 +97,11 @@ def test_knn_per_point_group_matches_brute_force(spark):
         d = np.sort(np.sqrt(((P[lab == l] - Q[qi - 500]) ** 2).sum(1)))[:3]
         assert np.allclose(np.sort(g["dist"].to_numpy()), d)
     assert len(got) == 30 * 4 * 3
+
+
+def test_pick_paths_agree(spark):
+    df = spark.range(5000).withColumnRenamed("id", "row_id").withColumn("g", F.col("row_id") % 3) \
+        .withColumn("n", F.lit(777))
+    a = pick_first_n(df, "n", 11, group_cols=["g"]).filter("picked").select("row_id").collect()
+    b = pick_first_n(df, "n", 11, group_cols=["g"], small=True).filter("picked").select("row_id").collect()
+    assert sorted(r[0] for r in a) == sorted(r[0] for r in b) and len(a) == 3 * 777
