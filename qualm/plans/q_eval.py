@@ -279,3 +279,10 @@ def h11_run_all_solutions_hdbscan(spark, sf):
 @register("h13_report_raw")
 def h13_report_raw(spark, sf):
     return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[2]
+
+
+@register("h12_summarize_solutions_hdbscan")
+def h12_summarize_solutions_hdbscan(spark, sf):
+    """H10 per solution, then H12 across solutions, on the HDBSCAN-scored front."""
+    per = S.summarize_repeats(h11_run_all_solutions_hdbscan(spark, sf), by=["cfg"])
+    return S.summarize_solutions(per)
