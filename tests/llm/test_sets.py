@@ -165,7 +165,7 @@ def components_by_hand(rows, size, percent):
     for i in range(len(sets)):
         for j in range(i):
             a, b = sets[i][1], sets[j][1]
-            if (sets[i][0] == sets[j][0] and a and b) or a and b and 100 * len(a & b) >= percent * len(a | b):
+            if (sets[i][0] is not None and sets[i][0] == sets[j][0] and a and b) or a and b and 100 * len(a & b) >= percent * len(a | b):
                 label = [label[j] if x == label[i] else x for x in label]
     out = []
     for i, (d, s) in enumerate(sets):
