@@ -24,19 +24,27 @@ WORDS, RADIUS, BLOCKS = 5, 3, 6
 OWN, GHOST, WRAP = 0, 1, 2
 
 
-def terms(text: Column, size: int = WORDS) -> Column:
-    """An array of structs of ``size`` consecutive words; short texts are padded, wordless ones give none."""
+def padded_words(text: Column, size: int = WORDS) -> Column:
+    """The lower-case words of a text; a short text is padded to ``size``, a wordless one is empty."""
     words = F.array_remove(F.split(F.lower(text), r"\s+"), "")
-    short = F.concat(words, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(size) - F.size(words))))
-    padded = F.when(F.size(words) == 0, words).otherwise(short)
-    n = F.greatest(F.lit(0), F.size(padded) - size + 1)
-    return F.arrays_zip(*[F.slice(padded, i + 1, n).alias(f"w{i}") for i in range(size)])
+    return F.transform(F.array(words), lambda w: F.when(F.size(w).between(1, size - 1), F.concat(w, F.array_repeat(F.lit(""), size - F.size(w))))
+                       .otherwise(w))[0]
 
 
-def votes(term: Column, size: int = WORDS) -> list[Column]:
+def terms(words: Column, size: int = WORDS) -> Column:
+    """An array of structs of ``size`` consecutive words, from a column of padded words: one that is computed already, as it is
+    read ``size`` times."""
+    n = F.greatest(F.lit(0), F.size(words) - size + 1)
+    return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(size)])
+
+
+def term_hash(term: Column, size: int = WORDS) -> Column:
+    return F.when(term.isNotNull(), F.xxhash64(*[term.getField(f"w{i}") for i in range(size)]))
+
+
+def votes(h: Column) -> list[Column]:
     """32 sums, each of bit s in its low half and bit s + 32 in its high half."""
-    h = F.xxhash64(*[term.getField(f"w{i}") for i in range(size)])
-    return [F.sum(F.when(term.isNotNull(), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(0x0000000100000001)))).alias(f"v{s}") for s in range(32)]
+    return [F.sum(F.shiftrightunsigned(h, s).bitwiseAND(F.lit(0x0000000100000001))).alias(f"v{s}") for s in range(32)]
 
 
 def decided(total: Column) -> Column:
@@ -97,9 +105,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     key = ["bucket", "pos", "kind", "doc_id", "n_chars", "edited_sha256", "which"]
     texts = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))
     exploded = (rows.select("bucket", "pos", "kind", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.inline(texts))
-                .where(F.col("t").isNotNull()).select(*key, F.explode_outer(terms(F.col("t"))).alias("w")))
+                .where(F.col("t").isNotNull()).select(*key, padded_words(F.col("t")).alias("words"))
+                .select(*key, F.explode_outer(terms(F.col("words"))).alias("w")).select(*key, term_hash(F.col("w")).alias("h")))
     # rows are already dealt by bucket: neither the sums nor the windows below shuffle again
-    summed = exploded.groupBy(*key).agg(*votes(F.col("w")), F.count("w").alias("total"))
+    summed = exploded.groupBy(*key).agg(*votes(F.col("h")), F.count("h").alias("total"))
     marked = summed.select(*key, decided(F.col("total")).alias("f"))
     order = Window.partitionBy("bucket").orderBy("pos", "which")
     # a row's own fingerprint (which 0) is followed by its edited one (1); the next row's own one precedes that row's
