@@ -14,6 +14,7 @@ left out; without labels of both kinds every score is 0.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import text_of, unpack, whole_row
 
-SAMPLE, SAMPLE_CHARS, PREFIXES, MIN_DOCS, MIN_WORDS, CACHED_WORDS = 3000, 20_000, (3, 4, 5, 6), 5, 6, 400_000
+SAMPLE, SAMPLE_CHARS, PREFIXES, MIN_DOCS, MIN_WORDS, CACHED_WORDS = 2000, 20_000, (3, 4, 5, 6), 5, 6, 400_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -84,24 +85,34 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return Model()
-    bags = [sentences(t) for t in texts]
+    # word numbers of every sentence, in flat arrays: the texts' words are not held as strings
     words: dict[str, int] = {}
-    word_of, sentence_of, doc_of = [], [], []
-    for d, bag in enumerate(bags):
-        for _, _, w in bag:
-            word_of.extend(words.setdefault(x, len(words)) for x in w)
-            sentence_of.extend([len(doc_of)] * len(w))
+    word_of, sentence_of, doc_of, in_docs = array("i"), array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        own: set[int] = set()
+        for _, _, found in sentences(text):
+            numbers = [words.setdefault(x, len(words)) for x in sorted(found)]
+            own.update(numbers)
+            word_of.extend(numbers)
+            sentence_of.extend([len(doc_of)] * len(numbers))
             doc_of.append(d)
-    in_docs = Counter()
-    for bag in bags:
-        in_docs.update({f for x in set().union(*(w for _, _, w in bag)) for f in features(x)})
-    ids = {f: i for i, f in enumerate(sorted(f for f, n in in_docs.items() if n >= MIN_DOCS))}
-    pairs = [(i, ids[f]) for w, i in words.items() for f in features(w) if f in ids]
-    if not pairs:
+        in_docs.extend(sorted(own))
+    word_docs = np.bincount(np.frombuffer(in_docs, dtype=np.int32), minlength=len(words))
+    seen: Counter = Counter()
+    for w, n in zip(words, word_docs.tolist()):
+        for f in features(w):
+            if n >= MIN_DOCS or f[0] != "=":
+                seen[f] += n
+    ids = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCS))}
+    of_word, of_feature = array("i"), array("i")
+    for w, i in words.items():
+        known = [ids[f] for f in features(w) if f in ids]
+        of_feature.extend(known)
+        of_word.extend([i] * len(known))
+    if not of_word:
         return Model(bias=float(np.log(y.mean() / (1 - y.mean()))))
-    of_word, of_feature = np.array(pairs).T
-    word_of, sentence_of, doc_of = map(np.array, (word_of, sentence_of, doc_of))
-    n_words, n_sent, n_docs = len(words), len(doc_of), len(bags)
+    of_word, of_feature, word_of, sentence_of, doc_of = (np.frombuffer(x, dtype=np.int32) for x in (of_word, of_feature, word_of, sentence_of, doc_of))
+    n_words, n_sent, n_docs = len(words), len(doc_of), len(texts)
     balance = np.where(y == 1, 0.4 / y.mean(), 0.6 / (1 - y.mean()))
     w, bias = np.zeros(len(ids)), -4.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
