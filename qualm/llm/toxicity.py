@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import text_of, unpack, whole_row
 
@@ -144,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
               .agg(F.max(F.col("toxic").cast("int")).alias("q_toxic")))
     short = (docs.select("doc_id", F.length(text_of("text")).alias("q_chars")).where(F.col("q_chars") <= SAMPLE_CHARS)
              .select("doc_id").join(marked, "doc_id"))
-    first = Window.partitionBy("q_toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = short.withColumn("q_n", F.row_number().over(first)).where(F.col("q_n") <= SAMPLE).select("doc_id", "q_toxic")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]  # each task keeps its own first rows: no label meets in one task
+    of = [short.where(F.col("q_toxic") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
+    chosen = of[0].unionByName(of[1]).select("doc_id", "q_toxic")
     rows = (docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 SAMPLE rows
             .where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "q_toxic").toPandas().sort_values("doc_id"))
     return fit(rows["text"].tolist(), rows["q_toxic"].tolist())
