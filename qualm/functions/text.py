@@ -15,10 +15,6 @@ from pyspark.sql.types import StringType
 # Fixed patterns (same meaning as the cleaning rules they mirror).
 LIST_LIKE = r"^\s*\[[\s\S]*\]\s*$"
 WRAPPER = r"(?i)<\|\s*(begin|end)_of_text\s*\|>"
-PROMPT_START = r"(?i)^prompt\s*:"
-COMPLETION_ANY = r"(?i)\bcompletion\s*:"
-PROMPT_BLOCK = r"(?is)^prompt\s*:.*?\bcompletion\s*:\s*"
-PROMPT_LINE = r"(?i)^prompt\s*:\s*[^\r\n]*\r?\n?"
 # One pass in one pattern: a leading "prompt:" block through the first
 # "completion:" if there is one, else the prompt line. The first alternative
 # matches exactly when "completion:" occurs, so the alternation is the branch.

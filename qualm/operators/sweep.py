@@ -30,9 +30,9 @@ def knn_scores_for_configs(train: DataFrame, evals: DataFrame, configs: DataFram
 
 def objectives(scored: DataFrame, config_cols, bert: str = "bertscore_f1", rouge: str = "rougeL") -> DataFrame:
     """I2 objectives per configuration: (corr(uq, BERTScore), corr(uq, ROUGE-L)),
-    non-finite uq guarded to 0 first; a failed or non-finite objective -> penalty."""
-    g = scored.withColumn("_u", nan_to_num("uq")).groupBy(*config_cols).agg(
-        safe_corr("_u", bert).alias("f1"), safe_corr("_u", rouge).alias("f2"))
+    non-finite scores and qualities guarded to 0 first; a failed or non-finite objective -> penalty."""
+    guarded = scored.withColumns({"_u": nan_to_num("uq"), "_b": nan_to_num(bert), "_r": nan_to_num(rouge)})
+    g = guarded.groupBy(*config_cols).agg(safe_corr("_u", "_b").alias("f1"), safe_corr("_u", "_r").alias("f2"))
     fin = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)).otherwise(F.lit(PENALTY))
     return g.select(*config_cols, F.coalesce(fin("f1"), F.lit(PENALTY)).alias("f1"),
                     F.coalesce(fin("f2"), F.lit(PENALTY)).alias("f2"))

@@ -208,8 +208,8 @@ def _one_by_one(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -
 
 def hdbscan_objectives(scored: DataFrame) -> DataFrame:
     """I2 objectives per configuration from (cfg, uq, bertscore_f1, rougeL)."""
-    g = scored.withColumn("_u", nan_to_num("uq")).groupBy("cfg").agg(
-        safe_corr("_u", "bertscore_f1").alias("f1"), safe_corr("_u", "rougeL").alias("f2"))
+    guarded = scored.withColumns({"_u": nan_to_num("uq"), "_b": nan_to_num("bertscore_f1"), "_r": nan_to_num("rougeL")})
+    g = guarded.groupBy("cfg").agg(safe_corr("_u", "_b").alias("f1"), safe_corr("_u", "_r").alias("f2"))
     fin = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)).otherwise(F.lit(PENALTY))
     return g.select("cfg", F.coalesce(fin("f1"), F.lit(PENALTY)).alias("f1"),
                     F.coalesce(fin("f2"), F.lit(PENALTY)).alias("f2"))

@@ -173,7 +173,7 @@ from ..operators.sweep import knn_scores_for_configs, objectives  # noqa: E402
 from . import flagship as FL  # noqa: E402
 from .materialize import materialize  # noqa: E402
 
-SWEEP_REPEATS = 5
+SWEEP_REPEATS = 15
 
 
 def _solutions(spark, sf):

@@ -186,7 +186,7 @@ ps AS (SELECT seed, max(gen) AS stop_gen, arg_max(hv, gen) AS final_hv, max(hv)
          count(*) AS n_gens,
          arg_max(hv, gen) - arg_min(hv, gen) AS hv_gain_abs,
          (arg_max(hv, gen) - arg_min(hv, gen)) / nullif(abs(arg_min(hv, gen)), 0) AS hv_gain_rel
-       FROM es GROUP BY seed)"""
+       FROM es WHERE NOT stopped GROUP BY seed)"""
 
 
 @register("i15_progress_summary", PSUM_SQL + "\nSELECT * FROM ps",

@@ -61,8 +61,12 @@ RESULTS_SCHEMA = T.StructType([
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULTS_SCHEMA) -> DataFrame:
-    """A3: experiment results CSV with a header."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A3: experiment results CSV, columns found by the names in its header, whatever their order."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"results miss columns {missing}")
+    return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields])
 
 
 # -- A4 / A5 -----------------------------------------------------------------------
@@ -118,8 +122,10 @@ def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_best_solution(df: DataFrame, path: str) -> None:
-    """The current best candidate as a one-row JSON document."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """The current best candidate as a one-row JSON document; more than one row is an error."""
+    if len(df.take(2)) > 1:
+        raise ValueError("the best solution is one row")
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_report(df: DataFrame, path: str, prefix: str = "") -> str:
