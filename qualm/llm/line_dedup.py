@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, text_of, unpack, whole_row
 
-MIN_SITES, MIN_WORDS, LOG2_REGISTERS = 3, 3, 8
+MIN_SITES, MIN_WORDS, LOG2_REGISTERS, SALTS = 3, 3, 8, 16
 
 
 def lines(text: Column) -> Column:
@@ -34,26 +34,36 @@ def occurrences(docs: DataFrame, site: str, min_words: int) -> DataFrame:
                     F.coalesce("site", F.lit("")).alias("site")))
 
 
+def place() -> Column:
+    """Where a line occurs; the smallest is its first occurrence."""
+    return F.struct(F.col("doc").isNull().alias("n"), F.col("doc"), F.col("version"), F.col("line"))
+
+
+def met(seen: DataFrame, found: DataFrame) -> DataFrame:
+    """Occurrences of the lines in ``found``, which has each line once: a hot line's occurrences are spread over SALTS tasks."""
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (seen.withColumn("salt", F.pmod(F.xxhash64("doc", "version", "line"), F.lit(SALTS)).cast("int"))
+            .join(salted, ["h1", "h2", "salt"]).drop("salt"))
+
+
 def boilerplate(seen: DataFrame, min_sites: int, log2_registers: int = LOG2_REGISTERS) -> DataFrame:
-    """(h1, h2) of the lines on at least ``min_sites`` distinct sites."""
+    """(h1, h2, first) of the lines on at least ``min_sites`` distinct sites."""
     error = 3 * 1.04 / math.sqrt(2 ** log2_registers)
-    spread = (seen.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", log2_registers).alias("sketch"), F.min("site").alias("a"), F.max("site").alias("b"))
-              .where(F.col("a") != F.col("b")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")))
+    spread = (seen.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", log2_registers).alias("sketch"), F.min("site").alias("a"),
+                                           F.max("site").alias("b"), F.min(place()).alias("first"))
+              .where(F.col("a") != F.col("b")).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")))
     spread = cut(spread.where(F.col("sites") >= math.floor(min_sites * (1 - error))))
     sure = F.col("sites") > math.ceil(min_sites * (1 + error))
-    near = spread.where(~sure).select("h1", "h2")
-    exact = (seen.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
-             .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites))
-    return spread.where(sure).select("h1", "h2").union(exact.select("h1", "h2"))
+    near = spread.where(~sure).select("h1", "h2", "first")
+    exact = (met(seen, near).groupBy("h1", "h2", "site").agg(F.min("first").alias("first"))
+             .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"), F.min("first").alias("first")).where(F.col("sites") >= min_sites))
+    return spread.where(sure).select("h1", "h2", "first").union(exact.select("h1", "h2", "first"))
 
 
 def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, version, gone): the line numbers that go, for documents that lose any."""
     seen = cut(occurrences(docs, site, min_words))
-    hits = seen.join(boilerplate(seen, min_sites), ["h1", "h2"]).select("h1", "h2", "doc", "version", "line")
-    order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc"), F.col("version"), F.col("line"))
-    first = hits.groupBy("h1", "h2").agg(F.min(order).alias("first"))
-    gone = hits.join(first, ["h1", "h2"]).where(order != F.col("first"))
+    gone = met(seen, boilerplate(seen, min_sites)).where(place() != F.col("first"))
     return gone.groupBy("doc", "version").agg(F.collect_set("line").alias("gone"))
 
 
