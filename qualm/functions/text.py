@@ -6,6 +6,7 @@ B1, which only the rows that look like a list and fail JSON parsing take.
 from __future__ import annotations
 
 import ast
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,45 +39,41 @@ def clean_whitespace(c) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _literal_list_join(s: pd.Series) -> pd.Series:
-    """Python-literal list parse for the few rows JSON cannot read."""
+def _python_list_join(s: pd.Series) -> pd.Series:
+    """Lists with items other than texts, spelled as Python prints them; null where nothing is asked."""
     def one(t):
-        try:
-            obj = ast.literal_eval(t.strip())
-        except Exception:
-            return t
-        if isinstance(obj, list):
-            return "\n".join(str(p) for p in obj if p is not None)
+        for read in (json.loads, ast.literal_eval):
+            try:
+                items = read(t.strip())
+            except Exception:  # any text may stand here: what neither reads stays as it is
+                continue
+            if isinstance(items, list):
+                return "\n".join(map(str, filter(lambda x: x is not None, items)))
         return t
     return s.map(lambda t: None if t is None else one(t))
 
 
-def _json_join(c: Column) -> Column:
-    arr = F.from_json(c, "array<string>")
-    items = F.filter(arr, lambda x: x.isNotNull())
-    # JSON booleans read back as text: spell them the way Python prints them
-    items = F.transform(items, lambda x: F.when(x == "true", "True").when(x == "false", "False").otherwise(x))
-    return F.array_join(items, "\n")
-
-
 def to_text(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """B1: NULL -> ''; a list-looking string is parsed (JSON first, then a Python
     literal) and its non-null items joined by newlines; anything else unchanged.
-    An array column is joined directly."""
+    An array column is joined directly. JSON lists of texts and nulls are joined
+    by expressions; only other lists reach the Python kernel, in the same pass."""
     out = out or col
     dt = df.schema[col].dataType.simpleString()
     c = F.col(col)
     if dt.startswith("array"):
-        return df.withColumn(out, F.coalesce(F.array_join(F.filter(c, lambda x: x.isNotNull())
-                                                          .cast("array<string>"), "\n"), F.lit("")))
+        items = F.filter(c, lambda x: x.isNotNull()).cast("array<string>")
+        if dt == "array<boolean>":
+            items = F.transform(items, F.initcap)
+        return df.withColumn(out, F.coalesce(F.array_join(items, "\n"), F.lit("")))
     looks = c.rlike(LIST_LIKE)
-    js = _json_join(c)
-    base = df.withColumn("_js", F.when(looks, js))
-    need = looks & F.col("_js").isNull()
-    easy = base.filter(~F.coalesce(need, F.lit(False))).withColumn(
-        out, F.when(c.isNull(), F.lit("")).when(looks, F.col("_js")).otherwise(c))
-    hard = base.filter(F.coalesce(need, F.lit(False))).withColumn(out, _literal_list_join(c))
-    return easy.unionByName(hard).drop("_js")
+    base = df.withColumn("_items", F.when(looks, F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")))
+    texts = F.forall("_items", lambda x: F.schema_of_variant(x).isin("STRING", "VOID"))
+    base = base.withColumn("_texts", F.when(F.coalesce(texts, F.lit(False)), F.transform(
+        "_items", lambda x: F.try_variant_get(x, "$", "string")))).drop("_items")
+    base = base.withColumn("_py", _python_list_join(F.when(looks & F.col("_texts").isNull(), c)))
+    return base.withColumn(out, F.when(c.isNull(), F.lit("")).when(~looks, c)
+                           .otherwise(F.coalesce(F.array_join("_texts", "\n"), "_py"))).drop("_texts", "_py")
 
 
 def strip_wrappers(c) -> Column:

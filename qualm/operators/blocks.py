@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+DIFF_VALUES = 1 << 22  # differences held at once by a kernel
 
 
 def _sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -63,8 +64,10 @@ def _select_topk(Q, P, qids, pids, k, exclude_self):
     # then re-measure survivors by direct difference and sort by (dist, id).
     tol = 1e-9 * (qn + pn.max() + 1.0)
     qi, pj = np.nonzero(d2 <= (part + tol)[:, None])
-    diff = Q[qi] - P[pj]
-    dist = np.sqrt((diff * diff).sum(1))
+    dist, step = np.empty(len(qi)), max(1, DIFF_VALUES // Q.shape[1])
+    for s in range(0, len(qi), step):  # many equal rows leave many survivors
+        diff = Q[qi[s:s + step]] - P[pj[s:s + step]]
+        dist[s:s + step] = np.sqrt((diff * diff).sum(1))
     if exclude_self:
         keep = qids[qi] != pids[pj]
         qi, pj, dist = qi[keep], pj[keep], dist[keep]

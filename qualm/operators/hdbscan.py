@@ -20,13 +20,15 @@ come from direct differences, so every task agrees on the same tree.
 """
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .blocks import knn
+from .blocks import DIFF_VALUES, knn
 from .order import global_rank
 
 MST_BLOCK_ROWS = 2048
@@ -52,9 +54,10 @@ def _local_mst(pdf: pd.DataFrame) -> pd.DataFrame:
     X = np.stack(pdf["v"].to_numpy()).astype(np.float64)
     core = pdf["core"].to_numpy().astype(np.float64)
     D = np.empty((m, m))
-    for s in range(0, m, 64):
-        diff = X[s:s + 64, None, :] - X[None, :, :]
-        D[s:s + 64] = np.sqrt((diff * diff).sum(-1))
+    step = max(1, DIFF_VALUES // X.size)
+    for s in range(0, m, step):
+        diff = X[s:s + step, None, :] - X[None, :, :]
+        D[s:s + step] = np.sqrt((diff * diff).sum(-1))
     MR = np.maximum(D, np.maximum(core[:, None], core[None, :]))
     in_tree = np.zeros(m, dtype=bool)
     bw = np.full(m, np.inf)
@@ -72,8 +75,8 @@ def _local_mst(pdf: pd.DataFrame) -> pd.DataFrame:
         better &= ~in_tree
         bw[better], blo[better], bhi[better] = w[better], lo[better], hi[better]
         cand = np.flatnonzero(~in_tree)
-        keys = np.lexsort((bhi[cand], blo[cand], bw[cand]))
-        t = int(cand[keys[0]])
+        cand = cand[bw[cand] == bw[cand].min()]
+        t = int(cand[np.lexsort((bhi[cand], blo[cand]))[0]])
         in_tree[t] = True
         out_lo.append(blo[t]), out_hi.append(bhi[t]), out_w.append(bw[t])
     return pd.DataFrame({"lo": np.array(out_lo, dtype=np.int64), "hi": np.array(out_hi, dtype=np.int64),
@@ -160,6 +163,8 @@ def minimum_spanning_tree(nodes: DataFrame, edges: DataFrame, edges_per_task: in
         roots = _pointer_jump(materialize(par))
         comp = materialize(comp.join(roots, "c", "left")
                            .select("node", F.coalesce(F.col("p"), F.col("c")).alias("c")))
+    else:
+        raise RuntimeError("the spanning tree did not end")
     if tree is None:
         return edges.limit(0)
     return tree
@@ -284,7 +289,7 @@ def _levels(clusters: DataFrame, root) -> DataFrame:
     lvl = par.filter(F.col("parent") == F.lit(root)).withColumn("depth", F.lit(1))
     lvl = materialize(lvl)
     frontier = lvl
-    for d in range(2, 10 ** 6):
+    for d in count(2):
         nxt = par.join(frontier.select(F.col("chain").alias("parent")), "parent").withColumn("depth", F.lit(d))
         nxt = materialize(nxt)
         if nxt.limit(1).count() == 0:

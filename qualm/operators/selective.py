@@ -209,7 +209,7 @@ def evaluate_schemes(scored: DataFrame, schemes=SCHEMES, coverages=COVERAGES,
             F.sum(f"_pg_{i}").alias(f"_P_{i}"), F.sum(f"_ng_{i}").alias(f"_N_{i}"))])
     auc = auc.select(*g, F.explode(F.array(*[F.struct(
         F.lit(i).cast("bigint").alias("scheme_id"),
-        (F.col(f"_num_{i}") / F.nullif(F.col(f"_P_{i}") * F.col(f"_N_{i}"), F.lit(0))).alias("auroc"))
+        (F.col(f"_num_{i}") / F.nullif(F.col(f"_P_{i}").cast("double") * F.col(f"_N_{i}"), F.lit(0.0))).alias("auroc"))
         for i in range(S)])).alias("_s")).select(*g, "_s.*")
     res = (per.join(auc, [*g, "scheme_id"])
               .join(thr.select(*g, "scheme_id", "scheme", "p_bert", "p_rouge", "tau_bert", "tau_rouge"),

@@ -28,11 +28,15 @@ def knn_scores_for_configs(train: DataFrame, evals: DataFrame, configs: DataFram
     return j.groupBy(*keys, F.col("q_id").alias(id_col)).agg(F.avg("dist").alias("uq"))
 
 
-def objectives(scored: DataFrame, config_cols, bert: str = "bertscore_f1", rouge: str = "rougeL") -> DataFrame:
+def objectives(scored: DataFrame, config_cols, bert: str = "bertscore_f1", rouge: str = "rougeL",
+               configs: DataFrame | None = None) -> DataFrame:
     """I2 objectives per configuration: (corr(uq, BERTScore), corr(uq, ROUGE-L)),
-    non-finite scores and qualities guarded to 0 first; a failed or non-finite objective -> penalty."""
+    non-finite scores and qualities guarded to 0 first; a failed or non-finite objective -> penalty,
+    as for a row of ``configs`` without scored rows."""
     guarded = scored.withColumns({"_u": nan_to_num("uq"), "_b": nan_to_num(bert), "_r": nan_to_num(rouge)})
     g = guarded.groupBy(*config_cols).agg(safe_corr("_u", "_b").alias("f1"), safe_corr("_u", "_r").alias("f2"))
+    if configs is not None:
+        g = configs.select(*config_cols).distinct().join(g, list(config_cols), "left")
     fin = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)).otherwise(F.lit(PENALTY))
     return g.select(*config_cols, F.coalesce(fin("f1"), F.lit(PENALTY)).alias("f1"),
                     F.coalesce(fin("f2"), F.lit(PENALTY)).alias("f2"))

@@ -22,14 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import nan_to_num, safe_corr
 from ..plans.materialize import materialize
 from . import hdbscan as H
 from .blocks import knn
 from .cluster import centroids
 from .order import global_rank
+from .sweep import objectives
 
-PENALTY = 1e3
 
 
 class SweepTooLarge(ValueError):
@@ -206,10 +205,6 @@ def _one_by_one(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -
     return out
 
 
-def hdbscan_objectives(scored: DataFrame) -> DataFrame:
+def hdbscan_objectives(scored: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """I2 objectives per configuration from (cfg, uq, bertscore_f1, rougeL)."""
-    guarded = scored.withColumns({"_u": nan_to_num("uq"), "_b": nan_to_num("bertscore_f1"), "_r": nan_to_num("rougeL")})
-    g = guarded.groupBy("cfg").agg(safe_corr("_u", "_b").alias("f1"), safe_corr("_u", "_r").alias("f2"))
-    fin = lambda c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)).otherwise(F.lit(PENALTY))
-    return g.select("cfg", F.coalesce(fin("f1"), F.lit(PENALTY)).alias("f1"),
-                    F.coalesce(fin("f2"), F.lit(PENALTY)).alias("f2"))
+    return objectives(scored, ["cfg"], configs=configs)

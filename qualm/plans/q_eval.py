@@ -176,31 +176,38 @@ from .materialize import materialize  # noqa: E402
 SWEEP_REPEATS = 15
 
 
-def _solutions(spark, sf):
-    """Distinct decoded configurations of the integrated front (the solution table)."""
+def _decoded_front(spark, sf, **kw):
+    """Every solution of the integrated front with its decoded configuration."""
     front = P.cumulative_front(T.fronts(spark, sf), per_seed=False)
-    dec = P.decode_x(front.select("seed", "gen", "idx", "f1", "f2", *P.X_COLS))
-    return dec.select("n_neighbors").distinct().withColumnRenamed("n_neighbors", "solution")
+    dec = P.decode_x(front.select("seed", "gen", "idx", "f1", "f2", *P.X_COLS), **kw)
+    return dec.withColumn("solution", F.concat_ws("-", "seed", "gen", "idx"))
+
+
+def _solutions(spark, sf):
+    """(solution, n_neighbors) of every front solution. Solutions with the same k have the same scores, so these are
+    computed once for each k and joined to all its solutions."""
+    return materialize(_decoded_front(spark, sf).select("solution", "n_neighbors"))
 
 
-def _solution_scores(spark, sf):
+def _k_scores(spark, sf, solutions):
     e = T.emb(spark, sf)
-    cfg = _solutions(spark, sf)
-    s = knn_scores_for_configs(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"),
-                               cfg, k_col="solution")
+    cfg = solutions.select("n_neighbors").distinct()
+    s = knn_scores_for_configs(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), cfg)
     rid = F.col("row_id")
     q = e.filter(F.col("split") != "train").select("row_id", "split")
     return materialize(s.join(q, "row_id").select(
-        "solution", "row_id", "split", "uq",
+        "n_neighbors", "row_id", "split", "uq",
         (((rid * 7919) % 1000).cast("double") / 1000).alias("bertscore_f1"),
         (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
 
 
 @register("h11_run_all_solutions")
 def h11_run_all_solutions(spark, sf):
-    """Per solution (k of the front's configurations): score once, repeat the split."""
-    return S.repeated_evaluation(_solution_scores(spark, sf), SWEEP_REPEATS, SEED, calib_frac=FRAC,
-                                 by=["solution"])
+    """Per front solution: score once, repeat the split."""
+    solutions = _solutions(spark, sf)
+    per_k = S.repeated_evaluation(_k_scores(spark, sf, solutions), SWEEP_REPEATS, SEED, calib_frac=FRAC,
+                                  by=["n_neighbors"])
+    return solutions.join(per_k, "n_neighbors")
 
 
 @register("h12_summarize_solutions")
@@ -221,8 +228,10 @@ def h13_report_calibration(spark, sf):
 
 @register("i2_objectives_sweep")
 def i2_objectives_sweep(spark, sf):
-    """Objective table for every decoded configuration (kNN scoring shared at the largest k)."""
-    return objectives(_solution_scores(spark, sf), ["solution"])
+    """Objective table for every front solution (kNN scoring shared at the largest k)."""
+    solutions = _solutions(spark, sf)
+    per_k = objectives(_k_scores(spark, sf, solutions), ["n_neighbors"], configs=solutions)
+    return solutions.join(per_k, "n_neighbors")
 
 
 def _front_hdbscan_scores(spark, sf):

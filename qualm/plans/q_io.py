@@ -11,14 +11,20 @@ from .catalog import register
 from .q_sweep import EARLY_SQL, GEN_STATS_SQL
 
 
-@register("a1_read_delimited_dir", "WITH qa AS (" + T.SQL["qa"] + ")\nSELECT row_id, question, model_answer FROM qa")
+@register("a1_read_delimited_dir", "WITH qa AS (" + T.SQL["qa"] + """)
+SELECT row_id, question, model_answer FROM qa
+UNION ALL SELECT -1, 'no answer', NULL""")
 def a1_read_delimited_dir(spark, sf):
     folder = IO.scratch_dir(spark, "answers")
-    qa = T.qa(spark, sf)
-    qa.write.option("header", True).option("sep", "|").option("quote", '"').option("escape", '"').csv(folder)
-    # one malformed file: six fields under a three-column header
-    bad = spark.range(1).select(*[F.lit(f"x{i}").alias(f"c{i}") for i in range(6)])
-    bad.coalesce(1).write.mode("append").option("header", True).option("sep", "|").csv(folder)
+    qa = T.qa(spark, sf).select("row_id", "question", "model_answer")
+    # files with the columns in another order and with one more between them
+    other = qa.filter("row_id % 2 = 1").select("model_answer", F.lit("x").alias("note"), "question", "row_id")
+    for part in (qa.filter("row_id % 2 = 0"), other):
+        part.write.mode("append").option("header", True).option("sep", "|").option("quote", '"').option("escape", '"').csv(folder)
+    # a file with a short row, and one that is skipped: its second row has more fields than its header
+    for lines in (["-1|no answer"], ["1|a|b", "2|a|b|c"]):
+        rows = spark.createDataFrame([(x,) for x in lines], "`row_id|question|model_answer` string").coalesce(1)
+        rows.write.mode("append").option("header", True).option("sep", "\t").csv(folder)
     good, _ = IO.read_delimited_dir(spark, folder, ["row_id", "question", "model_answer"])
     return good.select(F.col("row_id").cast("bigint").alias("row_id"), "question", "model_answer")
 

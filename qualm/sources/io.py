@@ -5,9 +5,12 @@ files written by one task are visible to all executors.
 """
 from __future__ import annotations
 
+import csv
 import uuid
+from io import StringIO
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,23 +25,58 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 # -- A1 / A2 / A3 ------------------------------------------------------------------
-def read_delimited_dir(spark: SparkSession, folder: str, columns: Sequence[str], sep: str = "|",
-                       schema: T.StructType | None = None):
-    """A1: every ``*.csv`` in a folder, listed columns kept, files concatenated.
-
-    A file with any malformed record is skipped as a whole (as the reference
-    skips a file that fails to parse); returns (rows, skipped files)."""
-    schema = schema or T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(full).option("sep", sep).option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", "*.csv")
-           .csv(folder).withColumn("_file", F.col("_metadata.file_path")))
+def files_by_header(spark: SparkSession, folder: str, sep: str) -> dict[tuple[str, ...], list[str]]:
+    """The ``*.csv`` files of a folder by the names in their first line (one line a file reaches the driver)."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[tuple[str, ...], list[str]] = {}
+    for status in fs.listStatus(path):
+        if not status.isFile() or not status.getPath().getName().endswith(".csv"):
+            continue
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+        if line:
+            header = tuple(next(csv.reader([line.removeprefix("﻿")], delimiter=sep)))
+            found.setdefault(header, []).append(status.getPath().toString())
+    return found
+
+
+def _longer_than_header(sep: str):
+    @F.pandas_udf("boolean")
+    def longer(record: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([len(next(csv.reader(StringIO(r), delimiter=sep), [])) > n for r, n in zip(record, width)], dtype=bool)
+    return longer
+
+
+def read_delimited_dir(spark: SparkSession, folder: str, columns: Sequence[str], sep: str = "|"):
+    """A1: every ``*.csv`` in a folder, listed columns found by the names in each file's header, files concatenated.
+
+    Short rows are padded with nulls. A file with a row of more fields than its header is skipped as a whole (as the
+    reference skips a file that fails to parse); a file without one of the columns is an error. Returns (rows,
+    skipped files)."""
+    from ..plans.materialize import materialize
+    raw = None
+    for header, files in files_by_header(spark, folder, sep).items():
+        if missing := [c for c in columns if c not in header]:
+            raise ValueError(f"{files[0]} misses columns {missing}")
+        full = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))]
+                            + [T.StructField(CORRUPT, T.StringType())])
+        # without column pruning, so that the width of a row is seen
+        part = (spark.read.schema(full).option("sep", sep).option("header", True).option("multiLine", True)
+                .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False)
+                .option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+                .select(*[F.col(f"_c{header.index(c)}").alias(c) for c in columns], CORRUPT,
+                        F.lit(len(header)).alias("_width"), F.col("_metadata.file_path").alias("_file")))
+        raw = part if raw is None else raw.unionByName(part)
+    if raw is None:
+        raise ValueError(f"no csv files in {folder}")
     # Spark refuses to query the corrupt-record column alone on a raw scan:
     # parse once into a checkpoint, then split good and bad files from it.
-    from ..plans.materialize import materialize
     raw = materialize(raw)
-    bad = raw.filter(F.col(CORRUPT).isNotNull()).select("_file").distinct()
+    odd = raw.filter(F.col(CORRUPT).isNotNull()).select("_file", _longer_than_header(sep)(CORRUPT, "_width").alias("longer"))
+    bad = odd.filter("longer").select("_file").distinct()
     good = raw.join(bad, "_file", "left_anti").select(*columns)
     return good, bad
 

@@ -76,7 +76,9 @@ def test_sweep_objectives_match_numpy(spark):
     qual = pd.DataFrame({"row_id": np.arange(1000, 1009), "bertscore_f1": rng.random(9), "rougeL": rng.random(9)})
     cfg = spark.createDataFrame(pd.DataFrame({"k": [1, 3, 7]}))
     s = knn_scores_for_configs(tr, ev, cfg, k_col="k").join(spark.createDataFrame(qual), "row_id")
-    got = objectives(s, ["k"]).toPandas().set_index("k")
+    asked = cfg.union(spark.createDataFrame([(99,)], "k long"))
+    got = objectives(s, ["k"], configs=asked).toPandas().set_index("k")
+    assert (got.loc[99, "f1"], got.loc[99, "f2"]) == (1000, 1000)  # no scored row
     for k in (1, 3, 7):
         uq = np.array([_knn_mean(X, x, k) for x in E])
         assert np.isclose(got.loc[k, "f1"], np.corrcoef(uq, qual["bertscore_f1"])[0, 1])
