@@ -1,11 +1,14 @@
-"""S2 (blocked exact top-k) and S3 (blocked pairwise log-density).
-
-Both sides are cut into hash blocks of at most ``block_rows`` rows. Each query
-block meets each point block of the same ``by`` group once, through a
-``cogroup`` on (group, query block, point block); an Arrow-batched numpy kernel
-handles the pair. Work is n x m, which an exact answer needs; memory per task
-is two blocks. A large group (a hot cluster) simply gets more blocks, so no
-task ever holds a whole group.
+"""S2 (exact top-k) and S3 (pairwise log-density).
+
+Points whose measured size is within ``BROADCAST_BYTES`` go to every executor
+and the query side is read once, without a shuffle. Beyond that both sides are
+cut into hash blocks of at most ``block_rows`` rows; each query block meets
+each point block of the same ``by`` group once, through a ``cogroup`` on
+(group, query block, point block). The same numpy kernels serve both ways, so
+both give the same rows. Work is n x m, which an exact answer needs; memory per
+task is two blocks, and a kernel holds at most ``DIFF_VALUES`` distances at
+once. A large group (a hot cluster) simply gets more blocks, so no task ever
+holds a whole group.
 """
 from __future__ import annotations
 
@@ -18,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+KNN_BLOCK_ROWS = 1 << 14  # kernels walk a block in chunks, so it may be large: fewer copies of either side
 DIFF_VALUES = 1 << 22  # differences held at once by a kernel
+BROADCAST_BYTES = 32 << 20  # largest point side that is broadcast
 
 
 def _sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -51,8 +56,42 @@ def _block_pairs(q: DataFrame, p: DataFrame, by: Sequence[str], block_rows: int,
     return qx.drop("_nq", "_np"), px.drop("_nq", "_np")
 
 
+def _small_points(p: DataFrame, vec: str, max_bytes: int) -> pd.DataFrame | None:
+    """The points as a pandas frame if they measure at most ``max_bytes``, else None. At most one row more than fits
+    is fetched."""
+    first = p.select(vec).first()
+    most = max_bytes // (8 * (len(first[0]) + len(p.columns))) if first else 0
+    rows = p.limit(most + 1).toArrow() if first else p.limit(0).toArrow()
+    return rows.to_pandas() if rows.num_rows <= most else None
+
+
+def _per_group(points: pd.DataFrame, by: list[str]) -> dict:
+    """Group key -> its points; the empty key for all of them if ungrouped."""
+    return {k: g for k, g in points.groupby(by, sort=False)} if by else {(): points}
+
+
+def _broadcast_map(q: DataFrame, points: pd.DataFrame, by: list[str], kern, schema: str) -> DataFrame:
+    """``kern`` over each Arrow batch of queries and the broadcast points of their group."""
+    shared = q.sparkSession.sparkContext.broadcast(_per_group(points, by))
+
+    def run(batches):
+        for batch in batches:
+            parts = batch.groupby(by, sort=False) if by else [((), batch)]
+            for key, part in parts:
+                if (own := shared.value.get(key)) is not None and len(part) and len(own):
+                    yield kern(part, own)
+    return q.mapInPandas(run, schema)
+
+
 def _select_topk(Q, P, qids, pids, k, exclude_self):
-    """Exact k smallest distances per query row of Q against P (ties by point id)."""
+    """Exact k smallest distances per query row of Q against P (ties by point id), for chunks of queries."""
+    step = max(1, DIFF_VALUES // max(1, P.shape[0]))
+    parts = [(s, _select_topk_chunk(Q[s:s + step], P, qids[s:s + step], pids, k, exclude_self)) for s in range(0, len(Q), step)]
+    return (np.concatenate([qi + s for s, (qi, _, _) in parts]), np.concatenate([pj for _, (_, pj, _) in parts]),
+            np.concatenate([d for _, (_, _, d) in parts]))
+
+
+def _select_topk_chunk(Q, P, qids, pids, k, exclude_self):
     qn = (Q * Q).sum(1)
     pn = (P * P).sum(1)
     d2 = qn[:, None] + pn[None, :] - 2.0 * (Q @ P.T)
@@ -104,9 +143,17 @@ def _topk_kernel(k: int, qid: str, pid: str, vec: str, by: list[str], exclude_se
     return run
 
 
+def _ranked(kern, keys: list[str]):
+    """``kern`` with each row's rank: all points of the group were seen, and rows come ordered."""
+    def run(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = kern(qdf, pdf)
+        return out.assign(rank=out.groupby(keys, sort=False).cumcount() + 1)
+    return run
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), qid: str = "row_id",
-        pid: str = "row_id", vec: str = "v", block_rows: int = BLOCK_ROWS,
-        exclude_self: bool = False) -> DataFrame:
+        pid: str = "row_id", vec: str = "v", block_rows: int = KNN_BLOCK_ROWS,
+        exclude_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact k nearest points per query row (Euclidean), within ``by`` groups.
 
     Returns (by..., q_id, p_id, rank, dist) with rank 1..min(k, group size),
@@ -118,10 +165,12 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), q
     # (queries and points from one frame) is never ambiguous
     q = queries.select(*[F.col(b).alias(b) for b in by], F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
     p = points.select(*[F.col(b).alias(b) for b in by], F.col(pid).alias("_pid"), F.col(vec).alias("_v"))
-    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
     schema = ", ".join([f"`{b}` {queries.schema[b].dataType.simpleString()}" for b in by] +
                        ["q_id bigint", "p_id bigint", "dist double"])
     kern = _topk_kernel(k, "_qid", "_pid", "_v", by, exclude_self)
+    if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
+        return _broadcast_map(q, small, by, _ranked(kern, ["q_id"]), f"{schema}, rank bigint")
+    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
     cand = (qx.groupBy(*by, "_qb", "_pb")
               .cogroup(px.groupBy(*by, "_qb", "_pb"))
               .applyInPandas(kern, schema))
@@ -133,22 +182,26 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), q
 
 def knn_mean_distance(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (),
                       qid: str = "row_id", pid: str = "row_id", vec: str = "v", out_col: str = "uq",
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      block_rows: int = KNN_BLOCK_ROWS) -> DataFrame:
     """F1 core: mean distance to the k nearest points -> (by..., row_id, uq)."""
     nn = knn(queries, points, k, by, qid, pid, vec, block_rows)
     return nn.groupBy(*by, F.col("q_id").alias(qid)).agg(F.avg("dist").alias(out_col))
 
 
 def knn_per_point_group(queries: DataFrame, points: DataFrame, k: int, group_col: str, qid: str = "row_id",
-                        pid: str = "row_id", vec: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                        pid: str = "row_id", vec: str = "v", block_rows: int = KNN_BLOCK_ROWS,
+                        broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact k nearest points of every point group (e.g. cluster) per query row,
     in one pass over the block pairs: queries are not copied per group.
     Returns (q_id, <group_col>, p_id, rank, dist)."""
     q = queries.select(F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
     p = points.select(F.col(pid).alias("_pid"), F.col(vec).alias("_v"), F.col(group_col).alias("_pg"))
-    qx, px = _block_pairs(q, p, [], block_rows, "_qid", "_pid")
     gtype = points.schema[group_col].dataType.simpleString()
     kern = _topk_kernel(k, "_qid", "_pid", "_v", [], False, point_group="_pg")
+    if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
+        found = _broadcast_map(q, small, [], _ranked(kern, ["q_id", "pg"]), f"q_id bigint, pg {gtype}, p_id bigint, dist double, rank bigint")
+        return found.withColumnRenamed("pg", group_col)
+    qx, px = _block_pairs(q, p, [], block_rows, "_qid", "_pid")
     cand = (qx.groupBy("_qb", "_pb").cogroup(px.groupBy("_qb", "_pb"))
               .applyInPandas(kern, f"q_id bigint, pg {gtype}, p_id bigint, dist double"))
     w = Window.partitionBy("q_id", "pg").orderBy("dist", "p_id")
@@ -164,19 +217,20 @@ def _lse_kernel(bandwidths: np.ndarray, qid: str, pid: str, vec: str, fold_col:
             return pd.DataFrame({c: [] for c in cols})
         Q = np.stack(qdf[vec].to_numpy()).astype(np.float64)
         P = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-        d2 = (Q * Q).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (Q @ P.T)
-        d2 = np.maximum(d2, 0.0)
         folds = pdf[fold_col].to_numpy() if fold_col else np.zeros(len(pdf), dtype=np.int64)
-        out = []
-        for f in np.unique(folds):
-            m = folds == f
-            sub = d2[:, m]
-            for bi, h in enumerate(bandwidths):
-                a = -sub / (2.0 * h * h)
-                mx = a.max(1)
-                s = np.exp(a - mx[:, None]).sum(1)
-                out.append(pd.DataFrame({"q_id": qdf[qid].to_numpy(), "fold": int(f), "bw_idx": bi,
-                                         "mx": mx, "s": s, "cnt": int(m.sum())}))
+        out, qids, step = [], qdf[qid].to_numpy(), max(1, DIFF_VALUES // len(P))
+        for lo in range(0, len(Q), step):
+            part = Q[lo:lo + step]
+            d2 = np.maximum((part * part).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (part @ P.T), 0.0)
+            for f in np.unique(folds):
+                m = folds == f
+                sub = d2[:, m]
+                for bi, h in enumerate(bandwidths):
+                    a = -sub / (2.0 * h * h)
+                    mx = a.max(1)
+                    s = np.exp(a - mx[:, None]).sum(1)
+                    out.append(pd.DataFrame({"q_id": qids[lo:lo + step], "fold": int(f), "bw_idx": bi,
+                                             "mx": mx, "s": s, "cnt": int(m.sum())}))
         res = pd.concat(out, ignore_index=True)
         for b in by:
             res.insert(0, b, qdf[b].iloc[0])
@@ -186,7 +240,8 @@ def _lse_kernel(bandwidths: np.ndarray, qid: str, pid: str, vec: str, fold_col:
 
 def log_density_parts(queries: DataFrame, points: DataFrame, bandwidths: Sequence[float],
                       by: Sequence[str] = (), fold_col: str | None = None, qid: str = "row_id",
-                      pid: str = "row_id", vec: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      pid: str = "row_id", vec: str = "v", block_rows: int = BLOCK_ROWS,
+                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """S3: per (by..., query, point fold, bandwidth) the merged log-sum-exp of
     -|q-p|^2 / (2 h^2): (by..., q_id, fold, bw_idx, lse, cnt). Partial (max,
     scaled sum) pairs from block pairs merge associatively."""
@@ -196,11 +251,14 @@ def log_density_parts(queries: DataFrame, points: DataFrame, bandwidths: Sequenc
     if fold_col:
         pc.append(F.col(fold_col).alias("_fold"))
     p = points.select(*pc)
-    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
     schema = ", ".join([f"`{b}` {queries.schema[b].dataType.simpleString()}" for b in by] +
                        ["q_id bigint", "fold bigint", "bw_idx bigint", "mx double", "s double", "cnt bigint"])
     kern = _lse_kernel(np.asarray(bandwidths, dtype=np.float64), "_qid", "_pid", "_v",
                        "_fold" if fold_col else None, by)
+    if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
+        whole = _broadcast_map(q, small, by, kern, schema)
+        return whole.select(*by, "q_id", "fold", "bw_idx", "cnt", (F.col("mx") + F.log("s")).alias("lse"))
+    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
     parts = (qx.groupBy(*by, "_qb", "_pb").cogroup(px.groupBy(*by, "_qb", "_pb"))
                .applyInPandas(kern, schema))
     g = [*by, "q_id", "fold", "bw_idx"]

@@ -1,6 +1,7 @@
 """Kernels and scale paths against brute force on small inputs."""
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from qualm.functions.rouge import lcs_length
@@ -47,13 +48,14 @@ def test_pick_first_n_is_exact(spark):
     assert got == 1234
 
 
-def test_blocked_knn_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_knn_matches_brute_force(spark, broadcast_bytes):
     rng = np.random.default_rng(2)
     P = rng.normal(size=(300, 6))
     Q = rng.normal(size=(70, 6))
     pdf = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(300), "v": list(P)}))
     qdf = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(1000, 1070), "v": list(Q)}))
-    got = knn(qdf, pdf, 4, block_rows=32).toPandas().sort_values(["q_id", "rank"])
+    got = knn(qdf, pdf, 4, block_rows=32, broadcast_bytes=broadcast_bytes).toPandas().sort_values(["q_id", "rank"])
     d = np.sqrt(((Q[:, None, :] - P[None, :, :]) ** 2).sum(-1))
     exp = np.sort(d, axis=1)[:, :4].ravel()
     assert np.allclose(got["dist"].to_numpy(), exp)
@@ -84,7 +86,8 @@ def test_evaluation_paths_agree(spark):
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
 
 
-def test_knn_per_point_group_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_knn_per_point_group_matches_brute_force(spark, broadcast_bytes):
     from qualm.operators.blocks import knn_per_point_group
     rng = np.random.default_rng(4)
     P = rng.normal(size=(200, 5))
@@ -92,7 +95,7 @@ def test_knn_per_point_group_matches_brute_force(spark):
     Q = rng.normal(size=(30, 5))
     pdf = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(200), "v": list(P), "label": lab}))
     qdf = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(500, 530), "v": list(Q)}))
-    got = knn_per_point_group(qdf, pdf, 3, "label", block_rows=32).toPandas()
+    got = knn_per_point_group(qdf, pdf, 3, "label", block_rows=32, broadcast_bytes=broadcast_bytes).toPandas()
     for (qi, l), g in got.groupby(["q_id", "label"]):
         d = np.sort(np.sqrt(((P[lab == l] - Q[qi - 500]) ** 2).sum(1)))[:3]
         assert np.allclose(np.sort(g["dist"].to_numpy()), d)
@@ -105,3 +108,31 @@ def test_pick_paths_agree(spark):
     a = pick_first_n(df, "n", 11, group_cols=["g"]).filter("picked").select("row_id").collect()
     b = pick_first_n(df, "n", 11, group_cols=["g"], small=True).filter("picked").select("row_id").collect()
     assert sorted(r[0] for r in a) == sorted(r[0] for r in b) and len(a) == 3 * 777
+
+
+def test_small_train_sides_do_not_shuffle_the_evaluation_rows(spark):
+    qdf = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(50)], "row_id long, v array<double>")
+    found = knn(qdf, qdf, 2, exclude_self=True)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert found.filter("rank = 1").count() == 50
+
+
+def test_grouped_knn_and_density_agree_either_way(spark):
+    from qualm.operators.blocks import log_density_parts
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, i % 3, i % 2, rng.normal(size=3).tolist()) for i in range(90)] + [(90, None, 0, [0.0] * 3)],
+                               "row_id long, g int, fold int, v array<double>")
+    for run in (lambda b: knn(df, df, 3, by=["g"], exclude_self=True, block_rows=16, broadcast_bytes=b),
+                lambda b: log_density_parts(df, df, [0.5, 2.0], by=["g"], fold_col="fold", block_rows=16, broadcast_bytes=b)):
+        one, other = (run(b).toPandas() for b in (0, 1 << 20))
+        keys = [c for c in one.columns if c not in ("dist", "lse")]
+        one, other = (x[sorted(x.columns)].sort_values(keys).reset_index(drop=True) for x in (one, other))
+        pd.testing.assert_frame_equal(one, other, check_dtype=False, rtol=1e-9)
+        assert len(one)
+
+
+def test_equal_rows_stay_within_memory(spark):
+    from qualm.operators.blocks import _select_topk
+    same = np.ones((600, 8))
+    qi, pj, dist = _select_topk(same, same, np.arange(600), np.arange(600), 2, True)
+    assert len(qi) == 1200 and (dist == 0).all() and set(pj.tolist()) <= {0, 1, 2}
