@@ -17,21 +17,17 @@ from pyspark.sql import functions as F
 from ..functions.rouge import rouge_tokens
 
 
-def hashed_bow(df: DataFrame, text_col: str, dim: int = 64, id_col: str = "row_id", out: str = "v") -> DataFrame:
+def hashed_bow(df: DataFrame, text_col: str, dim: int = 64, out: str = "v") -> DataFrame:
     """Default embedder over the whole text: bucket = first 8 hex digits of
     md5(token) mod dim; counts per bucket, L2-normalized. Texts without tokens
     get the zero vector."""
-    toks = df.select(id_col, F.explode(rouge_tokens(text_col)).alias("_t"))
-    b = toks.select(id_col, (F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("bigint") % dim).alias("_b"))
-    cnt = b.groupBy(id_col, "_b").agg(F.count("*").cast("double").alias("_c"))
-    vec = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("bigint")), F.lit(0.0)))
-    vec = vec.select(id_col, dense.alias("_d"))
-    norm = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x * x))
-    vec = vec.select(id_col, F.transform("_d", lambda x: x / norm).alias(out))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return df.join(vec, id_col, "left").withColumn(out, F.coalesce(F.col(out), zero))
+    each = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  (the value is computed once a row)
+    buckets = F.transform(rouge_tokens(text_col), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim))
+    counts = each(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                                 lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    unit = each(counts, lambda c: each(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    return df.withColumn(out, unit)
 
 
 def embed_column(df: DataFrame, text_col: str, fn: Callable[[list[str]], np.ndarray] | None = None,
@@ -39,7 +35,7 @@ def embed_column(df: DataFrame, text_col: str, fn: Callable[[list[str]], np.ndar
     """``fn`` maps a list of texts to an (n, dim) array (a user model, run
     once per Arrow batch inside the executors); without it, ``hashed_bow``."""
     if fn is None:
-        return hashed_bow(df, text_col, dim, id_col, out)
+        return hashed_bow(df, text_col, dim, out)
     schema = f"{id_col} bigint, {out} array<double>"
 
     def run(it):

@@ -123,7 +123,33 @@ def b7_to_text_scalar(spark, sf):
     return q.select("row_id", TX.to_text_scalar(F.when(F.col("row_id") % 5 != 0, F.col("question"))).alias("text"))
 
 
-@register("c1_rouge_l")  # LCS per pair: checked against a brute-force DP in tests
+def _tokens_sql(x):
+    return f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+# The twin walks the table of the longest common subsequence one prediction token at a time.
+_C1_SQL = f"""
+WITH RECURSIVE cleaned AS ({_b4_sql()}),
+qa0 AS ({T.SQL["qa"]}),
+tok AS (SELECT row_id, {_tokens_sql("model_answer_cleaned")} AS tp, {_tokens_sql("question")} AS tr FROM cleaned JOIN qa0 USING (row_id)),
+dp AS (
+  SELECT row_id, 0 AS i, j, 0 AS v FROM (SELECT row_id, unnest(range(0, len(tr) + 1)) AS j FROM tok)
+  UNION ALL
+  SELECT row_id, i + 1, j, max(c) OVER (PARTITION BY row_id ORDER BY j)
+  FROM (SELECT d.row_id, d.i, d.j, greatest(d.v, CASE WHEN d.j > 0 AND t.tr[d.j] = t.tp[d.i + 1]
+               THEN lag(d.v) OVER (PARTITION BY d.row_id ORDER BY d.j) + 1 ELSE 0 END) AS c
+        FROM dp d JOIN tok t USING (row_id) WHERE d.i < len(t.tp))),
+l AS (SELECT row_id, len(tp) AS np, len(tr) AS nr, v FROM dp JOIN tok USING (row_id) WHERE i = len(tp) AND j = len(tr))
+SELECT row_id, CASE WHEN v = 0 THEN 0.0 ELSE 2.0 * (v / np) * (v / nr) / (v / np + v / nr) END AS "rougeL" FROM l"""
+
+
+@register("c1_rouge_l", _C1_SQL, doubles=["rougeL"])
 def c1_rouge_l(spark, sf):
     w = TX.normalize_record(wrapped_qa(spark, sf), "question", "raw")
     return rouge_l(w, "model_answer_cleaned", "question").select("row_id", "rougeL")
+
+
+@register("c1_rouge_l_stemmed")  # no stemmer in SQL: stems are tested against published examples
+def c1_rouge_l_stemmed(spark, sf):
+    w = TX.normalize_record(wrapped_qa(spark, sf), "question", "raw")
+    return rouge_l(w, "model_answer_cleaned", "question", use_stemmer=True).select("row_id", "rougeL")

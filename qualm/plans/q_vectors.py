@@ -198,7 +198,13 @@ def f8_kmeans_kde(spark, sf):
                                      8, 10)
 
 
-@register("d1_embed_default")
+@register("d1_embed_default", "WITH qa AS (" + T.SQL["qa"] + """),
+b AS (SELECT row_id, list_transform(list_filter(string_split(regexp_replace(lower(coalesce(model_answer, '')), '[^a-z0-9]+', ' ', 'g'), ' '),
+             lambda t: t <> ''), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64) AS b FROM qa),
+c AS (SELECT row_id, unnest(range(0, 64)) AS d, b FROM b),
+n AS (SELECT row_id, d, CAST(len(list_filter(b, lambda x: x = d)) AS DOUBLE) AS x FROM c)
+SELECT row_id, CAST(d AS BIGINT) AS d, coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY row_id)), 0), 0) AS value FROM n""",
+          doubles=["value"])
 def d1_embed_default(spark, sf):
     from ..operators.embed import embed_column
     return R.explode_vector(embed_column(T.qa(spark, sf), "model_answer"), "v", ["row_id"])

@@ -13,7 +13,7 @@ FAST = ["b8_eval_set", "b9_filter_dimensionality", "b12_nan_guard", "g1_safe_cor
         "e2_merge_small_clusters", "e4_core_distance", "f7_kde_fixed_bandwidth", "i1_decode_configs",
         "i7_nondominated", "i8_hypervolume", "i10_early_stop", "i13_cumulative_front", "i15_progress_summary",
         "i18_rvea_selection", "a1_read_delimited_dir", "a6_progress_roundtrip", "i19_eval_log_analysis",
-        "a2_load_random", "a3_read_results", "d11_float32_cast", "b11_baseline_tables", "h5_risk_coverage"]
+        "a2_load_random", "a3_read_results", "d11_float32_cast", "b11_baseline_tables", "h5_risk_coverage", "c1_rouge_l", "d1_embed_default"]
 
 
 @pytest.fixture(scope="module")
