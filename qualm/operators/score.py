@@ -177,6 +177,11 @@ def kmeans_kde_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int,
 
 
 # ---------------------------------------------------------------------------- F4 / F5
+def _single(df: DataFrame, vec: str, id_col: str) -> DataFrame:
+    """(row_id, v) with components rounded to single precision (D11); sums stay double."""
+    return df.select(F.col(id_col).alias("row_id"), F.transform(vec, lambda x: x.cast("float").cast("double")).alias("v"))
+
+
 def _global_knn_mean(train_pts: DataFrame, q: DataFrame, n_neighbors: int) -> DataFrame:
     return knn(q, train_pts, n_neighbors).groupBy(F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("uq"))
 
@@ -192,8 +197,7 @@ def hdbscan_knn_uncertainty(train: DataFrame, evals: DataFrame, min_cluster_size
     from ..plans.materialize import materialize
     from .cluster import centroids, merge_small_clusters
     from .hdbscan import hdbscan_labels
-    pts = train.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
-    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    pts, q = _single(train, vec, id_col), _single(evals, vec, id_col)
     if pts.limit(1).count() == 0:
         return q.select(F.col("row_id").alias(id_col), F.lit(0.0).alias("uq"))
     lab = labels if labels is not None else hdbscan_labels(pts, min_cluster_size, min_samples, epsilon)
@@ -223,8 +227,7 @@ def hdbscan_min_cluster_uncertainty(train: DataFrame, evals: DataFrame, min_clus
     from ..plans.materialize import materialize
     from .cluster import merge_small_clusters
     from .hdbscan import hdbscan_labels
-    pts = train.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
-    q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
+    pts, q = _single(train, vec, id_col), _single(evals, vec, id_col)
     lab = labels if labels is not None else hdbscan_labels(pts, min_cluster_size, min_samples, epsilon)
     lab = materialize(merge_small_clusters(pts.join(lab, "row_id"), "label", min_cluster_size,
                                            include_noise=True))

@@ -19,13 +19,14 @@ PENALTY = 1e3
 def knn_scores_for_configs(train: DataFrame, evals: DataFrame, configs: DataFrame, k_col: str = "n_neighbors",
                            vec: str = "v", id_col: str = "row_id") -> DataFrame:
     """(config..., row_id, uq) for every configuration: mean distance to its k nearest."""
-    kmax = configs.agg(F.max(k_col)).first()[0]
-    nn = knn(evals, train, int(kmax), qid=id_col, pid=id_col, vec=vec)
-    cfg = configs.select(*configs.columns)
-    # configurations are few (one row each): broadcast
-    j = nn.join(F.broadcast(cfg), nn["rank"] <= cfg[k_col])
-    keys = [c for c in configs.columns]
-    return j.groupBy(*keys, F.col("q_id").alias(id_col)).agg(F.avg("dist").alias("uq"))
+    ks = sorted(r[0] for r in configs.select(F.col(k_col).cast("int")).distinct().collect())  # at most the largest k of them
+    nn = knn(evals, train, ks[-1], qid=id_col, pid=id_col, vec=vec)
+    # each row's means for the wanted k, once; configurations meet them by k
+    own = nn.groupBy(F.col("q_id").alias(id_col)).agg(F.sort_array(F.collect_list("dist")).alias("_d"))
+    total = lambda k: F.aggregate(F.slice("_d", 1, k), F.lit(0.0), lambda acc, x: acc + x)
+    means = own.select(id_col, F.explode(F.transform(F.array(*[F.lit(k) for k in ks]), lambda k: F.struct(
+        k.alias("_k"), (total(k) / F.least(k, F.size("_d"))).alias("uq")))).alias("_m")).select(id_col, "_m._k", "_m.uq")
+    return means.join(configs, F.col("_k") == F.col(k_col)).select(*configs.columns, id_col, "uq")
 
 
 def objectives(scored: DataFrame, config_cols, bert: str = "bertscore_f1", rouge: str = "rougeL",

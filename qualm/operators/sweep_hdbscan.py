@@ -146,7 +146,9 @@ def hdbscan_labels_many(points: DataFrame, configs: DataFrame, block_rows: int =
 
 def hdbscan_knn_many(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -> DataFrame:
     """F4 for every configuration: (cfg, row_id, uq). ``evals`` = (space, row_id, v);
-    ``configs`` also carries n_neighbors."""
+    ``configs`` also carries n_neighbors. Components are rounded to single precision (D11), as in F4."""
+    single = F.transform("v", lambda x: x.cast("float").cast("double")).alias("v")
+    points, evals = points.select("space", "row_id", single), evals.select("space", "row_id", single)
     try:
         lab = materialize(hdbscan_labels_many(points, configs, **kw))
     except SweepTooLarge:

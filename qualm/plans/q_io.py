@@ -8,7 +8,7 @@ from ..operators import pareto as P
 from ..sources import io as IO
 from ..sources import tables as T
 from .catalog import register
-from .q_sweep import EARLY_SQL, GEN_STATS_SQL
+from .q_sweep import DECODE_SQL, EARLY_SQL, GEN_STATS_SQL
 
 
 @register("a1_read_delimited_dir", "WITH qa AS (" + T.SQL["qa"] + """)
@@ -45,15 +45,15 @@ def _progress_rows(spark, sf):
     return es.join(gs, ["seed", "gen"]).select("seed", "gen", "best_obj_bert", "best_obj_rouge", "best_combined",
                                                "mean_obj_bert", "mean_obj_rouge", "mean_combined", "hv",
                                                "hv_smooth", "hv_best_smooth", "hv_rel_improve",
-                                               "earlystop_no_improve")
+                                               "earlystop_no_improve", "stopped")
 
 
-PROGRESS_DOUBLES = IO.PROGRESS_COLS[1:]
+PROGRESS_DOUBLES = IO.PROGRESS_COLS[1:-1]
 
 
 @register("a6_progress_roundtrip", EARLY_SQL + ",\nfronts AS (" + T.SQL["fronts"] + "),\n" + GEN_STATS_SQL + """
 SELECT es.seed, es.gen, best_obj_bert, best_obj_rouge, best_combined, mean_obj_bert, mean_obj_rouge, mean_combined,
-       hv, hv_smooth, hv_best_smooth, hv_rel_improve, CAST(earlystop_no_improve AS DOUBLE) AS earlystop_no_improve
+       hv, hv_smooth, hv_best_smooth, hv_rel_improve, CAST(earlystop_no_improve AS DOUBLE) AS earlystop_no_improve, stopped
 FROM es JOIN gs ON es.seed = gs.seed AND es.gen = gs.gen""", doubles=PROGRESS_DOUBLES)
 def a6_progress_roundtrip(spark, sf):
     path = IO.scratch_dir(spark, "progress")
@@ -70,6 +70,7 @@ def _eval_log_rows(spark, sf):
         F.create_map(F.lit("scaling"), (F.col("x0") / 100).cast("string"), F.lit("reduction"),
                      F.col("x2").cast("string"), F.lit("total"), total).alias("timings_s"),
         F.create_map(F.lit("min_cluster_size"), F.col("x0"), F.lit("min_samples"), F.col("x1")).alias("hdb_params"),
+        F.create_map(F.lit("dimension"), F.col("x4")).alias("emb_params"),
         F.lit("PCA").alias("reduction_method"))
 
 
@@ -80,26 +81,49 @@ def _eval_log(spark, sf):
 
 
 @register("a7_eval_log_roundtrip", T.with_views("""
-SELECT idx AS eval_id, f1, f2, f1 AS corr_bert, x3 / 10 AS total_sec FROM fronts""", "fronts")
+SELECT idx AS eval_id, f1, f2, f1 AS corr_bert, x4 AS dimension, x3 / 10 AS total_sec FROM fronts""", "fronts")
           .replace("x3 / 10 AS total_sec", "CASE WHEN idx % 97 = 0 THEN NULL ELSE x3 / 10 END AS total_sec"),
-          doubles=["f1", "f2", "corr_bert", "total_sec"])
+          doubles=["f1", "f2", "corr_bert", "dimension", "total_sec"])
 def a7_eval_log_roundtrip(spark, sf):
     log = _eval_log(spark, sf)
     return log.select("eval_id", F.col("F")[0].alias("f1"), F.col("F")[1].alias("f2"),
-                      F.col("corr_bundle.all.bert").alias("corr_bert"),
+                      F.col("corr_bundle.all.bert").alias("corr_bert"), F.col("emb_params")["dimension"].alias("dimension"),
                       F.expr("try_cast(timings_s['total'] AS DOUBLE)").alias("total_sec"))
 
 
-@register("a8_best_solution", T.with_views("", "fronts")[:-1] + ",\n" + GEN_STATS_SQL + """
-SELECT seed, gen, best_idx, best_combined FROM gs ORDER BY best_combined, seed, gen LIMIT 1""",
-          doubles=["best_combined"])
+X_DOUBLES = [f"x{i}" for i in range(6)]
+
+
+@register("a8_best_solution", T.with_views(f"""
+SELECT gen AS generation, x0, x1, x2, x3, x4, x5, f1 AS obj_bert, f2 AS obj_rouge, (f1 + f2) * 0.5e0 AS combined_mean, f1 AS corr_bert,
+       CAST(min_cluster_size AS DOUBLE) AS min_cluster_size, CAST(n_neighbors AS DOUBLE) AS knn_min_samples,
+       CAST(emb_dim AS DOUBLE) AS dimension, reduction AS reduction_method, x0 / 100 AS scaling_sec
+FROM (SELECT *, {DECODE_SQL} FROM fronts WHERE isfinite(f1) AND isfinite(f2))
+ORDER BY (f1 + f2) * 0.5e0, seed, gen, idx LIMIT 1""", "fronts"),
+          doubles=[*X_DOUBLES, "obj_bert", "obj_rouge", "combined_mean", "corr_bert", "min_cluster_size", "knn_min_samples", "dimension",
+                   "scaling_sec"])
 def a8_best_solution(spark, sf):
-    gs = P.generation_stats(T.fronts(spark, sf))
-    best = gs.agg(F.min_by(F.struct("seed", "gen", "best_idx", "best_combined"),
-                           F.struct("best_combined", "seed", "gen")).alias("b")).select("b.*")
+    f = P.finite_filter(T.fronts(spark, sf)).withColumn("combined", (F.col("f1") + F.col("f2")) * 0.5)
+    best = f.agg(F.min_by(F.struct(*f.columns), F.struct("combined", "seed", "gen", "idx")).alias("b")).select("b.*")
+    best = P.decode_x(best.withColumn("x_star", F.array(*X_DOUBLES)))
+    number = lambda **names: F.map_from_entries(F.array(*[
+        F.struct(F.lit(k), F.col(c).cast("double")) for k, c in names.items()]))
+    record = best.select(
+        F.col("gen").alias("generation"), "x_star", F.array("f1", "f2").alias("F"), F.col("f1").alias("obj_bert"),
+        F.col("f2").alias("obj_rouge"), F.col("combined").alias("combined_mean"),
+        F.struct(F.struct(F.col("f1").alias("bert"), F.col("f2").alias("rouge")).alias("all")).alias("corr_details"),
+        number(min_cluster_size="min_cluster_size", min_samples="min_samples", cluster_selection_epsilon="cluster_selection_epsilon",
+               knn_min_samples="n_neighbors").alias("hdb_params"),
+        number(dimension="emb_dim").alias("embedding_params"), F.col("reduction").alias("reduction_method"),
+        F.create_map(F.lit("scaling"), F.col("x_star")[0] / 100).alias("timings_s"))
     path = IO.scratch_dir(spark, "best")
-    IO.write_best_solution(best, path)
-    return spark.read.schema("seed bigint, gen bigint, best_idx bigint, best_combined double").json(path)
+    IO.write_best_solution(record, path)
+    back = spark.read.schema(record.schema).json(path)
+    return back.select(
+        "generation", *[F.col("x_star")[i].alias(x) for i, x in enumerate(X_DOUBLES)], "obj_bert", "obj_rouge", "combined_mean",
+        F.col("corr_details.all.bert").alias("corr_bert"), F.col("hdb_params")["min_cluster_size"].alias("min_cluster_size"),
+        F.col("hdb_params")["knn_min_samples"].alias("knn_min_samples"), F.col("embedding_params")["dimension"].alias("dimension"),
+        "reduction_method", F.col("timings_s")["scaling"].alias("scaling_sec"))
 
 
 @register("i19_eval_log_analysis", T.with_views("""
@@ -146,14 +170,27 @@ def a3_read_results(spark, sf):
     return IO.read_results(spark, path)
 
 
-@register("a9_report_csv")
-def a9_report_csv(spark, sf):
-    """Main report table of the repeated evaluation, written as CSV and read back."""
+def _report(spark, sf, which: int, prefix: str):
+    """A report table of the repeated evaluation, written as CSV and read back."""
     from ..operators import selective as S
     from .q_eval import h10_summarize_repeats
-    main = S.report_tables(h10_summarize_repeats(spark, sf), "events")[0]
-    out = IO.write_report(main, IO.scratch_dir(spark, "report"), "main_")
-    return spark.read.option("header", True).csv(out)
+    table = S.report_tables(h10_summarize_repeats(spark, sf), "events")[which]
+    return spark.read.option("header", True).csv(IO.write_report(table, IO.scratch_dir(spark, "report"), prefix))
+
+
+@register("a9_report_csv")
+def a9_report_csv(spark, sf):
+    return _report(spark, sf, 0, "main_")
+
+
+@register("a9_report_calibration_csv")
+def a9_report_calibration_csv(spark, sf):
+    return _report(spark, sf, 1, "calib_")
+
+
+@register("a9_report_raw_csv")
+def a9_report_raw_csv(spark, sf):
+    return _report(spark, sf, 2, "raw_")
 
 
 @register("b10_carry_columns", QA_SQL + "\nSELECT row_id, model_answer FROM qa")

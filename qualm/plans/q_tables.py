@@ -131,13 +131,13 @@ def g6_stats_1d(spark, sf):
 GRID_LABELS = [f"{m} - {r} ({d})" for m in ("KDE", "KNN") for r in ("PCA", "SVD") for d in (128, 256)]
 
 
-def _grid_sql(value):
+def _grid_sql(value, view="results"):
     cells = ",\n  ".join(f"max(CASE WHEN label = '{lab}' THEN {value} END) AS \"{lab}\"" for lab in GRID_LABELS)
     return T.with_views(f"""
 SELECT layer,
   {cells}
 FROM (SELECT layer, method || ' - ' || reduction || ' (' || CAST(dimensionality AS VARCHAR) || ')' AS label, {value}
-      FROM results WHERE method NOT IN ('MCD', 'TS')) GROUP BY layer""", "results")
+      FROM {view} WHERE method NOT IN ('MCD', 'TS')) GROUP BY layer""", view)
 
 
 @register("j1_grid_pearson_bertscore", _grid_sql("pearson_bertscore"), doubles=GRID_LABELS)
@@ -150,6 +150,24 @@ def j1_grid_pearson_meteor(spark, sf):
     return correlation_grid(T.results(spark, sf), "pearson_meteor", GRID_LABELS)
 
 
+@register("j1_grid_spearman_bertscore", _grid_sql("spearman_bertscore", "rank_results"), doubles=GRID_LABELS)
+def j1_grid_spearman_bertscore(spark, sf):
+    return correlation_grid(T.rank_results(spark, sf), "spearman_bertscore", GRID_LABELS)
+
+
+@register("j1_grid_spearman_meteor", _grid_sql("spearman_meteor", "rank_results"), doubles=GRID_LABELS)
+def j1_grid_spearman_meteor(spark, sf):
+    return correlation_grid(T.rank_results(spark, sf), "spearman_meteor", GRID_LABELS)
+
+
+@register("j2_baseline_rank_means", T.with_views("""
+SELECT method, avg(spearman_bertscore) AS mean_spearman_bertscore, avg(spearman_meteor) AS mean_spearman_meteor
+FROM rank_results WHERE method IN ('MCD', 'TS') GROUP BY method""", "rank_results"),
+    doubles=["mean_spearman_bertscore", "mean_spearman_meteor"])
+def j2_baseline_rank_means(spark, sf):
+    return baseline_means(T.rank_results(spark, sf), ["spearman_bertscore", "spearman_meteor"])
+
+
 @register("j2_baseline_means", T.with_views("""
 SELECT method, avg(pearson_bertscore) AS mean_pearson_bertscore, avg(pearson_meteor) AS mean_pearson_meteor
 FROM results WHERE method IN ('MCD', 'TS') GROUP BY method""", "results"),

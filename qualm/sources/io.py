@@ -120,14 +120,16 @@ def read_fronts(spark: SparkSession, path: str) -> DataFrame:
 
 # -- A6 --------------------------------------------------------------------------------
 PROGRESS_COLS = ["gen", "best_obj_bert", "best_obj_rouge", "best_combined", "mean_obj_bert", "mean_obj_rouge",
-                 "mean_combined", "hv", "hv_smooth", "hv_best_smooth", "hv_rel_improve", "earlystop_no_improve"]
+                 "mean_combined", "hv", "hv_smooth", "hv_best_smooth", "hv_rel_improve", "earlystop_no_improve", "stopped"]
 
 
 def write_progress(df: DataFrame, path: str) -> None:
-    """A6 append: rows of the wrong width are rejected before writing."""
-    missing = [c for c in ["seed", *PROGRESS_COLS] if c not in df.columns]
-    if missing:
-        raise ValueError(f"progress rows miss columns {missing}")
+    """A6 append: rows of another width, with columns missing or left over, are rejected before writing. The
+    generation that stopped its run is marked."""
+    known = ["seed", *PROGRESS_COLS]
+    missing, extra = [c for c in known if c not in df.columns], [c for c in df.columns if c not in known]
+    if missing or extra:
+        raise ValueError(f"progress rows miss columns {missing} or have more: {extra}")
     df.select("seed", *PROGRESS_COLS).write.mode("append").option("header", True).csv(path)
 
 
@@ -136,7 +138,8 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     out = raw.select(F.expr("try_cast(seed AS BIGINT)").alias("seed"),
                      F.expr("try_cast(gen AS BIGINT)").alias("gen"),
-                     *[F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in PROGRESS_COLS[1:]])
+                     *[F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in PROGRESS_COLS[1:-1]],
+                     F.expr("try_cast(stopped AS BOOLEAN)").alias("stopped"))
     return out.filter(F.col("gen").isNotNull())
 
 
@@ -147,8 +150,13 @@ EVAL_LOG_SCHEMA = T.StructType([
         T.StructField("bert", T.DoubleType()), T.StructField("rouge", T.DoubleType())]))])),
     T.StructField("timings_s", T.MapType(T.StringType(), T.StringType())),
     T.StructField("hdb_params", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("emb_params", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("reduction_method", T.StringType()), T.StructField("ts", T.DoubleType())])
 
+#: The fields of the best-solution document, all of them required.
+BEST_FIELDS = ["generation", "x_star", "F", "obj_bert", "obj_rouge", "combined_mean", "corr_details", "hdb_params",
+               "embedding_params", "reduction_method", "timings_s"]
+
 
 def append_eval_log(df: DataFrame, path: str) -> None:
     """One JSON object per evaluated candidate, with a write timestamp."""
@@ -160,7 +168,10 @@ def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_best_solution(df: DataFrame, path: str) -> None:
-    """The current best candidate as a one-row JSON document; more than one row is an error."""
+    """The current best candidate as a one-row JSON document; more than one row is an error, as is a missing field."""
+    missing = [c for c in BEST_FIELDS if c not in df.columns]
+    if missing:
+        raise ValueError(f"the best solution misses {missing}")
     if len(df.take(2)) > 1:
         raise ValueError("the best solution is one row")
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -116,6 +116,24 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
                    safe_pearson_raw("l_quantity", "l_tax").alias("pearson_meteor")))
 
 
+def rank_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grid with rank correlations: Pearson over tie-averaged ranks in each cell."""
+    from ..functions.stats import safe_pearson_raw
+    from ..operators.order import average_rank
+    key = ["layer", "method", "reduction", "dimensionality"]
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").cast("bigint").alias("layer"),
+        F.when(F.col("l_suppkey") % 4 == 3, "TS").when(F.col("l_returnflag") == "N", "MCD")
+         .when(F.col("l_returnflag") == "R", "KNN").otherwise("KDE").alias("method"),
+        F.when(F.col("l_linestatus") == "O", "PCA").otherwise("SVD").alias("reduction"),
+        F.when(F.col("l_partkey") % 2 == 0, 128).otherwise(256).cast("bigint").alias("dimensionality"),
+        F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    for c in ("q", "d", "t"):
+        li = average_rank(li, c, key, f"r{c}")
+    return li.groupBy(*key).agg(safe_pearson_raw("rq", "rd").alias("spearman_bertscore"),
+                                safe_pearson_raw("rq", "rt").alias("spearman_meteor"))
+
+
 # ---------------------------------------------------------------------------
 # The same views as DuckDB SQL, for oracle queries (WITH-clause bodies).
 SQL = {
@@ -167,6 +185,26 @@ SELECT CAST(l_linenumber AS BIGINT) AS layer,
        CASE WHEN count(*) < 3 OR var_pop(l_tax) = 0 OR var_pop(l_quantity) = 0 THEN 0e0
             ELSE covar_pop(l_quantity, l_tax) / sqrt(var_pop(l_quantity) * var_pop(l_tax)) END AS pearson_meteor
 FROM lineitem GROUP BY 1, 2, 3, 4""",
+    "rank_results": """
+SELECT layer, method, reduction, dimensionality,
+       CASE WHEN count(*) < 3 OR var_pop(rd) = 0 OR var_pop(rq) = 0 THEN 0e0
+            ELSE covar_pop(rq, rd) / sqrt(var_pop(rq) * var_pop(rd)) END AS spearman_bertscore,
+       CASE WHEN count(*) < 3 OR var_pop(rt) = 0 OR var_pop(rq) = 0 THEN 0e0
+            ELSE covar_pop(rq, rt) / sqrt(var_pop(rq) * var_pop(rt)) END AS spearman_meteor
+FROM (SELECT layer, method, reduction, dimensionality,
+        rank() OVER (PARTITION BY layer, method, reduction, dimensionality ORDER BY l_quantity)
+          + (count(*) OVER (PARTITION BY layer, method, reduction, dimensionality, l_quantity) - 1) / 2e0 AS rq,
+        rank() OVER (PARTITION BY layer, method, reduction, dimensionality ORDER BY l_discount)
+          + (count(*) OVER (PARTITION BY layer, method, reduction, dimensionality, l_discount) - 1) / 2e0 AS rd,
+        rank() OVER (PARTITION BY layer, method, reduction, dimensionality ORDER BY l_tax)
+          + (count(*) OVER (PARTITION BY layer, method, reduction, dimensionality, l_tax) - 1) / 2e0 AS rt
+      FROM (SELECT CAST(l_linenumber AS BIGINT) AS layer,
+              CASE WHEN l_suppkey % 4 = 3 THEN 'TS' WHEN l_returnflag = 'N' THEN 'MCD'
+                   WHEN l_returnflag = 'R' THEN 'KNN' ELSE 'KDE' END AS method,
+              CASE l_linestatus WHEN 'O' THEN 'PCA' ELSE 'SVD' END AS reduction,
+              CAST(CASE WHEN l_partkey % 2 = 0 THEN 128 ELSE 256 END AS BIGINT) AS dimensionality,
+              l_quantity, l_discount, l_tax FROM lineitem))
+GROUP BY ALL""",
 }
 
 

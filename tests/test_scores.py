@@ -83,3 +83,27 @@ def test_sweep_objectives_match_numpy(spark):
         uq = np.array([_knn_mean(X, x, k) for x in E])
         assert np.isclose(got.loc[k, "f1"], np.corrcoef(uq, qual["bertscore_f1"])[0, 1])
         assert np.isclose(got.loc[k, "f2"], np.corrcoef(uq, qual["rougeL"])[0, 1])
+
+
+def test_grid_raises_on_duplicate_and_unknown_cells(spark):
+    import pytest
+    from qualm.operators.grids import correlation_grid
+    rows = [(1, "KNN", "PCA", 128, 0.5), (1, "KDE", "ISOMAP", 64, 0.25), (2, "MCD", "PCA", 128, 0.1)]
+    df = spark.createDataFrame(rows, "layer long, method string, reduction string, dimensionality long, r double")
+    grid = correlation_grid(df, "r").first().asDict()
+    assert grid == {"layer": 1, "KDE - ISOMAP (64)": 0.25, "KNN - PCA (128)": 0.5}
+    with pytest.raises(Exception, match="label outside"):
+        correlation_grid(df, "r", ["KNN - PCA (128)"]).collect()
+    with pytest.raises(Exception, match="duplicate"):
+        correlation_grid(df.union(df), "r").collect()
+
+
+def test_logs_reject_incomplete_records(spark, tmp_path):
+    import pytest
+    from qualm.sources import io as IO
+    with pytest.raises(ValueError, match="misses"):
+        IO.write_best_solution(spark.range(1), str(tmp_path / "b"))
+    full = spark.range(1).selectExpr("1L AS seed", *[f"1.0D AS {c}" for c in IO.PROGRESS_COLS])
+    for wrong in (full.drop("hv"), full.withColumn("more", full.seed)):
+        with pytest.raises(ValueError, match="progress rows"):
+            IO.write_progress(wrong, str(tmp_path / "p"))
