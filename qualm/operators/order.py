@@ -19,7 +19,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64      # order buckets per group; each is one window task
+BUCKET_ROWS = 1 << 18     # rows aimed at in an order bucket; each is one window task
+MAX_BUCKETS = 1024        # buckets per group: their edges are kept per group
 PCT_ACCURACY = 10000
 SMALL_GROUP_ROWS = 1 << 20   # a window over at most this many rows is one comfortable task
 
@@ -32,26 +33,32 @@ def groups_are_small(df: DataFrame, group_cols: Sequence[str] = (), limit: int =
     return largest is None or largest <= limit
 
 
+def bucket_count(df: DataFrame, group_cols: Sequence[str] = ()) -> int:
+    """Order buckets for the largest group: about ``BUCKET_ROWS`` rows in each, two at least."""
+    g = _cols(group_cols)
+    largest = (df.groupBy(*g).count() if g else df.groupBy().count()).agg(F.max("count")).first()[0] or 0
+    return max(2, min(MAX_BUCKETS, -(-largest // BUCKET_ROWS)))
+
+
 def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs or [])
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                 sum_cols: Sequence[str] = (), rank_col: str = "pos",
-                num_buckets: int = DEFAULT_BUCKETS, max_cols: Sequence[str] = (), small: bool = False,
-                **_ignored) -> DataFrame:
+                num_buckets: int | None = None, max_cols: Sequence[str] = (), small: bool = False) -> DataFrame:
     """Add ``rank_col`` (1-based, per group, ascending ``order_cols``) and, for
     each ``c`` in ``sum_cols``, ``cum_<c>`` = running sum up to and including the row;
     for each ``c`` in ``max_cols``, ``prevmax_<c>`` = maximum over the earlier rows (NULL if none).
 
     ``order_cols`` is (primary,) with unique values per group, or
-    (primary, tiebreak) with a unique tiebreak. Everything is lazy:
-    bucket edges come from ``percentile_approx`` of the primary key per group;
-    rows whose primary equals an edge (hot, tied values) are cut again by
+    (primary, tiebreak) with a unique tiebreak. Bucket edges come from
+    ``percentile_approx`` of the primary key per group; rows whose primary equals an edge (hot, tied values) are cut again by
     ``percentile_approx`` of the tiebreak, so one tied value never lands in a
     single task. Buckets are numbered in key order, windows run per
     (group, bucket), and bucket totals are prefix-summed on a
-    groups x buckets table that is broadcast back.
+    groups x buckets table and joined back on the windows' own partitioning.
+    The number of buckets comes from the largest group's rows (one count) unless given.
 
     ``small=True`` is for callers that have checked every group holds at most
     ``SMALL_GROUP_ROWS`` rows (see ``groups_are_small``): one window per group
@@ -71,7 +78,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
         return out
     prim = order_cols[0]
     tie = order_cols[1] if len(order_cols) > 1 else None
-    B = max(1, int(num_buckets))
+    B = bucket_count(df, g) if num_buckets is None else max(1, int(num_buckets))
     fr = [i / B for i in range(1, B)] or [0.5]
     pa = lambda c: F.array_distinct(F.percentile_approx(F.col(c), fr, PCT_ACCURACY))
     b1 = (df.groupBy(*g) if g else df.groupBy()).agg(pa(prim).alias("_b"))
@@ -104,7 +111,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
                       F.coalesce(F.sum("_bn").over(wt), F.lit(0)).alias("_off"),
                       *[F.coalesce(F.sum(f"_bs_{c}").over(wt), F.lit(0)).alias(f"_bo_{c}") for c in sum_cols],
                       *[F.max(f"_bm_{c}").over(wt).alias(f"_bx_{c}") for c in max_cols])
-    out = local.join(F.broadcast(offs), [*g, "_bucket"])
+    out = local.join(offs, [*g, "_bucket"])
     for c in max_cols:
         out = out.withColumn(f"prevmax_{c}", F.greatest(F.col(f"_bx_{c}"), F.col(f"_cm_{c}")))
     out = out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
