@@ -288,3 +288,24 @@ def test_pipeline_stages(spark):
     want = {r.doc_id for r in fourth.collect()}
     assert {r.doc_id for r in last} == want
     assert Counter({k: v for k, v in Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect()).items()}).total() >= len(want)
+
+
+def test_mixing_holds_the_exact_weights():
+    weights = {"hot": 9.5 ** 0.5, **{f"s{i}": 1.0 for i in range(19)}}
+    plan = mixing.schedule({s: 6000 if s == "hot" else 2000 for s in weights}, weights)
+    slots = {}
+    for s, phases in plan.items():
+        for first, after, start, size, own in phases:
+            slots |= {start + (j - first) // len(own) * size + own[(j - first) % len(own)]: s for j in range(first, after)}
+    end = min(p[0][3] if len(p[0][4]) == p[0][1] - p[0][0] else min(t for t in slots if slots[t] == s) for s, p in plan.items())
+    order = np.array([list(weights).index(slots[t]) for t in range(min(end, 20_000))])
+    share = np.array(list(weights.values())) / sum(weights.values())
+    seen = (order[:, None] == np.arange(20)).cumsum(0)
+    assert len(order) > 10_000 and np.abs(seen - share * np.arange(1, len(order) + 1)[:, None]).max() < 1 + 1e-6
+
+
+def test_mixing_of_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 50, raising=False)
+    df = spark.range(400).selectExpr("id as doc_id", "'x' as text", "if(id % 80 = 0, null, concat('s', id % 80)) as source")
+    rows = mixing.mix_report(df, block=2).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400)) and len({r.slot for r in rows}) == 240
