@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from qualm.llm.common import cut, table
 from qualm.llm.line_dedup import dedup_lines
 from qualm.llm.minhash import keep_one
-from qualm.llm.mixing import mix
-from qualm.llm.packing import pack
+from qualm.llm.mixing import mix, placed
+from qualm.llm.packing import pack_in_order
 from qualm.llm.toxicity import drop_toxic
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,8 +35,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
-    return pack(docs, public_tokenizers.path(VOCABULARY))
+    """Pieces of documents in sequences of 1024 tokens, numbered in the mixed order. That order is a function of the rows:
+    it is computed again, as a written table does not keep its rows' order."""
+    at = placed(docs).select("q_row.doc_id", "q_row.text", "q_slot", "q_rank")
+    return pack_in_order(at, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

@@ -8,6 +8,11 @@ ends, so that only the last sequence has padding. Places follow by arithmetic: a
 length (counted per written partition, offsets by prefix sums) names its repeat of a combination. No text, id or
 document passes through the driver: it sees the histogram alone.
 
+``pack_in_order`` packs rows that have a place in a mixed order: within ranges of RANGE_SLOTS consecutive slots, each
+planned by the same method from its own histogram in one task. Sequences are numbered range by range, in a range by the
+place of their first piece, so a prefix of them holds the documents of a prefix of the order, up to one range. The last
+sequence of each range may have padding. The order comes from slot and rank, not from files.
+
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; ties between rests of one
 length are settled by their place in the written table; an empty table gives no piece.
 """
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import cut, text_of
 
 ENCODED = "doc_id long, doc_tokens long, crcs array<long>, rest binary, rest_len int, part int, seq long"
+RANGE_SLOTS = 128
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,9 +55,9 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encode(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
+def encode(docs: DataFrame, path: str, window: int, end_id: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: checksums of its whole windows, its rest, and the rest's number among those of its length
-    in this partition."""
+    in this partition. ``keep``: columns of whole numbers that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(window, dtype=np.int64)
@@ -68,10 +74,11 @@ def encode(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
                     seen[len(rest)] += 1
                 cols = list(zip(*rows))
                 types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[
-                    "doc_id", "doc_tokens", "crcs", "rest", "rest_len", "part", "seq"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)] + b.columns[2:], names=[
+                    "doc_id", "doc_tokens", "crcs", "rest", "rest_len", "part", "seq", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, ENCODED)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), *[F.col(c).cast("long") for c in keep])
+            .mapInArrow(run, ", ".join([ENCODED, *(f"{c} long" for c in keep)])))
 
 
 def combinations(hist: np.ndarray, window: int, most: int = 6000) -> list[tuple[int, ...]]:
@@ -159,6 +166,16 @@ class Plan:
         return self.base + pos // self.window, pos % self.window
 
 
+def rest_pieces(plan: Plan, rest: bytes, length: int, number: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(ids before, length, ids_crc32, sequence, offset) of each piece of a rest."""
+    ids = np.frombuffer(rest, dtype="<u4")
+    (sequence, offset), done = plan.place(length, number), 0
+    while done < length:
+        take = min(length - done, plan.window - offset)
+        yield done, take, crc(ids[done:done + take]), sequence, offset
+        done, sequence, offset = done + take, sequence + 1, 0
+
+
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -193,15 +210,42 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> Dat
                     rows.append((key, i * window, window, int(c), total, int(sequence) + i, 0))
                 if not length:
                     continue
-                start, ids = len(crcs) * window, np.frombuffer(rest, dtype="<u4")
-                sequence, offset = p.place(length, number)
-                while len(ids):
-                    take = min(len(ids), window - offset)
-                    rows.append((key, start, take, crc(ids[:take]), total, sequence, offset))
-                    start, sequence, offset, ids = start + take, sequence + 1, 0, ids[take:]
+                for before, take, c, at, offset in rest_pieces(p, rest, length, number):
+                    rows.append((key, len(crcs) * window + before, take, c, total, at, offset))
             names = [c.split()[0] for c in PIECE.split(", ")]
             out = pd.DataFrame([r[1:] for r in rows], columns=names[1:])
             out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
             yield out
 
     return placed.select(F.col("doc_id").cast("string"), "doc_tokens", "crcs", "rest", "rest_len", "number", "sequence").mapInPandas(pieces, PIECE)
+
+
+def pack_in_order(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+    """The same rows as ``pack``, for documents with columns q_slot and q_rank."""
+    slots, names = RANGE_SLOTS, [c.split()[0] for c in PIECE.split(", ")]
+
+    def arrange(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("q_slot", "ascending"), ("q_rank", "ascending")])
+        lengths = group["rest_len"].to_pylist()
+        n_whole = sum(map(len, group["crcs"].to_pylist()))
+        plan = Plan(np.bincount(lengths, minlength=window), window, n_whole)
+        seen, numbers, rows, whole = np.zeros(window, dtype=np.int64), {}, [], 0
+        columns = (group[c].to_pylist() for c in ("doc_id", "doc_tokens", "crcs", "rest"))
+        for doc_id, total, crcs, rest, length in zip(*columns, lengths):
+            for i, c in enumerate(crcs):
+                rows.append((doc_id, i * window, window, c, total, numbers.setdefault(whole, len(numbers)), 0))
+                whole += 1
+            if length:
+                for before, take, c, at, offset in rest_pieces(plan, rest, length, int(seen[length])):
+                    rows.append((doc_id, len(crcs) * window + before, take, c, total, numbers.setdefault(at, len(numbers)), offset))
+                seen[length] += 1
+        cols = [*zip(*rows), [group["q_range"][0].as_py()] * len(rows)]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[*names, "q_range"])
+
+    encoded = (encode(docs.withColumn("q_range", F.floor(F.col("q_slot") / slots)), path, window, end_id, ("q_slot", "q_rank", "q_range"))
+               .drop("part", "seq"))
+    done = cut(encoded.groupBy("q_range").applyInArrow(arrange, PIECE + ", q_range long"))
+    before = Window.orderBy("q_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    firsts = (done.groupBy("q_range").agg((F.max("sequence_id") + 1).alias("n"))
+              .select("q_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    return done.join(firsts, "q_range").withColumn("sequence_id", F.col("first") + F.col("sequence_id")).select(*names)

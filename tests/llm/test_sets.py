@@ -309,3 +309,33 @@ def test_mixing_of_any_number_of_sources(spark, monkeypatch):
     df = spark.range(400).selectExpr("id as doc_id", "'x' as text", "if(id % 80 = 0, null, concat('s', id % 80)) as source")
     rows = mixing.mix_report(df, block=2).collect()
     assert sorted(r.doc_id for r in rows) == list(range(400)) and len({r.slot for r in rows}) == 240
+
+
+def test_sequences_follow_the_mixed_order(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_SLOTS", 8, raising=False)
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('word ', cast(if(id % 8 = 0, 1500, 40 + id % 300) as int)) as text",
+                                        "case when id % 8 = 0 then null when id % 8 < 3 then 'b' else 'a' end as source")
+    mixed = corpus_pipeline.mixing(spark, docs, SMALL)
+    slot = {r.doc_id: r.slot for r in mixing.mix_report(docs).collect()}
+    rows = corpus_pipeline.packing(spark, mixed.repartition(5), SMALL).collect()
+    by_seq, place = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+        place[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    assert sorted(by_seq) == list(range(len(by_seq))) and set(place) == set(slot)
+    for pieces in place.values():
+        assert sum(n for _, n, _ in pieces) == pieces[0][2]
+    for pieces in by_seq.values():
+        pieces.sort()
+        assert all(o == sum(n for _, n in pieces[:i]) for i, (o, _) in enumerate(pieces)) and sum(n for _, n in pieces) <= 1024
+    # the target shares hold on every prefix of sequences, up to one range, until the first source runs out
+    counts = Counter("n" if d % 8 == 0 else "b" if d % 8 < 3 else "a" for d in slot)
+    weights = mixing.tempered(counts)
+    ends = min(max(t for d, t in slot.items() if (d % 8 == 0) == (s == "n") and (d % 8 in (1, 2)) == (s == "b")) for s in counts)
+    seen, started = Counter(), set()
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        if r.doc_id not in started and len(started) < (ends - 8) * 32:
+            started.add(r.doc_id)
+            seen["n" if r.doc_id % 8 == 0 else "b" if r.doc_id % 8 < 3 else "a"] += 1
+            assert max(abs(seen[s] - len(started) * w / sum(weights.values())) for s, w in weights.items()) <= 32 * 9
+    assert len(started) > 1000
