@@ -199,3 +199,25 @@ def test_near_threshold_lines_are_counted(spark):
     seen = line_dedup.occurrences(df, "source", 3)
     for least, want in ((40, 3), (41, 0), (39, 3)):
         assert line_dedup.boilerplate(seen, least, 4).count() == want
+
+
+INSULTS = {"trash", "pathetic", "worthless", "idiot", "loser", "disgusting", "scum", "clown", "moron", "stupid"}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    df = spark.read.parquet(f"{SMALL[:-5]}0.1/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL[:-5]}0.1/labels.parquet")
+    label = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    texts = {r.doc_id: (r.text or "", r.lang) for r in df.collect() if r.doc_id in label}
+    out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in texts}
+    sizes, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda t, y: sizes.append(([x for x in t], list(y))) or fit(t, y))
+    model = toxicity.train(df, labels)
+    short = sum(label[d] == 0 for d in texts if not out[d] and len(texts[d][0]) <= toxicity.SAMPLE_CHARS)
+    assert 2000 < short <= 3000 and sum(y == 0 for y in sizes[0][1]) >= short
+    words = model.scorer()
+    toxic = [d for d in texts if out[d] and label[d]]
+    no_cause = {d for d in toxic if texts[d][1] == "en" and not INSULTS & set(re.findall(r"[a-z]+", texts[d][0].lower()))}
+    assert no_cause == {852, 2514, 2838, 8743, 8847}
+    hits = [model.bag(texts[d][0], words)[0] >= 0.5 for d in toxic if d not in no_cause]
+    assert sum(hits) / len(hits) > 0.9
