@@ -1,11 +1,15 @@
 """Operator 4: toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic score of its words and their prefixes; the
-document's is the noisy-or of its sentences, 1 - prod(1 - p). Only document labels train the weights, so the sentence
-scores, which locate the offending sentences, are learned through the noisy-or.
+noisy-or of some sentences is 1 - prod(1 - p). Only document labels train the weights, so the sentence scores, which
+locate the offending sentences, are learned through the noisy-or. A document's score is the highest noisy-or of its
+passages, PASSAGE sentences in a row: the fit knows texts of few sentences, and the small probabilities of very many clean
+ones must not add up. Texts of up to PASSAGE sentences are one passage.
 
-The classifier is fitted on a bounded sample: at most SAMPLE labelled documents of each label, each of at most
-SAMPLE_CHARS characters, the ones with the smallest hash of doc_id. Scoring covers every whole text.
+The classifier is fitted on a bounded sample of all labelled documents: at most SAMPLE of each label, the ones with the
+smallest hash of doc_id. Of a text over SAMPLE_CHARS characters the fit sees PIECES pieces, as many characters in all,
+spread evenly from its start to its end; they count as the text, whose other sentences the fit does not see. Scoring
+covers every whole text.
 
 Defined results: null and empty texts are one sentence without words, so they get the bias alone; a text's score is
 independent of other rows, so repeated rows agree; labels that contradict each other count as toxic; null labels are
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import text_of, unpack, whole_row
 
 SAMPLE, SAMPLE_CHARS, PREFIXES, MIN_DOCS, MIN_WORDS, CACHED_WORDS = 3000, 20_000, (3, 4, 5, 6), 5, 6, 400_000
+PASSAGE, PIECES = 32, 20
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -75,8 +80,9 @@ class Model:
         """The document's score, then what SCORED lists; spans in characters, end exclusive."""
         bag = sentences(text or "")
         z = np.array([self.bias + sum(map(words.__getitem__, w)) for _, _, w in bag])
-        p, clean = 1 / (1 + np.exp(-np.clip(z, -500, 500))), -np.logaddexp(0, z).sum()
-        k = int(p.argmax())
+        p, before = 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.append(0, np.logaddexp(0, z).cumsum())
+        n, k = min(PASSAGE, len(z)), int(p.argmax())
+        clean = -(before[n:] - before[:-n]).max()
         return float(-np.expm1(clean)), len(bag), int((p >= 0.5).sum()), bag[k][0], bag[k][1], float(p[k])
 
 
@@ -138,17 +144,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def drawn(text: Column) -> Column:
+    """The text, or PIECES pieces of a long one in lines of their own, without the words that were cut."""
+    size, n = SAMPLE_CHARS // PIECES, F.length(text)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.floor(i * (n - size) / (PIECES - 1)).cast("int") + 1)
+    pieces = F.transform(starts, lambda at: F.regexp_replace(F.substr(text, at, F.lit(size)), r"^\S+\s|\s\S+$", ""))
+    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the bounded sample. Only its rows reach the driver."""
     marked = (labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id")
               .agg(F.max(F.col("toxic").cast("int")).alias("q_toxic")))
-    short = (docs.select("doc_id", F.length(text_of("text")).alias("q_chars")).where(F.col("q_chars") <= SAMPLE_CHARS)
-             .select("doc_id").join(marked, "doc_id"))
+    known = docs.select("doc_id").join(marked, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]  # each task keeps its own first rows: no label meets in one task
-    of = [short.where(F.col("q_toxic") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
+    of = [known.where(F.col("q_toxic") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
     chosen = of[0].unionByName(of[1]).select("doc_id", "q_toxic")
     rows = (docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 SAMPLE rows
-            .where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "q_toxic").toPandas().sort_values("doc_id"))
+            .select("doc_id", drawn(F.col("text")).alias("text"), "q_toxic").toPandas().sort_values("doc_id"))
     return fit(rows["text"].tolist(), rows["q_toxic"].tolist())
 
 

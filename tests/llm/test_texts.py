@@ -221,3 +221,25 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert no_cause == {852, 2514, 2838, 8743, 8847}
     hits = [model.bag(texts[d][0], words)[0] >= 0.5 for d in toxic if d not in no_cause]
     assert sum(hits) / len(hits) > 0.9
+
+
+def test_toxicity_of_very_long_texts(spark, monkeypatch):
+    df = spark.read.parquet(f"{SMALL[:-5]}0.1/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL[:-5]}0.1/labels.parquet")
+    label = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    texts = {r.doc_id: r.text or "" for r in df.collect() if r.doc_id in label}
+    out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in texts}
+    sizes, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda t, y: sizes.append([len(x) for x in t]) or fit(t, y))
+    model = toxicity.train(df, labels)
+    words = model.scorer()
+    assert len(sizes[0]) == sum(not x for x in out.values()) and max(sizes[0]) <= toxicity.SAMPLE_CHARS + 20
+    assert max(len(texts[d]) for d in texts if not out[d]) > toxicity.SAMPLE_CHARS
+    # held-out clean texts that are kept one by one, in a row
+    clean = [t for d, t in sorted(texts.items()) if out[d] and not label[d] and model.bag(t, words)[0] < 0.5]
+    toxic = next(t for d, t in sorted(texts.items()) if out[d] and label[d] and model.bag(t, words)[0] > 0.9)
+    row = [t[a:b] for t in clean for a, b, _ in toxicity.sentences(t)]
+    row *= -(-50_000 // len(row))
+    for n in (1000, 10_000, 50_000):
+        assert model.bag("\n".join(row[:n]), words)[0] < 0.5, n
+        assert model.bag("\n".join([*row[:n // 2], toxic, *row[n // 2:n]]), words)[0] >= 0.5, n
