@@ -44,9 +44,9 @@ def features(word: str) -> list[str]:
 def sentences(text: str) -> list[tuple[int, int, set[str]]]:
     """(start, end, distinct lower-case words) of each sentence; one of under MIN_WORDS words joins the next. One empty
     sentence if the text has no words."""
-    lower = text.lower()
+    lower = text.replace("\u0130", "I").lower()  # the one character whose lower case is longer: offsets stay
     found, start, held = [], None, []
-    for m in SENTENCE.finditer(lower if len(lower) == len(text) else text):
+    for m in SENTENCE.finditer(lower):
         if words := WORD.findall(m.group()):
             start = m.start() if start is None else start
             held += words

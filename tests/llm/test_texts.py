@@ -243,3 +243,12 @@ def test_toxicity_of_very_long_texts(spark, monkeypatch):
     for n in (1000, 10_000, 50_000):
         assert model.bag("\n".join(row[:n]), words)[0] < 0.5, n
         assert model.bag("\n".join([*row[:n // 2], toxic, *row[n // 2:n]]), words)[0] >= 0.5, n
+
+
+def test_toxicity_lower_cases_around_a_dotted_capital_i():
+    text = "İstanbul is a fine old town. YOU ARE A STUPİD CLOWN today again."
+    (_, _, first), (start, end, second) = toxicity.sentences(text)
+    assert {"istanbul", "fine"} <= first and {"you", "stupid", "clown"} <= second
+    assert text[start:end] == " YOU ARE A STUPİD CLOWN today again"[-(end - start):] and end == len(text) - 1
+    import sys
+    assert [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.lower()) != 1] == ["İ"]
