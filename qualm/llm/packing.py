@@ -1,8 +1,9 @@
 """Operator 5: packing by non-negative least squares.
 
 A document's ids (with the end id) are cut into whole windows and one rest of 1 to window - 1 ids. The rests form a
-histogram by length, whose size is the window, whatever the corpus. Combinations of two to four lengths that fill a
-window exactly are enumerated; non-negative least squares finds how often to repeat each; the counts are rounded down
+histogram by length, whose size is the window, whatever the corpus. Of the combinations that fill a window exactly,
+all of two lengths are listed, and of three (a, b, c) and four (a, b, b, c) those whose b is among the commonest lengths
+(at least 4, fewer the more lengths there are); non-negative least squares finds how often to repeat each; the counts are rounded down
 and clipped to the supply. Rests left over are packed greedily, longest first, end to end, and cut where a window
 ends, so that only the last sequence has padding. Places follow by arithmetic: a rest's number among those of its
 length (counted per written partition, offsets by prefix sums) names its repeat of a combination. No text, id or
@@ -82,7 +83,7 @@ def encode(docs: DataFrame, path: str, window: int, end_id: int, keep: tuple[str
 
 
 def combinations(hist: np.ndarray, window: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Multisets of two to four present lengths that sum to the window, common lengths first."""
+    """Multisets of present lengths that sum to the window: all pairs; (a, b, c) and (a, b, b, c) for the commonest b only."""
     have = np.flatnonzero(hist)
     there, found = set(have.tolist()), set()
     for a in have.tolist():
