@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, collocations, exact_dedup, line_dedup, minhash, mixing, packing, secrets, simhash, token_count, toxicity
+from . import ann, chat, collocations, exact_dedup, line_dedup, minhash, mixing, packing, repair, secrets, simhash, token_count, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns, public_tokenizers.path(VOCABULARY)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,6 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_simhash_fingerprints, op4_toxicity, op5_packing,
                                    op6_secret_scan, op7_source_mixing, op8_line_dedup, op9_minhash_near_dedup, op10_chat_windows,
-                                   op12_exact_dedup, op13_collocations)}
+                                   op11_conversation_repair, op12_exact_dedup, op13_collocations)}
 ORACLE_SQL = {"op8_line_dedup": line_dedup.REPORT_SQL, "op9_minhash_near_dedup": minhash.NEAR_SQL,
               "op12_exact_dedup": exact_dedup.COPIES_SQL, "op13_collocations": collocations.COLLOCATIONS_SQL}

@@ -322,7 +322,7 @@ WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-s AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS ws FROM p),
+s AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
 i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM s),
 f AS (SELECT lang, ws[i:i + k - 1] AS w, k, count(*) AS a FROM i, (SELECT unnest(range(1, {LONGEST} + 1)) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
 n AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
