@@ -40,7 +40,8 @@ def frequent(rows: DataFrame, counters: int = COUNTERS, most: int = FREQUENT) ->
     """(item): at most ``most`` items that may be frequent."""
     summaries = (rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g"))
                  .agg(F.expr(f"approx_top_k_accumulate(item, {counters})").alias("summary")))
-    merged = summaries.agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
+    # one group by a column, not a plain total: a total also makes summaries of empty partitions, which do not merge
+    merged = summaries.groupBy((F.col("g") < 0).alias("all")).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
     found = merged.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {most})")).alias("x"))
     return found.where(F.col("x.count") > 1).select("x.item")
 
