@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import cut
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BITS, ROW, WORDS_HELD, STEP = 25, 1 << 20, 400_000, 16
+BITS, ROW, WORDS_HELD, STEP = 25, 1 << 19, 200_000, 16
 PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that no power of it vanishes
 
@@ -55,7 +56,8 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[str, str | None]]:
-    return zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
+    lang, text = batch.column("lang"), batch.column("text")
+    return ((lang[i].as_py(), text[i].as_py()) for i in range(batch.num_rows))
 
 
 def arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -72,9 +74,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def passed():
             for lang, counts in held.items():
                 hash_of = hasher(lang)
-                rows = [(lang, w.decode("utf-8", "replace"), hash_of(w), n) for w, n in counts.items()]
-                for i in range(0, len(rows), 50_000):
-                    yield arrow(rows[i:i + 50_000], schema)
+                rows = ((lang, w.decode("utf-8", "replace"), hash_of(w), n) for w, n in counts.items())
+                while some := list(islice(rows, 20_000)):
+                    yield arrow(some, schema)
             held.clear()
 
         for b in batches:
@@ -116,12 +118,14 @@ def encode(docs: DataFrame, kept) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.int64())), ("codes", pa.binary())])
 
     class Codes(dict):
-        def __init__(self, lang):
-            self.words, self.hash_of, self.text, self.filter = [0], hasher(lang), [], Filter(kept.value)
+        def __init__(self, lang, bits):
+            self.bits = bits
+            self.words, self.hash_of, self.text = [0], hasher(lang), []
 
         def __missing__(self, word):
             h = self.hash_of(word)
-            if self.filter.has(np.array([h], np.int64))[0]:
+            at = (h & (1 << 64) - 1) >> 64 - BITS
+            if self.bits[at >> 3] >> (at & 7) & 1:
                 self.words.append(h)
                 self[word] = len(self.words) - 1
             else:
@@ -129,7 +133,7 @@ def encode(docs: DataFrame, kept) -> DataFrame:
             return self[word]
 
     def run(batches):
-        held = {}
+        bits, held = kept.value.tobytes(), {}
 
         def row(lang):
             c = held.pop(lang)
@@ -137,14 +141,17 @@ def encode(docs: DataFrame, kept) -> DataFrame:
 
         for b in batches:
             for lang, text in rows_of(b):
-                c = held[lang] = held.get(lang) or Codes(lang)
+                if lang not in held:
+                    held[lang] = Codes(lang, bits)
+                c = held[lang]
                 for piece in words_of(text):
                     c.text += [c[w] for w in piece]
                     c.text.append(0)
                 if len(c.text) >= ROW:
                     yield row(lang)
-        for lang in list(held):
-            yield row(lang)
+                if sum(len(c.text) for c in held.values()) >= 4 * ROW:  # many languages
+                    yield from map(row, list(held))
+        yield from map(row, list(held))
 
     return texts(docs).mapInArrow(run, CODED)
 
