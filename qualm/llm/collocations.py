@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import cut
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BITS, ROW, WORDS_HELD, STEP = 25, 1 << 19, 200_000, 16
+BITS, ROW, WORDS_HELD, STEP = 25, 1 << 18, 200_000, 16
 PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that no power of it vanishes
 
@@ -114,7 +114,8 @@ def filter_of(hashes: DataFrame):
 
 
 def encode(docs: DataFrame, kept) -> DataFrame:
-    """Rows (lang, words, codes) of at most ROW words and one text: ``codes`` are int32 places in ``words``, whose first is 0."""
+    """Rows (lang, words, codes) of at most ROW words and one text: ``codes`` are places in ``words``, whose first is 0, of two bytes each
+    unless a row has too many distinct words. Breaks in a row are one break."""
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.int64())), ("codes", pa.binary())])
 
     class Codes(dict):
@@ -137,7 +138,8 @@ def encode(docs: DataFrame, kept) -> DataFrame:
 
         def row(lang):
             c = held.pop(lang)
-            return arrow([(lang, c.words, np.array(c.text, "<i4").tobytes())], schema)
+            text = np.array(c.text, "<u2" if len(c.words) <= 1 << 16 else "<u4")
+            return arrow([(lang, c.words, text[(text != 0) | (np.roll(text, 1) != 0)].tobytes())], schema)
 
         for b in batches:
             for lang, text in rows_of(b):
@@ -187,7 +189,8 @@ def coded_rows(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndar
     """lang, the words' hashes and the codes of each row."""
     lang, words, codes = (batch.column(c) for c in ("lang", "words", "codes"))
     for i in range(batch.num_rows):
-        yield lang[i].as_py(), words[i].values.to_numpy(), np.frombuffer(codes[i].as_buffer(), "<i4")
+        known = words[i].values.to_numpy()
+        yield lang[i].as_py(), known, np.frombuffer(codes[i].as_buffer(), "<u2" if len(known) <= 1 << 16 else "<u4")
 
 
 def count_next(coded: DataFrame, k: int, opened, prefixes=None) -> DataFrame:
