@@ -8,9 +8,9 @@ earlier buckets (a table of groups x buckets rows). The order key must be
 unique inside a group (add a row id) so the result is deterministic.
 
 ``pick_first_n`` selects, per group, the n rows with the smallest
-``md5(seed:row_id)``; md5 is uniform, so its first four hex digits already
-form balanced buckets and no sampling is needed. DuckDB's ``md5`` gives the
-same text, so the pick can be checked exactly.
+``md5(seed:row_id)``; md5 is uniform, so a count by its first hex digits shows
+where the n-th row lies, and only rows of that prefix are ranked. DuckDB's
+``md5`` gives the same text, so the pick can be checked exactly.
 """
 from __future__ import annotations
 
@@ -19,34 +19,52 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
+
 BUCKET_ROWS = 1 << 18     # rows aimed at in an order bucket; each is one window task
 MAX_BUCKETS = 1024        # buckets per group: their edges are kept per group
 PCT_ACCURACY = 10000
-SMALL_GROUP_ROWS = 1 << 20   # a window over at most this many rows is one comfortable task
+PREFIX = 3                # hex digits of md5 that a pick counts by: 4,096 prefixes
 
 
-def groups_are_small(df: DataFrame, group_cols: Sequence[str] = (), limit: int = SMALL_GROUP_ROWS) -> bool:
-    """One aggregate (cheap on a materialized frame): is every group within ``limit`` rows?"""
-    g = _cols(group_cols)
-    c = df.groupBy(*g).count() if g else df.groupBy().count()
-    largest = c.agg(F.max("count")).first()[0]
-    return largest is None or largest <= limit
-
-
-def bucket_count(df: DataFrame, group_cols: Sequence[str] = ()) -> int:
-    """Order buckets for the largest group: about ``BUCKET_ROWS`` rows in each, two at least."""
+def bucket_count(df: DataFrame, group_cols: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS) -> int:
+    """Order buckets for the largest group: about ``bucket_rows`` rows in each, two at least."""
     g = _cols(group_cols)
     largest = (df.groupBy(*g).count() if g else df.groupBy().count()).agg(F.max("count")).first()[0] or 0
-    return max(2, min(MAX_BUCKETS, -(-largest // BUCKET_ROWS)))
+    return max(2, min(MAX_BUCKETS, -(-largest // bucket_rows)))
 
 
 def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs or [])
 
 
+def order_buckets(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), num_buckets: int | None = None,
+                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``_bucket``: numbers that rise with ``order_cols`` inside a group. Hot values of the first key are cut by the second."""
+    g, order_cols = _cols(group_cols), _cols(order_cols)
+    prim = order_cols[0]
+    tie = order_cols[1] if len(order_cols) > 1 else None
+    B = bucket_count(df, g, bucket_rows) if num_buckets is None else max(1, int(num_buckets))
+    fr = [i / B for i in range(1, B)] or [0.5]
+    pa = lambda c: F.array_distinct(F.percentile_approx(F.col(c), fr, PCT_ACCURACY))
+    b1 = (df.groupBy(*g) if g else df.groupBy()).agg(pa(prim).alias("_b"))
+    x = df.join(b1, g) if g else df.crossJoin(b1)
+    x = (x.withColumn("_lo", F.size(F.filter(F.col("_b"), lambda e: e < F.col(prim))))
+          .withColumn("_eq", F.coalesce(F.array_contains(F.col("_b"), F.col(prim)), F.lit(False)))
+          .drop("_b"))
+    if tie is not None:
+        tb = x.filter("_eq").groupBy(*g, prim).agg(pa(tie).alias("_tb"))
+        x = x.join(tb, [*g, prim], "left")
+        sub = F.when(F.col("_eq"), 1 + F.size(F.filter(F.col("_tb"), lambda e: e < F.col(tie)))).otherwise(0)
+        x = x.withColumn("_bucket", F.col("_lo") * (B + 2) + sub).drop("_tb")
+    else:
+        x = x.withColumn("_bucket", F.col("_lo") * (B + 2) + F.col("_eq").cast("int"))
+    return x.drop("_lo", "_eq")
+
+
 def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
                 sum_cols: Sequence[str] = (), rank_col: str = "pos",
-                num_buckets: int | None = None, max_cols: Sequence[str] = (), small: bool = False) -> DataFrame:
+                num_buckets: int | None = None, max_cols: Sequence[str] = ()) -> DataFrame:
     """Add ``rank_col`` (1-based, per group, ascending ``order_cols``) and, for
     each ``c`` in ``sum_cols``, ``cum_<c>`` = running sum up to and including the row;
     for each ``c`` in ``max_cols``, ``prevmax_<c>`` = maximum over the earlier rows (NULL if none).
@@ -59,41 +77,10 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
     (group, bucket), and bucket totals are prefix-summed on a
     groups x buckets table and joined back on the windows' own partitioning.
     The number of buckets comes from the largest group's rows (one count) unless given.
-
-    ``small=True`` is for callers that have checked every group holds at most
-    ``SMALL_GROUP_ROWS`` rows (see ``groups_are_small``): one window per group
-    then, a single shuffle and no sampling pass.
     """
     g, order_cols, sum_cols = _cols(group_cols), _cols(order_cols), _cols(sum_cols)
     max_cols = _cols(max_cols)
-    if small:
-        w = Window.partitionBy(*g).orderBy(*order_cols) if g else Window.orderBy(*order_cols)
-        out = df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
-        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        wp = w.rowsBetween(Window.unboundedPreceding, -1)
-        for c in sum_cols:
-            out = out.withColumn(f"cum_{c}", F.sum(c).over(wr))
-        for c in max_cols:
-            out = out.withColumn(f"prevmax_{c}", F.max(c).over(wp))
-        return out
-    prim = order_cols[0]
-    tie = order_cols[1] if len(order_cols) > 1 else None
-    B = bucket_count(df, g) if num_buckets is None else max(1, int(num_buckets))
-    fr = [i / B for i in range(1, B)] or [0.5]
-    pa = lambda c: F.array_distinct(F.percentile_approx(F.col(c), fr, PCT_ACCURACY))
-    b1 = (df.groupBy(*g) if g else df.groupBy()).agg(pa(prim).alias("_b"))
-    x = df.join(F.broadcast(b1), g) if g else df.crossJoin(F.broadcast(b1))
-    x = (x.withColumn("_lo", F.size(F.filter(F.col("_b"), lambda e: e < F.col(prim))))
-          .withColumn("_eq", F.coalesce(F.array_contains(F.col("_b"), F.col(prim)), F.lit(False)))
-          .drop("_b"))
-    if tie is not None:
-        tb = x.filter("_eq").groupBy(*g, prim).agg(pa(tie).alias("_tb"))
-        x = x.join(F.broadcast(tb), [*g, prim], "left")
-        sub = F.when(F.col("_eq"), 1 + F.size(F.filter(F.col("_tb"), lambda e: e < F.col(tie)))).otherwise(0)
-        x = x.withColumn("_bucket", F.col("_lo") * (B + 2) + sub).drop("_tb")
-    else:
-        x = x.withColumn("_bucket", F.col("_lo") * (B + 2) + F.col("_eq").cast("int"))
-    x = x.drop("_lo", "_eq")
+    x = order_buckets(df, order_cols, g, num_buckets)
     wb = Window.partitionBy(*g, "_bucket").orderBy(*order_cols)
     local = x.withColumn("_rn", F.row_number().over(wb))
     wr = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,30 +115,45 @@ def hash_key(seed, id_col: str) -> Column:
     return F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def pick_first_n(df: DataFrame, n_col: Column | str, seed, id_col: str = "row_id",
-                 group_cols: Sequence[str] = (), out_col: str = "picked", small: bool = False) -> DataFrame:
+def _crossing(hashed: DataFrame, sizes: DataFrame, by: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """(parts..., _p, _need): the md5 prefix in which the count of a part's rows crosses its group's ``_n``, and how many rows are
+    missing before it. A part has at most 16 ** PREFIX prefixes; a part that never reaches ``_n``, or wants none, has no row."""
+    parts = list(parts)
+    counts = hashed.groupBy(*parts, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    upto = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_sum", F.sum("_c").over(upto))
+    counts = counts.join(sizes, list(by)) if by else counts.crossJoin(sizes)
+    need = F.col("_n") - (F.col("_sum") - F.col("_c"))
+    return counts.where((F.col("_sum") >= F.col("_n")) & (need > 0)).select(*parts, "_p", need.alias("_need"))
+
+
+def pick_cuts(df: DataFrame, sizes: DataFrame, seed: Column, id_col: str, by: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
+    """(by..., also..., _h, id): the ``_n``-th row of each part in the order of (md5(seed:id), id). ``sizes`` has ``_n`` by ``by``; ``also``
+    are columns that divide a group further, such as repeats. Only rows of the crossing prefix, 1 in 4,096, are ranked."""
+    parts = [*by, *also]
+    hashed = df.withColumn("_h", hash_key(seed, id_col)).withColumn("_p", F.substring("_h", 1, PREFIX))
+    crossing = materialize(_crossing(hashed, sizes, by, parts))
+    near = hashed.join(crossing, [*parts, "_p"])
+    place = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy("_h", id_col)
+    return near.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") == F.col("_need")).select(*parts, "_h", id_col)
+
+
+def pick_first_n(df: DataFrame, n_col: Column | str, seed, id_col: str = "row_id", group_cols: Sequence[str] = (), out_col: str = "picked") -> DataFrame:
     """Flag the ``n`` rows with the smallest (md5(seed:id), id) per group.
 
-    ``n_col`` is a column (may differ per group) and ``seed`` a literal or a
-    column (so several repeats can be picked in one pass). Rank inside a row's
-    4-hex-digit prefix comes from a window over (group, prefix), which is
-    balanced because md5 is uniform; counts of earlier prefixes come from a
-    table of at most 65,536 rows per group.
+    ``n_col`` is the same for all rows of a group; ``seed`` a literal or a column (so several repeats can be picked in one pass). Rows
+    before the prefix where the count crosses n are in, rows behind it out; only the rows of that prefix, 1 in 4,096, are ranked.
     """
-    group_cols = _cols(group_cols)
+    g = _cols(group_cols)
     n_col = F.col(n_col) if isinstance(n_col, str) else n_col
-    if small:  # every group checked to fit one task: one window
-        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_h", id_col)
-        h = df.withColumn("_h", hash_key(seed, id_col))
-        return h.withColumn(out_col, F.row_number().over(w) <= n_col).drop("_h")
-    h = df.withColumn("_h", hash_key(seed, id_col)).withColumn("_p", F.substring("_h", 1, 4))
-    cnt = h.groupBy(*group_cols, "_p").agg(F.count("*").alias("_c"))
-    wt = Window.partitionBy(*group_cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = cnt.select(*group_cols, "_p", F.coalesce(F.sum("_c").over(wt), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy(*group_cols, "_p").orderBy("_h", id_col)
-    out = h.withColumn("_rn", F.row_number().over(wl)).join(offs, [*group_cols, "_p"])
-    return (out.withColumn(out_col, (F.col("_off") + F.col("_rn")) <= n_col)
-               .drop("_h", "_p", "_rn", "_off"))
+    h = df.withColumn("_n", n_col.cast("bigint")).withColumn("_h", hash_key(seed, id_col)).withColumn("_p", F.substring("_h", 1, PREFIX))
+    crossing = materialize(_crossing(h, h.groupBy(*g).agg(F.max("_n").alias("_n")), g, g).withColumnRenamed("_p", "_at"))
+    h = h.join(crossing, g, "left") if g else h.join(crossing, F.lit(True), "left")
+    none = F.col("_at").isNull()  # all rows or none
+    sure = h.where(none | (F.col("_p") != F.col("_at"))).withColumn(out_col, F.when(none, F.col("_n") > 0).otherwise(F.col("_p") < F.col("_at")))
+    place = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_h", id_col)
+    edge = h.where(F.col("_p") == F.col("_at")).withColumn(out_col, F.row_number().over(place) <= F.col("_need"))
+    return sure.unionByName(edge).select(*df.columns, out_col)
 
 
 def average_rank(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),

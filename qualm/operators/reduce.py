@@ -16,7 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.selective import exact_percentiles
+from ..operators.quantile import exact_quantiles
+from ..plans.materialize import materialize
 
 
 # -- D2-D4 ------------------------------------------------------------------------
@@ -178,7 +179,8 @@ def mahalanobis_filter(df: DataFrame, cols: Sequence[str], percentile: float = 9
             q = t if q is None else q + t
     withd = df.withColumn(out, F.sqrt(F.greatest(q, F.lit(0.0))))
     spark = df.sparkSession
-    thr = exact_percentiles(withd, out, spark.createDataFrame([(percentile / 100.0,)], "q double"), [], "_thr")
+    withd = materialize(withd)
+    thr = exact_quantiles(withd, out, spark.createDataFrame([(percentile / 100.0,)], "q double"), [], "_thr")
     return withd.crossJoin(F.broadcast(thr.select("_thr"))).filter(F.col(out) < F.col("_thr")).drop("_thr")
 
 

@@ -6,20 +6,21 @@ Conventions (fixed):
   breaks ties so every run keeps the same rows.
 * A repeat ``r`` draws its calibration rows with seed ``seed_base + r``.
 
-Schemes are evaluated as parallel columns: each eval row is sorted once per
-group (solution, repeat) and carries one error flag per scheme.
+Repeats and schemes are lanes of one ordering (``lanes.py``): a row is sorted once per
+solution and carries a flag per repeat and an error flag per repeat and scheme.
 """
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import stats_1d
 from ..plans.materialize import materialize
-from .order import global_rank, groups_are_small, pick_first_n
+from .lanes import draw_repeats, lane_metrics, lane_thresholds
+from .order import pick_first_n
+from .quantile import exact_quantiles
 
 # Threshold schemes (name, BERTScore percentile, ROUGE-L percentile)
 # and rejection coverages, as the evaluation notebook defines them.
@@ -57,56 +58,18 @@ def calib_split(df: DataFrame, group_col: str = "split", calib_from: Sequence[st
     n = n.withColumn("_nc", F.bround(F.lit(float(calib_frac)) * F.col("_ne"), 0).cast("bigint"))
     e = df.filter(elig)
     e = (e.join(F.broadcast(n.select(*by, "_nc")), by) if by else e.crossJoin(F.broadcast(n.select("_nc"))))
-    e = pick_first_n(e, "_nc", seed, id_col=id_col, group_cols=by, out_col="_pk",
-                     small=groups_are_small(df.filter(elig), by)).drop("_nc")
+    e = pick_first_n(e, "_nc", seed, id_col=id_col, group_cols=by, out_col="_pk").drop("_nc")
     e = e.withColumn(out_col, F.when(F.col("_pk"), "calib").otherwise("eval")).drop("_pk")
     rest = df.filter(~elig | F.col(group_col).isNull()).withColumn(out_col, F.lit("eval"))
     return e.unionByName(rest)
 
 
-def repeat_rows(df: DataFrame, n_repeats: int, seed_base: int = 42) -> DataFrame:
-    """Explode each row over repeats 0..n-1 with its split seed (n is small and fixed)."""
-    return (df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-              .withColumn("repeat", F.col("repeat").cast("bigint"))
-              .withColumn("split_seed", (F.lit(seed_base) + F.col("repeat")).cast("bigint")))
-
-
 # -- H2 -----------------------------------------------------------------------
-def exact_percentiles(df: DataFrame, value_col: str, probs: DataFrame, group_cols: Sequence[str] = (),
-                      out_col: str = "value", small: bool = False) -> DataFrame:
-    """Linear-interpolated percentiles (numpy default) per group, exact at any size.
-
-    ``probs`` has a ``q`` column in [0, 1] (plus any id columns, and optionally
-    group columns). Values are collapsed to distinct (value, count) first, ranked
-    with S1, and each requested position is found by a range lookup on the
-    cumulative counts.
-    """
-    g = list(group_cols)
-    vals = df.filter(F.col(value_col).isNotNull())
-    d = vals.groupBy(*g, F.col(value_col).alias("_v")).agg(F.count("*").alias("_c"))
-    d = global_rank(d, ["_v"], g, sum_cols=["_c"], rank_col="_r", small=small)
-    d = d.select(*g, "_v", (F.col("cum__c") - F.col("_c")).alias("_lo"), F.col("cum__c").alias("_hi"))
-    n = vals.groupBy(*g).agg(F.count("*").alias("_n")) if g else vals.agg(F.count("*").alias("_n"))
-    pq = probs.join(F.broadcast(n), [c for c in g if c in probs.columns]) if g else probs.crossJoin(F.broadcast(n))
-    pq = (pq.withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-            .withColumn("_k0", F.floor("_h")).withColumn("_k1", F.ceil("_h")))
-    keys = [c for c in pq.columns if c not in ("_h", "_k0", "_k1", "_n")]  # unique per request
-    # requests are few per group (broadcast); only the one or two distinct
-    # values whose count range covers a requested position survive the filter
-    j = d.join(F.broadcast(pq), g) if g else d.crossJoin(F.broadcast(pq))
-    j = j.filter((F.col("_hi") > F.col("_k0")) & (F.col("_lo") <= F.col("_k1")))
-    out = j.groupBy(*keys).agg(F.min(F.when(F.col("_hi") > F.col("_k0"), F.col("_v"))).alias("_v0"),
-                               F.min(F.when(F.col("_hi") > F.col("_k1"), F.col("_v"))).alias("_v1"),
-                               F.first("_h").alias("_h"), F.first("_k0").alias("_k0"))
-    out = out.withColumn(out_col, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.col("_k0")))
-    return out.select(*keys, out_col)
-
-
 def thresholds(calib: DataFrame, schemes: DataFrame, group_cols: Sequence[str] = (),
-               bert_col: str = "bertscore_f1", rouge_col: str = "rougeL", small: bool = False) -> DataFrame:
+               bert_col: str = "bertscore_f1", rouge_col: str = "rougeL") -> DataFrame:
     """H2: (group..., scheme_id, scheme, p_bert, p_rouge, tau_bert, tau_rouge).
 
-    Both quality columns are stacked so one ranking pass serves every scheme.
+    Both quality columns are stacked so the same passes serve every scheme.
     """
     g = list(group_cols)
     vals = calib.select(*g, F.explode(F.array(
@@ -116,11 +79,11 @@ def thresholds(calib: DataFrame, schemes: DataFrame, group_cols: Sequence[str] =
     probs = (schemes.select("scheme_id", F.lit("b").alias("metric"), (F.col("p_bert") / 100).alias("q"))
              .unionByName(schemes.select("scheme_id", F.lit("r").alias("metric"),
                                          (F.col("p_rouge") / 100).alias("q"))))
-    pv = exact_percentiles(vals, "v", probs, [*g, "metric"], "tau", small=small)
+    pv = exact_quantiles(materialize(vals), "v", probs, [*g, "metric"], "tau")
     wide = pv.groupBy(*g, "scheme_id").agg(
         F.max(F.when(F.col("metric") == "b", F.col("tau"))).alias("tau_bert"),
         F.max(F.when(F.col("metric") == "r", F.col("tau"))).alias("tau_rouge"))
-    return wide.join(F.broadcast(schemes), "scheme_id")
+    return wide.join(schemes, "scheme_id")
 
 
 # -- H3 -----------------------------------------------------------------------
@@ -137,93 +100,40 @@ def joint_labels(eval_df: DataFrame, thr: DataFrame, group_cols: Sequence[str] =
                                                  F.col("tau_bert"), F.col("tau_rouge"))))
 
 
-# -- H4-H8: all schemes at once ------------------------------------------------
-def evaluate_schemes(scored: DataFrame, schemes=SCHEMES, coverages=COVERAGES,
-                     group_cols: Sequence[str] = (), split2_col: str = "split2",
-                     curve: bool = False, num_buckets: int | None = None, small: bool | None = None):
-    """H8 for every scheme and group: thresholds on 'calib', metrics on 'eval'.
+# -- H4-H9: all schemes and repeats at once -------------------------------------
+def _evaluate(rows: DataFrame, schemes, coverages, n_repeats: int, by: Sequence[str], curve: bool, num_buckets: int | None):
+    """Metrics of written ``rows`` (by..., row_id, uq, bertscore_f1, rougeL, calib), a row per (by..., lane, scheme)."""
+    g = list(by)
+    table = schemes_table(rows.sparkSession, schemes)
+    thr = lane_thresholds(rows, table, n_repeats, g)
+    S = len(schemes)
+    known = F.map_from_entries(F.collect_list(F.struct((F.col("lane") * S + F.col("scheme_id")).cast("int"), F.struct("tau_bert", "tau_rouge"))))
+    taus = thr.groupBy(*g).agg(known.alias("_t")).withColumn("_t", F.expr(f"transform(sequence(0, {n_repeats * S - 1}), i -> _t[i])"))
+    ev = rows.join(taus, g) if g else rows.crossJoin(taus)  # a list of repeats x schemes thresholds a group
+    ok = F.transform("_t", lambda t: F.coalesce(joint_correct(F.col("bertscore_f1"), F.col("rougeL"), t["tau_bert"], t["tau_rouge"]), F.lit(False)))
+    made = lane_metrics(ev.withColumn("ok", ok), n_repeats, S, coverages, g, curve, num_buckets)
+    per, points = made if curve else (made, None)
+    err = F.col("n_err") / F.col("n")
+    res = per.join(thr, [*g, "lane", "scheme_id"]).select(
+        *g, "lane", "scheme", "p_bert", "p_rouge", "tau_bert", "tau_rouge", (F.lit(1.0) - err).alias("acc_joint"), err.alias("err_joint"), "auroc", "aurc",
+        *[F.col("acc")[i].alias(cov_name(c)) for i, c in enumerate(coverages)], "n")
+    if not curve:
+        return res
+    return res, points.join(table.select("scheme_id", "scheme"), "scheme_id").select(*g, "scheme", "m", (F.col("m") / F.col("n")).alias("coverage"), "risk")
+
+
+def evaluate_schemes(scored: DataFrame, schemes=SCHEMES, coverages=COVERAGES, group_cols: Sequence[str] = (),
+                     split2_col: str = "split2", curve: bool = False, num_buckets: int | None = None):
+    """H8 for every scheme and group: thresholds on 'calib', metrics on the other rows.
 
     Returns the per-(group, scheme) metric table; with ``curve`` also the H5
     risk-coverage table (group, scheme, m, coverage, risk).
     """
-    spark = scored.sparkSession
     g = list(group_cols)
-    sch = schemes_table(spark, schemes)
-    S = len(schemes)
-    rk = {} if num_buckets is None else {"num_buckets": num_buckets}
-    scored = materialize(scored)
-    calib = scored.filter(F.col(split2_col) == "calib")
-    ev = scored.filter(F.col(split2_col) == "eval")
-    # groups (solution, repeat) within SMALL_GROUP_ROWS rank with one window each;
-    # ``small=False`` forces the bucketed path (tests)
-    if small is None:
-        small = groups_are_small(scored, g)
-    thr = materialize(thresholds(calib, sch, g, small=small))
-    # wide thresholds: one row per group, two columns per scheme (small)
-    wide = thr.groupBy(*g).agg(*[F.max(F.when(F.col("scheme_id") == i, F.col(c))).alias(f"_{c}_{i}")
-                                 for i in range(S) for c in ("tau_bert", "tau_rouge")]) if g else \
-        thr.agg(*[F.max(F.when(F.col("scheme_id") == i, F.col(c))).alias(f"_{c}_{i}")
-                  for i in range(S) for c in ("tau_bert", "tau_rouge")])
-    ev = ev.join(F.broadcast(wide), g) if g else ev.crossJoin(F.broadcast(wide))
-    errs = [f"err_{i}" for i in range(S)]
-    for i in range(S):
-        ev = ev.withColumn(errs[i], F.when(joint_correct(F.col("bertscore_f1"), F.col("rougeL"),
-                                                         F.col(f"_tau_bert_{i}"), F.col(f"_tau_rouge_{i}")), 0)
-                           .otherwise(1).cast("bigint"))
-    ev = materialize(ev.select(*g, "row_id", "uq", *errs))
-
-    # H5-H7: one ordering by (uq, row_id) per group carries every scheme's errors.
-    ranked = global_rank(ev, ["uq", "row_id"], g, sum_cols=errs, rank_col="m", small=small, **rk)
-    n = ev.groupBy(*g).agg(F.count("*").alias("n")) if g else ev.agg(F.count("*").alias("n"))
-    ranked = ranked.join(F.broadcast(n), g) if g else ranked.crossJoin(F.broadcast(n))
-    aggs = [F.first("n").alias("n")]
-    for i in range(S):
-        risk = F.col(f"cum_err_{i}") / F.col("m")
-        aggs += [F.sum(risk).alias(f"_sr_{i}"),
-                 F.max(F.when(F.col("m") == 1, risk)).alias(f"_r1_{i}"),
-                 F.max(F.when(F.col("m") == F.col("n"), risk)).alias(f"_rn_{i}"),
-                 F.sum(f"err_{i}").alias(f"_ne_{i}")]
-        for c in coverages:
-            k = F.ceil(F.lit(float(c)) * F.col("n"))
-            aggs.append(F.max(F.when(F.col("m") == k, F.lit(1.0) - risk)).alias(f"_{cov_name(c)}_{i}"))
-    per = ranked.groupBy(*g).agg(*aggs)
-    rows = []
-    for i in range(S):
-        aurc = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
-            (F.col(f"_sr_{i}") - (F.col(f"_r1_{i}") + F.col(f"_rn_{i}")) / 2) / F.col("n"))
-        rows.append(F.struct(F.lit(i).cast("bigint").alias("scheme_id"), aurc.alias("aurc"),
-                             (F.lit(1.0) - F.col(f"_ne_{i}") / F.col("n")).alias("acc_joint"),
-                             (F.col(f"_ne_{i}") / F.col("n")).alias("err_joint"),
-                             *[F.col(f"_{cov_name(c)}_{i}").alias(cov_name(c)) for c in coverages]))
-    per = per.select(*g, "n", F.explode(F.array(*rows)).alias("_s")).select(*g, "n", "_s.*")
-
-    # H4: AUROC with tie-averaged ranks, from the same ordering: for each
-    # distinct uq, negatives strictly below = min over its rows of (cum_neg - own neg).
-    ties = ranked.groupBy(*g, "uq").agg(*[
-        x for i in range(S) for x in (
-            F.min((F.col("m") - F.col(f"cum_err_{i}")) - (1 - F.col(f"err_{i}"))).alias(f"_nb_{i}"),
-            F.sum(1 - F.col(f"err_{i}")).alias(f"_ng_{i}"), F.sum(f"err_{i}").alias(f"_pg_{i}"))])
-    auc = ties.groupBy(*g).agg(*[
-        x for i in range(S) for x in (
-            F.sum(F.col(f"_pg_{i}") * (F.col(f"_nb_{i}") + F.col(f"_ng_{i}") / 2)).alias(f"_num_{i}"),
-            F.sum(f"_pg_{i}").alias(f"_P_{i}"), F.sum(f"_ng_{i}").alias(f"_N_{i}"))])
-    auc = auc.select(*g, F.explode(F.array(*[F.struct(
-        F.lit(i).cast("bigint").alias("scheme_id"),
-        (F.col(f"_num_{i}") / F.nullif(F.col(f"_P_{i}").cast("double") * F.col(f"_N_{i}"), F.lit(0.0))).alias("auroc"))
-        for i in range(S)])).alias("_s")).select(*g, "_s.*")
-    res = (per.join(auc, [*g, "scheme_id"])
-              .join(thr.select(*g, "scheme_id", "scheme", "p_bert", "p_rouge", "tau_bert", "tau_rouge"),
-                    [*g, "scheme_id"]))
-    cols = [*g, "scheme", "p_bert", "p_rouge", "tau_bert", "tau_rouge", "acc_joint", "err_joint",
-            "auroc", "aurc", *[cov_name(c) for c in coverages], "n"]
-    res = res.select(*cols)
-    if not curve:
-        return res
-    curv = ranked.select(*g, "m", "n", F.explode(F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("scheme_id"), (F.col(f"cum_err_{i}") / F.col("m")).alias("risk"))
-        for i in range(S)])).alias("_s")).select(*g, "m", (F.col("m") / F.col("n")).alias("coverage"), "_s.*")
-    curv = curv.join(F.broadcast(sch.select("scheme_id", "scheme")), "scheme_id").drop("scheme_id")
-    return res, curv
+    drawn = F.array(F.coalesce(F.col(split2_col) == "calib", F.lit(False))).alias("calib")
+    rows = materialize(scored.select(*g, "row_id", "uq", "bertscore_f1", "rougeL", drawn))
+    made = _evaluate(rows, schemes, coverages, 1, g, curve, num_buckets)
+    return (made[0].drop("lane"), made[1]) if curve else made.drop("lane")
 
 
 # -- H9 / H10 / H12 -------------------------------------------------------------
@@ -233,14 +143,13 @@ def repeated_evaluation(scores: DataFrame, n_repeats: int = 15, seed_base: int =
                         by: Sequence[str] = (), num_buckets: int | None = None) -> DataFrame:
     """H9: uq scored once; calibration split redrawn per repeat; every scheme each time.
 
-    ``by`` names solution columns when several solutions are evaluated together.
+    ``by`` names solution columns when several solutions are evaluated together. Rows are not copied per repeat.
     """
     by = list(by)
-    rep = repeat_rows(scores, n_repeats, seed_base)
-    split = calib_split(rep, group_col, calib_from, calib_frac, seed=F.col("split_seed"),
-                        by=[*by, "repeat"])
-    return evaluate_schemes(split, schemes, coverages, group_cols=[*by, "repeat"],
-                            num_buckets=num_buckets)
+    pool = F.col(group_col).isin(list(calib_from))
+    drawn = draw_repeats(scores, n_repeats, seed_base, pool, calib_frac, by)
+    rows = materialize(drawn.select(*by, "row_id", "uq", "bertscore_f1", "rougeL", "calib"))
+    return _evaluate(rows, schemes, coverages, n_repeats, by, False, num_buckets).withColumnRenamed("lane", "repeat").withColumn("repeat", F.col("repeat").cast("bigint"))
 
 
 METRICS = ["tau_bert", "tau_rouge", "auroc", "aurc", "acc_joint"]

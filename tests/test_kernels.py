@@ -76,14 +76,64 @@ def test_front_and_hypervolume_properties(spark):
     assert hv_all >= hv_half > 0
 
 
-def test_evaluation_paths_agree(spark):
-    """The checked single-window path and the bucketed path give the same metrics."""
+def _by_hand(rows, schemes, coverages):
+    """H2-H7 of rows (row_id, uq, bert, rouge, calib) in numpy."""
+    calib, out = [r for r in rows if r[4]], {}
+    ev = sorted((r for r in rows if not r[4]), key=lambda r: (r[1], r[0]))
+    for name, pb, pr in schemes:
+        tb, tr = (np.percentile([r[i] for r in calib], p) for i, p in ((2, pb), (3, pr)))
+        err = np.array([not (r[2] >= tb and r[3] >= tr) for r in ev], dtype=float)
+        uq = np.array([r[1] for r in ev])
+        risk = np.cumsum(err) / np.arange(1, len(err) + 1)
+        pos, neg = uq[err == 1], uq[err == 0]
+        pairs = (pos[:, None] > neg[None, :]).sum() + (pos[:, None] == neg[None, :]).sum() / 2
+        out[name] = [tb, tr, pairs / (len(pos) * len(neg)), ((risk[1:] + risk[:-1]) / 2).sum() / len(err), *[1 - risk[int(np.ceil(c * len(err))) - 1] for c in coverages]]
+    return out
+
+
+@pytest.mark.parametrize("num_buckets", [None, 1, 7])
+def test_repeats_in_one_ordering_match_numpy(spark, num_buckets):
+    """Heavy ties of uq over many buckets, two solutions, repeats drawn by md5."""
+    import hashlib
+    from qualm.operators import selective as S
+    rng = np.random.default_rng(3)
+    rows = [(int(i), sol, "test" if i % 3 else "d01", float(rng.integers(0, 9) if i % 2 else 4), float(rng.random()), float(rng.integers(0, 20) / 20))
+            for sol in ("a", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, sol string, split string, uq double, bertscore_f1 double, rougeL double")
+    got = S.repeated_evaluation(df, 3, 5, calib_frac=0.3, by=["sol"], num_buckets=num_buckets).collect()
+    assert len(got) == 2 * 3 * 5
+    for r in got:
+        mine = [x for x in rows if x[1] == r.sol]
+        pool = sorted((hashlib.md5(f"{5 + r.repeat}:{x[0]}".encode()).hexdigest(), x[0]) for x in mine if x[2] == "test")
+        drawn = {i for _, i in pool[:round(0.3 * len(pool))]}
+        want = _by_hand([(x[0], *x[3:], x[0] in drawn) for x in mine], S.SCHEMES, S.COVERAGES)[r.scheme]
+        assert np.allclose([r.tau_bert, r.tau_rouge, r.auroc, r.aurc, *[r[S.cov_name(c)] for c in S.COVERAGES]], want, rtol=1e-12)
+        assert r.n == len(mine) - len(drawn)
+
+
+def test_curve_is_the_running_risk(spark):
     from qualm.operators import selective as S
     from qualm.sources import tables as T
     sp = S.calib_split(T.scores(spark, "/root/testdata/sf0.001"))
-    a = S.evaluate_schemes(sp, small=True).toPandas().sort_values("scheme").reset_index(drop=True)
-    b = S.evaluate_schemes(sp, small=False, num_buckets=5).toPandas().sort_values("scheme").reset_index(drop=True)
-    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
+    res, curve = S.evaluate_schemes(sp, curve=True, num_buckets=5)
+    pdf, n = curve.toPandas(), res.toPandas().set_index("scheme")["n"]
+    for scheme, g in pdf.groupby("scheme"):
+        assert sorted(g["m"]) == list(range(1, n[scheme] + 1)) and np.allclose(g["coverage"], g["m"] / n[scheme])
+
+
+def test_exact_quantiles_of_lanes(spark):
+    from qualm.operators.quantile import exact_quantiles
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.normal(size=3000), rng.lognormal(0, 3, 1000), [0.5] * 2000, [np.nan, np.inf], [-1e308, 1e308]])
+    g, lanes = rng.integers(0, 3, len(v)), rng.integers(0, 2, (len(v), 3)).astype(bool)
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v, "l": lanes.tolist()}))
+    probs = spark.createDataFrame([(i, q) for i, q in enumerate([0.0, 0.1, 0.5, 0.77, 0.95, 1.0])], "id int, q double")
+    rows = exact_quantiles(df, "v", probs, ["g"], lanes="l", n_lanes=3).collect()
+    assert len(rows) == 3 * 3 * 6
+    for r in rows:
+        assert np.isclose(r.value, np.quantile(v[(g == r.g) & lanes[:, r.lane] & np.isfinite(v)], r.q), rtol=1e-12)
+    assert exact_quantiles(df.limit(0), "v", probs).count() == 0
+    assert exact_quantiles(df.where("v = 0.5"), "v", probs).select("value").distinct().collect() == [(0.5,)]
 
 
 @pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
@@ -102,12 +152,16 @@ def test_knn_per_point_group_matches_brute_force(spark, broadcast_bytes):
     assert len(got) == 30 * 4 * 3
 
 
-def test_pick_paths_agree(spark):
-    df = spark.range(5000).withColumnRenamed("id", "row_id").withColumn("g", F.col("row_id") % 3) \
-        .withColumn("n", F.lit(777))
-    a = pick_first_n(df, "n", 11, group_cols=["g"]).filter("picked").select("row_id").collect()
-    b = pick_first_n(df, "n", 11, group_cols=["g"], small=True).filter("picked").select("row_id").collect()
-    assert sorted(r[0] for r in a) == sorted(r[0] for r in b) and len(a) == 3 * 777
+@pytest.mark.parametrize("n", [0, 1, 777, 1667, 9000])
+def test_pick_is_the_smallest_hashes(spark, n):
+    """The rows of the smallest md5(seed:id), also when none or all are asked for; rows off the crossing prefix are not sorted."""
+    import hashlib
+    df = spark.range(5000).withColumnRenamed("id", "row_id").withColumn("g", F.col("row_id") % 3).withColumn("n", F.lit(n))
+    got = pick_first_n(df, "n", 11, group_cols=["g"]).filter("picked").collect()
+    want = set()
+    for g in range(3):
+        want |= set(sorted(range(g, 5000, 3), key=lambda i: (hashlib.md5(f"11:{i}".encode()).hexdigest(), i))[:n])
+    assert {r.row_id for r in got} == want and len(got) == len(want)
 
 
 def test_small_train_sides_do_not_shuffle_the_evaluation_rows(spark):
