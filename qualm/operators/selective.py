@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,10 +173,10 @@ def summarize_solutions(summary: DataFrame, group_cols: Sequence[str] = ()) -> D
 
 
 # -- H13 -------------------------------------------------------------------------
-def _pm(mean: Column, std: Column) -> Column:
-    txt = F.format_string("%.3f ± %.3f", mean, F.coalesce(std, F.lit(float("nan"))))
-    return F.when(F.isnan(mean) | mean.isNull(), F.lit("")).otherwise(
-        F.when(std.isNull() | F.isnan(std), F.format_string("%.3f", mean)).otherwise(txt))
+@F.pandas_udf("string")
+def _pm(mean: pd.Series, std: pd.Series) -> pd.Series:
+    """Text cells of the few report rows, rounded from the binary value; the JVM's formatter rounds its shortest decimal form."""
+    return pd.Series(["" if pd.isna(m) else f"{m:.3f}" if pd.isna(s) else f"{m:.3f} ± {s:.3f}" for m, s in zip(mean, std)], dtype=object)
 
 
 def report_tables(across: DataFrame, model: str, coverages=COVERAGES):

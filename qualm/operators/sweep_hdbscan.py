@@ -144,53 +144,76 @@ def hdbscan_labels_many(points: DataFrame, configs: DataFrame, block_rows: int =
                .select("cfg", "space", "row_id", F.coalesce(F.col("label"), F.lit(-1).cast("bigint")).alias("label")))
 
 
-def hdbscan_knn_many(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -> DataFrame:
+def hdbscan_knn_many(points: DataFrame, evals: DataFrame, configs: DataFrame, penalise: bool = False, **kw) -> DataFrame:
     """F4 for every configuration: (cfg, row_id, uq). ``evals`` = (space, row_id, v);
-    ``configs`` also carries n_neighbors. Components are rounded to single precision (D11), as in F4."""
+    ``configs`` also carries n_neighbors. Components are rounded to single precision (D11), as in F4.
+    Configurations of the same labelling share the merge, centroids and neighbours. With ``penalise`` a configuration
+    without any group of its minimum size has no rows, so that I2 gives it the penalty."""
     single = F.transform("v", lambda x: x.cast("float").cast("double")).alias("v")
     points, evals = points.select("space", "row_id", single), evals.select("space", "row_id", single)
     try:
         lab = materialize(hdbscan_labels_many(points, configs, **kw))
     except SweepTooLarge:
-        return _one_by_one(points, evals, configs, **kw)
+        return _one_by_one(points, evals, configs, penalise, **kw)
     cfg = configs.select("cfg", "space", F.col("min_cluster_size").alias("mcs"), F.col("n_neighbors").alias("k"))
     pts = points.select("space", "row_id", "v")
-    x = lab.join(pts, ["space", "row_id"]).join(cfg.select("cfg", "mcs"), "cfg")
-    # E3 per configuration: small groups (noise included) into the nearest large one
-    cents = centroids(x.withColumn("_key", F.struct("cfg", "label")), "_key").select(
-        F.col("_key.cfg").alias("cfg"), F.col("_key.label").alias("label"), "size", "centroid")
-    cents = cents.join(cfg.select("cfg", "mcs"), "cfg")
-    sm = cents.filter(F.col("size") < F.col("mcs")).select("cfg", F.col("label").alias("row_id"),
-                                                           F.col("centroid").alias("v"))
-    lg = cents.filter(F.col("size") >= F.col("mcs")).select("cfg", F.col("label").alias("row_id"),
-                                                            F.col("centroid").alias("v"))
+    # E3 once for each distinct labelling and size: small groups (noise included) into the nearest large one
+    first = _shared(lab, cfg, ["mcs"])
+    leads = first.where("cfg = lead").select("cfg", "mcs")
+    x = lab.join(leads.select("cfg"), "cfg")
+    cents = materialize(_centroids(x.join(pts, ["space", "row_id"])).join(leads, "cfg"))
+    sm = cents.filter(F.col("size") < F.col("mcs")).select("cfg", F.col("label").alias("row_id"), F.col("centroid").alias("v"))
+    lg = cents.filter(F.col("size") >= F.col("mcs")).select("cfg", F.col("label").alias("row_id"), F.col("centroid").alias("v"))
     mp = knn(sm, lg, 1, by=["cfg"]).select("cfg", F.col("q_id").alias("label"), F.col("p_id").alias("_to"))
-    x = materialize(x.join(mp, ["cfg", "label"], "left")
-                     .withColumn("label", F.coalesce(F.col("_to"), F.col("label"))).drop("_to"))
+    merged = materialize(x.join(mp, ["cfg", "label"], "left").select(F.col("cfg").alias("lead"), "space", "row_id", F.coalesce("_to", "label").alias("label")))
+    # merged labellings that are equal share centroids and neighbours
+    second = _shared(merged.withColumnRenamed("lead", "cfg"), leads.select("cfg"), []).select(F.col("cfg").alias("lead"), F.col("lead").alias("set"))
+    plan = materialize(cfg.join(first.select("cfg", "lead"), "cfg").join(second, "lead").select("cfg", "space", "mcs", "k", "lead", "set"))
+    sets = plan.groupBy("set", "space").agg(F.max("k").alias("k"))
+    x = materialize(merged.withColumnRenamed("lead", "set").join(sets.select("set"), "set").join(pts, ["space", "row_id"]))
     cl = x.filter(F.col("label") != -1)
-    cc = centroids(cl.withColumn("_key", F.struct("cfg", "label")), "_key").select(
-        F.col("_key.cfg").alias("cfg"), F.col("_key.label").alias("row_id"), "size", F.col("centroid").alias("v"))
-    q = evals.select("space", "row_id", "v").join(cfg.select("cfg", "space", "k"), "space")
-    near = knn(q, cc.select("cfg", "row_id", "v"), 1, by=["cfg"]).select(
-        "cfg", F.col("q_id").alias("row_id"), F.col("p_id").alias("label"))
-    qc = (q.join(near, ["cfg", "row_id"], "left")
-           .join(cc.select("cfg", F.col("row_id").alias("label"), "size"), ["cfg", "label"], "left"))
-    qc = materialize(qc)
-    inside = qc.filter(F.col("size") >= F.col("k"))
+    cc = materialize(_centroids(cl.withColumnRenamed("set", "cfg")).select(F.col("cfg").alias("set"), F.col("label").alias("row_id"), "size", F.col("centroid").alias("v")))
+    q = evals.select("space", "row_id", "v").join(sets, "space")
+    near = knn(q, cc.select("set", "row_id", "v"), 1, by=["set"]).select("set", F.col("q_id").alias("row_id"), F.col("p_id").alias("label"))
+    near = materialize(q.select("set", "space", "row_id").join(near, ["set", "row_id"], "left").join(cc.select("set", F.col("row_id").alias("label"), "size"), ["set", "label"], "left"))
     kmax = int(cfg.agg(F.max("k")).first()[0])
-    s1 = (knn(inside, cl.select("cfg", "label", "row_id", "v"), kmax, by=["cfg", "label"])
-          .join(cfg.select("cfg", "k"), "cfg").filter(F.col("rank") <= F.col("k"))
-          .groupBy("cfg", F.col("q_id").alias("row_id")).agg(F.avg("dist").alias("uq")))
+    # neighbours once a set at the largest k; configurations cut them afterwards
+    mine = near.filter("size is not null").join(evals.select("space", "row_id", "v"), ["space", "row_id"])
+    ranked = materialize(knn(mine, cl.select("set", "label", "row_id", "v"), kmax, by=["set", "label"]).select("set", F.col("q_id").alias("row_id"), "rank", "dist"))
+    want = near.join(plan.select("cfg", "set", "k", "mcs"), "set")
+    inside = want.filter(F.col("size") >= F.col("k")).select("cfg", "set", "row_id", "k")
+    s1 = (inside.join(ranked, ["set", "row_id"]).filter(F.col("rank") <= F.col("k")).groupBy("cfg", "row_id").agg(F.avg("dist").alias("uq")))
     # fallback (small cluster or no cluster): one global kNN per space at the largest k
-    fall = qc.filter(F.col("size").isNull() | (F.col("size") < F.col("k"))).select("cfg", "space", "row_id", "k")
+    fall = want.filter(F.col("size").isNull() | (F.col("size") < F.col("k"))).select("cfg", "space", "row_id", "k")
     gk = knn(evals.select("space", "row_id", "v"), pts, kmax, by=["space"]).select(
         "space", F.col("q_id").alias("row_id"), "rank", "dist")
     s2 = (fall.join(gk, ["space", "row_id"]).filter(F.col("rank") <= F.col("k"))
               .groupBy("cfg", "row_id").agg(F.avg("dist").alias("uq")))
-    return s1.unionByName(s2)
+    found = s1.unionByName(s2)
+    if not penalise:
+        return found
+    # no group of the required size at all: the search fails there, and so the configuration gets no score
+    able = plan.join(lg.select(F.col("cfg").alias("lead")).distinct(), "lead", "left_semi").select("cfg")
+    return found.join(able, "cfg", "left_semi")
+
+
+def _centroids(x: DataFrame) -> DataFrame:
+    """(cfg, label, size, centroid) of (cfg, label, v)."""
+    return centroids(x.withColumn("_key", F.struct("cfg", "label")), "_key").select(
+        F.col("_key.cfg").alias("cfg"), F.col("_key.label").alias("label"), "size", "centroid")
+
+
+def _shared(lab: DataFrame, cfg: DataFrame, also: list[str]) -> DataFrame:
+    """``cfg`` with ``lead``: the least configuration whose labelling of (cfg, space, row_id, label) and columns ``also`` are equal. Labellings
+    are told apart by two 64-bit sums of hashes."""
+    sign = lambda i: F.sum(F.xxhash64(F.lit(i), "row_id", "label").cast("decimal(20,0)")).alias(f"_s{i}")
+    signs = lab.groupBy("cfg", "space").agg(sign(0), sign(1))
+    keys = ["space", "_s0", "_s1", *also]
+    known = cfg.select("cfg", *also).join(signs, "cfg")
+    return materialize(known.join(known.groupBy(*keys).agg(F.min("cfg").alias("lead")), keys).select("cfg", *also, "lead"))
 
 
-def _one_by_one(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -> DataFrame:
+def _one_by_one(points: DataFrame, evals: DataFrame, configs: DataFrame, penalise: bool = False, **kw) -> DataFrame:
     """Distributed single-configuration path for every configuration row."""
     from .score import hdbscan_knn_uncertainty
     from .hdbscan import hdbscan_labels
@@ -202,6 +225,9 @@ def _one_by_one(points: DataFrame, evals: DataFrame, configs: DataFrame, **kw) -
                              edges_per_task=kw.get("edges_per_task", H.EDGES_PER_TASK))
         one = hdbscan_knn_uncertainty(tr, ev, r["min_cluster_size"], r["min_samples"], r["epsilon"],
                                       r["n_neighbors"], labels=lab).withColumn("cfg", F.lit(r["cfg"]))
+        if penalise:
+            large = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= r["min_cluster_size"]).limit(1)
+            one = one.crossJoin(large.select("n")).drop("n")
         one = one.select("cfg", "row_id", "uq")
         out = one if out is None else out.unionByName(one)
     return out

@@ -189,6 +189,54 @@ def _solutions(spark, sf):
     return materialize(_decoded_front(spark, sf).select("solution", "n_neighbors"))
 
 
+def _sweep_sql(body: str) -> str:
+    """DuckDB: H11 of the kNN-scored front. ``per_k`` has a row per (n_neighbors, repeat, scheme), ``sol`` the solutions, ``sc`` the scores."""
+    from .q_sweep import DECODE_SQL, INTEGRATED_SQL
+    reps = f"""
+rep AS (SELECT s.n_neighbors * 1000 + r.repeat AS grp, CAST({SEED} + r.repeat AS VARCHAR) AS seed_text, s.* FROM sc s CROSS JOIN range(0, {SWEEP_REPEATS}) r(repeat)),
+split AS (
+  SELECT s.grp, s.row_id, s.split, s.uq, s.bertscore_f1, s.rougeL,
+         CASE WHEN s.split IN ('test') AND s.rn <= c.nc THEN 'calib' ELSE 'eval' END AS split2
+  FROM (SELECT *, row_number() OVER (PARTITION BY grp, split IN ('test') ORDER BY md5(seed_text || ':' || CAST(row_id AS VARCHAR)), row_id) AS rn FROM rep) s
+  CROSS JOIN (SELECT CAST(round_even({FRAC}e0 * count(*), 0) AS BIGINT) AS nc FROM ev WHERE split IN ('test')) c)"""
+    scores = """
+sc AS (SELECT n_neighbors, row_id, split, avg(dist) AS uq, CAST((row_id * 7919) % 1000 AS DOUBLE) / 1000 AS bertscore_f1,
+              CAST((row_id * 104729) % 100 AS DOUBLE) / 100 AS rougeL
+       FROM nn JOIN (SELECT DISTINCT n_neighbors FROM sol) ON rk <= n_neighbors GROUP BY n_neighbors, row_id, split)"""
+    return (INTEGRATED_SQL + ",\nemb AS (" + T.SQL["emb"] + ")," + FL.EMB_SCORES_SQL + f""",
+sol AS (SELECT concat_ws('-', seed, gen, idx) AS solution, n_neighbors FROM (SELECT seed, gen, idx, {DECODE_SQL} FROM fr)),""" + scores + "," + reps + ",\n"
+            + thr_sql("grp") + "," + eval_sql("grp") + """,
+per_k AS (SELECT CAST(grp // 1000 AS BIGINT) AS n_neighbors, CAST(grp % 1000 AS BIGINT) AS repeat, * EXCLUDE (grp) FROM res),
+h11 AS (SELECT solution, per_k.* FROM sol JOIN per_k USING (n_neighbors)),
+long AS (""" + "\n  UNION ALL ".join(f"SELECT solution, scheme, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM h11"
+                                         for m in S.METRICS + [S.cov_name(c) for c in S.COVERAGES]) + """),
+h12 AS (SELECT scheme, metric, count(mean) AS n, avg(mean) AS mean, var_samp(mean) AS var, stddev_samp(mean) AS std
+        FROM (SELECT solution, scheme, metric, avg(value) AS mean FROM long GROUP BY ALL) GROUP BY ALL)
+""" + body)
+
+
+def report_sql(src: str, model: str, which: int) -> str:
+    """DuckDB: table ``which`` of H13 (main, calibration, raw) from a long table (scheme, metric, n, mean, var, std)."""
+    mets = S.METRICS + [S.cov_name(c) for c in S.COVERAGES]
+    pick = lambda m, stat: f"max({stat}) FILTER (WHERE metric = '{m}')"
+    cell = lambda mean, std: (f"CASE WHEN {mean} IS NULL THEN '' WHEN {std} IS NULL THEN printf('%.3f', {mean}) "
+                              f"ELSE printf('%.3f ± %.3f', {mean}, {std}) END")
+    own = lambda m: cell(pick(m, "mean"), pick(m, "std"))
+    head = f"SELECT '{model}' AS \"Model\", scheme AS \"Scheme\""
+    if which == 2:
+        columns = [f"{pick(m, stat)} AS {m}_{stat}" for m in mets for stat in ("mean", "std", "var")]
+        return f"{head}, max(n) AS n_solutions, {', '.join(columns)} FROM {src} GROUP BY scheme"
+    if which == 0:
+        columns = [own("auroc") + ' AS "AUROC"', own("aurc") + ' AS "AURC"'] + [f'{own(S.cov_name(c))} AS "Acc@{round(c * 100)}"' for c in S.COVERAGES]
+    else:
+        columns = [own("tau_bert") + " AS tau_bert", own("tau_rouge") + " AS tau_rouge", own("acc_joint") + ' AS "JointAcc"',
+                   cell("1e0 - " + pick("acc_joint", "mean"), pick("acc_joint", "std")) + ' AS "JointErr"']
+    return f"{head}, {', '.join(columns)}, max(n) AS n FROM {src} GROUP BY scheme"
+
+
+RAW_DOUBLES = [f"{m}_{stat}" for m in S.METRICS + [S.cov_name(c) for c in S.COVERAGES] for stat in ("mean", "std", "var")]
+
+
 def _k_scores(spark, sf, solutions):
     e = T.emb(spark, sf)
     cfg = solutions.select("n_neighbors").distinct()
@@ -201,7 +249,7 @@ def _k_scores(spark, sf, solutions):
         (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
 
 
-@register("h11_run_all_solutions")
+@register("h11_run_all_solutions", _sweep_sql("SELECT * FROM h11"), doubles=METRIC_DOUBLES)
 def h11_run_all_solutions(spark, sf):
     """Per front solution: score once, repeat the split."""
     solutions = _solutions(spark, sf)
@@ -210,23 +258,27 @@ def h11_run_all_solutions(spark, sf):
     return solutions.join(per_k, "n_neighbors")
 
 
-@register("h12_summarize_solutions")
+@register("h12_summarize_solutions", _sweep_sql("SELECT * FROM h12"), doubles=["mean", "var", "std"])
 def h12_summarize_solutions(spark, sf):
     per = S.summarize_repeats(h11_run_all_solutions(spark, sf), by=["solution"])
     return S.summarize_solutions(per)
 
 
-@register("h13_report_main")
+@register("h13_report_main", _sweep_sql(report_sql("h12", "knn-embeddings", 0)))
 def h13_report_main(spark, sf):
     return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[0]
 
 
-@register("h13_report_calibration")
+@register("h13_report_calibration", _sweep_sql(report_sql("h12", "knn-embeddings", 1)))
 def h13_report_calibration(spark, sf):
     return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[1]
 
 
-@register("i2_objectives_sweep")
+@register("i2_objectives_sweep", _sweep_sql("""
+SELECT solution, n_neighbors, f1, f2 FROM sol JOIN (
+  SELECT n_neighbors, coalesce(covar_pop(uq, bertscore_f1) / nullif(stddev_pop(uq) * stddev_pop(bertscore_f1), 0), 0e0) AS f1,
+         coalesce(covar_pop(uq, rougeL) / nullif(stddev_pop(uq) * stddev_pop(rougeL), 0), 0e0) AS f2
+  FROM sc GROUP BY n_neighbors) USING (n_neighbors)"""), doubles=["f1", "f2"])
 def i2_objectives_sweep(spark, sf):
     """Objective table for every front solution (kNN scoring shared at the largest k)."""
     solutions = _solutions(spark, sf)
@@ -234,7 +286,7 @@ def i2_objectives_sweep(spark, sf):
     return solutions.join(per_k, "n_neighbors")
 
 
-def _front_hdbscan_scores(spark, sf):
+def _front_hdbscan_scores(spark, sf, penalise=False):
     """(cfg, config columns..., row_id, split, uq, bertscore_f1, rougeL): the search's
     scoring (scale, PCA, HDBSCAN + merge + in-cluster kNN) for every distinct
     decoded configuration of the integrated front, stages shared across
@@ -259,12 +311,13 @@ def _front_hdbscan_scores(spark, sf):
     cfg = materialize(cfg.select("cfg", F.col("emb_dim").alias("space"),
                                  F.col("cluster_selection_epsilon").alias("epsilon"), *keys))
     uq = hdbscan_knn_many(pts, evs, cfg.select("cfg", "space", "min_cluster_size", "min_samples", "epsilon",
-                                               "n_neighbors"))
+                                               "n_neighbors"), penalise=penalise)
     rid = F.col("row_id")
-    return materialize(uq.join(e.select("row_id", "split"), "row_id").join(cfg.select("cfg", *keys), "cfg").select(
+    scored = materialize(uq.join(e.select("row_id", "split"), "row_id").join(cfg.select("cfg", *keys), "cfg").select(
         "cfg", *keys, "row_id", "split", "uq",
         (((rid * 7919) % 1000).cast("double") / 1000).alias("bertscore_f1"),
         (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
+    return scored, cfg.select("cfg", *keys)
 
 
 @register("i2_objectives_hdbscan")
@@ -272,20 +325,19 @@ def i2_objectives_hdbscan(spark, sf):
     """I2 as the search runs it: two correlation objectives per configuration
     (penalty on failure) from the shared HDBSCAN scoring."""
     from ..operators.sweep_hdbscan import hdbscan_objectives
-    sc = _front_hdbscan_scores(spark, sf)
-    keys = ["min_cluster_size", "min_samples", "cluster_selection_epsilon", "n_neighbors", "emb_dim"]
-    return hdbscan_objectives(sc).join(sc.select("cfg", *keys).distinct(), "cfg").drop("cfg")
+    scored, cfg = _front_hdbscan_scores(spark, sf, penalise=True)
+    return hdbscan_objectives(scored, cfg).join(cfg, "cfg").drop("cfg")
 
 
 @register("h11_run_all_solutions_hdbscan")
 def h11_run_all_solutions_hdbscan(spark, sf):
     """H11 as the evaluation notebook runs it: every front solution scored with
     HDBSCAN + kNN once, then the repeated calibration split, all schemes."""
-    sc = _front_hdbscan_scores(spark, sf).select("cfg", "row_id", "split", "uq", "bertscore_f1", "rougeL")
+    sc = _front_hdbscan_scores(spark, sf)[0].select("cfg", "row_id", "split", "uq", "bertscore_f1", "rougeL")
     return S.repeated_evaluation(sc, SWEEP_REPEATS, SEED, calib_frac=FRAC, by=["cfg"])
 
 
-@register("h13_report_raw")
+@register("h13_report_raw", _sweep_sql(report_sql("h12", "knn-embeddings", 2)), doubles=RAW_DOUBLES)
 def h13_report_raw(spark, sf):
     return S.report_tables(h12_summarize_solutions(spark, sf), "knn-embeddings")[2]
 
