@@ -153,6 +153,44 @@ def a2_load_random(spark, sf):
     return IO.load_random(T.qa(spark, sf), 30, seed=1)
 
 
+SOURCE_SIZES = {"train": 12, "test": 6, "distant01": 3, "distant02": 3}
+_QUALITY = "CAST(row_id % 7 AS VARCHAR) AS meteor_evals, CAST(row_id % 11 AS VARCHAR) AS bertscore_f1, '1.5' AS perplexities, '0.5' AS TS09_uq_values, '0.25' AS mcd_uq_value"
+_SOURCE_ROWS = {
+    "train": "CAST(row_id AS VARCHAR) AS train_questions_id, model_answer AS train_model_answers, question AS train_best_answers, question AS train_questions",
+    "test": f"question, model_answer AS test_model_answers, question AS test_best_answers, {_QUALITY}",
+    "distant01": f"question, model_answer AS distant_model_answers, question AS distant_true_answers, {_QUALITY}",
+    "distant02": f"question, model_answer AS distant_model_answers, question AS distant_true_answers, {_QUALITY}",
+}
+
+
+def _sources_sql():
+    parts = []
+    for i, (name, rows) in enumerate(_SOURCE_ROWS.items()):
+        columns = IO.SOURCE_COLUMNS[name]
+        content = "concat_ws('|', " + ", ".join(columns) + ")"
+        number = "bertscore_f1::DOUBLE" if name != "train" else "NULL::DOUBLE"
+        parts.append(f"""SELECT '{name}' AS source, {columns[0]} AS key, {columns[1]} AS answer, {number} AS bertscore_f1,
+       CAST({SOURCE_SIZES[name]} AS BIGINT) AS n_source FROM (SELECT {rows} FROM qa WHERE row_id % 4 = {i}) ORDER BY md5('1:' || {content}), {content} LIMIT {SOURCE_SIZES[name]}""")
+    return QA_SQL + "\n" + "\nUNION ALL\n".join(f"(SELECT * FROM ({p}))" for p in parts)
+
+
+@register("a2_load_random_sources", _sources_sql(), doubles=["bertscore_f1"])
+def a2_load_random_sources(spark, sf):
+    """Four sources written from the answer table, read back and each cut to its exact number of rows, with the counts that came out."""
+    qa, folders = T.qa(spark, sf), {}
+    for i, (name, rows) in enumerate(_SOURCE_ROWS.items()):
+        folders[name] = IO.scratch_dir(spark, name)
+        qa.filter(f"row_id % 4 = {i}").selectExpr(*rows.replace("VARCHAR", "STRING").split(", ")).write.option("header", True).option("sep", "|").option(
+            "quote", '"').option("escape", '"').csv(folders[name])
+    out = None
+    for name, df in IO.load_random_sources(spark, folders, SOURCE_SIZES).items():
+        columns = IO.SOURCE_COLUMNS[name]
+        part = df.select(F.lit(name).alias("source"), F.col(columns[0]).alias("key"), F.col(columns[1]).alias("answer"),
+                         (F.col("bertscore_f1") if name != "train" else F.lit(None).cast("double")).alias("bertscore_f1"))
+        out = part if out is None else out.unionByName(part)
+    return out.join(out.groupBy("source").agg(F.count(F.lit(1)).alias("n_source")), "source")
+
+
 @register("a3_read_results", T.with_views("""
 SELECT method AS "Method", reduction AS "Dimensionality Reduction", dimensionality AS "Dimensionality",
        layer AS "Layer", pearson_bertscore AS "p_BERTScore_mean", pearson_bertscore AS "pearson_p_BERTScore_mean",
@@ -175,20 +213,32 @@ def _report(spark, sf, which: int, prefix: str):
     from ..operators import selective as S
     from .q_eval import h10_summarize_repeats
     table = S.report_tables(h10_summarize_repeats(spark, sf), "events")[which]
-    return spark.read.option("header", True).csv(IO.write_report(table, IO.scratch_dir(spark, "report"), prefix))
+    back = spark.read.option("header", True).csv(IO.write_report(table, IO.scratch_dir(spark, "report"), prefix))
+    return back.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema.fields])
+
+
+def _report_twin(which):
+    from .q_eval import REPEATS, _summary_sql, full_sql, report_sql
+    sums = full_sql(REPEATS, ", " + _summary_sql("res"), by="repeat").replace("\n, long AS", ",\nlong AS")
+    return f"WITH sums AS ({sums})\n" + report_sql("sums", "events", which)
+
+
+def _raw_doubles():
+    from .q_eval import RAW_DOUBLES
+    return RAW_DOUBLES
 
 
-@register("a9_report_csv")
+@register("a9_report_csv", _report_twin(0))
 def a9_report_csv(spark, sf):
     return _report(spark, sf, 0, "main_")
 
 
-@register("a9_report_calibration_csv")
+@register("a9_report_calibration_csv", _report_twin(1))
 def a9_report_calibration_csv(spark, sf):
     return _report(spark, sf, 1, "calib_")
 
 
-@register("a9_report_raw_csv")
+@register("a9_report_raw_csv", _report_twin(2), doubles=_raw_doubles())
 def a9_report_raw_csv(spark, sf):
     return _report(spark, sf, 2, "raw_")
 

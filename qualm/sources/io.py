@@ -6,18 +6,21 @@ files written by one task are visible to all executors.
 from __future__ import annotations
 
 import csv
+import re
 import uuid
+from functools import reduce
 from io import StringIO
-from typing import Sequence
+from typing import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
 CORRUPT = "_corrupt_record"
+X_WIDTH = 6
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -26,23 +29,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 # -- A1 / A2 / A3 ------------------------------------------------------------------
 def files_by_header(spark: SparkSession, folder: str, sep: str) -> dict[tuple[str, ...], list[str]]:
-    """The ``*.csv`` files of a folder by the names in their first line (one line a file reaches the driver)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """The ``*.csv`` files of a folder by the names in their first line that is not blank. Files are listed and read in tasks; a line
+    a file reaches the driver. A file of blank lines only has no header and no rows."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
+        "value", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.col("_metadata.file_path").alias("file"))
+    first = lines.where(F.col("value").rlike("\\S")).groupBy("file").agg(F.min_by("value", "at").alias("line"))
     found: dict[tuple[str, ...], list[str]] = {}
-    for status in fs.listStatus(path):
-        if not status.isFile() or not status.getPath().getName().endswith(".csv"):
-            continue
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
-        line = reader.readLine()
-        reader.close()
-        if line:
-            header = tuple(next(csv.reader([line.removeprefix("﻿")], delimiter=sep)))
-            found.setdefault(header, []).append(status.getPath().toString())
+    for r in first.orderBy("file").toLocalIterator():
+        header = tuple(next(csv.reader([r.line.removeprefix("\ufeff").rstrip("\r")], delimiter=sep)))
+        found.setdefault(header, []).append(r.file)
     return found
 
 
+def is_header(header: Sequence[str]) -> Column:
+    """Whether a row holds the names of its columns. Headers are read as rows, since blank lines may stand before them."""
+    same = [(F.when(F.lit(i == 0), F.regexp_replace(f"_c{i}", "^\ufeff", "")).otherwise(F.col(f"_c{i}"))).eqNullSafe(F.lit(h or None)) for i, h in enumerate(header)]
+    return reduce(lambda a, b: a & b, same)
+
+
 def _longer_than_header(sep: str):
     @F.pandas_udf("boolean")
     def longer(record: pd.Series, width: pd.Series) -> pd.Series:
@@ -53,7 +57,7 @@ def _longer_than_header(sep: str):
 def read_delimited_dir(spark: SparkSession, folder: str, columns: Sequence[str], sep: str = "|"):
     """A1: every ``*.csv`` in a folder, listed columns found by the names in each file's header, files concatenated.
 
-    Short rows are padded with nulls. A file with a row of more fields than its header is skipped as a whole (as the
+    Blank lines are left out, also before the header. Short rows are padded with nulls. A file with a row of more fields than its header is skipped as a whole (as the
     reference skips a file that fails to parse); a file without one of the columns is an error. Returns (rows,
     skipped files)."""
     from ..plans.materialize import materialize
@@ -64,9 +68,10 @@ def read_delimited_dir(spark: SparkSession, folder: str, columns: Sequence[str],
         full = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))]
                             + [T.StructField(CORRUPT, T.StringType())])
         # without column pruning, so that the width of a row is seen
-        part = (spark.read.schema(full).option("sep", sep).option("header", True).option("multiLine", True)
+        part = (spark.read.schema(full).option("sep", sep).option("header", False).option("multiLine", True)
                 .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False)
                 .option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+                .where(~is_header(header) & ~(F.col(CORRUPT).isNotNull() & ~F.col(CORRUPT).rlike("\\S")))
                 .select(*[F.col(f"_c{header.index(c)}").alias(c) for c in columns], CORRUPT,
                         F.lit(len(header)).alias("_width"), F.col("_metadata.file_path").alias("_file")))
         raw = part if raw is None else raw.unionByName(part)
@@ -87,8 +92,34 @@ def load_random(df: DataFrame, n: int, seed: int = 1, id_col: str = "row_id") ->
     total = df.count()
     if n > total:
         raise ValueError(f"cannot take {n} rows from {total}")
-    return pick_first_n(df.withColumn("_n", F.lit(n)), "_n", seed, id_col=id_col, out_col="_pick") \
-        .filter("_pick").drop("_pick", "_n")
+    return pick_first_n(df.withColumn("_n_rows", F.lit(n)), "_n_rows", seed, id_col=id_col, out_col="_pick") \
+        .filter("_pick").drop("_pick", "_n_rows")
+
+
+#: The sources of an experiment, each with the columns that its files hold.
+SOURCE_COLUMNS = {
+    "train": ("train_questions_id", "train_model_answers", "train_best_answers", "train_questions"),
+    "test": ("question", "test_model_answers", "test_best_answers", "meteor_evals", "bertscore_f1", "perplexities", "TS09_uq_values", "mcd_uq_value"),
+    "distant01": ("question", "distant_model_answers", "distant_true_answers", "meteor_evals", "bertscore_f1", "perplexities", "TS09_uq_values", "mcd_uq_value"),
+    "distant02": ("question", "distant_model_answers", "distant_true_answers", "meteor_evals", "bertscore_f1", "perplexities", "TS09_uq_values", "mcd_uq_value"),
+}
+NUMBERS = ("meteor_evals", "bertscore_f1", "perplexities", "TS09_uq_values", "mcd_uq_value")
+
+
+def load_random_sources(spark: SparkSession, folders: Mapping[str, str], sizes: Mapping[str, int], columns: Mapping[str, Sequence[str]] = SOURCE_COLUMNS,
+                        seed: int = 1, sep: str = "|") -> dict[str, DataFrame]:
+    """A2: every source read from its folder (A1) and cut to exactly its number of rows, without replacement; a source of fewer rows is an error.
+
+    Files carry no row number, so a row is known by its content: the pick takes the smallest md5(seed:content), where content is
+    the listed columns joined by ``|``, and equal rows are interchangeable. Quality columns are numbers."""
+    from ..plans.materialize import materialize
+    out = {}
+    for name, folder in folders.items():
+        rows, _ = read_delimited_dir(spark, folder, columns[name], sep)
+        rows = materialize(rows.withColumn("_content", F.concat_ws("|", *columns[name])))
+        picked = load_random(rows, sizes[name], seed, id_col="_content").drop("_content")
+        out[name] = picked.select(*[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) if c in NUMBERS else F.col(c) for c in columns[name]])
+    return out
 
 
 RESULTS_SCHEMA = T.StructType([
@@ -113,9 +144,34 @@ def write_fronts(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("seed", "gen").parquet(path)
 
 
-def read_fronts(spark: SparkSession, path: str) -> DataFrame:
-    """A4: all generations, seed and gen from the folder names."""
-    return spark.read.option("basePath", path).parquet(path)
+def read_fronts(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """A4: all generations, seed and gen from the folder names.
+
+    With ``check``, rows pass once through a written table whose scan observes them: both objectives must be there (a point is
+    two numbers), a decision vector must be whole, and either every point or none has one. Raises ValueError otherwise. Columns
+    x0 to x5 that no file has stay absent."""
+    raw = spark.read.option("basePath", path).option("mergeSchema", True).parquet(path)
+    if not check:
+        return raw
+    if missing := [c for c in ("f1", "f2") if c not in raw.columns]:
+        raise ValueError(f"fronts miss {missing}: a point is two objectives")
+    xs = [c for c in raw.columns if re.fullmatch(r"x\d+", c)]
+    if xs and (missing := [f"x{i}" for i in range(X_WIDTH) if f"x{i}" not in xs]):
+        raise ValueError(f"decision vectors miss {missing}")
+    there = [F.col(c).isNotNull() for c in xs] or [F.lit(False)]
+    whole, some = reduce(lambda a, b: a & b, there), reduce(lambda a, b: a | b, there)
+    seen = Observation(f"fronts-{uuid.uuid4().hex[:8]}")
+    from ..plans.materialize import materialize
+    rows = materialize(raw.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("f1").isNull() | F.col("f2").isNull()).alias("shape"),
+                                   F.count_if(some & ~whole).alias("part"), F.count_if(whole).alias("whole")))
+    found = seen.get
+    if found["shape"]:
+        raise ValueError(f"{found['shape']} points have fewer than two objectives")
+    if found["part"]:
+        raise ValueError(f"{found['part']} decision vectors are not whole")
+    if found["whole"] not in (0, found["rows"]):
+        raise ValueError(f"{found['whole']} of {found['rows']} points have decision vectors; all or none must")
+    return rows
 
 
 # -- A6 --------------------------------------------------------------------------------
@@ -188,7 +244,13 @@ def eval_log_analysis(log: DataFrame) -> DataFrame:
     """Per timing block: entries, non-numeric entries, mean, median, p90, max."""
     t = log.select(F.explode("timings_s").alias("block", "raw"))
     t = t.withColumn("sec", F.expr("try_cast(raw AS DOUBLE)"))
-    return t.groupBy("block").agg(
+    from ..operators.quantile import exact_quantiles
+    from ..plans.materialize import materialize
+    t = materialize(t.drop("raw"))
+    sums = t.groupBy("block").agg(
         F.count("*").alias("n"), F.count_if(F.col("sec").isNull()).cast("bigint").alias("n_non_numeric"),
-        F.avg("sec").alias("mean_sec"), F.percentile("sec", 0.5).alias("median_sec"),
-        F.percentile("sec", 0.9).alias("p90_sec"), F.max("sec").alias("max_sec"))
+        F.avg("sec").alias("mean_sec"), F.max("sec").alias("max_sec"))
+    asked = t.sparkSession.createDataFrame([("median_sec", 0.5), ("p90_sec", 0.9)], "stat string, q double")
+    at = exact_quantiles(t, "sec", asked, ["block"]).groupBy("block").agg(
+        *[F.max(F.when(F.col("stat") == c, F.col("value"))).alias(c) for c in ("median_sec", "p90_sec")])
+    return sums.join(at, "block", "left").select("block", "n", "n_non_numeric", "mean_sec", "median_sec", "p90_sec", "max_sec")
