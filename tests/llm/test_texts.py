@@ -196,9 +196,44 @@ def test_line_dedup_by_hand(spark, odd, empty):
 def test_near_threshold_lines_are_counted(spark):
     rows = [(i, f"wide line number {i % 3}", f"site{i // 3}") for i in range(3 * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    seen = line_dedup.occurrences(df, "source", 3)
     for least, want in ((40, 3), (41, 0), (39, 3)):
-        assert line_dedup.boilerplate(seen, least, 4).count() == want
+        assert line_dedup.boilerplate(line_dedup.occurrences(df, "source", least), 4).count() == want
+
+
+def test_short_lines_and_lines_without_spaces(spark):
+    """Every line counts: one without spaces like others, a short one on more sites."""
+    rows = [(i, f"\u672c\u7f51\u7ad9\u7248\u6743\u6240\u6709\u672a\u7ecf\u8bb8\u53ef\u4e0d\u5f97\u8f6c\u8f7d\u8c22\u8c22\nRead more\nGo on\n \n\nown {i}", f"s{i % 9}" if i % 3 else "s0") for i in range(30)]
+    rows = [(i, t.replace("Go on", "Go on" if i % 9 < 6 else f"go {i}"), s) for i, t, s in rows]  # on five sites
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    sites = lambda x: len({s for _, t, s in rows if x in t.split("\n")})
+    assert sites("Read more") < line_dedup.SHORT_SITES and sum("Read more" in x for x in out.values()) == 30
+    assert [i for i in out if out[i][0].startswith("\u672c")] == [0] and all(" " in out[i] and "" in out[i] for i in out)
+    wide = [(i, "Read more\nown", f"s{i}") for i in range(line_dedup.SHORT_SITES)]
+    for n in (line_dedup.SHORT_SITES, line_dedup.SHORT_SITES - 1):
+        kept = line_dedup.dedup_lines(spark.createDataFrame(wide[:n], "doc_id long, text string, source string")).collect()
+        assert sum("Read more" in r.text for r in kept) == (1 if n == line_dedup.SHORT_SITES else n)
+
+
+def test_lines_of_a_long_document_go_in_linear_time(spark):
+    import time
+    lines = [f"boilerplate line number {i}" if i % 2 else f"own line number {i}" for i in range(60_000)]
+    rows = [(i, "\n".join(x if j % 2 else f"{x} of {i}" for j, x in enumerate(lines)), f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = time.time()
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(df).collect()}
+    assert out[0] == rows[0][1].split("\n") and out[2] == [f"{x} of 2" for x in lines[::2]]
+    assert time.time() - t < 60
+
+
+def test_repeated_labelled_rows_are_one_document(spark, monkeypatch):
+    """300 copies of a labelled document leave the fit as it was."""
+    rows = [(i, f"you are a clown number {i} and more words" if i % 2 else f"the weather is fine on day {i} again") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, toxic int")
+    fits = []
+    monkeypatch.setattr(toxicity, "fit", lambda t, y: fits.append((t, y)) or toxicity.Model())
+    for copies in (1, 300):
+        toxicity.train(spark.createDataFrame(rows + rows[1:4] * (copies - 1), "doc_id long, text string"), labels)
+    assert fits[0] == fits[1] and len(fits[0][0]) <= 40
 
 
 INSULTS = {"trash", "pathetic", "worthless", "idiot", "loser", "disgusting", "scum", "clown", "moron", "stupid"}
