@@ -7,7 +7,7 @@ passages, PASSAGE sentences in a row: the fit knows texts of few sentences, and
 ones must not add up. Texts of up to PASSAGE sentences are one passage.
 
 The classifier is fitted on a bounded sample of all labelled documents: at most SAMPLE of each label, the ones with the
-smallest hash of doc_id. Of a text over SAMPLE_CHARS characters the fit sees PIECES pieces, as many characters in all,
+smallest hash of doc_id; rows that repeat a doc_id are one of them, with the least of their texts. Of a text over SAMPLE_CHARS characters the fit sees PIECES pieces, as many characters in all,
 spread evenly from its start to its end; they count as the text, whose other sentences the fit does not see. Scoring
 covers every whole text.
 
@@ -156,11 +156,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the bounded sample. Only its rows reach the driver."""
     marked = (labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id")
               .agg(F.max(F.col("toxic").cast("int")).alias("q_toxic")))
-    known = docs.select("doc_id").join(marked, "doc_id")
+    known = docs.select("doc_id").join(marked, "doc_id").dropDuplicates(["doc_id"])  # repeated rows are one document
     order = [F.xxhash64("doc_id"), F.col("doc_id")]  # each task keeps its own first rows: no label meets in one task
     of = [known.where(F.col("q_toxic") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)]
     chosen = of[0].unionByName(of[1]).select("doc_id", "q_toxic")
     rows = (docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 SAMPLE rows
+            .groupBy("doc_id", "q_toxic").agg(F.min("text").alias("text"))  # of several texts with one id, one
             .select("doc_id", drawn(F.col("text")).alias("text"), "q_toxic").toPandas().sort_values("doc_id"))
     return fit(rows["text"].tolist(), rows["q_toxic"].tolist())
 
