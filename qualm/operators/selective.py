@@ -173,10 +173,12 @@ def summarize_solutions(summary: DataFrame, group_cols: Sequence[str] = ()) -> D
 
 
 # -- H13 -------------------------------------------------------------------------
-@F.pandas_udf("string")
-def _pm(mean: pd.Series, std: pd.Series) -> pd.Series:
+def _pm(mean: Column, std: Column) -> Column:
     """Text cells of the few report rows, rounded from the binary value; the JVM's formatter rounds its shortest decimal form."""
-    return pd.Series(["" if pd.isna(m) else f"{m:.3f}" if pd.isna(s) else f"{m:.3f} ± {s:.3f}" for m, s in zip(mean, std)], dtype=object)
+    @F.pandas_udf("string")
+    def cells(means: pd.Series, stds: pd.Series) -> pd.Series:
+        return pd.Series(["" if pd.isna(m) else f"{m:.3f}" if pd.isna(s) else f"{m:.3f} ± {s:.3f}" for m, s in zip(means, stds)], dtype=object)
+    return cells(mean, std)
 
 
 def report_tables(across: DataFrame, model: str, coverages=COVERAGES):
