@@ -210,59 +210,100 @@ def knn_per_point_group(queries: DataFrame, points: DataFrame, k: int, group_col
 
 
 # ----------------------------------------------------------------------------- S3
-def _lse_kernel(bandwidths: np.ndarray, qid: str, pid: str, vec: str, fold_col: str | None, by: list[str]):
+def _lane_kernel(bandwidths: np.ndarray, n_folds: int, fold_col: str | None, by: list[str], keep: list[str]):
+    """A row per query: per point fold the smallest squared distance and the count, per (fold, bandwidth) the sum of
+    exp(-(d^2 - smallest) / (2 h^2)). A fold without points has an infinite distance and sums of 0."""
+    scale = 1.0 / (2.0 * bandwidths * bandwidths)
+
     def run(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [*by, "q_id", "fold", "bw_idx", "mx", "s", "cnt"]
+        cols = [*by, "q_id", *keep, "near", "sums", "cnt"]
         if len(qdf) == 0 or len(pdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
-        Q = np.stack(qdf[vec].to_numpy()).astype(np.float64)
-        P = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-        folds = pdf[fold_col].to_numpy() if fold_col else np.zeros(len(pdf), dtype=np.int64)
-        out, qids, step = [], qdf[qid].to_numpy(), max(1, DIFF_VALUES // len(P))
+        Q = np.stack(qdf["_v"].to_numpy()).astype(np.float64)
+        P = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+        folds = pdf["_fold"].to_numpy() if fold_col else np.zeros(len(pdf), dtype=np.int64)
+        members = [np.flatnonzero(folds == f) for f in range(n_folds)]
+        near, sums = np.full((len(Q), n_folds), np.inf), np.zeros((len(Q), n_folds, len(scale)))
+        step = max(1, DIFF_VALUES // len(P))
         for lo in range(0, len(Q), step):
             part = Q[lo:lo + step]
             d2 = np.maximum((part * part).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2.0 * (part @ P.T), 0.0)
-            for f in np.unique(folds):
-                m = folds == f
-                sub = d2[:, m]
-                for bi, h in enumerate(bandwidths):
-                    a = -sub / (2.0 * h * h)
-                    mx = a.max(1)
-                    s = np.exp(a - mx[:, None]).sum(1)
-                    out.append(pd.DataFrame({"q_id": qids[lo:lo + step], "fold": int(f), "bw_idx": bi,
-                                             "mx": mx, "s": s, "cnt": int(m.sum())}))
-        res = pd.concat(out, ignore_index=True)
-        for b in by:
-            res.insert(0, b, qdf[b].iloc[0])
-        return res[cols]
+            for f, own in enumerate(members):
+                if len(own):
+                    sub = d2[:, own]
+                    low = near[lo:lo + step, f] = sub.min(1)
+                    sub = low[:, None] - sub
+                    for b, c in enumerate(scale):
+                        sums[lo:lo + step, f, b] = np.exp(sub * c).sum(1)
+        out = {b: [qdf[b].iloc[0]] * len(Q) for b in by}
+        out |= {"q_id": qdf["_qid"].to_numpy(), **{c: qdf[c].to_numpy() for c in keep}}
+        out |= {"near": list(near), "sums": list(sums.reshape(len(Q), -1)), "cnt": [[len(m) for m in members]] * len(Q)}
+        return pd.DataFrame(out)[cols]
+    return run
+
+
+def _merge_lanes(keys: list[str], scale: np.ndarray):
+    """Runs of equal keys in a sorted stream become one row each; the last row of a batch waits for the next batch, so
+    a batch and one row are all that is held, however many point blocks a query met."""
+    def merge(b: pd.DataFrame) -> pd.DataFrame:
+        new = np.zeros(len(b), dtype=bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= b[k].to_numpy()[1:] != b[k].to_numpy()[:-1]
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        near, cnt = np.stack(b["near"].to_numpy()), np.stack(b["cnt"].to_numpy())
+        sums = np.stack(b["sums"].to_numpy()).reshape(len(b), near.shape[1], len(scale))
+        least = np.minimum.reduceat(near, starts)
+        gap = np.where(np.isfinite(near), near - np.where(np.isfinite(least), least, 0.0)[group], 0.0)
+        total = np.add.reduceat(sums * np.exp(-gap[:, :, None] * scale), starts)
+        return b.iloc[starts].assign(near=list(least), sums=list(total.reshape(len(starts), -1)), cnt=list(np.add.reduceat(cnt, starts)))
+
+    def run(batches):
+        last = None
+        for b in batches:
+            b = b if last is None else pd.concat([last, b], ignore_index=True)
+            if len(b):
+                b = merge(b)
+                last = b.iloc[-1:]
+                yield b.iloc[:-1]
+        if last is not None:
+            yield last
     return run
 
 
+def log_density_lanes(queries: DataFrame, points: DataFrame, bandwidths: Sequence[float], by: Sequence[str] = (),
+                      fold_col: str | None = None, n_folds: int = 1, qid: str = "row_id", pid: str = "row_id", vec: str = "v",
+                      keep: Sequence[str] = (), block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """S3: a row per (by..., query) with fixed-width lanes: ``near`` (smallest squared distance per point fold), ``sums``
+    (fold x bandwidth, sums of exp(-(d^2 - near) / (2 h^2))) and ``cnt`` (points per fold). Folds are 0 .. n_folds - 1.
+    ``keep`` names query columns that are passed on. A query without points of its group has no row.
+
+    A small point side is broadcast, and a query row is final at once. Beyond it a query row comes once per point block;
+    those partial rows meet by key and are merged in a sorted stream."""
+    by, keep, bw = list(by), list(keep), np.asarray(bandwidths, dtype=np.float64)
+    q = queries.select(*[F.col(b).alias(b) for b in by], F.col(qid).alias("_qid"), F.col(vec).alias("_v"), *[F.col(c).alias(c) for c in keep])
+    p = points.select(*[F.col(b).alias(b) for b in by], F.col(pid).alias("_pid"), F.col(vec).alias("_v"),
+                      *([F.col(fold_col).alias("_fold")] if fold_col else []))
+    typed = lambda cs: [f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in cs]
+    schema = ", ".join([*typed(by), "q_id bigint", *typed(keep), "near array<double>, sums array<double>, cnt array<bigint>"])
+    kern = _lane_kernel(bw, n_folds, fold_col, by, keep)
+    if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
+        return _broadcast_map(q, small, by, kern, schema)
+    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
+    parts = qx.groupBy(*by, "_qb", "_pb").cogroup(px.groupBy(*by, "_qb", "_pb")).applyInPandas(kern, schema)
+    key = [*by, "q_id"]
+    return parts.repartition(*key).sortWithinPartitions(*key).mapInPandas(_merge_lanes(key, 1.0 / (2.0 * bw * bw)), schema)
+
+
 def log_density_parts(queries: DataFrame, points: DataFrame, bandwidths: Sequence[float],
-                      by: Sequence[str] = (), fold_col: str | None = None, qid: str = "row_id",
+                      by: Sequence[str] = (), fold_col: str | None = None, n_folds: int = 5, qid: str = "row_id",
                       pid: str = "row_id", vec: str = "v", block_rows: int = BLOCK_ROWS,
                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """S3: per (by..., query, point fold, bandwidth) the merged log-sum-exp of
-    -|q-p|^2 / (2 h^2): (by..., q_id, fold, bw_idx, lse, cnt). Partial (max,
-    scaled sum) pairs from block pairs merge associatively."""
-    by = list(by)
-    q = queries.select(*[F.col(b).alias(b) for b in by], F.col(qid).alias("_qid"), F.col(vec).alias("_v"))
-    pc = [*[F.col(b).alias(b) for b in by], F.col(pid).alias("_pid"), F.col(vec).alias("_v")]
-    if fold_col:
-        pc.append(F.col(fold_col).alias("_fold"))
-    p = points.select(*pc)
-    schema = ", ".join([f"`{b}` {queries.schema[b].dataType.simpleString()}" for b in by] +
-                       ["q_id bigint", "fold bigint", "bw_idx bigint", "mx double", "s double", "cnt bigint"])
-    kern = _lse_kernel(np.asarray(bandwidths, dtype=np.float64), "_qid", "_pid", "_v",
-                       "_fold" if fold_col else None, by)
-    if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
-        whole = _broadcast_map(q, small, by, kern, schema)
-        return whole.select(*by, "q_id", "fold", "bw_idx", "cnt", (F.col("mx") + F.log("s")).alias("lse"))
-    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
-    parts = (qx.groupBy(*by, "_qb", "_pb").cogroup(px.groupBy(*by, "_qb", "_pb"))
-               .applyInPandas(kern, schema))
-    g = [*by, "q_id", "fold", "bw_idx"]
-    return (parts.groupBy(*g).agg(F.max("mx").alias("_M"),
-                                  F.collect_list(F.struct("mx", "s")).alias("_ps"), F.sum("cnt").alias("cnt"))
-                 .select(*g, "cnt", (F.col("_M") + F.log(F.aggregate(
-                     "_ps", F.lit(0.0), lambda acc, e: acc + e["s"] * F.exp(e["mx"] - F.col("_M"))))).alias("lse")))
+    """The lanes in long form: (by..., q_id, fold, bw_idx, lse, cnt) with the log-sum-exp of -|q-p|^2 / (2 h^2)."""
+    by, nb = list(by), len(bandwidths)
+    lanes = log_density_lanes(queries, points, bandwidths, by, fold_col, n_folds if fold_col else 1, qid, pid, vec, (), block_rows, broadcast_bytes)
+    folds = lanes.select(*by, "q_id", "sums", "cnt", F.posexplode("near").alias("fold", "_near")).where(F.col("_near") < float("inf"))
+    cells = folds.select(*by, "q_id", F.col("fold").cast("bigint").alias("fold"), "_near", F.get("cnt", F.col("fold")).alias("cnt"),
+                         F.posexplode(F.slice("sums", F.col("fold") * nb + 1, F.lit(nb))).alias("bw_idx", "_s"))
+    h = F.get(F.array(*[F.lit(float(x)) for x in bandwidths]), F.col("bw_idx"))
+    return cells.select(*by, "q_id", "fold", F.col("bw_idx").cast("bigint").alias("bw_idx"), "cnt", (F.log("_s") - F.col("_near") / (2 * h * h)).alias("lse"))

@@ -64,10 +64,11 @@ def fit_scaler(df: DataFrame, vec: str = "v") -> tuple[np.ndarray, np.ndarray]:
 
 
 def apply_scaler(df: DataFrame, mean, std, vec: str = "v", out: str | None = None) -> DataFrame:
+    """Mean and std travel as one broadcast row, so the plan does not grow with the dimension."""
     out = out or vec
-    m = F.array(*[F.lit(float(x)) for x in mean])
-    s = F.array(*[F.lit(float(x)) for x in std])
-    return df.withColumn(out, F.zip_with(F.zip_with(F.col(vec), m, lambda x, a: x - a), s, lambda x, b: x / b))
+    model = df.sparkSession.createDataFrame([([float(x) for x in mean], [float(x) for x in std])], "_mean array<double>, _std array<double>")
+    centred = F.zip_with(F.col(vec), F.col("_mean"), lambda x, a: x - a)
+    return df.crossJoin(F.broadcast(model)).withColumn(out, F.zip_with(centred, F.col("_std"), lambda x, b: x / b)).drop("_mean", "_std")
 
 
 def standard_scale(train: DataFrame, evals: DataFrame, vec: str = "v", fit_on: str = "both"):
@@ -150,53 +151,124 @@ def reduce_dimensionality(train: DataFrame, evals: DataFrame, k: int, method: st
 
 
 # -- D10 ---------------------------------------------------------------------------
-def mahalanobis_filter(df: DataFrame, cols: Sequence[str], percentile: float = 95.0,
-                       out: str = "mahalanobis") -> DataFrame:
-    """Keep rows whose Mahalanobis distance is strictly below the given
-    percentile of all distances. Mean and sample covariance in one aggregate
-    (pseudo-inverse if singular); the percentile is exact (S1)."""
-    cols = list(cols)
-    d = len(cols)
-    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)] + [F.count("*").alias("n")]
-    aggs += [F.covar_samp(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    r = df.agg(*aggs).first()
-    if r["n"] < 2:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    mu = np.array([r[f"m{i}"] for i in range(d)], dtype=float)
-    S = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            S[i, j] = S[j, i] = r[f"c{i}_{j}"]
+STRIPE = 64  # rows of the covariance matrix that travel as one row
+
+
+def covariance(df: DataFrame, vec: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, sample covariance) of an array column in two aggregates: the mean, then centred outer products.
+
+    A task holds one d x d sum and sends it in stripes of ``STRIPE`` matrix rows, which are summed by stripe number, so no
+    task but the driver meets the whole matrix of another; d x d values (a property of the vectors, not of the number of
+    rows) reach the driver. Rows with a null vector take no part."""
+    rows = df.select(F.col(vec).alias("v")).where(F.col("v").isNotNull())
+    found = (rows.select(array_to_vector("v").alias("v")).groupBy(F.lit(0).alias("_all"))
+             .agg(Summarizer.metrics("mean", "count").summary(F.col("v")).alias("s")).first())
+    if found is None or found["s"]["count"] < 2:
+        return int(found is not None), np.zeros(0), np.zeros((0, 0))
+    s = found["s"]
+    n = int(s["count"])
+    mean = s["mean"].toArray()
+    d = len(mean)
+
+    def outer(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            if len(b):
+                X = np.stack(b["v"].to_numpy()).astype(np.float64) - mean
+                total += X.T @ X
+        yield pd.DataFrame({"stripe": range(0, d, STRIPE), "part": [total[i:i + STRIPE].ravel() for i in range(0, d, STRIPE)]})
+
+    parts = rows.mapInPandas(outer, "stripe int, part array<double>")
+    stripes = parts.groupBy("stripe").agg(Summarizer.sum(array_to_vector("part")).alias("s")).collect()
+    cov = np.zeros((d, d))
+    for r in stripes:
+        cov[r["stripe"]:r["stripe"] + STRIPE] = r["s"].toArray().reshape(-1, d)
+    return n, mean, cov / (n - 1)
+
+
+def whitening(cov: np.ndarray) -> np.ndarray:
+    """W with W W^T the inverse of ``cov`` (its pseudo-inverse if singular), so |(x - mean) W| is the Mahalanobis distance."""
     try:
-        inv = np.linalg.inv(S)
+        low = np.linalg.cholesky(cov)
+        if np.diag(low).min() > 1e-8 * np.diag(low).max():
+            return np.linalg.inv(low).T
     except np.linalg.LinAlgError:
-        inv = np.linalg.pinv(S)
-    diff = [F.col(c) - F.lit(float(mu[i])) for i, c in enumerate(cols)]
-    q = None
-    for i in range(d):
-        for j in range(d):
-            t = diff[i] * diff[j] * F.lit(float(inv[i, j]))
-            q = t if q is None else q + t
-    withd = df.withColumn(out, F.sqrt(F.greatest(q, F.lit(0.0))))
-    spark = df.sparkSession
-    withd = materialize(withd)
-    thr = exact_quantiles(withd, out, spark.createDataFrame([(percentile / 100.0,)], "q double"), [], "_thr")
+        pass
+    vals, vecs = np.linalg.eigh(cov)
+    keep = vals > max(vals.max(), 0.0) * 1e-15 * len(vals)
+    return vecs[:, keep] / np.sqrt(vals[keep])
+
+
+def mahalanobis_filter(df: DataFrame, cols: Sequence[str] | str, percentile: float = 95.0,
+                       out: str = "mahalanobis") -> DataFrame:
+    """Keep rows whose Mahalanobis distance is strictly below the given
+    percentile of all distances. ``cols`` is an array column or a list of numeric columns. Distances are one matrix
+    product per Arrow batch, and the percentile is exact, so the plan does not grow with the dimension. With fewer than
+    two vectors all rows stay, with a null distance; rows with a null vector or component have none and go."""
+    if isinstance(cols, str):
+        v = F.transform(F.col(cols), lambda x: x.cast("double"))
+    else:
+        v = F.array(*[F.col(c).cast("double") for c in cols])
+    v = F.when(~F.exists(v, lambda x: x.isNull()), v)
+    n, mean, cov = covariance(df.select(v.alias("v")))
+    if n < 2:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    W = whitening(cov)
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series) -> pd.Series:
+        res, some = np.full(len(x), np.nan), x.notna().to_numpy()
+        if some.any():
+            res[some] = np.sqrt((((np.stack(x[some].to_numpy()) - mean) @ W) ** 2).sum(axis=1))
+        return pd.Series(res)
+
+    withd = materialize(df.withColumn(out, distance(v)).where(~F.isnan(out)))
+    thr = exact_quantiles(withd, out, df.sparkSession.createDataFrame([(percentile / 100.0,)], "q double"), [], "_thr")
     return withd.crossJoin(F.broadcast(thr.select("_thr"))).filter(F.col(out) < F.col("_thr")).drop("_thr")
 
 
 # -- D9 ----------------------------------------------------------------------------
+def relax(state: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Least ``d`` per (keys..., node) along edges (u, w, dist), from the values in ``state``. Only values that fell in the
+    last round travel; a round that lowers none ends it. Values fall and paths are finite, so it ends without a cap."""
+    key = [*keys, "node"]
+    state = front = materialize(state.select(*key, "d"))
+    while True:
+        step = (front.join(edges, F.col("node") == F.col("u")).select(*keys, F.col("w").alias("node"), (F.col("d") + F.col("dist")).alias("d"))
+                .groupBy(*key).agg(F.min("d").alias("d")))
+        front = materialize(step.join(state.withColumnRenamed("d", "_old"), key, "left")
+                            .where(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).drop("_old"))
+        if front.isEmpty():
+            return state
+        state = materialize(state.unionByName(front).groupBy(*key).agg(F.min("d").alias("d")))
+
+
+def component_links(pts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (u, w, dist), both ways, between the nearest two rows of every two components of the neighbour graph; ties
+    to the smallest ids. Each row looks up its nearest row in every other component, in one pass."""
+    from .blocks import knn_per_point_group
+    same = edges.select("u", "w", F.lit(0).cast("bigint").alias("dist"))
+    comp = relax(pts.select(F.col("row_id").alias("node"), F.col("row_id").alias("d")), same, [])
+    comp = comp.select(F.col("node").alias("row_id"), F.col("d").alias("comp"))
+    near = knn_per_point_group(pts, pts.join(comp, "row_id"), 1, "comp")
+    own = comp.select(F.col("row_id").alias("q_id"), F.col("comp").alias("own"))
+    best = (near.join(own, "q_id").where("own < comp").groupBy("own", "comp")
+            .agg(F.min(F.struct("dist", F.col("q_id").alias("u"), F.col("p_id").alias("w"))).alias("e")).select("e.*"))
+    return best.select("u", "w", "dist").unionByName(best.select(F.col("w").alias("u"), F.col("u").alias("w"), "dist"))
+
+
 def landmark_isomap(train: DataFrame, evals: DataFrame, k: int, n_neighbors: int = 5, n_landmarks: int = 64,
-                    seed: int = 0, vec: str = "v", out: str = "r", max_rounds: int = 10_000):
+                    seed: int = 0, vec: str = "v", out: str = "r"):
     """Isomap by landmarks (de Silva and Tenenbaum, 2003).
 
     The neighbour graph comes from the blocked kNN (symmetrised); geodesic
     distances from the landmarks to every row are relaxed along graph edges,
-    one join per round, until nothing shortens; classical MDS runs on the
+    one join per round of the distances that fell, until nothing shortens. If some row is not reached, the
+    graph's components are joined by their nearest pairs and the relaxation goes on. Classical MDS runs on the
     landmark x landmark matrix (small, on the driver); every row is placed by
     distance-based triangulation against the landmarks. Evaluation rows reach
-    the landmarks through their train neighbours. A disconnected graph raises.
+    the landmarks through their train neighbours.
     """
-    from ..plans.materialize import materialize
     from .blocks import knn
     from .order import pick_first_n
     pts = materialize(train.select("row_id", F.col(vec).alias("v")))
@@ -210,19 +282,9 @@ def landmark_isomap(train: DataFrame, evals: DataFrame, k: int, n_neighbors: int
     L = len(lm_ids)
     spark = train.sparkSession
     lmi = spark.createDataFrame([(int(x), i) for i, x in enumerate(lm_ids)], "l bigint, li int")
-    dist = materialize(lmi.select("l", F.col("l").alias("node"), F.lit(0.0).alias("d")))
-    for _ in range(max_rounds):
-        step = (dist.join(edges, dist["node"] == edges["u"])
-                    .select("l", F.col("w").alias("node"), (F.col("d") + F.col("dist")).alias("d")))
-        new = materialize(dist.unionByName(step).groupBy("l", "node").agg(F.min("d").alias("d")))
-        changed = (new.join(dist.withColumnRenamed("d", "_old"), ["l", "node"], "left")
-                      .filter(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).limit(1).count())
-        dist = new
-        if changed == 0:
-            break
-    n = pts.count()
-    if dist.count() != L * n:
-        raise ValueError("the neighbour graph is disconnected; geodesic distances are undefined")
+    dist = relax(lmi.select("l", F.col("l").alias("node"), F.lit(0.0).alias("d")), edges, ["l"])
+    if dist.count() < L * pts.count():
+        dist = relax(dist, materialize(edges.unionByName(component_links(pts, edges))), ["l"])
     # classical MDS on the landmark block
     sub = dist.join(lmi.withColumnRenamed("l", "node").withColumnRenamed("li", "nj"), "node") \
               .join(lmi, "l").select("li", "nj", "d").collect()

@@ -5,7 +5,7 @@ columns the caller selects afterwards).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import knn, knn_mean_distance
@@ -18,26 +18,28 @@ def knn_uncertainty(train: DataFrame, evals: DataFrame, k: int = 5, vec: str = "
 
 
 # ---------------------------------------------------------------------------------- F3
-def kmeans_uq(train: DataFrame, evals: DataFrame, k_clusters: int, knn_k: int, seed: int = 0,
-              vec: str = "v", id_col: str = "row_id") -> DataFrame:
+def kmeans_uq(train: DataFrame, evals: DataFrame, k_clusters: int, knn_k: int | None, seed: int = 0,
+              vec: str = "v", id_col: str = "row_id", **fit) -> DataFrame:
     """0.4 x distance to the nearest centroid + 0.6 x mean distance to the
     k nearest train rows of that cluster (k cut to the cluster size); the
-    centroid distance alone when the cluster or k is at most 1; non-finite -> 0."""
+    centroid distance alone when the cluster or k is at most 1, or with ``knn_k`` None
+    (kNN off); non-finite -> 0. ``fit`` goes to E1: ``init``, ``n_init``, ``max_iter``, ``tol``."""
     from .cluster import kmeans_fit_predict
     from ..functions.stats import nan_to_num
-    tr, _, cents = kmeans_fit_predict(train, None, k_clusters, seed, vec)
+    tr, _, cents = kmeans_fit_predict(train, None, k_clusters, seed, vec, id_col=id_col, **fit)
     c = cents.select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v"))
     q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
     near = knn(q, c, 1).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("cluster"),
                                F.col("dist").alias("cdist"))
+    if knn_k is None or knn_k <= 1:
+        return near.select(F.col("row_id").alias(id_col), nan_to_num(F.col("cdist")).alias("uq"))
     qc = q.join(near, "row_id")
     pts = tr.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"), "cluster")
     sizes = pts.groupBy("cluster").agg(F.count("*").alias("csize"))
     nn = knn(qc, pts, knn_k, by=["cluster"]).groupBy("cluster", F.col("q_id").alias("row_id")).agg(
         F.avg("dist").alias("kdist"))
     r = qc.join(sizes, "cluster", "left").join(nn, ["cluster", "row_id"], "left")
-    use_c = (F.coalesce(F.col("csize"), F.lit(0)) <= 1) | F.lit(knn_k <= 1)
-    uq = F.when(use_c, F.col("cdist")).otherwise(0.4 * F.col("cdist") + 0.6 * F.col("kdist"))
+    uq = F.when(F.coalesce(F.col("csize"), F.lit(0)) <= 1, F.col("cdist")).otherwise(0.4 * F.col("cdist") + 0.6 * F.col("kdist"))
     return r.select(F.col("row_id").alias(id_col), nan_to_num(uq).alias("uq"))
 
 
@@ -45,9 +47,10 @@ def kmeans_uq(train: DataFrame, evals: DataFrame, k_clusters: int, knn_k: int, s
 import math  # noqa: E402
 
 import numpy as np  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.stat import Summarizer  # noqa: E402
 
-from .blocks import log_density_parts  # noqa: E402
+from .blocks import log_density_lanes  # noqa: E402
 from .order import global_rank  # noqa: E402
 
 BANDWIDTHS = [float(x) for x in np.logspace(-1, 1.5, 30)]  # 30 values, 10^-1 .. 10^1.5
@@ -71,42 +74,75 @@ def contiguous_folds(df: DataFrame, n_folds: int = N_FOLDS, by=(), id_col: str =
     return r.withColumn("fold", fold.cast("bigint")).drop("_r", "_n")
 
 
+def _held_out(by: list[str], bandwidths, d: int):
+    """Log densities of a row under the points of the other folds, one per bandwidth, from its lanes."""
+    bw = np.asarray(bandwidths, dtype=np.float64)
+    scale = 1.0 / (2.0 * bw * bw)
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                i, own = np.arange(len(b)), b["fold"].to_numpy()
+                near, cnt = np.stack(b["near"].to_numpy()).copy(), np.stack(b["cnt"].to_numpy())
+                near[i, own] = np.inf
+                sums = np.stack(b["sums"].to_numpy()).reshape(len(b), near.shape[1], len(bw))
+                low, n = near.min(axis=1), cnt.sum(axis=1) - cnt[i, own]
+                some = n > 0  # a group of one row has no other fold
+                if not some.any():
+                    continue
+                near, sums, low = near[some], sums[some], low[some]
+                total = (sums * np.exp(-(near - low[:, None])[:, :, None] * scale)).sum(axis=1)
+                logp = np.log(total) - low[:, None] * scale - np.log(n[some])[:, None] - (d / 2.0) * np.log(2 * np.pi * bw * bw)
+                yield b.loc[some, [*by, "fold"]].assign(logp=list(logp))
+    return run
+
+
 def choose_bandwidth(train: DataFrame, bandwidths=BANDWIDTHS, by=(), vec: str = "v", id_col: str = "row_id",
-                     n_folds: int = N_FOLDS) -> DataFrame:
+                     n_folds: int = N_FOLDS, **blocks) -> DataFrame:
     """cross-validated Gaussian-KDE bandwidth per group: fold mean of the
     held-out total log-likelihood; the first of equal scores wins.
-    Returns (by..., bw_idx, bandwidth, cv_score)."""
+    Returns (by..., bw_idx, bandwidth, cv_score). A group of one row has no score and no row.
+
+    A train row is one row of lanes (folds x bandwidths) from the pair pass to its fold's sum; ``blocks`` goes to that pass."""
     by = list(by)
     d = _dim(train, vec)
     tf = contiguous_folds(train, n_folds, by, id_col)
-    parts = log_density_parts(tf, tf, bandwidths, by=by, fold_col="fold", qid=id_col, pid=id_col, vec=vec)
-    qf = tf.select(*by, F.col(id_col).alias("q_id"), F.col("fold").alias("_qf"))
-    p = parts.join(qf, [*by, "q_id"]).filter(F.col("fold") != F.col("_qf"))
-    # merge the other folds' log-sum-exp terms
-    m = p.groupBy(*by, "q_id", "_qf", "bw_idx").agg(
-        F.max("lse").alias("_M"), F.collect_list("lse").alias("_l"), F.sum("cnt").alias("_nt"))
-    lse = F.col("_M") + F.log(F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_M"))))
-    bw = F.element_at(F.array(*[F.lit(b) for b in bandwidths]), (F.col("bw_idx") + 1).cast("int"))
-    logp = lse - F.log(F.col("_nt")) - (d / 2.0) * F.log(2 * math.pi * bw * bw)
-    per_fold = m.select(*by, "_qf", "bw_idx", logp.alias("lp")).groupBy(*by, "_qf", "bw_idx").agg(
-        F.sum("lp").alias("score"))
-    cv = per_fold.groupBy(*by, "bw_idx").agg(F.avg("score").alias("cv_score"))
-    best = cv.groupBy(*by).agg(F.min_by(F.struct("bw_idx", "cv_score"),
-                                        F.struct(-F.col("cv_score"), F.col("bw_idx"))).alias("b"))
-    return best.select(*by, F.col("b.bw_idx").alias("bw_idx"),
-                       F.element_at(F.array(*[F.lit(b) for b in bandwidths]),
-                                    (F.col("b.bw_idx") + 1).cast("int")).alias("bandwidth"),
-                       F.col("b.cv_score").alias("cv_score"))
+    lanes = log_density_lanes(tf, tf, bandwidths, by, "fold", n_folds, id_col, id_col, vec, keep=["fold"], **blocks)
+    typed = "".join(f"`{b}` {train.schema[b].dataType.simpleString()}, " for b in by)
+    logp = lanes.mapInPandas(_held_out(by, bandwidths, d), f"{typed}fold bigint, logp array<double>")
+    per_fold = logp.groupBy(*by, "fold").agg(Summarizer.sum(array_to_vector("logp")).alias("s"))
+    # a literal key where there are no groups: a vector aggregate over no rows at all would fail
+    cv = per_fold.groupBy(*(by or [F.lit(0).alias("_all")])).agg(vector_to_array(Summarizer.mean(F.col("s"))).alias("m"))
+    best = cv.select(*by, F.array_max("m").alias("cv_score"), (F.array_position("m", F.array_max("m")) - 1).cast("bigint").alias("bw_idx"))
+    return best.select(*by, "bw_idx", F.get(F.array(*[F.lit(float(b)) for b in bandwidths]), F.col("bw_idx").cast("int")).alias("bandwidth"),
+                       "cv_score")
+
+
+def _minus_log_density(d: int, h: float) -> Column:
+    """-log density from lanes of one fold and one bandwidth."""
+    logp = F.log(F.get("sums", F.lit(0))) - F.get("near", F.lit(0)) / (2 * h * h) - F.log(F.get("cnt", F.lit(0)))
+    return (d / 2.0) * math.log(2 * math.pi * h * h) - logp
 
 
 def kde_neg_log_density(train: DataFrame, evals: DataFrame, bandwidth: float, by=(), vec: str = "v",
                         id_col: str = "row_id") -> DataFrame:
     """-log p(x) under a Gaussian KDE of the train rows (per ``by`` group)."""
     by = list(by)
-    d = _dim(train, vec)
-    parts = log_density_parts(evals, train, [bandwidth], by=by, qid=id_col, pid=id_col, vec=vec)
-    logp = F.col("lse") - F.log(F.col("cnt")) - (d / 2.0) * math.log(2 * math.pi * bandwidth * bandwidth)
-    return parts.select(*by, F.col("q_id").alias(id_col), (-logp).alias("uq"))
+    lanes = log_density_lanes(evals, train, [bandwidth], by, qid=id_col, pid=id_col, vec=vec)
+    return lanes.select(*by, F.col("q_id").alias(id_col), _minus_log_density(_dim(train, vec), bandwidth).alias("uq"))
+
+
+def kde_by_group(train: DataFrame, evals: DataFrame, bw: DataFrame, by: str, d: int) -> DataFrame:
+    """(row_id, by, uq): -log density of (row_id, v, by) rows under their group's KDE with its bandwidth h from ``bw``.
+    h is applied by scaling vectors by 1/h and using bandwidth 1: log p_h(x) = log p_1(x/h) - d ln h."""
+    scale = lambda df: df.join(bw, by).withColumn("v", F.transform("v", lambda x: x / F.col("bandwidth")))
+    lanes = log_density_lanes(scale(evals), scale(train), [1.0], [by, "bandwidth"])
+    return lanes.select(F.col("q_id").alias("row_id"), by, (_minus_log_density(d, 1.0) + d * F.log("bandwidth")).alias("uq"))
+
+
+def split_frames(uq: DataFrame, evals: DataFrame, metrics=("meteor", "bertscore_f1", "perplexity"), id_col: str = "row_id") -> DataFrame:
+    """The frames of F2, F7 and F8 in one table: (row_id, split, uq, metrics...) for every scored evaluation row."""
+    return evals.select(id_col, "split", *metrics).join(uq.select(id_col, "uq"), id_col).select(id_col, "split", "uq", *metrics)
 
 
 def kde_uncertainty(train: DataFrame, evals: DataFrame, bandwidths=BANDWIDTHS, vec: str = "v",
@@ -118,14 +154,14 @@ def kde_uncertainty(train: DataFrame, evals: DataFrame, bandwidths=BANDWIDTHS, v
 
 # ---------------------------------------------------------------------------------- F2
 def kmeans_knn_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int, k: int, seed: int = 0,
-                           vec: str = "v", id_col: str = "row_id") -> DataFrame:
+                           vec: str = "v", id_col: str = "row_id", **fit) -> DataFrame:
     """k-means, merge clusters below k rows, nearest merged centroid, mean
     distance to the k nearest train rows of that cluster. A row whose cluster
     has fewer than k rows takes the largest score of the earlier rows (row-id
     order), 0 for the first."""
     from .cluster import centroids, kmeans_fit_predict, merge_small_clusters
     from ..plans.materialize import materialize
-    tr, _, _ = kmeans_fit_predict(train, None, k_clusters, seed, vec)
+    tr, _, _ = kmeans_fit_predict(train, None, k_clusters, seed, vec, id_col=id_col, **fit)
     tr = materialize(merge_small_clusters(tr, "cluster", k, vec))
     cents = centroids(tr, "cluster", vec)
     c = cents.select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v"), F.col("size"))
@@ -142,36 +178,41 @@ def kmeans_knn_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int,
 
 
 # ---------------------------------------------------------------------------------- F8
-def kmeans_kde_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int, min_cluster_size: int,
-                           seed: int = 0, bandwidths=BANDWIDTHS, vec: str = "v", id_col: str = "row_id") -> DataFrame:
-    """F8: k-means, merge small clusters, one cross-validated KDE per cluster
-    (keyed by label); each eval row is scored by the nearest k-means centre
-    whose merged cluster has at least ``min_cluster_size`` rows; +inf if none.
-
-    A per-cluster bandwidth h is applied by scaling the cluster's vectors by
-    1/h and using bandwidth 1: log p_h(x) = log p_1(x/h) - d ln h."""
+def kmeans_kde_fit(train: DataFrame, k_clusters: int, min_cluster_size: int, seed: int = 0, bandwidths=BANDWIDTHS,
+                   vec: str = "v", id_col: str = "row_id", **fit):
+    """F8's model: (train rows (row_id, v, cluster) after the merge of small clusters, k-means centres, and per cluster its
+    size and cross-validated bandwidth). A cluster of one row (no large one to join) has no bandwidth."""
     from .cluster import kmeans_fit_predict, merge_small_clusters
-    d = _dim(train, vec)
     from ..plans.materialize import materialize
-    tr, _, cents = kmeans_fit_predict(train, None, k_clusters, seed, vec)
-    tr = materialize(merge_small_clusters(tr, "cluster", min_cluster_size, vec))
+    tr, _, cents = kmeans_fit_predict(train, None, k_clusters, seed, vec, id_col=id_col, **fit)
+    tr = merge_small_clusters(tr, "cluster", min_cluster_size, vec)
+    tr = materialize(tr.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"), "cluster"))
     sizes = tr.groupBy("cluster").agg(F.count("*").alias("size"))
-    elig = (cents.join(sizes, "cluster").filter(F.col("size") >= min_cluster_size)
-                 .select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v")))
+    bw = choose_bandwidth(tr, bandwidths, by=["cluster"]).select("cluster", "bandwidth")
+    return tr, cents, materialize(sizes.join(bw, "cluster", "left"))
+
+
+def kmeans_kde_clusters(train: DataFrame, k_clusters: int, min_cluster_size: int, seed: int = 0, bandwidths=BANDWIDTHS,
+                        vec: str = "v", id_col: str = "row_id", **fit) -> DataFrame:
+    """F8, per cluster: (cluster, size, bandwidth, uq), uq the mean of -log density over the cluster's own train rows
+    under its KDE; null for a cluster of one row."""
+    tr, _, model = kmeans_kde_fit(train, k_clusters, min_cluster_size, seed, bandwidths, vec, id_col, **fit)
+    bw = model.select("cluster", "bandwidth").where("bandwidth is not null")
+    mean = kde_by_group(tr, tr, bw, "cluster", _dim(train, vec)).groupBy("cluster").agg(F.avg("uq").alias("uq"))
+    return model.join(mean, "cluster", "left").select("cluster", "size", "bandwidth", "uq")
+
+
+def kmeans_kde_uncertainty(train: DataFrame, evals: DataFrame, k_clusters: int, min_cluster_size: int,
+                           seed: int = 0, bandwidths=BANDWIDTHS, vec: str = "v", id_col: str = "row_id", **fit) -> DataFrame:
+    """F8: k-means, merge small clusters, one cross-validated KDE per cluster
+    (keyed by label); each eval row is scored by the nearest k-means centre
+    whose merged cluster has at least ``min_cluster_size`` rows; +inf if none."""
+    tr, cents, model = kmeans_kde_fit(train, k_clusters, min_cluster_size, seed, bandwidths, vec, id_col, **fit)
+    large = model.filter((F.col("size") >= min_cluster_size) & F.col("bandwidth").isNotNull())
+    elig = cents.join(large, "cluster", "left_semi").select(F.col("cluster").alias("row_id"), F.col("centroid").alias("v"))
     q = evals.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"))
     near = knn(q, elig, 1).select(F.col("q_id").alias("row_id"), F.col("p_id").alias("cluster"))
-    pts = tr.select(F.col(id_col).alias("row_id"), F.col(vec).alias("v"), "cluster")
-    elig = materialize(elig)
-    bw = materialize(choose_bandwidth(pts.join(elig.select(F.col("row_id").alias("cluster")), "cluster", "left_semi"),
-                                      bandwidths, by=["cluster"], vec="v").select("cluster", "bandwidth"))
-    scale = lambda df: df.join(bw, "cluster").withColumn(
-        "v", F.transform("v", lambda x: x / F.col("bandwidth")))
-    qs = scale(q.join(near, "row_id"))
-    ps = scale(pts)
-    parts = log_density_parts(qs, ps, [1.0], by=["cluster", "bandwidth"])
-    logp = F.col("lse") - F.log(F.col("cnt")) - (d / 2.0) * math.log(2 * math.pi) \
-        - d * F.log(F.col("bandwidth"))
-    scored = parts.select(F.col("q_id").alias("row_id"), (-logp).alias("uq"))
+    scored = kde_by_group(tr, q.join(near, "row_id"), large.select("cluster", "bandwidth"), "cluster", _dim(train, vec)).select("row_id", "uq")
     return (q.select("row_id").join(scored, "row_id", "left")
              .select(F.col("row_id").alias(id_col), F.coalesce(F.col("uq"), F.lit(float("inf"))).alias("uq")))
 

@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None, doubles=()):
 
 def load_all():
     """Import the modules that register queries (idempotent)."""
-    from . import q_tables, q_eval, q_vectors, q_text, q_sweep, q_io  # noqa: F401
+    from . import q_tables, q_eval, q_vectors, q_kmeans, q_text, q_sweep, q_io  # noqa: F401
     return REGISTRY
 
 

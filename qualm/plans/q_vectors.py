@@ -161,12 +161,6 @@ def f3_kmeans_uq(spark, sf):
     return SC.kmeans_uq(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 8, 5)
 
 
-@register("f6_kde_bandwidth")
-def f6_kde_bandwidth(spark, sf):
-    e = T.emb(spark, sf).filter(F.col("split") == "train")
-    return SC.choose_bandwidth(e)
-
-
 @register("f7_kde_fixed_bandwidth", EMB + """
 tr AS (SELECT row_id, v FROM emb WHERE split = 'train'),
 ev AS (SELECT row_id, split, v FROM emb WHERE split <> 'train'),
@@ -179,12 +173,6 @@ def f7_kde_fixed_bandwidth(spark, sf):
     return SC.kde_neg_log_density(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), 1.0)
 
 
-@register("f7_kde_global")
-def f7_kde_global(spark, sf):
-    e = T.emb(spark, sf)
-    return SC.kde_uncertainty(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"))
-
-
 @register("f2_kmeans_knn")
 def f2_kmeans_knn(spark, sf):
     e = T.emb(spark, sf)
