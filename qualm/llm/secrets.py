@@ -2,8 +2,8 @@
 
 Base patterns mark candidates in every whole text. A wider pattern adds long mixed tokens (kind ``blob``) outside the
 base spans. All candidate values are hashed and counted by distinct repositories and owners over the corpus: a value of
-EXAMPLE_OWNERS owners or more is a widely copied example, one of fewer owners that looks random is live. Base spans are always
-reported; a blob is reported if it is live.
+EXAMPLE_OWNERS owners or more, or of EXAMPLE_REPOS repositories or more (a template that one owner copies about), is a widely
+copied example; any other that looks random is live. Base spans are always reported; a blob is reported if it is live.
 
 Owner and repository are columns the caller names; the query takes ``source`` and ``doc_id``. Only texts with a match
 are cut up, and only spans and hashes are shuffled. Values that a third of all rows hold are counted from distinct
@@ -27,7 +27,7 @@ KINDS = [
 ]
 #: What a text must match before it is cut up by a kind's pattern.
 HINTS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}", "blob": r"[A-Za-z0-9_-]{24}"}
-BASE, EXAMPLE_OWNERS, SALTS, LEAST_DISTINCT = 3, 3, 16, 8
+BASE, EXAMPLE_OWNERS, EXAMPLE_REPOS, SALTS, LEAST_DISTINCT = 3, 3, 100, 16, 8
 
 
 def found_in(text: Column) -> Column:
@@ -76,20 +76,22 @@ def ownership(spans: DataFrame) -> DataFrame:
             .groupBy("hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners")))
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, then n_live, n_example and widest: most owners of a value."""
+def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = EXAMPLE_OWNERS,
+         example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, then n_live, n_example, and most owners (widest) and most
+    repositories (most_repos) of a value in the document."""
     spans = cut(candidates(docs, owner, repo))
     salted = ownership(spans).select(F.col("hash").alias("h"), "owners", "repos", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("doc", "version"), F.lit(SALTS)).cast("int")
     judged = (spans.join(salted, (F.col("hash") == F.col("h")) & (salt == F.col("salt")))
-              .withColumn("example", F.col("owners") >= example_owners).withColumn("live", ~F.col("example") & F.col("random"))
+              .withColumn("example", (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)).withColumn("live", ~F.col("example") & F.col("random"))
               .where((F.col("kind") < BASE) | F.col("live")))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1)
     span = F.struct("start", "kind", F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("s"))
     per_doc = judged.groupBy("doc", "version", "owner", "repo").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
         F.sort_array(F.collect_list(span)).alias("all"), F.count(F.when(F.col("live"), 1)).alias("n_live"),
-        F.count(F.when(F.col("example"), 1)).alias("n_example"), F.max("owners").alias("widest"))
+        F.count(F.when(F.col("example"), 1)).alias("n_example"), F.max("owners").alias("widest"), F.max("repos").alias("most_repos"))
     join_names = lambda a: F.array_join(F.transform(a, lambda x: x["s"]), ",")
     per_doc = (per_doc.withColumn("base", join_names(F.filter("all", lambda x: x["kind"] < BASE))).withColumn("spans", join_names(F.col("all")))
                .withColumnRenamed("doc", "d").withColumnRenamed("version", "v").withColumnRenamed("owner", "o").withColumnRenamed("repo", "r"))
@@ -100,4 +102,4 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_o
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return joined.select(F.col("doc").alias("doc_id"), zero("n_assign"), zero("n_access"), zero("n_hex"),
                          F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
-                         zero("n_live"), zero("n_example"), zero("widest"))
+                         zero("n_live"), zero("n_example"), zero("widest"), zero("most_repos"))

@@ -143,7 +143,20 @@ def test_secrets_by_ownership(spark):
     check_secrets(df)
     found = {r.doc_id: r for r in secrets.scan(df).collect()}
     assert found[3].n_live == 1 and "blob" in found[3].spans and found[1].n_live == 0 and "blob" not in found[1].spans
-    assert found[1].n_example == 3 and found[1].widest == 4
+    assert found[1].n_example == 3 and found[1].widest == 4 and found[1].most_repos == 9
+
+
+def test_secrets_by_repositories_of_one_owner(spark):
+    copied, own, template = "Qr71tY-" + "m4Hx2" * 5, "Uw93sE-" + "p8Kd6" * 5, "Lb27nA_" + "c5Vz3" * 5
+    rows = [(i, f"token={copied} {template} {own if i < 99 else ''}", "s0") for i in range(100)]  # two in 100 repositories, one in 99
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_secrets(df)
+    found = {r.doc_id: r for r in secrets.scan(df).collect()}
+    base, at = f"assign:0:{6 + len(copied)}", len(f"token={copied} {template} ")
+    assert (found[0].n_live, found[0].n_example, found[0].widest, found[0].most_repos) == (1, 1, 1, 100)
+    assert found[0].spans == f"{base},blob:{at}:{at + len(own)}"
+    assert (found[99].n_live, found[99].n_example, found[99].spans) == (0, 1, base)
+    assert {r.n_live for r in secrets.scan(df, example_repos=101).collect()} == {2, 3}
 
 
 def test_toxicity_held_out(spark):
