@@ -4,7 +4,8 @@ Trees split a bounded sample of the distinct vectors at the median of a random d
 the forest is broadcast and every vector is then filed under its leaf of each tree. A query walks all trees with one
 shared priority queue, nearest cell first, until the leaves it has opened hold enough vectors. Leaves and the queries
 that open them meet in tasks, where every candidate is reranked by the exact distance; each leaf returns at most
-``k + 1`` per query. Equal vectors are one point with its ``k + 1`` smallest ids, so no group of copies makes a large
+``k + 1`` per query. A leaf of many vectors is cut into parts of about PART_ROWS, and queries into shares of about
+QUERY_ROWS, so what a task holds does not grow with the table. Vectors keep their type: doubles are not rounded. Equal vectors are one point with its ``k + 1`` smallest ids, so no group of copies makes a large
 leaf and none is lost from a result.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut
 
-TREES, LEAF, SAMPLE, SHARE, LEAST, GROUP_ROWS = 12, 64, 20_000, 0.8, 2000, 40_000
+TREES, LEAF, SAMPLE, SHARE, LEAST, GROUP_ROWS, PART_ROWS, QUERY_ROWS = 12, 64, 20_000, 0.8, 2000, 40_000, 20_000, 5_000
 
 
 @dataclass
@@ -120,7 +121,9 @@ def distances(query: np.ndarray, points: np.ndarray) -> np.ndarray:
 def valid(vectors: DataFrame) -> DataFrame:
     """(id, vec) of the rows that take part."""
     v = F.col("vec")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec")).where("id is not null and vec is not null")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = (vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vec"))
+            .where("id is not null and vec is not null"))
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.coalesce(good, F.lit(False)))
     common = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -128,7 +131,7 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE,
-            share: float = SHARE, least: int = LEAST) -> DataFrame:
+            share: float = SHARE, least: int = LEAST, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``. A query opens
     leaves of ``least`` vectors or ``share`` of all, whichever is more, counted over all trees."""
     spark = vectors.sparkSession
@@ -143,38 +146,52 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
         return spark.createDataFrame([], schema)
     forest = Forest.fit(matrix(chosen["vec"]), trees, leaf)
     shared = spark.sparkContext.broadcast(forest)
-    groups = max(1, math.ceil(n * trees / GROUP_ROWS))
+    kind = rows.schema["vec"].dataType.simpleString()
+    sizes = points.select("vec").mapInPandas(
+        lambda bs: (pd.DataFrame({"leaf": x}) for b in bs if len(b) for x in [shared.value.leaves(matrix(b["vec"])).ravel()]), "leaf long")
+    for leaf_id, size in sizes.groupBy("leaf").agg(F.count(F.lit(1))).collect():  # a row per leaf of the bounded forest
+        forest.sizes[leaf_id] = size
+    asked = rows.where(F.col("id") % every == 0).select("id", "vec")
+    reps = cut(asked.groupBy("vec").agg(F.min("id").alias("rep")))
+    asks = reps.count()
+    shares = max(1, math.ceil(asks / query_rows))
+    counted, want = spark.sparkContext.broadcast(forest), max(least, math.ceil(share * n))
+    opened = asks * min(len(forest.sizes), math.ceil(want * len(forest.sizes) / max(1, int(forest.sizes.sum()))))
+    groups = max(1, math.ceil(n * trees * shares / GROUP_ROWS), math.ceil(opened / GROUP_ROWS))
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = np.maximum(1, -(-counted.value.sizes // part_rows))
         for b in batches:
             if len(b):
-                at = shared.value.leaves(matrix(b["vec"]))
+                at = counted.value.leaves(matrix(b["vec"]))
                 i = np.repeat(np.arange(len(b)), at.shape[1])
-                yield pd.DataFrame({"leaf": at.ravel(), "ids": b["ids"].to_numpy()[i], "vec": b["vec"].to_numpy()[i]})
+                leaf_ids = at.ravel()
+                part = b["h"].to_numpy()[i] % parts[leaf_ids]
+                for s in range(shares):
+                    yield pd.DataFrame({"leaf": leaf_ids, "part": part, "share": s, "ids": b["ids"].to_numpy()[i], "vec": b["vec"].to_numpy()[i]})
 
-    index = points.select("ids", "vec").mapInPandas(file, "leaf long, ids array<long>, vec array<float>")
-    sizes = points.select("ids", "vec").mapInPandas(
-        lambda bs: (pd.DataFrame({"leaf": x}) for b in bs if len(b) for x in [shared.value.leaves(matrix(b["vec"])).ravel()]), "leaf long")
-    for leaf_id, size in sizes.groupBy("leaf").agg(F.count(F.lit(1))).collect():  # a row per leaf of the bounded forest
-        forest.sizes[leaf_id] = size
-    counted, want = spark.sparkContext.broadcast(forest), max(least, math.ceil(share * n))
+    hashed = points.select("ids", "vec", F.pmod(F.xxhash64("vec"), F.lit(1 << 40)).alias("h"))
+    index = hashed.mapInPandas(file, f"leaf long, part long, share long, ids array<long>, vec {kind}")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = np.maximum(1, -(-counted.value.sizes // part_rows))
         for b in batches:
-            for rep, vec in zip(b["rep"], b["vec"]):
-                leaves = counted.value.probe(np.asarray(vec, dtype=np.float64), want)
-                yield pd.DataFrame({"leaf": leaves, "rep": rep, "vec": [vec] * len(leaves)})
+            for rep, vec, h in zip(b["rep"], b["vec"], b["h"]):
+                leaves = np.array(counted.value.probe(np.asarray(vec, dtype=np.float64), want), dtype=np.int64)
+                times = parts[leaves]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"leaf": np.repeat(leaves, times), "part": part, "share": h % shares, "rep": rep, "vec": [vec] * len(part)})
 
-    asked = rows.where(F.col("id") % every == 0).select("id", "vec")
-    reps = cut(asked.groupBy("vec").agg(F.min("id").alias("rep")))
-    probes = reps.repartition(max(2, min(n // 500, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInPandas(
-        ask, "leaf long, rep long, vec array<float>")
+    probes = (reps.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+              .repartition(max(2, min(n // 500, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+              .mapInPandas(ask, f"leaf long, part long, share long, rep long, vec {kind}"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            by_leaf = dict(tuple(left.groupby("leaf")))
-            for leaf_id, asks in right.groupby("leaf"):
+            cell = ["leaf", "part", "share"]
+            by_leaf = dict(tuple(left.groupby(cell)))
+            for leaf_id, asks in right.groupby(cell):
                 if (own := by_leaf.get(leaf_id)) is None:
                     continue
                 x, ids = matrix(own["vec"]), own["ids"].to_numpy()
@@ -185,7 +202,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
                     out += [(rep, v, s) for s, v in near]
         return pd.DataFrame(out, columns=["rep", "vec_id", "score"]).astype({"rep": "int64", "vec_id": "int64", "score": "float64"})
 
-    group = F.pmod(F.xxhash64("leaf"), F.lit(groups)).alias("g")
+    group = F.pmod(F.xxhash64("leaf", "part", "share"), F.lit(groups)).alias("g")
     found = (index.groupBy(group).cogroup(probes.groupBy(group)).applyInPandas(rerank, "rep long, vec_id long, score double")
              .groupBy("rep", "vec_id").agg(F.min("score").alias("score")))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)

@@ -41,6 +41,19 @@ def test_neighbours_recall(spark):
     assert np.mean(hit) >= 0.9
 
 
+def test_neighbours_of_double_vectors_by_parts_and_shares(spark):
+    x = np.random.default_rng(4).normal(size=(900, 5))
+    ids = np.arange(len(x)) * 20
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    want = exact(ids, x)
+    for cuts in ({}, {"part_rows": 9, "query_rows": 50}):  # leaves of up to 64 in eight parts, queries in four shares
+        found = defaultdict(list)
+        for r in sorted(ann.nearest(df, share=12.0, **cuts).collect(), key=lambda r: (r.query_id, r["rank"])):
+            found[r.query_id].append((r.score, r.vec_id))
+        assert {q: [v for _, v in f] for q, f in found.items()} == {q: [v for _, v in f] for q, f in want.items()}
+        assert all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(found[q], want[q]))
+
+
 def test_neighbours_of_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(150)]
