@@ -1,9 +1,8 @@
 """Embedding pooling (D2-D4) and reductions.
 
-Fits are distributed aggregates (Summarizer / RowMatrix Gramians / covariance
-aggregates); only d x d matrices and d-vectors reach the driver. Transforms
-are column expressions or Arrow-batched numpy matmuls against a broadcast
-d x k matrix.
+Fits are distributed aggregates (Summarizer, the range finder of ``lowrank.py``, covariance
+aggregates); only d-vectors and, for D10, one d x d matrix reach the driver. Transforms
+are column expressions or Arrow-batched numpy matmuls against a d x k matrix.
 """
 from __future__ import annotations
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quantile import exact_quantiles
 from ..plans.materialize import materialize
+from .lowrank import STRIPE, centred, count_mean, right_singular, sum_stripes
 
 
 # -- D2-D4 ------------------------------------------------------------------------
@@ -85,61 +85,42 @@ def _project_udf(W: np.ndarray, mean: np.ndarray | None):
 
     @F.pandas_udf("array<double>")
     def proj(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        X = np.stack(v.to_numpy()).astype(np.float64)
-        if mu is not None:
-            X = X - mu
-        return pd.Series(list(X @ Wc))
+        out, some = pd.Series([None] * len(v), dtype=object), v.notna().to_numpy()
+        if some.any() and len(Wc):
+            X = np.stack(v[some].to_numpy()).astype(np.float64)
+            if mu is not None:
+                X = X - mu
+            out[some] = pd.Series(list(X @ Wc), index=out.index[some])
+        return out
     return proj
 
 
 def _fix_signs(W: np.ndarray) -> np.ndarray:
     """Deterministic sign: the largest-magnitude loading of each component is positive."""
+    if not len(W):
+        return W
     idx = np.abs(W).argmax(axis=0)
     sgn = np.sign(W[idx, np.arange(W.shape[1])])
     sgn[sgn == 0] = 1
     return W * sgn
 
 
-def moments(train: DataFrame, vec: str = "v"):
-    """(n, mean, sample covariance) of the vectors, computed in the JVM.
-
-    The covariance comes from Spark ML's PCA fit with k = d (a distributed
-    Gramian); its axes and explained-variance shares times the total variance
-    give back the d x d matrix."""
-    from pyspark.ml.feature import PCA
-    v = train.select(array_to_vector(F.col(vec)).alias("_v"))
-    s = v.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
-    mean, var, n = s["mean"].toArray(), s["variance"].toArray(), int(s["count"])
-    d = len(mean)
-    model = PCA(k=d, inputCol="_v", outputCol="_p").fit(v)
-    V = model.pc.toArray()
-    lam = model.explainedVariance.toArray() * var.sum()
-    return n, mean, (V * lam) @ V.T
-
-
 def fit_pca(train: DataFrame, k: int, vec: str = "v"):
-    """Principal axes of the train rows (centred; no whitening)."""
-    _, mean, cov = moments(train, vec)
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1][:k]
-    return _fix_signs(vecs[:, order]), mean, vals[order]
+    """Principal axes of the train rows (centred; no whitening), their mean and variances."""
+    n, mean, W, sigma, _ = right_singular(train, k, True, vec)
+    return _fix_signs(W), mean, sigma ** 2 / max(n - 1, 1)
 
 
 def fit_svd(train: DataFrame, k: int, vec: str = "v"):
-    """Top-k right singular vectors of the uncentred train matrix
-    (Gram = (n-1) cov + n mean mean^T)."""
-    n, mean, cov = moments(train, vec)
-    gram = (n - 1) * cov + n * np.outer(mean, mean)
-    vals, vecs = np.linalg.eigh(gram)
-    order = np.argsort(vals)[::-1][:k]
-    return _fix_signs(vecs[:, order]), np.sqrt(np.maximum(vals[order], 0))
+    """Top-k right singular vectors and values of the uncentred train matrix."""
+    _, _, W, sigma, _ = right_singular(train, k, False, vec)
+    return _fix_signs(W), sigma
 
 
 def reduce_dimensionality(train: DataFrame, evals: DataFrame, k: int, method: str = "PCA",
                           vec: str = "v", out: str = "r"):
-    """D6-D8 dispatch; an unknown name falls back to PCA, as the reference does."""
+    """D6-D8 dispatch; an unknown name means PCA. A null vector has a null projection, and without any train
+    vector all have."""
     m = method.upper()
     if m in ("SVD", "TUCKER"):
         W, _ = fit_svd(train, k, vec)
@@ -151,9 +132,6 @@ def reduce_dimensionality(train: DataFrame, evals: DataFrame, k: int, method: st
 
 
 # -- D10 ---------------------------------------------------------------------------
-STRIPE = 64  # rows of the covariance matrix that travel as one row
-
-
 def covariance(df: DataFrame, vec: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, sample covariance) of an array column in two aggregates: the mean, then centred outer products.
 
@@ -161,29 +139,21 @@ def covariance(df: DataFrame, vec: str = "v") -> tuple[int, np.ndarray, np.ndarr
     task but the driver meets the whole matrix of another; d x d values (a property of the vectors, not of the number of
     rows) reach the driver. Rows with a null vector take no part."""
     rows = df.select(F.col(vec).alias("v")).where(F.col("v").isNotNull())
-    found = (rows.select(array_to_vector("v").alias("v")).groupBy(F.lit(0).alias("_all"))
-             .agg(Summarizer.metrics("mean", "count").summary(F.col("v")).alias("s")).first())
-    if found is None or found["s"]["count"] < 2:
-        return int(found is not None), np.zeros(0), np.zeros((0, 0))
-    s = found["s"]
-    n = int(s["count"])
-    mean = s["mean"].toArray()
+    n, mean = count_mean(rows)
+    if n < 2:
+        return n, np.zeros(0), np.zeros((0, 0))
     d = len(mean)
 
     def outer(batches):
         total = np.zeros((d, d))
         for b in batches:
             if len(b):
-                X = np.stack(b["v"].to_numpy()).astype(np.float64) - mean
+                X = centred(b, mean)
                 total += X.T @ X
         yield pd.DataFrame({"stripe": range(0, d, STRIPE), "part": [total[i:i + STRIPE].ravel() for i in range(0, d, STRIPE)]})
 
     parts = rows.mapInPandas(outer, "stripe int, part array<double>")
-    stripes = parts.groupBy("stripe").agg(Summarizer.sum(array_to_vector("part")).alias("s")).collect()
-    cov = np.zeros((d, d))
-    for r in stripes:
-        cov[r["stripe"]:r["stripe"] + STRIPE] = r["s"].toArray().reshape(-1, d)
-    return n, mean, cov / (n - 1)
+    return n, mean, sum_stripes(parts, d, d) / (n - 1)
 
 
 def whitening(cov: np.ndarray) -> np.ndarray:

@@ -74,24 +74,53 @@ def d5_standard_scaler(spark, sf):
     return R.explode_vector(tr.unionByName(ev), "v", ["row_id"])
 
 
-def _reduced(spark, sf, method, k=8):
+SQUARINGS, AXES = 24, 8
+
+
+def _reduced(spark, sf, method, k=AXES):
     e = T.emb(spark, sf)
     tr, ev = R.reduce_dimensionality(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"),
                                      k, method)
     return R.explode_vector(tr.unionByName(ev), "r", ["row_id"])
 
 
-@register("d6_pca")  # axes are sign/rotation free: checked by projections in tests
+def axes_sql(centre: bool) -> str:
+    """Projections on the first AXES right singular vectors of the train rows, less their mean if ``centre``.
+
+    An axis is found by squaring the Gram matrix SQUARINGS times, which leaves its first eigenvector's outer product, and is
+    then taken out of the matrix. Its largest loading is positive."""
+    shift = "avg(x) OVER (PARTITION BY d)" if centre else "0"
+    ctes = [EMB.replace("WITH", "WITH RECURSIVE", 1) + f"""
+long AS MATERIALIZED (SELECT row_id, split, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM emb),
+tu AS (SELECT row_id, d, x - {shift} AS x FROM long WHERE split = 'train'),
+means AS (SELECT d, avg(x) AS m FROM long WHERE split = 'train' GROUP BY d),
+rows AS MATERIALIZED (SELECT row_id, list(x - {'m' if centre else 0} ORDER BY d) AS v FROM long JOIN means USING (d) GROUP BY row_id),
+cols AS MATERIALIZED (SELECT d, list(x ORDER BY row_id) AS c FROM tu GROUP BY d),
+g0 AS MATERIALIZED (SELECT a.d AS i, list(list_dot_product(a.c, b.c) ORDER BY b.d) AS r FROM cols a, cols b GROUP BY a.d)"""]
+    for c in range(AXES):
+        ctes.append(f"""
+p{c} AS (SELECT 0 AS s, i, list_transform(r, lambda x: x / t) AS r FROM g{c}, (SELECT sum(r[i]) AS t FROM g{c}) q
+  UNION ALL SELECT s + 1, i, list_transform(r, lambda x: x / t) FROM (SELECT s, i, r, sum(r[i]) OVER () AS t FROM (
+    SELECT a.s, a.i, list(list_dot_product(a.r, b.r) ORDER BY b.i) AS r FROM p{c} a, p{c} b WHERE a.s < {SQUARINGS} GROUP BY a.s, a.i) q) q),
+m{c} AS (SELECT r, list_transform(r, lambda x: abs(x)) AS size FROM p{c} WHERE s = {SQUARINGS} ORDER BY r[i] DESC LIMIT 1),
+w{c} AS MATERIALIZED (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * sign(r[list_position(size, list_max(size))])) AS w FROM m{c}),
+g{c + 1} AS MATERIALIZED (SELECT i, list_transform(r, lambda x, j: x - lam * w[i] * w[j]) AS r
+  FROM g{c}, w{c}, (SELECT sum(w[i] * list_dot_product(r, w)) AS lam FROM g{c}, w{c}) q)""")
+    picks = "\nUNION ALL ".join(f"SELECT row_id, CAST({c} AS BIGINT) AS d, list_dot_product(v, w) AS value FROM rows, w{c}" for c in range(AXES))
+    return ",".join(ctes) + "\n" + picks
+
+
+@register("d6_pca", axes_sql(True), doubles=["value"])
 def d6_pca(spark, sf):
     return _reduced(spark, sf, "PCA")
 
 
-@register("d7_svd")
+@register("d7_svd", axes_sql(False), doubles=["value"])
 def d7_svd(spark, sf):
     return _reduced(spark, sf, "SVD")
 
 
-@register("d8_tucker")
+@register("d8_tucker", axes_sql(False), doubles=["value"])
 def d8_tucker(spark, sf):
     return _reduced(spark, sf, "TUCKER")
 
