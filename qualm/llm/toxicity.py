@@ -2,14 +2,14 @@
 
 A document is a bag of sentences. A sentence's probability is a logistic score of its words and their prefixes; the
 noisy-or of some sentences is 1 - prod(1 - p). Only document labels train the weights, so the sentence scores, which
-locate the offending sentences, are learned through the noisy-or. A document's score is the highest noisy-or of its
-passages, PASSAGE sentences in a row: the fit knows texts of few sentences, and the small probabilities of very many clean
-ones must not add up. Texts of up to PASSAGE sentences are one passage.
+locate the offending sentences, are learned through the noisy-or. A document's probability is the highest noisy-or of its
+passages, PASSAGE sentences in a row, in the fit and in the score alike: the small probabilities of very many clean
+sentences must not add up. A text of up to PASSAGE sentences is one passage.
 
 The classifier is fitted on a bounded sample of all labelled documents: at most SAMPLE of each label, the ones with the
-smallest hash of doc_id; rows that repeat a doc_id are one of them, with the least of their texts. Of a text over SAMPLE_CHARS characters the fit sees PIECES pieces, as many characters in all,
-spread evenly from its start to its end; they count as the text, whose other sentences the fit does not see. Scoring
-covers every whole text.
+smallest hash of doc_id; rows that repeat a doc_id are one of them, with the least of their texts. The fit reads every
+sentence of their whole texts, as numbers of distinct words; only texts being read are held as strings. Scoring covers
+every whole text.
 
 Defined results: null and empty texts are one sentence without words, so they get the bias alone; a text's score is
 independent of other rows, so repeated rows agree; labels that contradict each other count as toxic; null labels are
@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import text_of, unpack, whole_row
 
-SAMPLE, SAMPLE_CHARS, PREFIXES, MIN_DOCS, MIN_WORDS, CACHED_WORDS = 3000, 20_000, (3, 4, 5, 6), 5, 6, 400_000
-PASSAGE, PIECES = 32, 20
+SAMPLE, PREFIXES, MIN_DOCS, MIN_WORDS, CACHED_WORDS = 3000, (3, 4, 5, 6), 5, 6, 400_000
+PASSAGE = 32
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -58,6 +58,23 @@ def sentences(text: str) -> list[tuple[int, int, set[str]]]:
     return found or [(0, 0, set())]
 
 
+def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of every passage, document by document, and where each document's passages begin. ``first``: the
+    documents' first sentences, then the number of all sentences; every document has a sentence."""
+    size = np.diff(first)
+    at, end = np.arange(first[-1]), np.repeat(first[1:], size)
+    starts = at[(at + PASSAGE <= end) | (at == np.repeat(first[:-1], size))]
+    return starts, np.minimum(starts + PASSAGE, end[starts]), np.searchsorted(starts, first[:-1])
+
+
+def highest(total: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The number of each document's passage with the highest total, the first of equals."""
+    counts = np.diff(np.append(begins, len(total)))
+    doc = np.repeat(np.arange(len(begins)), counts)
+    top = np.flatnonzero(total == np.maximum.reduceat(total, begins)[doc])
+    return top[np.append(True, np.diff(doc[top]) > 0)]
+
+
 @dataclass
 class Model:
     """weights: of the features that kept one. Words are looked up in a bounded cache of their sums."""
@@ -80,28 +97,31 @@ class Model:
         """The document's score, then what SCORED lists; spans in characters, end exclusive."""
         bag = sentences(text or "")
         z = np.array([self.bias + sum(map(words.__getitem__, w)) for _, _, w in bag])
-        p, before = 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.append(0, np.logaddexp(0, z).cumsum())
-        n, k = min(PASSAGE, len(z)), int(p.argmax())
-        clean = -(before[n:] - before[:-n]).max()
-        return float(-np.expm1(clean)), len(bag), int((p >= 0.5).sum()), bag[k][0], bag[k][1], float(p[k])
+        p, loss, k = 1 / (1 + np.exp(-np.clip(z, -500, 500))), np.logaddexp(0, z), int(z.argmax())
+        n, before = min(PASSAGE, len(z)), np.append(0, loss.cumsum())
+        at = int((before[n:] - before[:-n]).argmax())  # the highest passage, as in the fit
+        return float(-np.expm1(-loss[at:at + n].sum())), len(bag), int((p >= 0.5).sum()), bag[k][0], bag[k][1], float(p[k])
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.05, l1: float = 3e-4) -> Model:
-    """Adam on the noisy-or's log-likelihood, with soft thresholds that leave few weights."""
+def fit(texts: Iterable[str], labels: list[int], rounds: int = 150, rate: float = 0.05, l1: float = 3e-4) -> Model:
+    """Adam on the log-likelihood of the best passages' noisy-or, with soft thresholds that leave few weights. A round's
+    gradient runs through the passage that is each document's highest under the weights before it."""
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return Model()
     # word numbers of every sentence, in flat arrays: the texts' words are not held as strings
     words: dict[str, int] = {}
-    word_of, sentence_of, doc_of, in_docs = array("i"), array("i"), array("i"), array("i")
-    for d, text in enumerate(texts):
+    word_of, sentence_of, in_docs, first = array("i"), array("i"), array("i"), array("q")
+    n_sent = 0
+    for text in texts:
         own: set[int] = set()
+        first.append(n_sent)
         for _, _, found in sentences(text):
             numbers = [words.setdefault(x, len(words)) for x in sorted(found)]
             own.update(numbers)
             word_of.extend(numbers)
-            sentence_of.extend([len(doc_of)] * len(numbers))
-            doc_of.append(d)
+            sentence_of.extend([n_sent] * len(numbers))
+            n_sent += 1
         in_docs.extend(sorted(own))
     word_docs = np.bincount(np.frombuffer(in_docs, dtype=np.int32), minlength=len(words))
     seen: Counter = Counter()
@@ -117,18 +137,26 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.
         of_word.extend([i] * len(known))
     if not of_word:
         return Model(bias=float(np.log(y.mean() / (1 - y.mean()))))
-    of_word, of_feature, word_of, sentence_of, doc_of = (np.frombuffer(x, dtype=np.int32) for x in (of_word, of_feature, word_of, sentence_of, doc_of))
-    n_words, n_sent, n_docs = len(words), len(doc_of), len(texts)
+    of_word, of_feature, word_of, sentence_of = (np.frombuffer(x, dtype=np.int32) for x in (of_word, of_feature, word_of, sentence_of))
+    n_words, n_docs = len(words), len(y)
+    every_start, every_end, begins = passages(np.append(np.frombuffer(first, dtype=np.int64), n_sent))
     balance = np.where(y == 1, 0.4 / y.mean(), 0.6 / (1 - y.mean()))
     w, bias = np.zeros(len(ids)), -4.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, rounds + 1):
         of = np.bincount(of_word, weights=w[of_feature], minlength=n_words)
         z = bias + np.bincount(sentence_of, weights=of[word_of], minlength=n_sent)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(-np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=n_docs))
-        toxic = np.maximum(1 - clean, 1e-9)
-        dz = p * (balance * np.where(y == 1, -clean / toxic, 1.0))[doc_of] / n_docs
+        p, loss = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.logaddexp(0, z)
+        before = np.append(0, loss.cumsum())
+        total = before[every_end] - before[every_start]
+        best = highest(total, begins)
+        starts, clean = every_start[best], np.exp(-total[best])
+        pull = balance * np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) / n_docs
+        # a document pulls on the sentences of its passage only
+        size = every_end[best] - starts
+        inside = np.repeat(starts - np.append(0, size.cumsum()[:-1]), size) + np.arange(size.sum())
+        dz = np.zeros(n_sent)
+        dz[inside] = p[inside] * np.repeat(pull, size)
         dw = np.bincount(word_of, weights=dz[sentence_of], minlength=n_words)
         g = np.append(np.bincount(of_feature, weights=dw[of_word], minlength=len(ids)), dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -144,14 +172,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def drawn(text: Column) -> Column:
-    """The text, or PIECES pieces of a long one in lines of their own, without the words that were cut."""
-    size, n = SAMPLE_CHARS // PIECES, F.length(text)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.floor(i * (n - size) / (PIECES - 1)).cast("int") + 1)
-    pieces = F.transform(starts, lambda at: F.regexp_replace(F.substr(text, at, F.lit(size)), r"^\S+\s|\s\S+$", ""))
-    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, "\n"))
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the bounded sample. Only its rows reach the driver."""
     marked = (labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id")
@@ -162,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = of[0].unionByName(of[1]).select("doc_id", "q_toxic")
     rows = (docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 SAMPLE rows
             .groupBy("doc_id", "q_toxic").agg(F.min("text").alias("text"))  # of several texts with one id, one
-            .select("doc_id", drawn(F.col("text")).alias("text"), "q_toxic").toPandas().sort_values("doc_id"))
+            .toPandas().sort_values("doc_id"))
     return fit(rows["text"].tolist(), rows["q_toxic"].tolist())
 
 

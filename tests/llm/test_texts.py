@@ -4,6 +4,7 @@ import re
 import zlib
 
 import public_tokenizers
+import numpy as np
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -249,40 +250,54 @@ def test_repeated_labelled_rows_are_one_document(spark, monkeypatch):
     assert fits[0] == fits[1] and len(fits[0][0]) <= 40
 
 
-INSULTS = {"trash", "pathetic", "worthless", "idiot", "loser", "disgusting", "scum", "clown", "moron", "stupid"}
-
-
 def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Whole texts of all labelled rows reach the fit here, and recall is over all held-out toxic documents."""
     df = spark.read.parquet(f"{SMALL[:-5]}0.1/documents.parquet")
     labels = spark.read.parquet(f"{SMALL[:-5]}0.1/labels.parquet")
     label = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
-    texts = {r.doc_id: (r.text or "", r.lang) for r in df.collect() if r.doc_id in label}
+    texts = {r.doc_id: r.text or "" for r in df.collect() if r.doc_id in label}
     out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in texts}
-    sizes, fit = [], toxicity.fit
-    monkeypatch.setattr(toxicity, "fit", lambda t, y: sizes.append(([x for x in t], list(y))) or fit(t, y))
+    fits, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda t, y: fits.append(sorted(t)) or fit(t, y))
     model = toxicity.train(df, labels)
-    short = sum(label[d] == 0 for d in texts if not out[d] and len(texts[d][0]) <= toxicity.SAMPLE_CHARS)
-    assert 2000 < short <= 3000 and sum(y == 0 for y in sizes[0][1]) >= short
+    kinds = [sum(label[d] == y for d in texts if not out[d]) for y in (0, 1)]
+    assert max(kinds) <= toxicity.SAMPLE and fits == [sorted(t for d, t in texts.items() if not out[d])]
     words = model.scorer()
-    toxic = [d for d in texts if out[d] and label[d]]
-    no_cause = {d for d in toxic if texts[d][1] == "en" and not INSULTS & set(re.findall(r"[a-z]+", texts[d][0].lower()))}
-    assert no_cause == {852, 2514, 2838, 8743, 8847}
-    hits = [model.bag(texts[d][0], words)[0] >= 0.5 for d in toxic if d not in no_cause]
-    assert sum(hits) / len(hits) > 0.9
-
-
-def test_toxicity_of_very_long_texts(spark, monkeypatch):
+    hits = [model.bag(texts[d], words)[0] >= 0.5 for d in texts if out[d] and label[d]]
+    print(f"held-out recall {sum(hits)} of {len(hits)}")
+    assert len(hits) == 97 and sum(hits) / len(hits) > 0.85
+
+
+def test_one_rule_in_fit_and_score():
+    """The passages of the fit are all windows of PASSAGE sentences, or the whole document, and give the score's noisy-or."""
+    rng, sizes = np.random.default_rng(7), [1, 5, 31, 32, 33, 100, 1, 64]
+    first = np.append(0, np.cumsum(sizes))
+    starts, ends, begins = toxicity.passages(first)
+    want = [(a + i, min(a + i + toxicity.PASSAGE, a + n)) for a, n in zip(first, sizes) for i in range(max(1, n - toxicity.PASSAGE + 1))]
+    assert list(zip(starts, ends)) == want
+    z = rng.normal(size=first[-1])
+    before = np.append(0, np.logaddexp(0, z).cumsum())
+    best = toxicity.highest(before[ends] - before[starts], begins)
+    assert toxicity.highest(np.zeros(len(starts)), begins).tolist() == begins.tolist()
+    model = toxicity.Model(0.0, {f"=w{i}": float(x) for i, x in enumerate(z)})
+    toxic_words = {f"w{i}": float(x) for i, x in enumerate(z)}
+    for d, (a, n) in enumerate(zip(first, sizes)):
+        bags = [(0, 0, {f"w{i}"}) for i in range(a, a + n)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "sentences", lambda text: bags)
+            score = model.bag("", toxic_words)[0]
+        s, e = starts[best[d]], ends[best[d]]
+        assert score == pytest.approx(1 - np.prod(1 - 1 / (1 + np.exp(-z[s:e]))), abs=1e-12)
+
+
+def test_toxicity_of_very_long_texts(spark):
     df = spark.read.parquet(f"{SMALL[:-5]}0.1/documents.parquet")
     labels = spark.read.parquet(f"{SMALL[:-5]}0.1/labels.parquet")
     label = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
     texts = {r.doc_id: r.text or "" for r in df.collect() if r.doc_id in label}
     out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in texts}
-    sizes, fit = [], toxicity.fit
-    monkeypatch.setattr(toxicity, "fit", lambda t, y: sizes.append([len(x) for x in t]) or fit(t, y))
     model = toxicity.train(df, labels)
     words = model.scorer()
-    assert len(sizes[0]) == sum(not x for x in out.values()) and max(sizes[0]) <= toxicity.SAMPLE_CHARS + 20
-    assert max(len(texts[d]) for d in texts if not out[d]) > toxicity.SAMPLE_CHARS
     # held-out clean texts that are kept one by one, in a row
     clean = [t for d, t in sorted(texts.items()) if out[d] and not label[d] and model.bag(t, words)[0] < 0.5]
     toxic = next(t for d, t in sorted(texts.items()) if out[d] and label[d] and model.bag(t, words)[0] > 0.9)
