@@ -84,8 +84,8 @@ def tall_r(rows: DataFrame, mean: np.ndarray, basis: np.ndarray) -> np.ndarray:
     for groups in LEVELS:
         found = (found.withColumn("part", F.col("part") % groups).groupBy("part")
                  .applyInPandas(merge, "part int, r array<double>"))
-    last = [np.reshape(x["r"], (-1, width)) for x in found.sort("part").collect()]  # at most LEVELS[-1] matrices of width^2
-    return np.linalg.qr(np.vstack(last), mode="r")
+    last = sorted(found.collect(), key=lambda x: x["part"])  # at most LEVELS[-1] matrices of width^2
+    return np.linalg.qr(np.vstack([np.reshape(x["r"], (-1, width)) for x in last]), mode="r")
 
 
 def independent(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
