@@ -45,42 +45,51 @@ def core_distance_table(train: DataFrame, min_samples: int, vec: str = "v") -> D
 
 
 # ----------------------------------------------------------------------------- (b)
-def _local_mst(pdf: pd.DataFrame) -> pd.DataFrame:
-    cols = ["lo", "hi", "w"]
-    m = len(pdf)
-    if m < 2:
-        return pd.DataFrame({c: [] for c in cols})
-    ids = pdf["row_id"].to_numpy()
-    X = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-    core = pdf["core"].to_numpy().astype(np.float64)
+def _distances(X: np.ndarray) -> np.ndarray:
+    """All distances by direct differences; |a - b| and |b - a| are the same number, so half of them are computed."""
+    m = len(X)
     D = np.empty((m, m))
     step = max(1, DIFF_VALUES // X.size)
     for s in range(0, m, step):
-        diff = X[s:s + step, None, :] - X[None, :, :]
-        D[s:s + step] = np.sqrt((diff * diff).sum(-1))
-    MR = np.maximum(D, np.maximum(core[:, None], core[None, :]))
-    in_tree = np.zeros(m, dtype=bool)
-    bw = np.full(m, np.inf)
-    blo = np.full(m, np.iinfo(np.int64).max)
-    bhi = np.full(m, np.iinfo(np.int64).max)
-    start = int(np.argmin(ids))
-    in_tree[start] = True
-    t = start
-    out_lo, out_hi, out_w = [], [], []
-    for _ in range(m - 1):
-        w = MR[t]
-        lo = np.minimum(ids[t], ids)
-        hi = np.maximum(ids[t], ids)
-        better = (w < bw) | ((w == bw) & ((lo < blo) | ((lo == blo) & (hi < bhi))))
-        better &= ~in_tree
-        bw[better], blo[better], bhi[better] = w[better], lo[better], hi[better]
-        cand = np.flatnonzero(~in_tree)
-        cand = cand[bw[cand] == bw[cand].min()]
-        t = int(cand[np.lexsort((bhi[cand], blo[cand]))[0]])
-        in_tree[t] = True
-        out_lo.append(blo[t]), out_hi.append(bhi[t]), out_w.append(bw[t])
-    return pd.DataFrame({"lo": np.array(out_lo, dtype=np.int64), "hi": np.array(out_hi, dtype=np.int64),
-                         "w": np.array(out_w, dtype=np.float64)})
+        diff = X[s:s + step, None, :] - X[None, s:, :]
+        D[s:s + step, s:] = np.sqrt((diff * diff).sum(-1))
+        D[s:, s:s + step] = D[s:s + step, s:].T
+    return D
+
+
+def _prim(ids: np.ndarray, D: np.ndarray, core: np.ndarray) -> pd.DataFrame:
+    """The spanning tree of the mutual-reachability graph under the order (w, lo, hi). Arrays hold the rows outside the tree."""
+    m = len(ids)
+    t = int(np.argmin(ids))
+    rest = np.delete(np.arange(m), t)
+    own, near, src = core[rest], np.full(m - 1, np.inf), np.full(m - 1, t)
+    ends = lambda j, s: (np.minimum(ids[rest[j]], ids[s]), np.maximum(ids[rest[j]], ids[s]))
+    out_lo, out_hi, out_w = np.empty(m - 1, dtype=np.int64), np.empty(m - 1, dtype=np.int64), np.empty(m - 1)
+    for r in range(m - 1, 0, -1):
+        w = np.maximum(D[t].take(rest[:r]), np.maximum(own[:r], core[t]))
+        better = w < near[:r]
+        tie = np.flatnonzero(w == near[:r])
+        if len(tie):
+            (lo, hi), (old_lo, old_hi) = ends(tie, t), ends(tie, src[tie])
+            better[tie] = (lo < old_lo) | ((lo == old_lo) & (hi < old_hi))
+        np.copyto(near[:r], w, where=better)
+        np.copyto(src[:r], t, where=better)
+        cand = np.flatnonzero(near[:r] == near[:r].min())
+        lo, hi = ends(cand, src[cand])
+        i = np.lexsort((hi, lo))[0] if len(cand) > 1 else 0
+        j = cand[i]
+        out_lo[m - 1 - r], out_hi[m - 1 - r], out_w[m - 1 - r] = lo[i], hi[i], near[j]
+        t = int(rest[j])
+        for x in (rest, own, near, src):  # the last row takes the place of the one that left
+            x[j] = x[r - 1]
+    return pd.DataFrame({"lo": out_lo, "hi": out_hi, "w": out_w})
+
+
+def _local_mst(pdf: pd.DataFrame) -> pd.DataFrame:
+    if len(pdf) < 2:
+        return pd.DataFrame({c: [] for c in ["lo", "hi", "w"]})
+    X = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    return _prim(pdf["row_id"].to_numpy(), _distances(X), pdf["core"].to_numpy().astype(np.float64))
 
 
 def candidate_edges(points: DataFrame, block_rows: int = MST_BLOCK_ROWS) -> DataFrame:

@@ -169,7 +169,7 @@ def h10_summarize_repeats(spark, sf):
 
 # ------------------------------------------------------------------ H11 / H12 / H13, I2
 from ..operators import pareto as P  # noqa: E402
-from ..operators.sweep import knn_scores_for_configs, objectives  # noqa: E402
+from ..operators.sweep import PENALTY, knn_scores_for_configs, objectives  # noqa: E402
 from . import flagship as FL  # noqa: E402
 from .materialize import materialize  # noqa: E402
 
@@ -287,13 +287,13 @@ def i2_objectives_sweep(spark, sf):
 
 
 def _front_hdbscan_scores(spark, sf, penalise=False):
-    """(cfg, config columns..., row_id, split, uq, bertscore_f1, rougeL): the search's
-    scoring (scale, PCA, HDBSCAN + merge + in-cluster kNN) for every distinct
+    """(cfg, row_id, split, uq, bertscore_f1, rougeL) for every different score, (cfg, config columns...) and (cfg, score): the
+    search's scoring (scale, PCA, HDBSCAN + merge + in-cluster kNN) for every distinct
     decoded configuration of the integrated front, stages shared across
-    configurations. The fixture vectors have 64 dimensions, so the dimension
+    configurations, those of equal scores included. The fixture vectors have 64 dimensions, so the dimension
     choices are 8 and 16 (a PCA to 16, 8 taken as its prefix)."""
     from ..operators.reduce import reduce_dimensionality, standard_scale
-    from ..operators.sweep_hdbscan import hdbscan_knn_many
+    from ..operators.sweep_hdbscan import hdbscan_knn_shared
     e = T.emb(spark, sf)
     tr, ev, _ = standard_scale(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"))
     tr, ev = reduce_dimensionality(tr, ev, 16, "PCA")
@@ -310,14 +310,14 @@ def _front_hdbscan_scores(spark, sf, penalise=False):
     cfg = dec.select(*keys).distinct().withColumn("cfg", F.xxhash64(*keys))
     cfg = materialize(cfg.select("cfg", F.col("emb_dim").alias("space"),
                                  F.col("cluster_selection_epsilon").alias("epsilon"), *keys))
-    uq = hdbscan_knn_many(pts, evs, cfg.select("cfg", "space", "min_cluster_size", "min_samples", "epsilon",
-                                               "n_neighbors"), penalise=penalise)
+    uq, plan = hdbscan_knn_shared(pts, evs, cfg.select("cfg", "space", "min_cluster_size", "min_samples", "epsilon",
+                                                       "n_neighbors"), penalise=penalise)
     rid = F.col("row_id")
-    scored = materialize(uq.join(e.select("row_id", "split"), "row_id").join(cfg.select("cfg", *keys), "cfg").select(
-        "cfg", *keys, "row_id", "split", "uq",
+    scored = materialize(uq.join(e.select("row_id", "split"), "row_id").select(
+        "cfg", "row_id", "split", "uq",
         (((rid * 7919) % 1000).cast("double") / 1000).alias("bertscore_f1"),
         (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
-    return scored, cfg.select("cfg", *keys)
+    return scored, cfg.select("cfg", *keys), plan
 
 
 @register("i2_objectives_hdbscan")
@@ -325,16 +325,19 @@ def i2_objectives_hdbscan(spark, sf):
     """I2 as the search runs it: two correlation objectives per configuration
     (penalty on failure) from the shared HDBSCAN scoring."""
     from ..operators.sweep_hdbscan import hdbscan_objectives
-    scored, cfg = _front_hdbscan_scores(spark, sf, penalise=True)
-    return hdbscan_objectives(scored, cfg).join(cfg, "cfg").drop("cfg")
+    scored, cfg, plan = _front_hdbscan_scores(spark, sf, penalise=True)
+    per = hdbscan_objectives(scored, plan.select(F.col("score").alias("cfg")).distinct()).withColumnRenamed("cfg", "score")
+    got = cfg.join(plan.join(per, "score"), "cfg", "left")
+    return got.select(*[F.coalesce(c, F.lit(PENALTY)).alias(c) for c in ("f1", "f2")], *[c for c in cfg.columns if c != "cfg"])
 
 
 @register("h11_run_all_solutions_hdbscan")
 def h11_run_all_solutions_hdbscan(spark, sf):
     """H11 as the evaluation notebook runs it: every front solution scored with
     HDBSCAN + kNN once, then the repeated calibration split, all schemes."""
-    sc = _front_hdbscan_scores(spark, sf)[0].select("cfg", "row_id", "split", "uq", "bertscore_f1", "rougeL")
-    return S.repeated_evaluation(sc, SWEEP_REPEATS, SEED, calib_frac=FRAC, by=["cfg"])
+    scored, _, plan = _front_hdbscan_scores(spark, sf)
+    per = S.repeated_evaluation(scored.withColumnRenamed("cfg", "score"), SWEEP_REPEATS, SEED, calib_frac=FRAC, by=["score"])
+    return plan.join(per, "score").drop("score")
 
 
 @register("h13_report_raw", _sweep_sql(report_sql("h12", "knn-embeddings", 2)), doubles=RAW_DOUBLES)

@@ -123,3 +123,33 @@ def test_sweep_falls_back_one_by_one(spark):
     shared = hdbscan_knn_many(pts, ev, cdf).toPandas().sort_values(["cfg", "row_id"])
     forced = hdbscan_knn_many(pts, ev, cdf, edges_per_task=10).toPandas().sort_values(["cfg", "row_id"])
     assert np.allclose(shared["uq"].to_numpy(), forced["uq"].to_numpy())
+
+
+def test_prim_matches_sorted_edges_with_ties():
+    """Whole-number points have many equal distances: the tree is the one of the order (w, lo, hi)."""
+    from qualm.operators.hdbscan import _distances, _kruskal, _prim
+    rng = np.random.default_rng(13)
+    X, ids = rng.integers(0, 4, size=(60, 2)).astype(float), rng.permutation(60) + 5
+    D = _distances(X)
+    assert (D == np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))).all()
+    core = np.sort(D, axis=1)[:, 3]
+    i, j = np.triu_indices(60, 1)
+    w = np.maximum(D[i, j], np.maximum(core[i], core[j]))
+    lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    want = _kruskal(pd.DataFrame({"ca": lo, "cb": hi, "lo": lo, "hi": hi, "w": w}))
+    edges = lambda t: sorted(zip(t["w"], t["lo"], t["hi"]))
+    assert edges(_prim(ids, D, core)) == edges(want)
+
+
+def test_equal_selections_are_labelled_and_scored_once(spark):
+    """Configurations that differ in epsilon only, without effect, or that have the same k, share labels and scores."""
+    from qualm.operators.sweep_hdbscan import hdbscan_knn_shared, _labellings
+    X, E_ = _blobs(9, n_per=30, k=3, noise=15), _blobs(10, n_per=4, k=3, noise=4)
+    pts = spark.createDataFrame(pd.DataFrame({"space": 1, "row_id": np.arange(len(X)), "v": list(X)}))
+    ev = spark.createDataFrame(pd.DataFrame({"space": 1, "row_id": np.arange(1000, 1000 + len(E_)), "v": list(E_)}))
+    cfgs = [(4, 8, 4, 0.0, 5), (5, 8, 4, 1e-9, 5), (6, 8, 4, 0.0, 7)]
+    cdf = spark.createDataFrame(pd.DataFrame(cfgs, columns=["cfg", "min_cluster_size", "min_samples", "epsilon", "n_neighbors"]).assign(space=1))
+    lab, same = _labellings(pts, cdf)
+    assert lab.count() == len(X) and {tuple(r) for r in same.collect()} == {(4, 4), (5, 4), (6, 4)}
+    found, plan = hdbscan_knn_shared(pts, ev, cdf)
+    assert found.count() == 2 * len(E_) and {tuple(r) for r in plan.collect()} == {(4, 4), (5, 4), (6, 6)}
