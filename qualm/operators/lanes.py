@@ -13,11 +13,11 @@ from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .order import order_buckets, pick_cuts
+from .order import PREFIX, crossing_prefixes, hash_key, order_buckets
 from .quantile import exact_quantiles
 
 LANE_BUCKET_ROWS = 1 << 16
@@ -26,18 +26,31 @@ METRIC, TIE, CURVE = range(3)
 
 def draw_repeats(scores: DataFrame, n_repeats: int, seed_base: int, eligible: Column, frac: float, by: Sequence[str] = (), id_col: str = "row_id") -> DataFrame:
     """``scores`` with ``calib``: whether repeat r drew the row, from round-half-even(frac x eligible) rows with the least md5(seed:id).
-    Every draw is known by its last row alone, so a row finds its repeats by itself."""
-    by = list(by)
+    Every draw is known by its last row alone, so a row finds its repeats by itself. Rows are hashed twice: for the count by md5 prefix, and
+    for the written rows, which know the repeats that surely drew them and keep the hash of those in whose crossing prefix they lie, 1 in 4,096."""
+    by, each = list(by), range(n_repeats)
     eligible = F.coalesce(eligible, F.lit(False))
     pool = scores.where(eligible).select(*by, id_col)
     sizes = pool.groupBy(*by).agg(F.bround(F.lit(float(frac)) * F.count(F.lit(1)), 0).cast("bigint").alias("_n"))
-    repeats = pool.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    cuts = pick_cuts(repeats, sizes, F.lit(seed_base) + F.col("_r"), id_col, by, ["_r"])
+    hashes = F.array(*[hash_key(seed_base + r, id_col) for r in each])
+    prefixes = pool.select(*by, F.posexplode(hashes).alias("_r", "_h")).select(*by, "_r", F.substring("_h", 1, PREFIX).alias("_p"))
+    crossing = materialize(crossing_prefixes(prefixes, sizes, by, [*by, "_r"]))
+    listed = lambda c: F.expr(f"transform(sequence(0, {n_repeats - 1}), i -> _m[i].{c})")
+    found = crossing.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_r", F.struct("_p", "_need")))).alias("_m")).select(*by, listed("_p").alias("_at"))
+    rows = scores.join(F.broadcast(found), by, "left") if by else scores.crossJoin(F.broadcast(found))
+    rows = rows.withColumn("_hs", F.when(eligible, hashes))
+    # a hash is longer than a prefix; a null id is before all hashes. Lists are made by lambdas: written out, they pass the size a JVM compiles
+    rows = rows.withColumn("_sure", F.expr("transform(_hs, (h, r) -> coalesce(h < _at[r], _at[r] is not null))"))
+    rows = rows.withColumn("_near", F.expr("transform(_hs, (h, r) -> if(startswith(h, _at[r]), h, null))")).drop("_hs", "_at")
+    rows = materialize(rows.withColumn("_near", F.when(F.exists("_near", lambda x: x.isNotNull()), F.col("_near"))))
+    ranked = rows.where("_near is not null").select(*by, id_col, F.posexplode("_near").alias("_r", "_h")).where("_h is not null")
+    place = Window.partitionBy(*by, "_r").orderBy("_h", id_col)
+    cuts = ranked.withColumn("_rn", F.row_number().over(place)).join(F.broadcast(crossing.select(*by, "_r", "_need")), [*by, "_r"]).where("_rn = _need")
     last = cuts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_r", F.struct("_h", id_col).alias("_c")))).alias("_cuts"))
-    rows = scores.join(last, by, "left") if by else scores.crossJoin(last)
-    hashed = lambda r: f"md5(concat('{seed_base + r}', ':', cast(`{id_col}` as string)))"
-    drawn = ", ".join(f"coalesce(_pool and struct({hashed(r)}, `{id_col}`) <= _cuts[{r}], false)" for r in range(n_repeats))
-    return rows.withColumn("_pool", eligible).withColumn("calib", F.expr(f"array({drawn})")).drop("_cuts", "_pool")
+    rows = rows.join(F.broadcast(last), by, "left") if by else rows.crossJoin(F.broadcast(last))
+    none = F.array(*[F.lit(False) for _ in each])
+    drawn = F.expr(f"if(_near is null, _sure, transform(_sure, (x, r) -> x or (_near[r] is not null and struct(_near[r], `{id_col}`) <= _cuts[r])))")
+    return rows.withColumn("calib", F.coalesce(drawn, none)).drop("_cuts", "_sure", "_near")
 
 
 def lane_thresholds(rows: DataFrame, schemes: DataFrame, n_repeats: int, by: Sequence[str] = ()) -> DataFrame:
@@ -100,7 +113,7 @@ def lane_metrics(rows: DataFrame, n_repeats: int, n_schemes: int, coverages: Seq
         return table.drop_columns(["n", "e"])
 
     before_schema = f"{key_schema}, n_before array<long>, n_all array<long>, e_before array<long>, e_all array<long>"
-    before = materialize(summed.groupBy(*by).applyInArrow(running, before_schema))  # at most MAX_BUCKETS rows a group
+    before = materialize(summed.groupBy(*by).applyInArrow(running, before_schema))  # at most three times MAX_BUCKETS rows a group
 
     out_schema = pa.schema([("kind", pa.int32()), ("lane", pa.int32()), ("scheme_id", pa.int64()), ("uq", pa.float64()), ("risks", pa.float64()), ("first", pa.float64()),
                             ("last", pa.float64()), ("acc", pa.list_(pa.float64())), ("auc", pa.float64()), ("below", pa.int64()), ("neg", pa.int64()), ("pos", pa.int64()), ("m", pa.int64())])

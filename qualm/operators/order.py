@@ -14,6 +14,7 @@ where the n-th row lies, and only rows of that prefix are ranked. DuckDB's
 """
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,28 +39,39 @@ def _cols(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs or [])
 
 
+def _below(edges: str, heads: str, step: int, value: Column) -> Column:
+    """How many of the sorted ``edges`` are less than ``value``: by every ``step``-th of them (``heads``), then inside one stretch."""
+    less = lambda e: e < value
+    stretch = F.size(F.filter(F.col(heads), less)) - 1
+    return F.when(stretch >= 0, stretch * step + F.size(F.filter(F.slice(F.col(edges), stretch * step + 1, F.lit(step)), less))).otherwise(stretch + 1)
+
+
 def order_buckets(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (), num_buckets: int | None = None,
                   bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with ``_bucket``: numbers that rise with ``order_cols`` inside a group. Hot values of the first key are cut by the second."""
+    """``df`` with ``_bucket``: numbers that rise with ``order_cols`` inside a group. A value of the first key that alone has more rows than
+    a bucket is cut by the second, into as many parts as it fills buckets: with the others, at most three times the wanted number."""
     g, order_cols = _cols(group_cols), _cols(order_cols)
     prim = order_cols[0]
     tie = order_cols[1] if len(order_cols) > 1 else None
     B = bucket_count(df, g, bucket_rows) if num_buckets is None else max(1, int(num_buckets))
     fr = [i / B for i in range(1, B)] or [0.5]
+    step = math.isqrt(B - 1) + 1
     pa = lambda c: F.array_distinct(F.percentile_approx(F.col(c), fr, PCT_ACCURACY))
-    b1 = (df.groupBy(*g) if g else df.groupBy()).agg(pa(prim).alias("_b"))
-    x = df.join(b1, g) if g else df.crossJoin(b1)
-    x = (x.withColumn("_lo", F.size(F.filter(F.col("_b"), lambda e: e < F.col(prim))))
-          .withColumn("_eq", F.coalesce(F.array_contains(F.col("_b"), F.col(prim)), F.lit(False)))
-          .drop("_b"))
+    b1 = (df.groupBy(*g) if g else df.groupBy()).agg(pa(prim).alias("_b"), F.ceil(F.count(F.lit(1)) / B).alias("_rows"))
+    b1 = b1.withColumn("_heads", F.expr(f"transform(sequence(0, size(_b) - 1, {step}), i -> _b[i])"))
+    x = df.join(F.broadcast(b1), g) if g else df.crossJoin(F.broadcast(b1))
+    x = x.withColumn("_lo", _below("_b", "_heads", step, F.col(prim)))
+    x = x.withColumn("_eq", F.coalesce(F.get("_b", F.col("_lo")) == F.col(prim), F.lit(False))).drop("_b", "_heads")
     if tie is not None:
-        tb = x.filter("_eq").groupBy(*g, prim).agg(pa(tie).alias("_tb"))
-        x = x.join(tb, [*g, prim], "left")
-        sub = F.when(F.col("_eq"), 1 + F.size(F.filter(F.col("_tb"), lambda e: e < F.col(tie)))).otherwise(0)
+        hot = x.filter("_eq").groupBy(*g, prim).agg(F.count(F.lit(1)).alias("_c"), F.max("_rows").alias("_each"), pa(tie).alias("_tb"))
+        hot = hot.where(F.col("_c") > F.col("_each")).withColumn("_parts", F.ceil(F.col("_c") / F.col("_each")).cast("int"))
+        cuts = F.expr("if(size(_tb) < _parts, _tb, transform(sequence(1, _parts - 1), i -> _tb[cast(i * size(_tb) div _parts as int)]))")
+        x = x.join(F.broadcast(hot.select(*g, prim, cuts.alias("_tb"))), [*g, prim], "left")
+        sub = F.when(F.col("_tb").isNotNull(), 1 + F.size(F.filter(F.col("_tb"), lambda e: e < F.col(tie)))).otherwise(0)
         x = x.withColumn("_bucket", F.col("_lo") * (B + 2) + sub).drop("_tb")
     else:
         x = x.withColumn("_bucket", F.col("_lo") * (B + 2) + F.col("_eq").cast("int"))
-    return x.drop("_lo", "_eq")
+    return x.drop("_lo", "_eq", "_rows")
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -71,7 +83,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[s
 
     ``order_cols`` is (primary,) with unique values per group, or
     (primary, tiebreak) with a unique tiebreak. Bucket edges come from
-    ``percentile_approx`` of the primary key per group; rows whose primary equals an edge (hot, tied values) are cut again by
+    ``percentile_approx`` of the primary key per group; the rows of a primary that fills more than a bucket (hot, tied values) are cut again by
     ``percentile_approx`` of the tiebreak, so one tied value never lands in a
     single task. Buckets are numbered in key order, windows run per
     (group, bucket), and bucket totals are prefix-summed on a
@@ -115,7 +127,7 @@ def hash_key(seed, id_col: str) -> Column:
     return F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def _crossing(hashed: DataFrame, sizes: DataFrame, by: Sequence[str], parts: Sequence[str]) -> DataFrame:
+def crossing_prefixes(hashed: DataFrame, sizes: DataFrame, by: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """(parts..., _p, _need): the md5 prefix in which the count of a part's rows crosses its group's ``_n``, and how many rows are
     missing before it. A part has at most 16 ** PREFIX prefixes; a part that never reaches ``_n``, or wants none, has no row."""
     parts = list(parts)
@@ -132,7 +144,7 @@ def pick_cuts(df: DataFrame, sizes: DataFrame, seed: Column, id_col: str, by: Se
     are columns that divide a group further, such as repeats. Only rows of the crossing prefix, 1 in 4,096, are ranked."""
     parts = [*by, *also]
     hashed = df.withColumn("_h", hash_key(seed, id_col)).withColumn("_p", F.substring("_h", 1, PREFIX))
-    crossing = materialize(_crossing(hashed, sizes, by, parts))
+    crossing = materialize(crossing_prefixes(hashed, sizes, by, parts))
     near = hashed.join(crossing, [*parts, "_p"])
     place = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy("_h", id_col)
     return near.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") == F.col("_need")).select(*parts, "_h", id_col)
@@ -147,7 +159,7 @@ def pick_first_n(df: DataFrame, n_col: Column | str, seed, id_col: str = "row_id
     g = _cols(group_cols)
     n_col = F.col(n_col) if isinstance(n_col, str) else n_col
     h = df.withColumn("_n", n_col.cast("bigint")).withColumn("_h", hash_key(seed, id_col)).withColumn("_p", F.substring("_h", 1, PREFIX))
-    crossing = materialize(_crossing(h, h.groupBy(*g).agg(F.max("_n").alias("_n")), g, g).withColumnRenamed("_p", "_at"))
+    crossing = materialize(crossing_prefixes(h, h.groupBy(*g).agg(F.max("_n").alias("_n")), g, g).withColumnRenamed("_p", "_at"))
     h = h.join(crossing, g, "left") if g else h.join(crossing, F.lit(True), "left")
     none = F.col("_at").isNull()  # all rows or none
     sure = h.where(none | (F.col("_p") != F.col("_at"))).withColumn(out_col, F.when(none, F.col("_n") > 0).otherwise(F.col("_p") < F.col("_at")))
