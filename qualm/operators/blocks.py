@@ -24,6 +24,7 @@ BLOCK_ROWS = 1 << 13  # a partial row of lanes holds folds x bandwidths sums, so
 KNN_BLOCK_ROWS = 1 << 14  # kernels walk a block in chunks, so it may be large: fewer copies of either side
 DIFF_VALUES = 1 << 22  # differences held at once by a kernel
 EXP_VALUES = 1 << 17  # distances whose exponentials are taken at once: they stay in the processor's cache
+POINT_BLOCKS = 4  # a point block of the nearest neighbours in query blocks: every point block hands on k rows a query
 BROADCAST_BYTES = 32 << 20  # largest point side that is broadcast
 
 
@@ -35,7 +36,7 @@ def _nblocks(cnt_col, block_rows):
     return F.greatest(F.lit(1), F.ceil(F.col(cnt_col) / F.lit(block_rows))).cast("int")
 
 
-def _block_pairs(q: DataFrame, p: DataFrame, by: Sequence[str], block_rows: int, qid: str, pid: str):
+def _block_pairs(q: DataFrame, p: DataFrame, by: Sequence[str], block_rows: int, qid: str, pid: str, point_rows: int | None = None):
     """Attach (qb, pb) pair keys: queries are replicated over their group's point
     blocks and points over the group's query blocks. Block counts per group
     are computed lazily from group sizes (a table with one row per group)."""
@@ -46,7 +47,7 @@ def _block_pairs(q: DataFrame, p: DataFrame, by: Sequence[str], block_rows: int,
     nb = (both.groupBy(*by) if by else both.groupBy()).agg(
         F.count_if(F.col("_side") == 1).alias("_cq"), F.count_if(F.col("_side") == 2).alias("_cp"))
     nb = nb.filter((F.col("_cq") > 0) & (F.col("_cp") > 0)).select(
-        *by, _nblocks("_cq", block_rows).alias("_nq"), _nblocks("_cp", block_rows).alias("_np"))
+        *by, _nblocks("_cq", block_rows).alias("_nq"), _nblocks("_cp", point_rows or block_rows).alias("_np"))
     # nb has one row per group: broadcast it.
     qx = q.join(F.broadcast(nb), by) if by else q.crossJoin(F.broadcast(nb))
     px = p.join(F.broadcast(nb), by) if by else p.crossJoin(F.broadcast(nb))
@@ -94,14 +95,28 @@ def _select_topk(Q, P, qids, pids, k, exclude_self):
             np.concatenate([d for _, (_, _, d) in parts]))
 
 
+def _kth_bound(d2, kk):
+    """No less than the kk-th smallest value of each row and close to it: the kk-th smallest of the minima of many column sets."""
+    sets = max(256, 8 * kk)
+    deep = d2.shape[1] // sets
+    if deep < 2:
+        return np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    bound = np.partition(np.fmin.reduce(d2[:, :deep * sets].reshape(len(d2), deep, sets), axis=1), kk - 1, axis=1)[:, kk - 1]
+    if len(odd := np.flatnonzero(~np.isfinite(bound))):
+        bound[odd] = np.partition(d2[odd], kk - 1, axis=1)[:, kk - 1]
+    return bound
+
+
 def _select_topk_chunk(Q, P, qids, pids, k, exclude_self):
     qn = (Q * Q).sum(1)
     pn = (P * P).sum(1)
-    d2 = qn[:, None] + pn[None, :] - 2.0 * (Q @ P.T)
+    d2 = Q @ P.T  # squared distances without the query's own square, the same for all its points
+    d2 *= -2.0
+    d2 += pn
     if exclude_self:
         d2[qids[:, None] == pids[None, :]] = np.inf
     kk = min(k, P.shape[0])
-    part = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    part = _kth_bound(d2, kk)
     # exact selection: keep everything within a bound of the matrix-product error,
     # then re-measure survivors by direct difference and sort by (dist, id).
     tol = 1e-9 * (qn + pn.max() + 1.0)
@@ -173,7 +188,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), q
     kern = _topk_kernel(k, "_qid", "_pid", "_v", by, exclude_self)
     if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
         return _broadcast_map(q, small, by, _ranked(kern, ["q_id"]), f"{schema}, rank bigint")
-    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid")
+    qx, px = _block_pairs(q, p, by, block_rows, "_qid", "_pid", POINT_BLOCKS * block_rows)
     cand = (qx.groupBy(*by, "_qb", "_pb")
               .cogroup(px.groupBy(*by, "_qb", "_pb"))
               .applyInPandas(kern, schema))
@@ -204,7 +219,7 @@ def knn_per_point_group(queries: DataFrame, points: DataFrame, k: int, group_col
     if (small := _small_points(p, "_v", broadcast_bytes)) is not None:
         found = _broadcast_map(q, small, [], _ranked(kern, ["q_id", "pg"]), f"q_id bigint, pg {gtype}, p_id bigint, dist double, rank bigint")
         return found.withColumnRenamed("pg", group_col)
-    qx, px = _block_pairs(q, p, [], block_rows, "_qid", "_pid")
+    qx, px = _block_pairs(q, p, [], block_rows, "_qid", "_pid", POINT_BLOCKS * block_rows)
     cand = (qx.groupBy("_qb", "_pb").cogroup(px.groupBy("_qb", "_pb"))
               .applyInPandas(kern, f"q_id bigint, pg {gtype}, p_id bigint, dist double"))
     w = Window.partitionBy("q_id", "pg").orderBy("dist", "p_id")

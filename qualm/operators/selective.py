@@ -166,6 +166,16 @@ def summarize_repeats(per_rep: DataFrame, by: Sequence[str] = (), coverages=COVE
     return long.groupBy(*by, "scheme", "metric").agg(*stats_1d("value"))
 
 
+def summarize_shared(per_key: DataFrame, solutions: DataFrame, key: str, coverages=COVERAGES) -> DataFrame:
+    """H10 of every solution, (solution, scheme, metric, n, mean, var, std), where ``solutions`` (solution, key) share the repeats of their
+    key: summarized once for each different list of keys a solution has, and joined to the solutions."""
+    keys = F.sort_array(F.collect_list(key))
+    own = solutions.groupBy("solution").agg(keys.alias("_keys")).withColumn("_id", F.concat_ws(",", "_keys")).drop("_keys")
+    lists = own.select("_id").distinct().select("_id", F.explode(F.split("_id", ",")).alias(key))
+    lists = lists.withColumn(key, F.col(key).cast(per_key.schema[key].dataType))
+    return own.join(summarize_repeats(lists.join(per_key, key), ["_id"], coverages), "_id").drop("_id")
+
+
 def summarize_solutions(summary: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Statistics over per-solution means, per (group, scheme, metric)."""
     g = list(group_cols)

@@ -249,19 +249,24 @@ def _k_scores(spark, sf, solutions):
         (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
 
 
+def _solution_runs(spark, sf):
+    """(solution, n_neighbors), and the repeated split of every different k."""
+    solutions = _solutions(spark, sf)
+    return solutions, S.repeated_evaluation(_k_scores(spark, sf, solutions), SWEEP_REPEATS, SEED, calib_frac=FRAC,
+                                            by=["n_neighbors"])
+
+
 @register("h11_run_all_solutions", _sweep_sql("SELECT * FROM h11"), doubles=METRIC_DOUBLES)
 def h11_run_all_solutions(spark, sf):
     """Per front solution: score once, repeat the split."""
-    solutions = _solutions(spark, sf)
-    per_k = S.repeated_evaluation(_k_scores(spark, sf, solutions), SWEEP_REPEATS, SEED, calib_frac=FRAC,
-                                  by=["n_neighbors"])
+    solutions, per_k = _solution_runs(spark, sf)
     return solutions.join(per_k, "n_neighbors")
 
 
 @register("h12_summarize_solutions", _sweep_sql("SELECT * FROM h12"), doubles=["mean", "var", "std"])
 def h12_summarize_solutions(spark, sf):
-    per = S.summarize_repeats(h11_run_all_solutions(spark, sf), by=["solution"])
-    return S.summarize_solutions(per)
+    solutions, per_k = _solution_runs(spark, sf)
+    return S.summarize_solutions(S.summarize_shared(per_k, solutions, "n_neighbors"))
 
 
 @register("h13_report_main", _sweep_sql(report_sql("h12", "knn-embeddings", 0)))
