@@ -1,10 +1,10 @@
 """Exact HDBSCAN as Spark stages.
 
 (a) core distances by the blocked kNN (S2);
-(b) for every pair of hash blocks, a local minimum spanning tree of the
-    mutual-reachability graph over both blocks (dense Prim, one task per pair);
-    by the cycle property the union holds the global tree;
-(c) distributed Boruvka over that union: lightest outgoing edge per component
+(b) candidate edges that hold the spanning tree of the mutual-reachability
+    graph (``spanning.py``: certain edges of the neighbour lists, then tiles of
+    row pairs of different components); rows of one block: dense Prim;
+(c) distributed Boruvka over those edges: lightest outgoing edge per component
     (``min`` over a struct), hook, pointer-jump, checkpoint per round;
 (d) condensation by weight range: the tree edges are cut into ranges of at
     most ``edges_per_task``; each range is one union-find pass that sees only
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 from .blocks import DIFF_VALUES, knn
 from .order import global_rank
+from .spanning import SPARE, neighbour_lists, tree_edges
 
 MST_BLOCK_ROWS = 2048
 EDGES_PER_TASK = 1 << 20
@@ -92,15 +93,16 @@ def _local_mst(pdf: pd.DataFrame) -> pd.DataFrame:
     return _prim(pdf["row_id"].to_numpy(), _distances(X), pdf["core"].to_numpy().astype(np.float64))
 
 
-def candidate_edges(points: DataFrame, block_rows: int = MST_BLOCK_ROWS) -> DataFrame:
-    """Union of local spanning trees over every pair of hash blocks: (lo, hi, w)."""
-    n = points.count()
-    B = max(1, -(-n // block_rows))
-    x = points.withColumn("_b", F.pmod(F.xxhash64("row_id"), F.lit(B)))
-    x = x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    x = x.withColumn("_pair", F.least("_b", "_o") * B + F.greatest("_b", "_o")).drop("_b", "_o")
-    e = x.groupBy("_pair").applyInPandas(_local_mst, "lo bigint, hi bigint, w double")
-    return e.groupBy("lo", "hi").agg(F.min("w").alias("w")), B
+def spanning_tree(points: DataFrame, min_samples: int, block_rows: int = MST_BLOCK_ROWS, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """(lo, hi, w): the tree over written ``points`` (row_id, v). More than ``block_rows`` rows go through candidate edges."""
+    if points.count() <= block_rows:
+        nodes = points.join(core_distance_table(points, min_samples), "row_id")
+        local = nodes.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_local_mst, "lo bigint, hi bigint, w double")
+        return materialize(local.groupBy("lo", "hi").agg(F.min("w").alias("w")))
+    k = min_samples + SPARE
+    lists = materialize(neighbour_lists(points, k, []))
+    cand = tree_edges(points, lists, min_samples, k, [], 8 * block_rows, max(2, block_rows // 2))
+    return minimum_spanning_tree(lists.select("row_id"), cand, edges_per_task)
 
 
 # ----------------------------------------------------------------------------- (c)
@@ -442,14 +444,8 @@ def hdbscan_labels(train: DataFrame, min_cluster_size: int, min_samples: int, ep
     spark = train.sparkSession
     pts = materialize(train.select("row_id", F.col(vec).cast("array<double>").alias("v")))
     n = pts.count()
-    ms = max(1, min(int(min_samples), n - 1))
-    core = core_distance_table(pts, ms)
-    nodes = materialize(pts.join(core, "row_id"))
-    cand, nblocks = candidate_edges(nodes, block_rows)
-    # one block: its local tree is the global tree already
-    tree = (materialize(cand) if nblocks == 1
-            else minimum_spanning_tree(nodes.select("row_id"), cand, edges_per_task))
-    clusters, points, root = condense(nodes.select("row_id"), tree, int(min_cluster_size), edges_per_task)
+    tree = spanning_tree(pts, max(1, min(int(min_samples), n - 1)), block_rows, edges_per_task)
+    clusters, points, root = condense(pts.select("row_id"), tree, int(min_cluster_size), edges_per_task)
     sel = select_clusters(clusters, points, root, float(epsilon), edges_per_task)
     lab = (points.join(sel.select("chain", "target"), "chain", "left")
                  .select("row_id", F.col("target").alias("_t")))

@@ -237,11 +237,7 @@ HDB = {"min_cluster_size": 10, "min_samples": 5, "epsilon": 0.0, "n_neighbors":
 def e5_hdbscan_spanning_tree(spark, sf):
     from .materialize import materialize
     e = T.emb(spark, sf).filter(F.col("split") == "train").select("row_id", "v")
-    pts = materialize(e)
-    nodes = materialize(pts.join(HD.core_distance_table(pts, HDB["min_samples"]), "row_id"))
-    cand, nb = HD.candidate_edges(nodes)
-    tree = cand if nb == 1 else HD.minimum_spanning_tree(nodes.select("row_id"), cand)
-    return tree.select("lo", "hi", "w")
+    return HD.spanning_tree(materialize(e), HDB["min_samples"]).select("lo", "hi", "w")
 
 
 @register("e6_hdbscan_labels")
