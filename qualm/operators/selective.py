@@ -11,9 +11,12 @@ solution and carries a flag per repeat and an error flag per repeat and scheme.
 """
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,6 +156,83 @@ def repeated_evaluation(scores: DataFrame, n_repeats: int = 15, seed_base: int =
     return _evaluate(rows, schemes, coverages, n_repeats, by, False, num_buckets).withColumnRenamed("lane", "repeat").withColumn("repeat", F.col("repeat").cast("bigint"))
 
 
+LANE_ROWS = 1 << 20  # evaluation rows that one task orders
+
+
+def repeated_lanes(rows: DataFrame, lanes: DataFrame, members: DataFrame, n_repeats: int = 15, seed_base: int = 42, schemes=SCHEMES, coverages=COVERAGES,
+                   group_col: str = "split", calib_from=("test",), calib_frac: float = 0.30, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """H9 of many scores of the same ``rows`` (row_id, split, bertscore_f1, rougeL): ``lanes`` (set, row_id, uq) holds a list of scores a row, ``members``
+    (set, pos, score) names them. Draws, thresholds and errors do not depend on the score and are made once; a task orders the rows by the
+    scores of a set, one after another. More than ``lane_rows`` rows (a checked count) go through ``repeated_evaluation``."""
+    if rows.count() > lane_rows:
+        long = lanes.join(rows, "row_id").select("set", "row_id", group_col, "bertscore_f1", "rougeL", F.posexplode("uq").alias("pos", "uq"))
+        long = materialize(long.join(F.broadcast(members), ["set", "pos"]).drop("set", "pos"))
+        return repeated_evaluation(long, n_repeats, seed_base, schemes, coverages, group_col, calib_from, calib_frac, ["score"])
+    R, S = n_repeats, len(schemes)
+    table = schemes_table(rows.sparkSession, schemes)
+    drawn = materialize(draw_repeats(rows, R, seed_base, F.col(group_col).isin(list(calib_from)), calib_frac))
+    thr = materialize(lane_thresholds(drawn, table, R))
+    tau = {(r["lane"], r["scheme_id"]): (r["tau_bert"], r["tau_rouge"]) for r in thr.collect()}  # repeats x schemes rows
+    held = drawn.select("row_id", "bertscore_f1", "rougeL", "calib").toArrow().sort_by("row_id").combine_chunks()
+    there = ~held.column("calib").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, R)
+    bert, rouge = (held.column(c).to_numpy() for c in ("bertscore_f1", "rougeL"))  # null is NaN: not correct
+    never = (float("nan"), float("nan"))
+    taus = [[tuple(float("nan") if x is None else x for x in tau.get((r, s), never)) for s in range(S)] for r in range(R)]
+    wrong = np.stack([np.stack([~((bert >= b) & (rouge >= g)) for b, g in per], axis=1) for per in taus], axis=1).astype(np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((held.column("row_id").to_numpy(), there.T.copy(), np.ascontiguousarray(wrong.transpose(1, 0, 2))))
+
+    def kernel(part: pa.Table) -> pa.Table:
+        ids, on, err = shared.value
+        part = part.sort_by("row_id").combine_chunks()
+        mine = part.column("row_id").to_numpy()
+        at = np.minimum(np.searchsorted(mine, ids), len(mine) - 1)
+        known = np.flatnonzero(mine[at] == ids)
+        uq = part.column("uq").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)[at[known]]
+        # null and NaN are the same in an array: no score is null, and NaN is the most uncertain
+        uq = np.where(np.isnan(uq), np.inf, uq)
+        n = on[:, known].sum(axis=1)
+        tails = [np.cumsum(1.0 / np.arange(k, 0, -1))[::-1] for k in n]  # of 1 / m over m .. n
+        ends = [[math.ceil(c * k) for c in coverages] for k in n]
+        out: dict = {c: [] for c in ("pos", "lane", "scheme_id", "n", "n_err", "aurc", "auroc", "acc")}
+        for pos in range(uq.shape[1]):
+            order = np.argsort(uq[:, pos], kind="stable")
+            u = uq[order, pos]
+            order = known[order]
+            for r in range(R):
+                k = int(n[r])
+                if not k:
+                    continue
+                kept = on[r][order]
+                v, e = u[kept], err[r][order[kept]]
+                start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                place = np.arange(1, k + 1, dtype=np.float64)
+                if len(start) < k:  # rows of a tie share their mean place
+                    size = np.diff(np.append(start, k))
+                    place = np.repeat(start + (size + 1) / 2, size)
+                errors = e.sum(axis=0)
+                ranks, risks = np.stack([place, tails[r]]) @ e
+                aurc = (risks - (e[0] + errors / k) / 2) / k if k >= 2 else np.zeros(S)
+                pairs = errors * (k - errors)
+                auroc = (ranks - errors * (errors + 1) / 2) / np.where(pairs > 0, pairs, np.nan)
+                acc = np.stack([1.0 - e[:m].sum(axis=0) / m if 0 < m <= k else np.full(S, np.nan) for m in ends[r]], axis=1)
+                out["pos"] += [pos] * S
+                out["lane"] += [r] * S
+                out["scheme_id"] += range(S)
+                out["n"] += [k] * S
+                for c, x in (("n_err", errors.astype(np.int64)), ("aurc", aurc), ("auroc", auroc), ("acc", acc)):
+                    out[c] += x.tolist()
+        types = {"pos": pa.int32(), "lane": pa.int32(), "scheme_id": pa.int64(), "n": pa.int64(), "n_err": pa.int64(), "aurc": pa.float64(), "auroc": pa.float64(), "acc": pa.list_(pa.float64())}
+        made = {c: pa.array(x, t, from_pandas=True) for (c, x), t in zip(out.items(), types.values())}
+        return pa.table({"set": pa.array([part.column("set")[0].as_py()] * len(out["n"]), pa.int64())} | made)
+
+    found = lanes.groupBy("set").applyInArrow(kernel, "set bigint, pos int, lane int, scheme_id bigint, n bigint, n_err bigint, aurc double, auroc double, acc array<double>")
+    err = F.col("n_err") / F.col("n")
+    acc = [F.nanvl(F.col("acc")[i], F.lit(None).cast("double")).alias(cov_name(c)) for i, c in enumerate(coverages)]
+    return found.join(F.broadcast(members), ["set", "pos"]).join(F.broadcast(thr), ["lane", "scheme_id"]).select(
+        "score", F.col("lane").cast("bigint").alias("repeat"), "scheme", "p_bert", "p_rouge", "tau_bert", "tau_rouge", (F.lit(1.0) - err).alias("acc_joint"),
+        err.alias("err_joint"), "auroc", "aurc", *acc, "n")
+
+
 METRICS = ["tau_bert", "tau_rouge", "auroc", "aurc", "acc_joint"]
 
 

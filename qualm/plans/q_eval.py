@@ -292,13 +292,13 @@ def i2_objectives_sweep(spark, sf):
 
 
 def _front_hdbscan_scores(spark, sf, penalise=False):
-    """(cfg, row_id, split, uq, bertscore_f1, rougeL) for every different score, (cfg, config columns...) and (cfg, score): the
+    """Evaluation rows (row_id, split, bertscore_f1, rougeL), lanes and members of every different score, (cfg, config columns...) and (cfg, score): the
     search's scoring (scale, PCA, HDBSCAN + merge + in-cluster kNN) for every distinct
     decoded configuration of the integrated front, stages shared across
     configurations, those of equal scores included. The fixture vectors have 64 dimensions, so the dimension
     choices are 8 and 16 (a PCA to 16, 8 taken as its prefix)."""
     from ..operators.reduce import reduce_dimensionality, standard_scale
-    from ..operators.sweep_hdbscan import hdbscan_knn_shared
+    from ..operators.sweep_hdbscan import hdbscan_lanes
     e = T.emb(spark, sf)
     tr, ev, _ = standard_scale(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"))
     tr, ev = reduce_dimensionality(tr, ev, 16, "PCA")
@@ -315,22 +315,23 @@ def _front_hdbscan_scores(spark, sf, penalise=False):
     cfg = dec.select(*keys).distinct().withColumn("cfg", F.xxhash64(*keys))
     cfg = materialize(cfg.select("cfg", F.col("emb_dim").alias("space"),
                                  F.col("cluster_selection_epsilon").alias("epsilon"), *keys))
-    uq, plan = hdbscan_knn_shared(pts, evs, cfg.select("cfg", "space", "min_cluster_size", "min_samples", "epsilon",
-                                                       "n_neighbors"), penalise=penalise)
+    lanes, members, plan = hdbscan_lanes(pts, evs, cfg.select("cfg", "space", "min_cluster_size", "min_samples", "epsilon",
+                                                              "n_neighbors"), penalise=penalise)
     rid = F.col("row_id")
-    scored = materialize(uq.join(e.select("row_id", "split"), "row_id").select(
-        "cfg", "row_id", "split", "uq",
+    rows = materialize(e.join(ev.select("row_id").distinct(), "row_id", "left_semi").select(
+        "row_id", "split",
         (((rid * 7919) % 1000).cast("double") / 1000).alias("bertscore_f1"),
         (((rid * 104729) % 100).cast("double") / 100).alias("rougeL")))
-    return scored, cfg.select("cfg", *keys), plan
+    return rows, lanes, members, cfg.select("cfg", *keys), plan
 
 
 @register("i2_objectives_hdbscan")
 def i2_objectives_hdbscan(spark, sf):
     """I2 as the search runs it: two correlation objectives per configuration
     (penalty on failure) from the shared HDBSCAN scoring."""
-    from ..operators.sweep_hdbscan import hdbscan_objectives
-    scored, cfg, plan = _front_hdbscan_scores(spark, sf, penalise=True)
+    from ..operators.sweep_hdbscan import hdbscan_objectives, lane_rows
+    rows, lanes, members, cfg, plan = _front_hdbscan_scores(spark, sf, penalise=True)
+    scored = lane_rows(lanes.join(rows, "row_id"), members, "bertscore_f1", "rougeL")
     per = hdbscan_objectives(scored, plan.select(F.col("score").alias("cfg")).distinct()).withColumnRenamed("cfg", "score")
     got = cfg.join(plan.join(per, "score"), "cfg", "left")
     return got.select(*[F.coalesce(c, F.lit(PENALTY)).alias(c) for c in ("f1", "f2")], *[c for c in cfg.columns if c != "cfg"])
@@ -340,8 +341,8 @@ def i2_objectives_hdbscan(spark, sf):
 def h11_run_all_solutions_hdbscan(spark, sf):
     """H11 as the evaluation notebook runs it: every front solution scored with
     HDBSCAN + kNN once, then the repeated calibration split, all schemes."""
-    scored, _, plan = _front_hdbscan_scores(spark, sf)
-    per = S.repeated_evaluation(scored.withColumnRenamed("cfg", "score"), SWEEP_REPEATS, SEED, calib_frac=FRAC, by=["score"])
+    rows, lanes, members, _, plan = _front_hdbscan_scores(spark, sf)
+    per = S.repeated_lanes(rows, lanes, members, SWEEP_REPEATS, SEED, calib_frac=FRAC)
     return plan.join(per, "score").drop("score")
 
 
