@@ -67,3 +67,29 @@ def test_densities_by_blocks_equal_the_broadcast_ones(dealt, monkeypatch):
     cut = results()
     for a, b in zip(whole, cut):
         assert a.shape == b.shape and np.allclose(a, b)
+
+
+def test_sums_of_wide_and_narrow_bandwidths():
+    """The series that wide bandwidths share gives the sums of their exponentials; equal distances have no range."""
+    from qualm.operators.blocks import _exp_sums
+    t = -np.random.default_rng(8).random((7, 300)) * 12
+    t -= t.max(axis=1, keepdims=True)
+    scale = 1.0 / (2.0 * np.logspace(-1, 1.5, 30) ** 2)
+    for x in (t, np.zeros((3, 5))):
+        want = np.stack([np.exp(x * c).sum(axis=1) for c in scale], axis=1)
+        assert np.allclose(_exp_sums(x, scale, np.empty_like(x)), want, rtol=1e-13, atol=0)
+
+
+def test_a_query_leaves_its_own_fold_out(dealt):
+    """Held-out densities need no distance to the query's own fold; the other folds' lanes are the same."""
+    rng = np.random.default_rng(9)
+    tr = _frame(dealt, rng.normal(size=(50, 3)), fold=np.arange(50) % 5)
+    for size in (0, 32 << 20):
+        kw = {"keep": ["fold"], "block_rows": 9, "broadcast_bytes": size}
+        whole, apart = (log_density_lanes(tr, tr, [0.5, 2.0], (), "fold", 5, **kw, **a).toPandas().sort_values("q_id") for a in ({}, {"apart": "fold"}))
+        own = np.arange(50) % 5
+        for c, width in (("near", 1), ("sums", 2)):
+            a, b = (np.stack(x[c]).reshape(50, 5, width) for x in (whole, apart))
+            assert (b[np.arange(50), own] == (np.inf if c == "near" else 0.0)).all()
+            a[np.arange(50), own] = b[np.arange(50), own]
+            assert np.allclose(a, b, rtol=1e-12)
