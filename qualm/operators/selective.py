@@ -191,8 +191,9 @@ def repeated_lanes(rows: DataFrame, lanes: DataFrame, members: DataFrame, n_repe
         # null and NaN are the same in an array: no score is null, and NaN is the most uncertain
         uq = np.where(np.isnan(uq), np.inf, uq)
         n = on[:, known].sum(axis=1)
-        tails = [np.cumsum(1.0 / np.arange(k, 0, -1))[::-1] for k in n]  # of 1 / m over m .. n
         ends = [[math.ceil(c * k) for c in coverages] for k in n]
+        # a row's place (set later), the sum of 1 / m over m .. n, and whether it is among the first m rows
+        weights = [np.stack([np.empty(k), np.cumsum(1.0 / np.arange(k, 0, -1))[::-1], *[(np.arange(k) < m).astype(np.float64) for m in (k, *end)]]) for k, end in zip(n, ends)]
         out: dict = {c: [] for c in ("pos", "lane", "scheme_id", "n", "n_err", "aurc", "auroc", "acc")}
         for pos in range(uq.shape[1]):
             order = np.argsort(uq[:, pos], kind="stable")
@@ -209,12 +210,12 @@ def repeated_lanes(rows: DataFrame, lanes: DataFrame, members: DataFrame, n_repe
                 if len(start) < k:  # rows of a tie share their mean place
                     size = np.diff(np.append(start, k))
                     place = np.repeat(start + (size + 1) / 2, size)
-                errors = e.sum(axis=0)
-                ranks, risks = np.stack([place, tails[r]]) @ e
+                weights[r][0] = place
+                ranks, risks, errors, *firsts = weights[r] @ e
                 aurc = (risks - (e[0] + errors / k) / 2) / k if k >= 2 else np.zeros(S)
                 pairs = errors * (k - errors)
                 auroc = (ranks - errors * (errors + 1) / 2) / np.where(pairs > 0, pairs, np.nan)
-                acc = np.stack([1.0 - e[:m].sum(axis=0) / m if 0 < m <= k else np.full(S, np.nan) for m in ends[r]], axis=1)
+                acc = np.stack([1.0 - first / m if 0 < m <= k else np.full(S, np.nan) for m, first in zip(ends[r], firsts)], axis=1)
                 out["pos"] += [pos] * S
                 out["lane"] += [r] * S
                 out["scheme_id"] += range(S)
